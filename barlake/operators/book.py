@@ -91,6 +91,7 @@ def best_bid_ask(deep: DataFrame, chunk: int = CHUNK) -> DataFrame:
     last = last.withColumn("next", nxt).join(span, ["symbol", "epoch"]).withColumn("next", F.coalesce("next", "until"))
     carried = last.where((F.col("next") > F.col("chunk")) & (F.col("quantity") != 0))
     start = carried.select("symbol", "side", "level", "quantity", F.explode(F.sequence(F.col("chunk") + 1, F.col("next"))).alias("chunk"))
+    start = start.toDF(*start.columns)  # apart from the rows, which come from the same table
     kind = deep.schema["symbol"].dataType.simpleString()
     return (
         start.groupBy("symbol", "chunk")
@@ -103,7 +104,8 @@ def book_stats(book: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per (symbol, timestamp): n_samples, avg_spread and spread_std_dev in basis points over warm rows with a
     true spread, depth_imbalance and depth_ratio of the average depths of warm rows."""
     deep = depth(book)
-    b = deep.join(best_bid_ask(deep, chunk), ["symbol", "seq"]).where("warm").withColumn("timestamp", X.close_ts(F.col("event_time")))
+    best = best_bid_ask(deep, chunk)
+    b = deep.join(best.toDF(*best.columns), ["symbol", "seq"]).where("warm").withColumn("timestamp", X.close_ts(F.col("event_time")))
     good = (F.col("best_bid") > 0) & (F.col("best_ask") > F.col("best_bid"))
     bps = F.when(good, (F.col("best_ask") - F.col("best_bid")) / F.col("best_bid") * 10000)
     a = b.groupBy("symbol", "timestamp").agg(F.count("*").alias("n_samples"), F.coalesce(F.avg(bps), F.lit(0.0)).alias("avg_spread"), F.coalesce(F.stddev_samp(bps), F.lit(0.0)).alias("spread_std_dev"), F.avg("bid_depth").alias("bd"), F.avg("ask_depth").alias("ad"))
