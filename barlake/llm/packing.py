@@ -88,7 +88,7 @@ def pack(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = CAPACITY,
     cost = (LINEAR * F.col("length") + QUADRATIC * F.col("length") * F.col("length")).alias("cost")
     full = p.where(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[np.int64, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         seq, pdf["offset"] = assign(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = 2 * ((int(key[0]) << 24) + seq)

@@ -151,10 +151,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans = F.concat(*[named(k) for k in (*KINDS, "other")])
     d = d.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.sort_array(spans).alias("r_spans")).where(F.size("r_spans") > 0)
     d = spool(d.dropDuplicates(["r_id", "r_hash"]))
-    j = docs.join(d, F.col(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("r_hash")), "left")
-    j = j.withColumn("r_ends", running_max(F.transform("r_spans", lambda x: -x["minus_end"])))
+    rows = docs.select(F.struct("*").alias("r_row"))  # whatever its columns are called
+    text = F.col("r_row").getField(text_col)
+    j = rows.join(d, F.col("r_row").getField(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("r_hash")), "left")
+    j = j.withColumn("r_text", text).withColumn("r_ends", running_max(F.transform("r_spans", lambda x: -x["minus_end"])))
     done = lambda i: F.when(i > 0, F.get("r_ends", i - 1)).otherwise(F.lit(0))
-    part = F.transform("r_spans", lambda x, i: F.when(x["start"] >= done(i), F.concat(F.substring(F.col(text_col), done(i) + 1, x["start"] - done(i)), F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit("")))
-    tail = F.expr(f"substring(`{text_col}`, element_at(r_ends, -1) + 1)")
-    text = F.when(F.col("r_spans").isNotNull(), F.concat(F.array_join(part, ""), tail)).otherwise(F.col(text_col))
-    return j.withColumn(text_col, text).select(*docs.columns)
+    part = F.transform("r_spans", lambda x, i: F.when(x["start"] >= done(i), F.concat(F.substring("r_text", done(i) + 1, x["start"] - done(i)), F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit("")))
+    tail = F.expr("substring(r_text, element_at(r_ends, -1) + 1)")
+    new = F.when(F.col("r_spans").isNotNull(), F.concat(F.array_join(part, ""), tail)).otherwise(F.col("r_text"))
+    return j.select(*[new.alias(c) if c == text_col else F.col("r_row").getField(c).alias(c) for c in docs.columns])

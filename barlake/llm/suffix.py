@@ -265,6 +265,9 @@ def split_hot(hot: DataFrame) -> DataFrame:
     return res
 
 
+RESULTS = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
+
+
 def cut_repeats(docs: DataFrame, keep_first: bool) -> DataFrame:
     """(all columns of ``docs``, n_bytes, n_removed, n_spans, kept binary, kept_text: kept without cut characters) for each row.
 
@@ -272,20 +275,29 @@ def cut_repeats(docs: DataFrame, keep_first: bool) -> DataFrame:
     ``keep_first``, that occurs earlier: in a text with a smaller doc_id, or before in its own. Of
     equal texts the rows with the smallest id are the first. Null texts are empty, ties between
     different texts of one id go by the texts' hashes, and empty tables give no rows."""
+    out = _cut(docs, keep_first)
+    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)], *RESULTS)
+
+
+def _cut(docs: DataFrame, keep_first: bool) -> DataFrame:
+    """As cut_repeats(), the columns of ``docs`` being d0, d1 and so on."""
     tags, spans = repeats(docs.select("doc_id", "text"))
     useful = spans.where("kind > 0") if keep_first else spans.where("kind <> 1")
-    lists = useful.groupBy("tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    lists = useful.groupBy("tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut_spans"))
     info = tags.where("copies > 1").select("tag", "first_id", "copies").join(lists, "tag", "full_outer")
-    info = spool(info.withColumnRenamed("tag", "i_tag"))
-    j = docs.join(info, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("i_tag"), "left")
-    whole = F.col("copies").isNotNull() & (~F.col("doc_id").eqNullSafe(F.col("first_id")) if keep_first else F.lit(True))
-    j = j.withColumn("cut_all", F.coalesce(whole, F.lit(False))).withColumnRenamed("spans", "cut_spans")
-    names = docs.columns
+    info = spool(info)
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, text = (F.col(f"d{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    j = rows.join(info, F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("tag"), "left")
+    whole = F.col("copies").isNotNull() & (~doc_id.eqNullSafe(F.col("first_id")) if keep_first else F.lit(True))
+    j = j.withColumn("cut_all", F.coalesce(whole, F.lit(False)))
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             rows = []
-            texts, spans_, alls = b.column("text").to_pylist(), b.column("cut_spans").to_pylist(), b.column("cut_all").to_pylist()
+            texts, spans_, alls = b.column(at).to_pylist(), b.column("cut_spans").to_pylist(), b.column("cut_all").to_pylist()
             for text, cuts, everything in zip(texts, spans_, alls):
                 data = (text or "").encode("utf-8")
                 if everything and len(data) >= LENGTH:
@@ -303,9 +315,9 @@ def cut_repeats(docs: DataFrame, keep_first: bool) -> DataFrame:
                 kept.append(data[end:])
                 rows.append((len(data), gone, n, b"".join(kept)))
             cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in cols[3]], pa.string())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in cols[3]], pa.string())], names=[*names, *RESULTS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
     return by_arrow(j.select(*names, "cut_spans", "cut_all"), run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
@@ -317,6 +329,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_later_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated string but its first copy cut from the texts, at whole characters;
     a text of which nothing is left stays as an empty one, and a null one stays null."""
-    out = cut_repeats(docs, keep_first=True)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(F.col("kept_text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    out = _cut(docs, keep_first=True)
+    text = F.col(f"d{docs.columns.index('text')}")
+    new = F.when(text.isNull() | (F.col("n_removed") == 0), text).otherwise(F.col("kept_text"))
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
