@@ -13,7 +13,7 @@ from barlake.llm import common
 from barlake.llm.common import by_arrow, components, forest, free, spool, whole_groups
 from barlake.llm.simhash import TILE, in_tiles
 
-#: Vectors on which the rotations are learned, those of the least hashes of their ids; all are indexed.
+#: About so many different vectors, chosen by their hashes, teach the rotations; all are indexed.
 SAMPLE = 20_000
 #: Share of the pairs at the cosine that the tables are to find, by the bits that differ there on average.
 RECALL = 0.99
@@ -64,7 +64,7 @@ def near(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vecto
     reps = spool(good.groupBy("v").agg(F.min("vec_id").alias("node_id"), F.count("*").alias("m")).withColumn("node", F.xxhash64("v")))
     n = reps.count()
     tables, bits = plan(n, cosine)
-    sample = reps.select("v", F.xxhash64("node", F.lit(3)).alias("o")).orderBy("o").limit(SAMPLE).collect()
+    sample = reps.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n)) < SAMPLE).select("v").collect()
     x = np.array([r["v"] for r in sample], float).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     turn = rotations(x, -(-tables * bits // d)).astype(np.float32)
