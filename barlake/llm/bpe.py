@@ -23,7 +23,7 @@ from barlake.llm import common
 from barlake.llm.common import by_arrow
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Pre-tokens remembered by a worker; beyond it the memory starts anew.
+#: Pre-tokens, and words of plain texts, remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 300_000
 #: Characters whose lower case, letter class and normal form no Unicode version disputes.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-įı-ňŊ-ſ]*")
@@ -151,6 +151,22 @@ class Pieces(dict):
         return ids
 
 
+class Words(dict):
+    """What stands between white space in a plain text to its ids; no pre-token reaches over white space."""
+
+    def __init__(self, find, pieces: Pieces) -> None:
+        self.find, self.pieces = find, pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        pieces = self.pieces
+        ids = b"".join([pieces[p] for p in self.find(word)])
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """ids(text) equals the library's encode(text, add_special_tokens=False).ids, as bytes."""
 
@@ -163,19 +179,20 @@ class Encoder:
         whole = Tokenizer.from_file(path)
         self.normal, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.pieces = Pieces(path, method)
+        self.words = Words(self.find, self.pieces)
         self.back = {c: b for b, c in enumerate(self.pieces.chars)}
 
-    def pretokens(self, text: str) -> list[str]:
+    def part(self, text: str) -> bytes:
+        """ids() of a text without special tokens."""
         if PLAIN.fullmatch(text):
-            return self.find(text.lower())
-        back = self.back
-        return [bytes(back[c] for c in p).decode("utf-8") for p, _ in self.split(self.normal(text))]
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        back, pieces = self.back, self.pieces
+        return b"".join([pieces[bytes(back[c] for c in p).decode("utf-8")] for p, _ in self.split(self.normal(text))])
 
     def ids(self, text: str) -> bytes:
-        pieces = self.pieces
         if "<|" in text:
-            return b"".join([self.special[s] if s in self.special else b"".join([pieces[p] for p in self.pretokens(s)]) for s in self.cut(text)])
-        return b"".join([pieces[p] for p in self.pretokens(text)])
+            return b"".join([self.special[s] if s in self.special else self.part(s) for s in self.cut(text)])
+        return self.part(text)
 
 
 class Decoder:

@@ -215,9 +215,17 @@ def test_lm(docs, empty, monkeypatch, frequent):
 
 
 def test_lm_gradient_and_windows():
-    c = np.random.default_rng(1).integers(0, lm.CLASSES, 200)
-    x, t, w = lm.windows(c)
-    assert w.sum() == 200 and (t[w] == c).all()
+    rng, size = np.random.default_rng(1), 1 << 16
+    cls = np.r_[rng.integers(1, lm.CLASSES, size), 0]
+    texts = [rng.integers(0, size, n) for n in (199, 0, 1, lm.STEP - 1, lm.STEP, 70)]
+    ws = lm.Windows([i.astype("<u2").tobytes() for i in texts], cls)
+    x, t, w = ws.cut(np.arange(len(ws.start)))
+    for k, ids in enumerate(texts):  # each token is scored once, after at least LEAD places of its text or of class 0
+        c, of = np.r_[cls[ids], 0], ws.of == k
+        assert w[of].sum() == len(c) and (t[of][w[of]] == c).all()
+        before = np.r_[np.zeros(lm.WINDOW, int), c]
+        places = np.argwhere(w[of])
+        assert all((x[of][i, : j + 1] == before[n + lm.WINDOW - j - 1 : n + lm.WINDOW]).all() for n, (i, j) in enumerate(places)) and (places[:, 1] >= lm.LEAD).all()
     m, first = lm.Attention(), lm.Attention()
     wt = w.astype(np.float32)
     loss = lambda a: -float((np.take_along_axis(a.forward(x)[0], t[..., None], 2)[..., 0] * wt).sum())
@@ -225,6 +233,7 @@ def test_lm_gradient_and_windows():
         m.step(x, t, wt, 0.5)
     assert loss(m) < loss(first)
     z = first.forward(x)[0]
+    assert np.allclose(np.take_along_axis(z, t[..., None], 2)[:, lm.LEAD :, 0], first.log_probability(x, t, first.table()), atol=1e-4)
     y = x.copy()
     y[:, 20:] = 0
     assert np.allclose(z[:, :20], first.forward(y)[0][:, :20], atol=1e-5)
