@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -145,7 +146,9 @@ class Pieces(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         chars = self.chars
-        ids = np.array(self.encode("".join([chars[b] for b in piece.encode("utf-8")])), "<u4").tobytes()
+        plain = piece.isascii() and piece.isprintable()  # each byte stands for itself
+        ids = self.encode(piece if plain else "".join([chars[b] for b in piece.encode("utf-8")]))
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -161,7 +164,7 @@ class Words(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         pieces = self.pieces
-        ids = b"".join([pieces[p] for p in self.find(word)])
+        ids = pieces[word] if word.isalpha() else b"".join([pieces[p] for p in self.find(word)])
         if len(word) < 64:
             self[word] = ids
         return ids
