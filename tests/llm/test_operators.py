@@ -239,6 +239,25 @@ def test_lm_gradient_and_windows():
     assert np.allclose(z[:, :20], first.forward(y)[0][:, :20], atol=1e-5)
 
 
+def test_lm_trains_on_all_windows(spark):
+    rng, size = np.random.default_rng(2), 1 << 16
+    texts = []
+    for n in rng.integers(300, 900, 160):  # an id mostly follows its predecessor
+        jump = np.where(rng.random(n) < 0.9, 1, rng.integers(0, 50, n))
+        texts.append((np.cumsum(jump) % 50).astype("<u2").tobytes())
+    counts = np.r_[np.bincount(np.frombuffer(b"".join(texts), "<u2"), minlength=size), len(texts)]
+    cls, _ = lm.classes_of(counts)
+    bias = np.log((np.bincount(cls, counts, lm.CLASSES) + 1) / (counts.sum() + lm.CLASSES))
+    start = lm.Attention(bias=bias)
+    (out,) = lm.learn([common.pa.RecordBatch.from_arrays([common.pa.array(texts, common.pa.binary())], names=["ids"])], start.flat(), cls)
+    assert out.column(1)[-1].as_py() == counts.sum()
+    x, t, w = (y := lm.Windows(texts, cls)).cut(np.arange(len(y.start)))
+    ids = spark.createDataFrame([(False, k, b) for k, b in enumerate(texts)], "held boolean, text_hash long, ids binary").repartition(2)
+    m = lm.Attention(lm.train(ids, cls, counts))
+    mean = lambda a: float((a.log_probability(x, t, a.table()) * w[:, lm.LEAD :]).sum() / w.sum())
+    assert mean(m) > float((bias[t] * w).sum() / w.sum()) + 0.02
+
+
 def test_warc(spark, tmp_path):
     inner = "x" * 120 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 99\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nfoo"
     rows = [(i, f"u{i}\r\nX: y", inner if i % 7 == 0 else f"é{i} " * 50 if i % 3 else "WARC/1.1\r\n" + "y" * 90) for i in range(60)] + [(60, None, None), (61, "u", inner + "\r\n\r\n"), (62, "u", ""), (63, "u", "\r\n\r\n")]
