@@ -239,6 +239,12 @@ def test_lm_gradient_and_windows():
     assert np.allclose(z[:, :20], first.forward(y)[0][:, :20], atol=1e-5)
 
 
+def test_lm_context_is_half_a_window():
+    text = np.arange(1, 100).astype("<u2").tobytes()
+    ws = lm.Windows([text], np.r_[np.arange(1 << 16) % lm.CLASSES, 0])
+    assert (np.argwhere(ws.cut(np.arange(len(ws.start)))[2])[:, 1] >= lm.WINDOW // 2).all()
+
+
 def test_lm_trains_on_all_windows(spark):
     rng, size = np.random.default_rng(2), 1 << 16
     texts = []
