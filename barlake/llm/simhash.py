@@ -48,33 +48,41 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     return by_arrow(docs, run, f"doc_id {kind}, size long, " + ", ".join(f"w{w} long" for w in range(words)))
 
 
-def close_pairs(x: np.ndarray, tile: np.ndarray, cross: bool, radius: int, coarse: int, step: int = 256):
+def apart(x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
+    """Differing bits of the first ``words`` (at most 3: the sum fits a byte) words of rows of ``x`` and ``y``."""
+    d = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    for w in range(1, words):
+        d += np.bitwise_count(x[..., w] ^ y[..., w])
+    return d
+
+
+def close_pairs(x: np.ndarray, tile: np.ndarray, cross: bool, radius: int, step: int = 256):
     """Positions of the pairs of rows of ``x`` (n, words) at most ``radius`` bits apart; with
     ``cross``, of different tiles only. Blocks in order of population count; a pair of blocks
-    whose counts differ by more than the radius of the first word is skipped."""
-    pop = np.bitwise_count(x[:, 0]).astype(np.int64)
+    whose counts differ by more than the radius is skipped, and pairs whose first three words
+    differ by more than it aren't looked at further: neither loses a pair."""
+    pop, first = np.bitwise_count(x).sum(1, dtype=np.int64), min(x.shape[1], 3)
     order = np.argsort(pop, kind="stable")
     x, pop, tile = x[order], pop[order], tile[order]
     for i in range(0, len(x), step):
         top = pop[min(i + step, len(x)) - 1]
-        end = np.searchsorted(pop, top + coarse, side="right")
+        end = np.searchsorted(pop, top + radius, side="right")
         for j in range(i, end, step * 16):
             k = min(j + step * 16, end)
-            near = np.bitwise_count(x[i : i + step, None, 0] ^ x[None, j:k, 0]) <= coarse
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(apart(x[i : i + step, None], x[None, j:k], first) <= radius)
             a, b = a + i, b + j
             keep = a < b
             if cross:
                 keep &= tile[a] != tile[b]
             a, b = a[keep], b[keep]
-            if x.shape[1] > 1 and len(a):
+            if x.shape[1] > first and len(a):
                 d = np.bitwise_count(x[a] ^ x[b]).sum(1)
                 a, b = a[d <= radius], b[d <= radius]
             if len(a):
                 yield order[a], order[b]
 
 
-def links(rows: DataFrame, words: int, radius: int, coarse: int) -> DataFrame:
+def links(rows: DataFrame, words: int, radius: int) -> DataFrame:
     """Spanning links (a, b) of the pairs within ``radius`` in each group ``g`` of rows
     (g, cross, tile, node, w0 …), by task: never more than its nodes."""
     names = [f"w{w}" for w in range(words)]
@@ -91,14 +99,14 @@ def links(rows: DataFrame, words: int, radius: int, coarse: int) -> DataFrame:
                 a = np.flatnonzero((g[d:] == g[:-d]) & small[d:])
                 b = a + d
                 keep = ~cross[a] | (tile[a] != tile[b])
-                keep &= np.bitwise_count(x[a, 0] ^ x[b, 0]) <= coarse
+                keep &= apart(x[a], x[b], min(words, 3)) <= radius
                 a, b = a[keep], b[keep]
-                if words > 1 and len(a):
+                if words > 3 and len(a):
                     keep = np.bitwise_count(x[a] ^ x[b]).sum(1) <= radius
                     a, b = a[keep], b[keep]
                 found.append((node[a], node[b]))
             for s, n in zip(starts[sizes > 48], sizes[sizes > 48]):
-                got = [forest(node[s + a], node[s + b]) for a, b in close_pairs(x[s : s + n], tile[s : s + n], bool(cross[s]), radius, coarse)]
+                got = [forest(node[s + a], node[s + b]) for a, b in close_pairs(x[s : s + n], tile[s : s + n], bool(cross[s]), radius)]
                 if got:
                     found.append(forest(np.concatenate([p for p, _ in got]), np.concatenate([q for _, q in got])))
             a, b = forest(np.concatenate([p for p, _ in found] or [node[:0]]), np.concatenate([q for _, q in found] or [node[:0]]))
@@ -152,17 +160,17 @@ def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, i
     reps = spool(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), *[F.min(c).alias(c) for c in names]))
     n = reps.count()
     if words == 1:
-        rows, tile, coarse = by_blocks(reps, n), TILE, radius
+        rows, tile = by_blocks(reps, n), TILE
         sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > tile))
         dealt = in_tiles(rows, sizes, tile)
     else:
-        tile, coarse = min(max(n // 24, 2 * TILE), 1 << 16), 3 * radius // (2 * words)
+        tile = min(max(n // 24, 2 * TILE), 1 << 16)
         # the band of the size and the next one: a pair of neighbouring bands meets in the lower one's group
         band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(1.5))).cast("long")
         rows = reps.select(band.alias("k"), "node", *names)
         sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")))
         dealt = in_bands(rows, sizes, tile)
-    edges = spool(links(dealt.select("g", "cross", "tile", "node", *names), words, radius, coarse))
+    edges = spool(links(dealt.select("g", "cross", "tile", "node", *names), words, radius))
     comp = components(edges)
     named = spool(comp.join(reps.select("node", "least_id"), "node").select("node", "root", "least_id"))
     low = spool(named.groupBy("root").agg(F.min("least_id").alias("component_id")))

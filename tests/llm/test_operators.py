@@ -114,6 +114,20 @@ def test_near_dedup_tiles(spark, monkeypatch):
     assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()] == [0]
 
 
+@pytest.mark.parametrize("n", [2, 70])
+def test_simhash_words_find_every_pair(spark, docs, monkeypatch, n):
+    rnd = random.Random(6)
+    word = lambda: rnd.getrandbits(64)
+    rows = [[word() for _ in range(4)] for _ in range(n - 1)]
+    flips = [30, 7, 7, 7]  # 51 bits of 256, most in the first word
+    rows.append([x ^ sum(1 << b for b in rnd.sample(range(64), f)) for x, f in zip(rows[0], flips)])
+    signed = [(i, 100, *[x - (1 << 64) if x >> 63 else x for x in r]) for i, r in enumerate(rows)]
+    prints = spark.createDataFrame(signed, "doc_id long, size long, w0 long, w1 long, w2 long, w3 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = {r.doc_id: r.component_id for r in simhash.groups(docs, 5, 4, 51).collect()}
+    assert got == {i: 0 if i == n - 1 else i for i in range(n)}
+
+
 def test_packing(docs, empty, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_SEQUENCES", 2)
     cap = 512
