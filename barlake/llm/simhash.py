@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,14 +19,26 @@ TILE = 1024
 FOUR_BLOCKS = 1 << 23
 
 
+def shingles_of(text: str | None, shingle: int) -> list[bytes]:
+    """Runs of ``shingle`` words; a shorter text is one shingle, no words give none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return [b" ".join(x) for x in zip(*[tokens[i:] for i in range(min(shingle, len(tokens)))])]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values of the different shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles_of(text, shingle)], np.uint64))
+
+
 def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> tuple[int, list[int]]:
     """(number of shingles, ``words`` 64-bit words): a bit is set if it is set in over half of the
-    shingles' XXH64 values. Word w hashes with seed 42 + w. No words: zeros."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    shingles' XXH64 values. Word w hashes with seed 42 + w. With more than one word, a shingle counts
+    once, however often it occurs. No words: zeros."""
+    shingles = shingles_of(text, shingle)
+    if not shingles:
         return 0, [0] * words
-    parts = [tokens[i:] for i in range(min(shingle, len(tokens)))]
-    shingles = [b" ".join(x) for x in zip(*parts)]
+    if words > 1:
+        shingles = list(dict.fromkeys(shingles))
     out = []
     for w in range(words):
         h = np.fromiter((xxhash.xxh64_intdigest(s, 42 + w) for s in shingles), np.uint64, len(shingles))
@@ -36,16 +50,16 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> tuple[int
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, size, w0 … ) of each row."""
+    """(doc_id, size, w0 …, text_hash) of each row; the last only if ``docs`` has it after id and text."""
 
     def run(batches):
         for b in batches:
             got = [fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([x[0] for x in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([x[1][w] for x in got], pa.int64()) for w in range(words)], names=["doc_id", "size"] + [f"w{w}" for w in range(words)])
+            cols = [b.column(0), pa.array([x[0] for x in got], pa.int64())] + [pa.array([x[1][w] for x in got], pa.int64()) for w in range(words)]
+            yield pa.RecordBatch.from_arrays(cols + b.columns[2:], names=["doc_id", "size"] + [f"w{w}" for w in range(words)] + b.schema.names[2:])
 
     kind = docs.schema[0].dataType.simpleString()
-    return by_arrow(docs, run, f"doc_id {kind}, size long, " + ", ".join(f"w{w} long" for w in range(words)))
+    return by_arrow(docs, run, f"doc_id {kind}, size long, " + ", ".join([f"w{w} long" for w in range(words)] + [f"{c} long" for c in docs.columns[2:]]))
 
 
 def apart(x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
@@ -115,6 +129,72 @@ def links(rows: DataFrame, words: int, radius: int) -> DataFrame:
     return by_arrow(rows.repartition("g").sortWithinPartitions("g"), run, "a long, b long")
 
 
+def similar(x: np.ndarray, tile: np.ndarray, cross: bool, radius: int, at: np.ndarray, values: np.ndarray, similarity: float):
+    """Links (positions) of rows of ``x`` at most ``radius`` bits apart whose shingle sets have a Jaccard index of
+    ``similarity``, but for pairs that other links connect. Row i's set is values[at[i] : at[i + 1]]."""
+    n, label = np.diff(at), np.arange(len(x))
+    for a, b in close_pairs(x, tile, cross, radius):
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for group in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
+            i = a[group[0]]
+            j = b[group]
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            mine = values[at[i] : at[i + 1]]
+            for k in range(0, len(j), 64):
+                js = j[k : k + 64]
+                theirs = np.concatenate([values[at[y] : at[y + 1]] for y in js])
+                if len(mine) and len(theirs):
+                    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    common_ = np.bincount(np.repeat(np.arange(len(js)), n[js]), hit, len(js))
+                else:
+                    common_ = np.zeros(len(js))
+                js = js[common_ >= similarity * (n[i] + n[js] - common_) - 1e-9]
+                if len(js):
+                    yield np.full(len(js), i), js
+                    label[np.isin(label, label[js])] = label[i]
+
+
+def checked(edges: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, words: int, radius: int, similarity: float) -> DataFrame:
+    """Spanning links of the pairs within ``radius`` whose shingle sets are similar. Such pairs lie inside the
+    components of ``edges``: only texts of these are read again (``docs``: text, text_hash), and a large component
+    is compared by pairs of its tiles."""
+    names = [f"w{w}" for w in range(words)]
+    comp = components(edges)
+    linked = spool(comp.join(reps, "node").select("node", F.col("root").alias("k"), "text_hash", *names))
+    texts = docs.join(linked.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+
+    def cut(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "shingles"])
+
+    sets = by_arrow(texts.select("text_hash", "text"), cut, "text_hash long, shingles array<bigint>")
+    rows = spool(linked.join(sets, "text_hash").select("k", "node", "shingles", *names))
+    sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    dealt = in_tiles(rows, sizes, TILE).select("g", "cross", "tile", "node", "shingles", *names)
+
+    def run(batches):
+        for t in whole_groups(batches, "g", rows=2000):
+            g, cross, tile, node = (np.asarray(t.column(c)) for c in ("g", "cross", "tile", "node"))
+            x = np.stack([np.asarray(t.column(c)) for c in names], 1).view(np.uint64)
+            column = t.column("shingles").combine_chunks()
+            at, values = np.zeros(len(g) + 1, np.int64), np.asarray(column.flatten()).view(np.uint64)
+            np.cumsum(np.asarray(column.value_lengths()), out=at[1:])
+            cuts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            found = [(node[:0], node[:0])]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                found += [(node[s + a], node[s + b]) for a, b in similar(x[s:e], tile[s:e], bool(cross[s]), radius, at[s : e + 1], values, similarity)]
+            a, b = forest(np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    out = spool(by_arrow(dealt.repartition("g").sortWithinPartitions("g"), run, "a long, b long"))
+    free(comp, linked, rows, sizes)
+    return out
+
+
 def in_tiles(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     """Rows with key ``k`` dealt to groups ``g``: a key of up to ``tile`` rows is one group, a
     larger one has a group for each pair of its tiles, so no task holds a whole hot key.
@@ -143,21 +223,25 @@ def by_blocks(reps: DataFrame, n: int) -> DataFrame:
     return reps.select(keys.alias("k"), "node", "w0")
 
 
-def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id, size) for each row of ``docs``; fingerprint is the hex of the words.
 
-    With one word and a radius of 3, tiles share a block of the fingerprint. With more words, the
-    similarity is the share of agreeing bits (1 - radius / bits) and texts whose shingle counts
-    differ by over 1.5 times aren't compared: tiles are cut by bands of that count. A null or empty
+    With one word and a radius of 3, tiles share a block of the fingerprint. With more words, texts
+    whose counts of different shingles differ by over 1.5 to 2.25 times aren't compared: tiles are cut by bands of
+    that count. With a ``similarity`` (over 2/3), pairs within the radius are candidates, linked if the
+    Jaccard index of their shingle sets reaches it. A null or empty
     text has the fingerprint zero, linked like any other; a row whose id is null has the component
     of the other rows of its group. Copies meet as one fingerprint first, so repeated rows and ties
     cost nothing; component_id is the smallest id of the group. An empty table gives no rows.
     """
     names = [f"w{w}" for w in range(words)]
-    prints = spool(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, words))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if similarity is not None:
+        docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    prints = spool(fingerprints(docs, shingle, words))
     node = F.col("w0") if words == 1 else F.xxhash64(*names)
     prints = prints.withColumn("node", node)
-    reps = spool(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), *[F.min(c).alias(c) for c in names]))
+    reps = spool(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), *[F.min(c).alias(c) for c in names + docs.columns[2:]]))
     n = reps.count()
     if words == 1:
         rows, tile = by_blocks(reps, n), TILE
@@ -171,6 +255,9 @@ def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, i
         sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")))
         dealt = in_bands(rows, sizes, tile)
     edges = spool(links(dealt.select("g", "cross", "tile", "node", *names), words, radius))
+    if similarity is not None:
+        loose, edges = edges, checked(edges, reps, docs, shingle, words, radius, similarity)
+        free(loose)
     comp = components(edges)
     named = spool(comp.join(reps.select("node", "least_id"), "node").select("node", "root", "least_id"))
     low = spool(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
@@ -207,11 +294,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(common.table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def candidate_radius(similarity: float, bits: int) -> int:
+    """Bits that differ between texts of that Jaccard index, by the angle between their sets, and five
+    standard deviations more; texts of a few shingles spread wider."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id
-    (of rows that repeat it, any one with that id's whole text group). Documents without words,
-    and rows whose id is null, stay."""
-    radius = int(64 * words * (1 - similarity) + 1e-9)
-    g = groups(docs.select("doc_id", "text"), shingle, words, radius)
+    (of rows that repeat it, any one with that id's whole text group). Near copies are linked by pairs whose
+    sets of ``shingle`` words have a Jaccard index of ``similarity``. Documents without words, and rows
+    whose id is null, stay."""
+    g = groups(docs.select("doc_id", "text"), shingle, words, candidate_radius(similarity, 64 * words), similarity=similarity)
     drop = spool(g.where("doc_id is not null and size > 0 and doc_id <> component_id").select("doc_id").distinct())
     return docs.join(drop, "doc_id", "left_anti")

@@ -128,6 +128,19 @@ def test_simhash_words_find_every_pair(spark, docs, monkeypatch, n):
     assert got == {i: 0 if i == n - 1 else i for i in range(n)}
 
 
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_near_dedup_by_shingle_sets(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rnd, rows = random.Random(3), []
+    for i in range(40):  # around a text of 400 words, copies with some of its last words changed
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        for k, changed in enumerate((0, 25, 60, 100, 140)):
+            rows.append((10 * i + k, " ".join(base[: 400 - changed] + [f"x{rnd.randrange(10**6)}" for _ in range(changed)]), "en", "a", 0))
+    sets = [set(simhash.shingles_of(r[1], 5)) for r in rows]
+    comp = link_components([r[0] for r in rows], [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == {rows[i][0] for i in range(len(rows)) if comp[i] == rows[i][0]}
+
+
 def test_packing(docs, empty, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_SEQUENCES", 2)
     cap = 512
