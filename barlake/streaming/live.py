@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlake.operators import bars as B
 from barlake.operators import tables
 
 WATERMARK = "1 minute"
@@ -133,6 +134,11 @@ def fold_log(log: DataFrame) -> DataFrame:
     return tables.fold_versions(log.drop("batch"))
 
 
+def live_carry(bars: DataFrame) -> DataFrame:
+    """fold_log()'s bars, with open interest and funding rate kept from the bar before where a minute had none, and their changes."""
+    return B.funding_carry(B.oi_carry(bars))
+
+
 def funding_on_change(samples: DataFrame) -> DataFrame:
     """Samples (symbol, ts, rate) of a stream whose rate differs from the symbol's one before."""
 

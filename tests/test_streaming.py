@@ -35,3 +35,10 @@ def test_live_book_and_funding(spark, tmp_path):
     q = live.funding_on_change(spark.readStream.schema("symbol string, ts long, rate double").json(src2)).writeStream.format("memory").queryName("f").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.ts for r in spark.table("f").collect()) == [1, 3]
+
+
+def test_live_carry(spark):
+    rows = [("x", "s", 60000, None, 0.1), ("x", "s", 120000, 5.0, None), ("x", "s", 180000, None, None), ("x", "s", 240000, 7.0, 0.2), ("x", "t", 240000, None, None)]
+    got = live.live_carry(spark.createDataFrame(rows, "exchange string, symbol string, timestamp long, open_interest double, funding_rate double")).collect()
+    assert sorted((r.symbol, r.timestamp, r.open_interest, r.funding_rate) for r in got if r.symbol == "s") == [("s", 60000, None, 0.1), ("s", 120000, 5.0, 0.1), ("s", 180000, 5.0, 0.1), ("s", 240000, 7.0, 0.2)]
+    assert [(r.open_interest, r.funding_rate) for r in got if r.symbol == "t"] == [(None, None)]
