@@ -41,17 +41,34 @@ def spool(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def laid_out(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in buckets of ``key`` and read it back: joins on it move only
+    their other side. The table is named in the session's catalogue until free()."""
+    spark = df.sparkSession
+    name = f"barlake_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._spooled, out._table = path, name
+    return out
+
+
 def free(*frames: DataFrame) -> None:
     """Delete spooled tables that nothing reads any more."""
     for df in frames:
+        if hasattr(df, "_table"):
+            df.sparkSession.sql(f"drop table if exists {df._table}")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._spooled)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts hold few rows, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of whole texts hold few rows, so that they fit a Python worker; a number that the caller
+    has set stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def by_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:

@@ -2,22 +2,27 @@
 
 Each string of LENGTH bytes belongs to the anchor with the least hash among its GRAM-byte pieces,
 so equal strings share an anchor, whatever their documents. The strings of one anchor in one
-document form a segment. Segments that are equal as a whole are settled by counting; the different
-segments of an anchor are compared in suffix order, where a longest-previous-factor of LENGTH or
-more means an earlier copy. Anchors with very many different segments are split by ever smaller
-ranges of their strings and counted instead, so that no task holds a hot passage.
+text form a segment. Segments that are equal as a whole are settled by counting; the different
+segments of an anchor are put in suffix order, and the longest previous factor of each string (from
+the previous and the next smaller place in that order) tells whether it has an earlier copy. Anchors
+with very many different segments are split by ever smaller ranges of their strings and counted
+instead, so that no task holds a hot passage.
+
+Different texts are laid out once, by their hashes; what is found about them is brought to them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import common
-from barlake.llm.common import by_arrow, free, spool, whole_groups
+from barlake.llm.common import by_arrow, free, laid_out, spool, whole_groups
 
 LENGTH, GRAM = 200, 32
 #: Different segments of an anchor that one task compares; more are split.
@@ -29,9 +34,10 @@ _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_ranks(text: np.ndarray, depth: int, levels: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Rank of each suffix of ``text`` by its first ``depth`` bytes (a multiple of 8); equal prefixes share
-    a rank. Prefix doubling: ranks of 8 bytes, then of 16, and so on, joined at the end."""
+    a rank. Prefix doubling: ranks of 8 bytes, then of 16, and so on, joined at the end; ``levels``
+    receives them by their numbers of bytes."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth, np.uint64)])
     key = np.zeros(n + depth - 8, np.uint64)
@@ -39,7 +45,8 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         key = key * np.uint64(257) + padded[i : i + len(key)]
     first = np.unique(key, return_inverse=True)[1].astype(np.uint64)
     eighth = padded[7 : 7 + len(first)]
-    ranks = {8: np.unique(first * np.uint64(257) + eighth, return_inverse=True)[1].astype(np.uint64)}
+    ranks = {} if levels is None else levels
+    ranks[8] = np.unique(first * np.uint64(257) + eighth, return_inverse=True)[1].astype(np.uint64)
     span, done, out = 8, 0, None
     while True:
         if depth & span:
@@ -53,20 +60,56 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         span *= 2
 
 
-def previous_factor(ranks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, earlier) for suffixes with ranks to a depth, at ``places``: whether another has the same
-    rank, and whether one at a smaller place has, so that the longest previous factor reaches the
-    depth. In suffix order the previous and the next smaller place of a run of equal ranks lie
-    inside the run unless it is the run's least."""
-    order = np.lexsort((places, ranks))
-    r = ranks[order]
-    same = np.zeros(len(r), bool)
-    same[1:] = r[1:] == r[:-1]
-    repeated, earlier = np.zeros(len(r), bool), np.zeros(len(r), bool)
-    both = same.copy()
-    both[:-1] |= same[1:]
-    repeated[order], earlier[order] = both, same
-    return repeated, earlier
+def common_prefixes(text: np.ndarray, levels: dict[int, np.ndarray], depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes, ``depth`` at most, in which the suffixes at ``a`` and ``b`` agree, from suffix_ranks()' levels."""
+    got, padded = np.zeros(len(a), np.int64), np.concatenate([text.astype(np.int16), np.full(depth + 8, -1, np.int16)])
+    for span in sorted(levels, reverse=True):
+        r = levels[span]
+        for _ in range(1 if 2 * span in levels else depth // span):
+            x, y = a + got, b + got
+            inside = np.maximum(x, y) < len(r)
+            got += span * (inside & (r[np.minimum(x, len(r) - 1)] == r[np.minimum(y, len(r) - 1)]))
+    open_ = np.ones(len(a), bool)
+    for _ in range(7):
+        x, y = padded[np.minimum(a + got, len(padded) - 1)], padded[np.minimum(b + got, len(padded) - 1)]
+        open_ &= (x == y) & (x >= 0)
+        got += open_
+    return np.minimum(got, depth)
+
+
+def smaller_before(place: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, least): of each entry the nearest one before it with a smaller place (-1: none), and the least of
+    ``prefix`` from there on, which is the prefix they share. Pointers that found a larger place
+    jump on by that entry's own pointer."""
+    at, least = np.arange(len(place)) - 1, prefix.copy()
+    todo = np.arange(1, len(place))
+    todo = todo[place[at[todo]] > place[todo]]
+    while len(todo):
+        j = at[todo]
+        least[todo] = np.minimum(least[todo], least[j])
+        at[todo] = at[j]
+        todo = todo[at[todo] >= 0]
+        todo = todo[place[at[todo]] > place[todo]]
+    return at, np.where(at < 0, 0, least)
+
+
+def previous_factors(text: np.ndarray, depth: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longest previous factor, longest factor that occurs elsewhere) of the suffixes of ``text`` at the
+    ascending places ``starts``, compared with each other and counted up to ``depth``. The longest
+    previous factor is the longer of the prefixes shared with the previous and with the next
+    smaller place in suffix order."""
+    levels: dict[int, np.ndarray] = {}
+    rank = suffix_ranks(text, depth, levels)[starts]
+    order = np.argsort(rank, kind="stable")
+    by = starts[order]
+    prefix = np.zeros(len(by) + 1, np.int64)  # shared with the neighbour before; none before the first and after the last
+    prefix[1:-1] = common_prefixes(text, levels, depth, by[:-1], by[1:])
+    before = smaller_before(by, prefix[:-1])[1]
+    after = smaller_before(by[::-1], prefix[:0:-1])[1][::-1]
+    earlier, anywhere = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+    earlier[order] = np.maximum(before, after)
+    anywhere[order] = np.maximum(prefix[:-1], prefix[1:])
+    return earlier, anywhere
 
 
 def segments(data: bytes) -> tuple[np.ndarray, ...]:
@@ -119,43 +162,47 @@ def anchored(texts: DataFrame) -> DataFrame:
     return by_arrow(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tag long, segs array<struct<{SEGMENT.replace(' long', ':long').replace(' int', ':int')}>>")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (doc_id, text): (tags, spans). tags (tag, first_id, copies): each different text with its
-    smallest id. spans (tag, start, end, kind): strings repeated anywhere (kind 0) and strings that
-    occur earlier, by first_id, text and place (kind 1); kind 2 is both. Whole copies aren't in spans."""
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    tags = spool(texts.groupBy("tag").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    marked = spool(anchored(texts))
-    once = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    more = tags.where("copies > 1").select(F.col("tag").alias("c_tag"), "first_id")
-    # of a text's copies one row, or several that repeat its id, which distinct() below makes one
-    reps = marked.join(more, F.col("tag") == F.col("c_tag"), "left").where(F.col("c_tag").isNull() | once)
-    every = reps.select("doc_id", "tag", F.explode("segs").alias("x")).select("doc_id", "tag", "x.*")
+def tag_of(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(tag, first_id, copies, text) of each different text of ``docs`` (doc_id, text), laid out by tag, the
+    64-bit hash that stands for a text: the one time that whole texts are shuffled. Copies meet in the
+    tasks that read them, so a group of any size sends a row from each."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), tag_of(F.col("text")).alias("tag"))
+    return laid_out(texts.groupBy("tag").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("text").alias("text")), "tag")
+
+
+def repeats(texts: DataFrame) -> DataFrame:
+    """(tag, start, end, kind) for ``texts`` of different_texts(): strings repeated in other texts or places
+    (kind 0) and strings that occur earlier, by first_id, text and place (kind 1); kind 2 is both."""
+    marked = spool(anchored(texts.where(F.octet_length("text") >= LENGTH).select(F.col("first_id").alias("doc_id"), "tag", "text")))
+    every = marked.select("doc_id", "tag", F.explode("segs").alias("x")).select("doc_id", "tag", "x.*")
     often = spool(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    cand = spool(every.join(often, "h").distinct())
+    cand = spool(every.join(often, "h"))
+    free(marked, often)
     place = F.struct("doc_id", "tag", "s0")
     kinds = spool(cand.groupBy("h", "seg").agg(F.count("*").alias("c"), F.min(place).alias("least")))
     wide = spool(kinds.groupBy("h").agg(F.count("*").alias("d")))
     kinds2 = spool(kinds.join(wide, "h").where("c > 1 or d > 1"))
-    free(marked, often, kinds, wide)
-    known = cand.join(kinds2, ["h", "seg"]).withColumn("is_least", place.eqNullSafe(F.col("least")))
-    span = [F.col("s0").alias("start"), (F.col("s1") + LENGTH).alias("end")]
-    settled = known.where("c > 1").select("tag", *span, F.when(F.col("is_least"), 0).otherwise(2).alias("kind"))
-    open_ = known.where("d > 1 and is_least").select("doc_id", "tag", "h", "p", "s0", "s1", "d")
-    lists = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "p", "s0", "s1", "d")).alias("segs"))
-    pick = lists.select(F.col("doc_id").alias("l_id"), F.col("tag").alias("l_tag"), "segs")
-    cut = texts.join(pick, (F.col("tag") == F.col("l_tag")) & F.col("doc_id").eqNullSafe(F.col("l_id"))).select("doc_id", "tag", "text", "segs")
+    free(kinds, wide)
+    known = spool(cand.join(kinds2, ["h", "seg"]).withColumn("is_least", place.eqNullSafe(F.col("least"))).drop("seg", "least"))
+    free(cand, kinds2)
+    settled = known.where("c > 1").select("tag", F.col("s0").alias("start"), (F.col("s1") + LENGTH).alias("end"), F.when(F.col("is_least"), 0).otherwise(2).alias("kind"))
+    open_ = known.where("d > 1 and is_least")
+    lists = open_.groupBy(F.col("tag").alias("l_tag")).agg(F.collect_list(F.struct("h", "p", "s0", "s1", "d")).alias("segs"))
+    cut = texts.join(lists, F.col("tag") == F.col("l_tag")).select(F.col("first_id").alias("doc_id"), "tag", "text", "segs")
     parts = spool(segment_bytes(cut))
-    few = compared(parts.where(F.col("d") <= GROUP))
-    spans = [spool(settled), spool(few)]
+    spans = [spool(settled), spool(compared(parts.where(F.col("d") <= GROUP)))]
     hot = parts.where(F.col("d") > GROUP)
     if hot.take(1):
         spans.append(split_hot(hot))
-    free(cand, kinds2, parts)
+    free(known, parts)
     out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return tags, out
+    for x in spans[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def segment_bytes(cut: DataFrame) -> DataFrame:
@@ -186,7 +233,7 @@ def runs(flag: np.ndarray, place: np.ndarray, of: np.ndarray) -> tuple[np.ndarra
 def compared(parts: DataFrame) -> DataFrame:
     """Spans of the strings that different segments of an anchor share."""
     def run(batches):
-        for t in whole_groups(batches, "h", rows=6000):
+        for t in whole_groups(batches, "h", rows=2500):
             bodies = t.column("body").to_pylist()
             tag, s0 = np.asarray(t.column("tag")), np.asarray(t.column("s0")).astype(np.int64)
             size = np.array([len(x) for x in bodies])
@@ -214,9 +261,8 @@ def compared(parts: DataFrame) -> DataFrame:
             if not len(use):
                 continue
             flat, at, of, place = strings(use)
-            rank = suffix_ranks(flat, LENGTH)[at]
-            repeated, earlier = previous_factor(rank, np.arange(len(at)))
-            for flag, kind in ((repeated, 0), (earlier, 1)):
+            earlier, anywhere = previous_factors(flat, LENGTH, at)
+            for flag, kind in ((anywhere >= LENGTH, 0), (earlier >= LENGTH, 1)):
                 seg, first, last = runs(flag, place, of)
                 yield pa.RecordBatch.from_arrays([pa.array(tag[seg]), pa.array(first.astype(np.int32)), pa.array((last + LENGTH).astype(np.int32)), pa.array(np.full(len(seg), kind, np.int32))], names=["tag", "start", "end", "kind"])
 
@@ -265,46 +311,18 @@ def split_hot(hot: DataFrame) -> DataFrame:
     return res
 
 
-RESULTS = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
-
-
-def cut_repeats(docs: DataFrame, keep_first: bool) -> DataFrame:
-    """(all columns of ``docs``, n_bytes, n_removed, n_spans, kept binary, kept_text: kept without cut characters) for each row.
-
-    Removes each byte of a string of LENGTH bytes that occurs anywhere else in the corpus or, with
-    ``keep_first``, that occurs earlier: in a text with a smaller doc_id, or before in its own. Of
-    equal texts the rows with the smallest id are the first. Null texts are empty, ties between
-    different texts of one id go by the texts' hashes, and empty tables give no rows."""
-    out = _cut(docs, keep_first)
-    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)], *RESULTS)
-
-
-def _cut(docs: DataFrame, keep_first: bool) -> DataFrame:
-    """As cut_repeats(), the columns of ``docs`` being d0, d1 and so on."""
-    tags, spans = repeats(docs.select("doc_id", "text"))
-    useful = spans.where("kind > 0") if keep_first else spans.where("kind <> 1")
-    lists = useful.groupBy("tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut_spans"))
-    info = tags.where("copies > 1").select("tag", "first_id", "copies").join(lists, "tag", "full_outer")
-    info = spool(info)
-    names = [f"d{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names)
-    doc_id, text = (F.col(f"d{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    j = rows.join(info, F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("tag"), "left")
-    whole = F.col("copies").isNotNull() & (~doc_id.eqNullSafe(F.col("first_id")) if keep_first else F.lit(True))
-    j = j.withColumn("cut_all", F.coalesce(whole, F.lit(False)))
-    at = docs.columns.index("text")
+def without(texts: DataFrame, spans: DataFrame, form: str) -> DataFrame:
+    """(c_tag, n_removed, n_spans, new) of the ``texts`` that have ``spans``: what is left of them as binary, as text
+    (cut characters go) or as the digest of the bytes, by ``form``."""
+    lists = spans.groupBy(F.col("tag").alias("l_tag")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut_spans"))
 
     def run(batches):
         for b in batches:
             rows = []
-            texts, spans_, alls = b.column(at).to_pylist(), b.column("cut_spans").to_pylist(), b.column("cut_all").to_pylist()
-            for text, cuts, everything in zip(texts, spans_, alls):
-                data = (text or "").encode("utf-8")
-                if everything and len(data) >= LENGTH:
-                    rows.append((len(data), len(data), 1, b""))
-                    continue
+            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                data = text.encode("utf-8")
                 kept, end, gone, n = [], 0, 0, 0
-                for x in cuts or ():
+                for x in cuts:
                     if x["end"] <= end:
                         continue
                     if x["start"] > end or n == 0:
@@ -313,23 +331,77 @@ def _cut(docs: DataFrame, keep_first: bool) -> DataFrame:
                     gone += x["end"] - max(end, x["start"])
                     end = x["end"]
                 kept.append(data[end:])
-                rows.append((len(data), gone, n, b"".join(kept)))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in cols[3]], pa.string())], names=[*names, *RESULTS])
+                new = b"".join(kept)
+                rows.append((gone, n, hashlib.sha256(new).hexdigest() if form == "digest" else new.decode("utf-8", "ignore") if form == "text" else new))
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:2]], pa.array(cols[2], pa.binary() if form == "binary" else pa.string())], names=["c_tag", "n_removed", "n_spans", "new"])
+
+    j = texts.join(lists, F.col("tag") == F.col("l_tag")).select("tag", "text", "cut_spans")
+    return by_arrow(j, run, f"c_tag long, n_removed long, n_spans long, new {'binary' if form == 'binary' else 'string'}")
+
+
+def useful(spans: DataFrame, keep_first: bool) -> DataFrame:
+    return spans.where("kind > 0") if keep_first else spans.where("kind <> 1")
+
+
+def cut_repeats(docs: DataFrame, keep_first: bool) -> DataFrame:
+    """(all columns of ``docs`` but text, n_bytes, n_removed, n_spans, kept binary) for each row.
 
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    return by_arrow(j.select(*names, "cut_spans", "cut_all"), run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    Removes each byte of a string of LENGTH bytes that occurs anywhere else in the corpus or, with
+    ``keep_first``, that occurs earlier: in a text with a smaller doc_id, or before in its own. Of
+    equal texts the rows with the smallest id are the first. Null texts are empty, ties between
+    different texts of one id go by the texts' hashes, very long texts are cut up like others,
+    columns of ``docs`` may have any names, and empty tables give no rows."""
+    out = _cut(docs, keep_first, "binary")
+    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text"], "n_bytes", "n_removed", "n_spans", F.col("new").alias("kept"))
+
+
+def _cut(docs: DataFrame, keep_first: bool, form: str) -> DataFrame:
+    """(the columns of ``docs`` but text as d0, d1 and so on, n_bytes, n_removed, n_spans, new). Rows meet the texts, laid out by
+    hash, without texts of their own; copies that go as a whole don't meet them at all."""
+    texts = different_texts(docs.select("doc_id", "text"))
+    changed = spool(without(texts, useful(repeats(texts), keep_first), form))
+    at = docs.columns.index("text")
+    rows = docs.toDF(*[f"d{i}" for i in range(len(docs.columns))])
+    text, doc_id = F.col(f"d{at}"), F.col(f"d{docs.columns.index('doc_id')}")
+    rows = rows.withColumns({"tag": tag_of(text), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "empty": text.isNull()})
+    rows = rows.withColumn(f"d{at}", F.when(F.col("n_bytes") < LENGTH, text))  # short ones have no repeats and come along
+    more = texts.where("copies > 1").select(F.col("tag").alias("m_tag"), F.col("first_id").alias("m_first"))
+    rows = spool(rows.join(more, F.col("tag") == F.col("m_tag"), "left").withColumn("again", F.col("m_tag").isNotNull() & (~doc_id.eqNullSafe(F.col("m_first")) if keep_first else F.lit(True))))
+    own, none = F.col(f"d{at}") if form == "text" else F.encode(F.coalesce(F.col(f"d{at}"), F.lit("")), "UTF-8"), F.lit("") if form == "text" else F.encode(F.lit(""), "UTF-8")
+    gone = F.col("n_bytes") >= LENGTH
+    zero = F.lit(0).cast("long")
+    still = (F.col("n_bytes") < LENGTH) | F.col("again")
+    out = [f"d{i}" for i in range(len(docs.columns)) if i != at]
+    a = rows.where(still).select(*out, "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, none).otherwise(own).alias("new"))
+    full = texts.where(F.octet_length("text") >= LENGTH).join(changed, F.col("tag") == F.col("c_tag"), "left").select(F.col("tag").alias("f_tag"), F.col("text").alias("f_text"), "n_removed", "n_spans", "new")
+    whole = F.col("f_text") if form == "text" else F.encode("f_text", "UTF-8")
+    b = rows.where(~still).join(full, F.col("tag") == F.col("f_tag"))
+    b = b.select(*out, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("new", whole).alias("new"))
+    return a.unionByName(b)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cut_repeats(common.table(spark, sf_dir, "documents", "doc_id", "text"), keep_first=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Digests of what is left of each document; rows carry their own digests, and only those of changed texts are looked up."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    texts = different_texts(docs)
+    changed = without(texts, useful(repeats(texts), False), "digest")
+    info = spool(texts.select("tag", "copies").join(changed, F.col("tag") == F.col("c_tag"), "left").where("copies > 1 or c_tag is not null").select(F.col("tag").alias("i_tag"), (F.col("copies") > 1).alias("again"), F.col("n_removed").alias("i_removed"), F.col("n_spans").alias("i_spans"), "new"))
+    free(texts)
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(t).alias("tag"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("own"))
+    j = rows.join(info, F.col("tag") == F.col("i_tag"), "left")
+    gone = F.coalesce(F.col("again"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
+    zero = F.lit(0).cast("long")
+    return j.select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("i_removed", zero)).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("i_spans", zero)).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("new", "own")).alias("kept_sha256"),
+    )
 
 
 def drop_later_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated string but its first copy cut from the texts, at whole characters;
     a text of which nothing is left stays as an empty one, and a null one stays null."""
-    out = _cut(docs, keep_first=True)
-    text = F.col(f"d{docs.columns.index('text')}")
-    new = F.when(text.isNull() | (F.col("n_removed") == 0), text).otherwise(F.col("kept_text"))
-    return out.select(*[new.alias(c) if c == "text" else F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
+    out = _cut(docs, True, "text")
+    return out.select(*[(F.col("new") if c == "text" else F.col(f"d{i}")).alias(c) for i, c in enumerate(docs.columns)])

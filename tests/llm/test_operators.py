@@ -338,6 +338,32 @@ def test_suffix(docs, monkeypatch, group, later):
     assert keyed(map(tuple, got)) == cut(ROWS, later)
 
 
+def test_longest_previous_factors():
+    rnd = random.Random(7)
+    for alphabet, n, depth in (("ab", 300, 24), ("a", 90, 16), ("abcdefgh", 500, 200), ("ab", 700, 200)):
+        text = "".join(rnd.choice(alphabet) for _ in range(n))
+        text = (text + text[: n // 2] + "zq" + text[n // 3 :]).encode()
+        starts = np.array(sorted(rnd.sample(range(len(text)), 250 if len(text) > 250 else len(text) // 2)))
+
+        def shared(a, b):
+            k = 0
+            while k < depth and a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
+                k += 1
+            return k
+
+        earlier, anywhere = suffix.previous_factors(np.frombuffer(text, np.uint8), depth, starts)
+        assert earlier.tolist() == [max((shared(x, y) for y in starts[:k]), default=0) for k, x in enumerate(starts)]
+        assert anywhere.tolist() == [max(shared(x, y) for y in starts if y != x) for x in starts]
+
+
+def test_suffix_lays_texts_out_once(spark, docs):
+    texts = suffix.different_texts(docs)
+    spans = spark.createDataFrame([(1, 0, 5, 0)], "tag long, start int, end int, kind int")
+    plan = suffix.without(texts, spans.hint("merge"), "digest")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+    common.free(texts)
+
+
 def test_suffix_ranks(empty):
     b = np.frombuffer(b"abracadabra" * 30, np.uint8)
     r = suffix.suffix_ranks(b, 24)
