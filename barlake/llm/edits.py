@@ -1,4 +1,7 @@
-"""Token counts under edits: a segment tree of token counts over each document's words."""
+"""Token counts under edits: a segment tree of token counts over each document's pre-tokens.
+
+The tree's units are the pre-tokens between white space, which no pre-token, normal form or lower case
+of the vocabulary reaches over: so a unit and its neighbours are all the context an edit needs."""
 
 from __future__ import annotations
 
@@ -17,83 +20,127 @@ from barlake.llm.common import by_arrow
 LEAF = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+\Z")
 
 
-class CountTree:
-    """Sums of characters and tokens over leaves; an edit re-encodes the leaves it touches and
-    one on each side, and updates the sums above them."""
-
-    def __init__(self, text: str, count) -> None:
-        self.count = count
-        self.leaves = LEAF.findall(text)
-        size = 1 << max(0, (len(self.leaves) - 1).bit_length()) if self.leaves else 1
-        self.leaves += [""] * (size - len(self.leaves))
-        self.size = size
-        self.sums = np.zeros((2 * size, 2), np.int64)
-        self.sums[size:, 0] = [len(x) for x in self.leaves]
-        self.sums[size:, 1] = [count(x) if x else 0 for x in self.leaves]
-        level = size
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
-            level //= 2
-        self.encoded = 0
+#: Words of a tree's leaf when it is made; one that grows beyond twice as many is split.
+LEAF_WORDS = 64
+#: Words whose numbers of tokens a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 300_000
+
+
+class Counts(dict):
+    """Numbers of tokens by word (with the white space before it), encoded when first met."""
+
+    def __init__(self, ids) -> None:
+        self.ids = ids
 
-    tokens = property(lambda self: int(self.sums[1, 1]))
-    chars = property(lambda self: int(self.sums[1, 0]))
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = len(self.ids(word)) // 4
+        if len(word) < 64:
+            self[word] = n
+        return n
 
-    def find(self, at: int) -> tuple[int, int]:
-        """(leaf, its first character's place) of the leaf that holds place ``at``; the last one for the end."""
-        node, begin = 1, 0
+
+class CountTree:
+    """A segment tree of characters and tokens. A leaf holds up to 2 * LEAF_WORDS words and the tokens of
+    each; an edit encodes the words it touches and one on each side, and updates the sums above
+    their leaves. A leaf that grows too long is split, which sums the nodes anew but encodes nothing."""
+
+    def __init__(self, text: str, counts: Counts) -> None:
+        self.counts = counts
+        words = LEAF.findall(text)
+        tokens = [counts[w] for w in words]
+        self.leaves = [(words[i : i + LEAF_WORDS], tokens[i : i + LEAF_WORDS]) for i in range(0, len(words), LEAF_WORDS)] or [([], [])]
+        self.encoded = 0
+        self.build()
+
+    def build(self) -> None:
+        self.size = size = 1 << (len(self.leaves) - 1).bit_length()
+        rest = [0] * (size - len(self.leaves))
+        self.char_sums = [0] * size + [sum(map(len, w)) for w, _ in self.leaves] + rest
+        self.token_sums = [0] * size + [sum(t) for _, t in self.leaves] + rest
+        for sums in (self.char_sums, self.token_sums):
+            for i in range(size - 1, 0, -1):
+                sums[i] = sums[2 * i] + sums[2 * i + 1]
+
+    tokens = property(lambda self: self.token_sums[1])
+    chars = property(lambda self: self.char_sums[1])
+
+    def find(self, at: int) -> tuple[int, int, int]:
+        """(leaf, word in it, the word's first place) of the word that holds place ``at``; the last one for the end."""
+        node, begin, sums = 1, 0, self.char_sums
         while node < self.size:
-            left = int(self.sums[2 * node, 0])
-            if at < begin + left or int(self.sums[2 * node + 1, 0]) == 0:
-                node = 2 * node
-            else:
-                node, begin = 2 * node + 1, begin + left
-        return node - self.size, begin
+            left = sums[2 * node]
+            node *= 2
+            if at >= begin + left and sums[node + 1]:
+                node, begin = node + 1, begin + left
+        leaf = node - self.size
+        words = self.leaves[leaf][0]
+        for k, w in enumerate(words):
+            if at < begin + len(w) or k == len(words) - 1:
+                return leaf, k, begin
+            begin += len(w)
+        return leaf, 0, begin
+
+    def update(self, leaf: int) -> None:
+        words, tokens = self.leaves[leaf]
+        node = self.size + leaf
+        self.char_sums[node], self.token_sums[node] = sum(map(len, words)), sum(tokens)
+        while node > 1:
+            node //= 2
+            for sums in (self.char_sums, self.token_sums):
+                sums[node] = sums[2 * node] + sums[2 * node + 1]
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace characters [start, stop), cut to the text, by ``new``."""
         start = max(0, min(start, self.chars))
         stop = max(start, min(stop, self.chars))
-        first, begin = self.find(start)
-        last, at = self.find(stop)
-        if first and begin:
-            first, begin = self.find(begin - 1)
-        end = at + len(self.leaves[last])
-        if end < self.chars:
-            last, at = self.find(end)
-        old = "".join(self.leaves[first : last + 1])
+        a, i, begin = self.find(start)
+        if begin:
+            a, i, begin = self.find(begin - 1)
+        z, k, at = self.find(stop)
+        if self.leaves[z][0]:
+            end = at + len(self.leaves[z][0][k])
+            if end < self.chars:
+                z, k, at = self.find(end)
+        old = []
+        for leaf in range(a, z + 1):
+            words = self.leaves[leaf][0]
+            old += words[i if leaf == a else 0 : k + 1 if leaf == z else len(words)]
+        old = "".join(old)
         text = old[: start - begin] + new + old[stop - begin :]
         self.encoded += len(text)
-        touched = [i for i in range(first, last + 1) if self.leaves[i] or i == first]
-        parts = LEAF.findall(text)
-        keep = len(touched) - 1
-        parts = parts[:keep] + ["".join(parts[keep:])]
-        for i, leaf in zip(touched, parts + [""] * (len(touched) - len(parts))):
-            self.leaves[i] = leaf
-            self.sums[self.size + i] = (len(leaf), self.count(leaf) if leaf else 0)
-        nodes = {(self.size + i) // 2 for i in touched}
-        while nodes and nodes != {0}:
-            for n in nodes:
-                self.sums[n] = self.sums[2 * n] + self.sums[2 * n + 1]
-            nodes = {n // 2 for n in nodes}
+        words = LEAF.findall(text)
+        tokens = [self.counts[w] for w in words]
+        tail = [x[k + 1 :] for x in self.leaves[z]]
+        for leaf in range(a + 1, z + 1):
+            self.leaves[leaf] = ([], []) if leaf < z else (tail[0], tail[1])
+        head = self.leaves[a]
+        self.leaves[a] = (head[0][:i] + words, head[1][:i] + tokens) if z > a else (head[0][:i] + words + tail[0], head[1][:i] + tokens + tail[1])
+        if len(self.leaves[a][0]) > 2 * LEAF_WORDS:
+            w, t = self.leaves[a]
+            self.leaves[a : a + 1] = [(w[j : j + LEAF_WORDS], t[j : j + LEAF_WORDS]) for j in range(0, len(w), LEAF_WORDS)]
+            self.leaves = [x for x in self.leaves if x[0]]
+            self.build()
+        else:
+            for leaf in range(a, z + 1):
+                self.update(leaf)
 
 
 def edited_counts(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, n_tokens_after, n_chars_after, n_chars_encoded) of rows (doc_id, text,
     edits array<struct<start, stop, text>>), the edits applied in order, each to the result of the
     last. Null texts and null edits are empty; places beyond the text are cut to it; null places
-    are 0. Rows are apart from each other, so repeated ones give repeated rows; no shuffle."""
+    are 0. Rows are apart from each other, so repeated ones and ties of ids give repeated rows; very
+    long texts are trees like others, columns of other names aren't looked at, and an empty table gives
+    no rows. No shuffle. n_chars_encoded: what the edits made anew, besides the text itself."""
 
     def run(batches):
-        e = bpe.encoder(path, "library")
-
-        def count(s: str) -> int:
-            return len(e.ids(s)) // 4
-
+        counts = Counts(bpe.encoder(path, "library").ids)
         for b in batches:
             out = []
             for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                tree = CountTree(text or "", count)
+                tree = CountTree(text or "", counts)
                 before = tree.tokens
                 for x in edits or ():
                     if x is not None:
