@@ -24,7 +24,9 @@ PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 NOT_SPACE, SPACE = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 #: A token that may be an identifier: of four digits or more, or with an at sign.
 TOKEN = rf"(?<!{NOT_SPACE})(?:[^\x20\x09-\x0D0-9@]*+[0-9]){{4}}{NOT_SPACE}*+|(?<!{NOT_SPACE})[^\x20\x09-\x0D@]*+@{NOT_SPACE}*+"
-CONFIDENCE, LEAST_INSTANCES, ROUNDS = 0.9, 5, 3
+CONFIDENCE, LEAST_INSTANCES = 0.9, 5
+#: Rounds end when no pattern's score moves by more than SETTLED (they can only rise), ROUNDS at most.
+SETTLED, ROUNDS = 0.001, 20
 
 
 def running_max(a: Column) -> Column:
@@ -78,7 +80,9 @@ def found(docs: DataFrame) -> DataFrame:
     and whether it holds a base entity."""
     df = matches(base_spans(docs), "pii_tokens", TOKEN, "[0-9][^ ]*[0-9][^ ]*[0-9][^ ]*[0-9]|@")
     spans = F.concat(*[F.col(k) for k in KINDS])
-    before = lambda x: F.nullif(F.regexp_replace(F.lower(F.regexp_extract(F.right(x["before"], F.lit(120)), rf"({NOT_SPACE}+){SPACE}+$", 1)), "[0-9]", "0"), F.lit(""))
+    # read backwards, so that the match starts at the text's beginning, however long the text before is
+    last = lambda x: F.reverse(F.regexp_extract(F.reverse(x["before"]), rf"^{SPACE}+({NOT_SPACE}+)", 1))
+    before = lambda x: F.nullif(F.regexp_replace(F.lower(last(x)), "[0-9]", "0"), F.lit(""))
     df = df.withColumn("pii_spans", spans)
     tokens = F.transform("pii_tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), before(x).alias("pattern"), F.exists("pii_spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])).alias("seed")))
     short = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS]
@@ -97,14 +101,19 @@ def patterns(docs: DataFrame, marks: DataFrame) -> DataFrame:
     graph = spool(edges.join(total, "pattern"))
     belief = spool(graph.groupBy("instance").agg(F.max("seed").cast("double").alias("belief")))
     free(edges, known, total)
+    last = None
     for turn in range(ROUNDS):
         score = spool(graph.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"), F.count_if(F.col("belief") > 0.5).alias("instances")))
-        if turn == ROUNDS - 1:
-            break
+        moved = last is None or score.join(last, "pattern").where(F.col("score") - F.col("was") > SETTLED).take(1)
+        if last is not None:
+            free(before)
+        before, last = score, score.select("pattern", F.col("score").alias("was"))
         free(belief)
+        if not moved or turn == ROUNDS - 1:
+            break
         doubt = F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999))))
         belief = spool(graph.join(score, "pattern").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(doubt)).alias("belief")))
-        free(score)
+    free(graph)
     return spool(score.where((F.col("score") >= CONFIDENCE) & (F.col("instances") >= LEAST_INSTANCES)))
 
 
