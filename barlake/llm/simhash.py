@@ -15,6 +15,11 @@ from barlake.llm.common import by_arrow, components, forest, free, spool, whole_
 
 #: Fingerprints compared at once in a task; a bucket above it is cut into tiles.
 TILE = 1024
+#: Texts compared at once in a task when their min-hash keys agree.
+WIDE_TILE = 4096
+#: Min-hash keys of a text, and values in each: texts of similarity 0.8 share none with a probability
+#: of (1 - 0.8 ** ROWS) ** BANDS, 0.2 %.
+BANDS, ROWS = 20, 6
 #: Distinct fingerprints up to which one agreeing block of four keys the buckets.
 FOUR_BLOCKS = 1 << 23
 
@@ -49,6 +54,50 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> tuple[int
     return len(shingles), out
 
 
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = np.random.default_rng(12).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def set_sketch(h: np.ndarray, words: int) -> tuple[list[int], np.ndarray]:
+    """(``words`` words of a fingerprint, BANDS keys) of the hash values of a set: word w has the bits that over
+    half of the values mixed with w have; a key is made of ROWS least values under as many orders."""
+    ones, least = np.zeros((words, 64), np.int64), np.full(len(_ODD), np.uint64(2**64 - 1))
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        for w in range(words):
+            ones[w] += np.unpackbits((mixed(part, w) if w else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        least = np.minimum(least, ((part[:, None] ^ _FLIP) * _ODD).min(0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        key = mixed(key ^ value, 1)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.int64).ravel().tolist(), key.view(np.int64)
+
+
+def set_sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, size, w0 …, node, keys, text_hash) of rows (doc_id, text, text_hash): node is a hash of the set of
+    shingles, keys are its min-hash keys (none without words)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            got = [set_sketch(h, words) if len(h) else ([0] * words, np.zeros(0, np.int64)) for h in sets]
+            ends = np.cumsum([0, *[len(k) for _, k in got]]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([k for _, k in got] or [np.zeros(0, np.int64)])))
+            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            cols = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), *[pa.array([x[w] for x, _ in got], pa.int64()) for w in range(words)], pa.array(node), keys, b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "size", *[f"w{w}" for w in range(words)], "node", "keys", "text_hash"])
+
+    kind = docs.schema[0].dataType.simpleString()
+    return by_arrow(docs, run, f"doc_id {kind}, size long, " + "".join(f"w{w} long, " for w in range(words)) + "node long, keys array<bigint>, text_hash long")
+
+
 def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     """(doc_id, size, w0 …, text_hash) of each row; the last only if ``docs`` has it after id and text."""
 
@@ -228,27 +277,32 @@ def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, i
 
     With one word and a radius of 3, tiles share a block of the fingerprint. With more words, texts
     whose counts of different shingles differ by over 1.5 to 2.25 times aren't compared: tiles are cut by bands of
-    that count. With a ``similarity`` (over 2/3), pairs within the radius are candidates, linked if the
-    Jaccard index of their shingle sets reaches it. A null or empty
+    that count. With a ``similarity`` of 0.8 or more, tiles share a min-hash key, pairs within the radius are candidates,
+    and they are linked if the Jaccard index of their shingle sets reaches it. A null or empty
     text has the fingerprint zero, linked like any other; a row whose id is null has the component
-    of the other rows of its group. Copies meet as one fingerprint first, so repeated rows and ties
-    cost nothing; component_id is the smallest id of the group. An empty table gives no rows.
+    of the other rows of its group. Copies meet as one fingerprint (or set) first, so repeated rows and ties
+    cost nothing; component_id is the smallest id of the group. Very long texts are taken whole, other columns
+    aren't looked at, and an empty table gives no rows.
     """
     names = [f"w{w}" for w in range(words)]
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if similarity is not None:
         docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    prints = spool(fingerprints(docs, shingle, words))
-    node = F.col("w0") if words == 1 else F.xxhash64(*names)
-    prints = prints.withColumn("node", node)
-    reps = spool(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), *[F.min(c).alias(c) for c in names + docs.columns[2:]]))
-    n = reps.count()
-    if words == 1:
-        rows, tile = by_blocks(reps, n), TILE
-        sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > tile))
-        dealt = in_tiles(rows, sizes, tile)
+        prints = spool(set_sketches(docs, shingle, words))
+    else:
+        prints = spool(fingerprints(docs, shingle, words)).withColumn("node", F.col("w0") if words == 1 else F.xxhash64(*names))
+    more = ["text_hash", "keys"] if similarity is not None else []
+    reps = spool(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), *[F.min(c).alias(c) for c in names + more]))
+    if similarity is not None:
+        rows = reps.select(F.explode("keys").alias("k"), "node", *names)
+        sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_TILE))
+        dealt = in_tiles(rows, sizes, WIDE_TILE)
+    elif words == 1:
+        rows = by_blocks(reps, reps.count())
+        sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+        dealt = in_tiles(rows, sizes, TILE)
     else:
-        tile = min(max(n // 24, 2 * TILE), 1 << 16)
+        tile = min(max(reps.count() // 24, 2 * TILE), 1 << 16)
         # the band of the size and the next one: a pair of neighbouring bands meets in the lower one's group
         band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(1.5))).cast("long")
         rows = reps.select(band.alias("k"), "node", *names)

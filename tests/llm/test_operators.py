@@ -111,6 +111,7 @@ def test_near_dedup_tiles(spark, monkeypatch):
         w[rnd.randrange(300)] = f"new{i}"
         rows.append((i, " ".join(w), "en", "a", 0))
     monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "WIDE_TILE", 4)
     assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()] == [0]
 
 
@@ -131,6 +132,7 @@ def test_simhash_words_find_every_pair(spark, docs, monkeypatch, n):
 @pytest.mark.parametrize("tile", [1024, 3])
 def test_near_dedup_by_shingle_sets(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "WIDE_TILE", tile)
     rnd, rows = random.Random(3), []
     for i in range(40):  # around a text of 400 words, copies with some of its last words changed
         base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
@@ -395,6 +397,47 @@ def test_edits(spark, docs, empty):
     assert edits.edited_counts(edits.with_edits(docs, e)).count() == len(ROWS)
 
 
+def test_edits_encode_only_what_they_touch(spark, empty):
+    counts = edits.Counts(bpe.encoder().ids)
+    tree, text, rnd = edits.CountTree("start", counts), "start", random.Random(3)
+    for i in range(1000):
+        at = rnd.randint(0, len(text))
+        new = rnd.choice([f" w{i} ", f"x{i} y", " "])
+        tree.edit(at, at, new)
+        text = text[:at] + new + text[at:]
+    assert (tree.tokens, tree.chars) == (len(counts.ids(text)) // 4, len(text))
+    assert tree.encoded < 60 * 1000 and max(len(w) for w, _ in tree.leaves) <= 2 * edits.LEAF_WORDS
+    text, new = "some words here " * 20000, "a much longer piece " * 500
+    long = edits.CountTree(text, counts)
+    long.edit(160000, 160010, new)
+    text = text[:160000] + new + text[160010:]
+    assert long.encoded < 10100 and (long.tokens, long.chars) == (len(counts.ids(text)) // 4, len(text))
+    none = empty.withColumn("edits", F.array().cast("array<struct<start:int,stop:int,text:string>>"))
+    assert edits.edited_counts(none).count() == 0
+
+
+def test_pii_far_labels(spark):
+    rows = [(i, f"words badge:{' ' * (i % 3 * 90 + 1)}user{i}@mail.example.com and after") for i in range(40)] + [(100, "words badge:" + " " * 300 + "123456-77 and after"), (101, "w " * 300 + "badge: 123456-78")]
+    d = {r.doc_id: [(s.start, s.end) for s in r.other] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert d[100] == [(312, 321)] and d[101] == [(607, 616)]
+
+
+def test_near_dedup_finds_near_copies(spark):
+    rnd, rows, pairs = random.Random(31), [], []
+    for i in range(150):  # pairs of a text and a copy with a few words changed in places apart
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(30, 400))]
+        new = list(base)
+        for _ in range(rnd.randint(0, max(1, len(base) // 55))):
+            new[rnd.randrange(len(base))] = f"x{rnd.randrange(10**6)}"
+        a, b = (set(simhash.shingles_of(" ".join(t), 5)) for t in (base, new))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(base), "en", "a", 0), (2 * i + 1, " ".join(new), "en", "a", 0)]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(pairs) > 80 and sum(b not in kept for _, b in pairs) >= 0.98 * len(pairs)
+    assert len(kept) >= len(rows) - len(pairs)
+
+
 def test_clashing_columns(spark, docs):
     odd = docs.withColumns({c: F.lit("z") for c in ("tag", "node", "k", "g", "w0", "size", "copies", "first_id", "h_id", "r_id", "t_lang", "spans")})
     assert simhash.near_dedup(odd).columns == odd.columns
