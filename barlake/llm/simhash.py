@@ -213,7 +213,8 @@ def checked(edges: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, wo
     names = [f"w{w}" for w in range(words)]
     comp = components(edges)
     linked = spool(comp.join(reps, "node").select("node", F.col("root").alias("k"), "text_hash", *names))
-    texts = docs.join(linked.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    # by the hash at every size: this many texts go to tasks that hold a part of the links
+    texts = docs.join(linked.select("text_hash").distinct().hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def cut(batches):
         for b in batches:
