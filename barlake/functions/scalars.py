@@ -62,12 +62,16 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def range_epsilon(high: Column, low: Column) -> Column:
-    return F.greatest(F.lit(1e-9) * F.greatest(F.abs(high), F.abs(low)), F.lit(1e-6) * (high - low))
+    return F.greatest(F.lit(1e-9) * F.greatest(F.abs(high), F.abs(low)), F.lit(1e-6) * F.greatest(high - low, F.lit(0.0)))
 
 
 #: How far two versions of a field may lie apart.
-TOLERANCE = {"vwap": 0.01, "trade_count": 0.0, "buy_volume": 0.001, "sell_volume": 0.001, "avg_spread": 0.01, "spread_std_dev": 0.01, "depth_imbalance": 0.001, "depth_ratio": 0.001}
-RELATIVE = {"open_interest": 0.001, "open_interest_change": 0.001}
+TOLERANCE = {
+    "vwap": 0.01, "trade_count": 5.0, "buy_volume": 0.05, "sell_volume": 0.05, "avg_spread": 0.01, "spread_std_dev": 0.05, "depth_imbalance": 0.05, "depth_ratio": 0.05,
+    "funding_rate": 0.0001, "funding_rate_change": 0.0001, "liq_long_vol": 0.001, "liq_short_vol": 0.001, "liq_covered": 0.0,
+}
+#: The same as shares of the larger one, which counts as 1 at least.
+RELATIVE = {"open_interest": 0.003, "open_interest_change": 0.003}
 
 
 def within_tolerance(field: str, a: Column, b: Column) -> Column:
@@ -75,7 +79,7 @@ def within_tolerance(field: str, a: Column, b: Column) -> Column:
     if field in RELATIVE:
         near = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= RELATIVE[field]
     else:
-        near = F.abs(a - b) <= TOLERANCE.get(field, 0.0001)
+        near = F.abs(a - b) <= TOLERANCE[field]
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(near)
 
 

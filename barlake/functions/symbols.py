@@ -6,31 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _parts(symbol: Column) -> tuple[Column, Column, Column]:
-    s = F.upper(F.trim(symbol))
-    pair = F.split(s, ":")
-    legs = F.split(F.get(pair, F.lit(0)), "/")
-    return F.get(legs, F.lit(0)), F.coalesce(F.get(legs, F.lit(1)), F.lit("")), F.coalesce(F.get(pair, F.lit(1)), F.lit(""))
-
-
 def canonical_to_exchange(symbol: Column, exchange: Column) -> Column:
-    """The exchange's name of a canonical symbol; one without a quote stays as it is, in upper case."""
-    base, quote, _ = _parts(symbol)
-    joined = F.when(quote == "", base).otherwise(F.when(exchange.startswith("hyperliquid"), base).otherwise(F.concat(base, quote)))
-    return joined
-
-
-def _suffix(s: Column, suffixes: tuple[str, ...], last: Column) -> Column:
+    """The exchange's name of a canonical symbol; spot markets keep the slash, and so do those of unknown exchanges but
+    for perpetuals. Without a slash there is no quote, without a colon either no base."""
+    s = F.upper(symbol)
+    slash, colon = s.contains("/"), s.contains(":")
+    legs, ends = F.split(s, "/"), F.split(s, ":")
+    tail = F.split(F.get(legs, F.lit(1)), ":")
+    base = F.when(slash, F.get(legs, F.lit(0))).when(colon, F.get(ends, F.lit(0))).otherwise("")
+    quote = F.when(slash, F.get(tail, F.lit(0))).otherwise("")
+    kind = F.when(slash, F.get(tail, F.lit(1))).when(colon, F.get(ends, F.lit(1)))
+    joined, apart = F.concat(base, quote), F.concat(base, F.lit("/"), quote)
+    return (
+        F.when(exchange.isin("binance_futures", "bybit_perpetual", "dydx"), joined).when(exchange == "hyperliquid", base)
+        .when(exchange == "binance", F.when(kind == "SPOT", apart).otherwise(joined)).otherwise(F.when(kind == "PERP", joined).otherwise(apart))
+    )
+
+
+def _suffix(s: Column, suffixes: tuple[str, ...], last: Column, kind: str = "PERP") -> Column:
     out = last
     for x in reversed(suffixes):
-        out = F.when(s.endswith(x) & (F.length(s) > len(x)), F.concat(F.substring(s, F.lit(1), F.length(s) - len(x)), F.lit(f"/{x}:PERP"))).otherwise(out)
+        out = F.when(s.endswith(x), F.concat(F.substring(s, F.lit(1), F.length(s) - len(x)), F.lit(f"/{x}:{kind}"))).otherwise(out)
     return out
 
 
 def exchange_to_canonical(exchange: Column, symbol: Column) -> Column:
-    s = F.upper(F.trim(symbol))
-    hyper = F.concat(s, F.lit("/USDC:PERP"))
-    return F.when(exchange.startswith("hyperliquid"), hyper).otherwise(_suffix(s, ("USDT", "USDC", "USD"), F.concat(s, F.lit(":PERP"))))
+    """The canonical symbol of an exchange's own; one of unknown form is a perpetual of its own name."""
+    plain = F.concat(symbol, F.lit(":PERP"))
+    spot = F.when(symbol.contains("/"), F.concat(symbol, F.lit(":SPOT"))).otherwise(_suffix(symbol, ("USDT",), plain, "SPOT"))
+    return (
+        F.when(exchange.isin("binance_futures", "bybit", "bybit_perpetual"), _suffix(symbol, ("USDT", "USDC"), plain)).when(exchange == "binance", spot)
+        .when(exchange == "hyperliquid", F.concat(symbol, F.lit("/USDC:PERP"))).when(exchange == "dydx", F.concat(symbol, F.lit("/USDT:PERP"))).otherwise(plain)
+    )
 
 
 def map_exchange_name(exchange: Column) -> Column:
@@ -49,12 +56,11 @@ def normalize_canonical(symbol: Column) -> Column:
 def feed_binance(symbol: Column) -> Column:
     """USD is tried before BUSD, so that BTCBUSD gives BTCB/USD."""
     s = F.upper(symbol)
-    return _suffix(s, ("USDT", "USDC", "USD", "BUSD"), s)
+    return _suffix(s, ("USDT", "USD", "BUSD"), F.concat(s, F.lit(":PERP")))
 
 
 def feed_bybit(symbol: Column) -> Column:
-    s = F.upper(symbol)
-    return _suffix(s, ("USDT", "USDC", "USD"), s)
+    return _suffix(symbol, ("USDT", "USDC", "USD"), F.concat(symbol, F.lit(":PERP")))
 
 
 def feed_hyperliquid(symbol: Column) -> Column:

@@ -15,25 +15,31 @@ def _c(name: str) -> Column:
 
 
 def checks() -> dict[str, Column]:
-    """Violations by name."""
+    """Violations by name. Comparisons with a null are none."""
     eps = X.range_epsilon(_c("trade_high"), _c("trade_low"))
-    foot = _c("trade_open").isNotNull()
+    foot, traded = _c("trade_open").isNotNull(), _c("trade_count") > 0
     sides = _c("buy_volume") + _c("sell_volume")
-    outside = lambda c: (_c(c) > _c("trade_high") + eps) | (_c(c) < _c("trade_low") - eps)
+    outside = lambda c: (_c(c) < _c("trade_low") - eps) | (_c(c) > _c("trade_high") + eps)
+    some = lambda c: F.coalesce(outside(c), F.lit(False))
+    slack = F.lit(1e-12) * F.greatest(sides, F.lit(1e-6))
+    over = lambda band, side: F.coalesce(_c(band) > _c(side) + slack, F.lit(False))
+    bands = ("hi_band_buy_vol", "hi_band_sell_vol", "lo_band_buy_vol", "lo_band_sell_vol")
+    paid = lambda side: F.coalesce(_c(f"{side}_vwap") * _c(f"{side}_volume"), F.lit(0.0))
+    ordered = (_c("trade_low") - eps <= _c("trade_open")) & (_c("trade_open") <= _c("trade_high") + eps) & (_c("trade_low") <= _c("trade_close")) & (_c("trade_close") <= _c("trade_high"))
     return {
-        "ohlc_order": foot & ((_c("trade_high") < F.greatest("trade_open", "trade_close")) | (_c("trade_low") > F.least("trade_open", "trade_close"))),
-        "vwap_in_range": foot & outside("vwap"),
-        "buy_vwap_in_range": foot & outside("buy_vwap"),
-        "sell_vwap_in_range": foot & outside("sell_vwap"),
-        "poc_in_range": foot & outside("poc_price"),
-        "poc_share_bounds": foot & ((_c("poc_volume_share") <= 0) | (_c("poc_volume_share") > 1 + 1e-9)),
-        "std_not_negative": foot & (_c("trade_price_std") < 0),
-        "bands_within_volume": foot & ((_c("hi_band_buy_vol") + _c("hi_band_sell_vol") > sides * (1 + 1e-9)) | (_c("lo_band_buy_vol") + _c("lo_band_sell_vol") > sides * (1 + 1e-9))),
-        "footprint_without_trades": foot & (_c("trade_count") == 0),
-        "trades_without_footprint": ~foot & (_c("trade_count") > 0),
-        "negative_volume": (_c("buy_volume") < 0) | (_c("sell_volume") < 0),
-        "side_vwap_without_volume": (_c("buy_vwap").isNotNull() & (_c("buy_volume") <= 0)) | (_c("sell_vwap").isNotNull() & (_c("sell_volume") <= 0)),
-        "not_on_minute": _c("timestamp") % 60_000 != 0,
+        "01_footprint_missing_on_traded_bar": traded & ~foot,
+        "02_footprint_on_tradeless_bar": (_c("trade_count") == 0) & foot,
+        "03_traded_bar_without_volume": traded & (sides == 0),
+        "04_buy_vwap_or_poc_missing": _c("buy_vwap").isNull() != _c("buy_poc_price").isNull(),
+        "05_sell_vwap_or_poc_missing": _c("sell_vwap").isNull() != _c("sell_poc_price").isNull(),
+        "06_band_missing": foot & F.greatest(*[_c(b).isNull().cast("int") for b in bands]).cast("boolean"),
+        "07_ohlc_order": foot & ~ordered,
+        "08_poc_outside_range": foot & outside("poc_price"),
+        "09_poc_share_outside_bounds": (_c("poc_volume_share") <= 0) | (_c("poc_volume_share") > 1 + 1e-9),
+        "10_side_vwap_outside_range": foot & (some("buy_vwap") | some("sell_vwap")),
+        "11_side_poc_outside_range": foot & (some("buy_poc_price") | some("sell_poc_price")),
+        "12_band_above_its_side": foot & (over("hi_band_buy_vol", "buy_volume") | over("hi_band_sell_vol", "sell_volume") | over("lo_band_buy_vol", "buy_volume") | over("lo_band_sell_vol", "sell_volume")),
+        "13_vwap_not_the_sides_mean": (sides > 0) & (F.coalesce("vwap", F.lit(0.0)) != 0) & (F.try_divide(F.abs(_c("vwap") - F.try_divide(paid("buy") + paid("sell"), sides)), F.abs("vwap")) > 1e-9),
     }
 
 
@@ -62,27 +68,40 @@ def bar_outliers(bars: DataFrame) -> DataFrame:
 
 
 def footprint_coverage(bars: DataFrame) -> DataFrame:
-    return bars.agg(F.count("*").alias("bars"), F.count_distinct("symbol").alias("symbols"), F.count_if(_c("trade_count") > 0).alias("traded"), F.count_if(_c("trade_open").isNotNull()).alias("with_footprint"), F.count_if(_c("trade_count") == 0).alias("tradeless"))
+    traded = _c("trade_count") > 0
+    return bars.agg(
+        F.count("*").alias("bars"), F.count_distinct("symbol").alias("symbols"), F.min("timestamp").alias("first_close"), F.max("timestamp").alias("last_close"),
+        F.count_if(traded).alias("traded_bars"), F.count_if(traded & _c("trade_open").isNotNull()).alias("with_footprint"), F.count_if(_c("trade_count") == 0).alias("trade_less"),
+    )
 
 
-def null_patterns(bars: DataFrame, columns: list[str]) -> DataFrame:
-    bits = F.concat(*[F.when(_c(c).isNotNull(), "1").otherwise("0") for c in columns])
+#: Fixed: the columns whose presence a pattern tells, in its order.
+PATTERN = ["trade_open", "trade_high", "trade_low", "trade_close", "buy_vwap", "sell_vwap", "poc_price", "buy_poc_price", "sell_poc_price", "trade_price_std", "hi_band_buy_vol"]
+
+
+def null_patterns(bars: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(pattern, n): which of the columns are known, as ones and zeros, and in how many bars."""
+    bits = F.concat(*[F.when(_c(c).isNotNull(), "1").otherwise("0") for c in columns or PATTERN])
     return bars.groupBy(bits.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern")
 
 
 def hourly_coverage(bars: DataFrame) -> DataFrame:
-    return bars.groupBy((F.floor((_c("timestamp") - 60_000) / HOUR) * HOUR).alias("hour")).agg(F.count_distinct("symbol").alias("symbols"), F.count("*").alias("bars"))
+    """(hour, symbols, bars) by the hour that a close lies in."""
+    return bars.groupBy((F.floor(_c("timestamp") / HOUR) * HOUR).alias("hour")).agg(F.count_distinct("symbol").alias("symbols"), F.count("*").alias("bars"))
 
 
-def hourly_floor(bars: DataFrame, share: float = 0.9) -> DataFrame:
-    """(hours, min_symbols, min_bars, below): hours with fewer symbols than ``share`` of the most of any hour."""
+def hourly_floor(bars: DataFrame) -> DataFrame:
+    """(hours, min_symbols, min_bars, below, universe_floor): below counts hours with fewer symbols than the most of any
+    hour, the universe's floor."""
     h = hourly_coverage(bars)
     top = h.agg(F.max("symbols").alias("top"))
-    return h.join(F.broadcast(top)).agg(F.count("*").alias("hours"), F.min("symbols").alias("min_symbols"), F.min("bars").alias("min_bars"), F.count_if(_c("symbols") < share * _c("top")).alias("below"))
+    return h.join(F.broadcast(top)).agg(F.count("*").alias("hours"), F.min("symbols").alias("min_symbols"), F.min("bars").alias("min_bars"), F.count_if(_c("symbols") < _c("top")).alias("below"), F.max("top").alias("universe_floor"))
 
 
-def column_health(bars: DataFrame, columns: list[str]) -> DataFrame:
-    return bars.agg(*[F.round(F.avg(_c(c).isNotNull().cast("int")), 4).alias(f"{c}_rate") for c in columns])
+def column_health(bars: DataFrame) -> DataFrame:
+    """(funding_nonnull, oi_nonnull, liq_covered_rate): shares of the bars, to four places."""
+    known = lambda c: F.round(F.avg(_c(c).isNotNull().cast("int")), 4)
+    return bars.agg(known("funding_rate").alias("funding_nonnull"), known("open_interest").alias("oi_nonnull"), F.round(F.avg("liq_covered"), 4).alias("liq_covered_rate"))
 
 
 def distinct_symbols(bars: DataFrame, exchange: str) -> DataFrame:

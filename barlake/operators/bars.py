@@ -68,13 +68,13 @@ def resample_ohlcv(bars: DataFrame, ms: int) -> DataFrame:
 
 
 def resample_orderbook(bars: DataFrame, n: int, aligned: bool = False) -> DataFrame:
-    """Chunks of ``n`` bars by position, or with ``aligned`` by time, which a gap doesn't shift."""
+    """Chunks of ``n`` bars by position, or with ``aligned`` by time, which a gap doesn't shift. Changes are those from
+    the chunk's first row to its last, 0 where either is null."""
     w = Window.partitionBy("exchange", "symbol").orderBy("timestamp")
     chunk = F.floor((F.col("timestamp") - X.MINUTE) / (n * X.MINUTE)) if aligned else F.floor((F.row_number().over(w) - 1) / n)
     vol = F.col("buy_volume") + F.col("sell_volume")
     last = lambda c: F.max_by(c, "timestamp")
-    known = lambda c, f: f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("timestamp")))
-    change = lambda c: F.coalesce(known(c, F.max_by) - known(c, F.min_by), F.lit(0.0))
+    change = lambda c: F.coalesce(F.max_by(c, "timestamp") - F.min_by(c, "timestamp"), F.lit(0.0))
     g = bars.withColumn("chunk", chunk).groupBy("exchange", "symbol", "chunk").agg(
         F.max("timestamp").alias("timestamp"), F.sum(F.col("vwap") * vol).alias("pv"), F.sum(vol).alias("v"), last("vwap").alias("last_vwap"), F.sum("trade_count").alias("trade_count"), F.sum("buy_volume").alias("buy_volume"), F.sum("sell_volume").alias("sell_volume"),
         F.avg("avg_spread").alias("avg_spread"), last("spread_std_dev").alias("spread_std_dev"), F.avg("depth_imbalance").alias("depth_imbalance"), F.avg("depth_ratio").alias("depth_ratio"), last("open_interest").alias("open_interest"), change("open_interest").alias("open_interest_change"),

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions import symbols as S
 from barlake.functions import timeframe
 from barlake.functions.scalars import MINUTE
 from barlake.operators import bars as B
@@ -22,14 +23,24 @@ def normalize_time_range(start: int | None, end: int | None, now: int | None = N
 
 
 def get_history(stored: DataFrame, exchange: str, symbol: str, tf: str, start: int | None, end: int | None, raw: DataFrame | None = None, now: int | None = None) -> DataFrame:
-    """Bars of ``tf`` in the range from stored minute bars; ``raw`` ones fill in what isn't stored. Timeframes of a
-    day and more always come from minutes too."""
+    """Bars of ``tf`` in the range from stored minute bars of the canonical form of ``symbol``; a start after the end fails.
+
+    Where the stored bars of a timeframe between a minute and a day are complete (data_complete), they alone are
+    taken; else ``raw`` ones fill in what isn't stored, as they do for minutes and for a day and more, which always
+    come from minutes."""
     lo, hi = normalize_time_range(start, end, now)
-    mine = (F.col("exchange") == exchange) & (F.col("symbol") == symbol) & (F.col("timestamp") >= lo) & (F.col("timestamp") < hi)
+    if lo > hi:
+        raise ValueError("start must be before end")
+    ms = timeframe.parse_or_minute(tf).ms
+    mine = (F.col("exchange") == exchange) & (F.col("symbol") == S.normalize_canonical(F.lit(symbol))) & (F.col("timestamp") >= lo) & (F.col("timestamp") < hi)
     base = stored.where(mine)
     if raw is not None:
-        base = joins.append_missing(raw.where(mine), base)
-    return B.resample_ohlcv(base, timeframe.parse_or_minute(tf).ms)
+        more = raw.where(mine)
+        if MINUTE < ms < DAY:
+            done = gaps.data_complete(B.resample_ohlcv(base, ms), lo, hi, ms).where("complete")
+            more = more.join(done, ["exchange", "symbol"], "left_anti")
+        base = joins.append_missing(more, base)
+    return B.resample_ohlcv(base, ms)
 
 
 def history_1m(stored: DataFrame, exchange: str, symbol: str, start: int | None, end: int | None, raw: DataFrame | None = None) -> DataFrame:

@@ -45,14 +45,15 @@ def remaining_hours(hours: DataFrame, bars: DataFrame) -> DataFrame:
 
 def compare_bars(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
     """(key, field, a, b, diff, within) per field, and status of the bar: exact, near (a field outside its
-    tolerance), diff (all within), missing_db, extra_db; within_all says what near and diff don't."""
+    tolerance), diff (all within), missing_db, extra_db; within_all says what near and diff don't. A null that the
+    other side has counts as 0 in diff, and as a difference."""
     x = a.select(*KEY, F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("a_"))
     y = b.select(*KEY, F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("b_"))
     j = x.join(y, KEY, "full_outer")
     ok = reduce(lambda p, q: p & q, [X.within_tolerance(f, F.col(f"a_.{f}"), F.col(f"b_.{f}")) for f in fields])
     same = reduce(lambda p, q: p & q, [F.col(f"a_.{f}").eqNullSafe(F.col(f"b_.{f}")) for f in fields])
     status = F.when(F.col("b_").isNull(), "missing_db").when(F.col("a_").isNull(), "extra_db").when(same, "exact").when(~ok, "near").otherwise("diff")
-    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_.{f}").alias("a"), F.col(f"b_.{f}").alias("b"), F.abs(F.col(f"a_.{f}") - F.col(f"b_.{f}")).alias("diff"), X.within_tolerance(f, F.col(f"a_.{f}"), F.col(f"b_.{f}")).alias("within")) for f in fields]))
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_.{f}").alias("a"), F.col(f"b_.{f}").alias("b"), F.when(F.col("a_").isNotNull() & F.col("b_").isNotNull(), F.abs(F.coalesce(F.col(f"a_.{f}"), F.lit(0.0)) - F.coalesce(F.col(f"b_.{f}"), F.lit(0.0)))).alias("diff"), X.within_tolerance(f, F.col(f"a_.{f}"), F.col(f"b_.{f}")).alias("within")) for f in fields]))
     both = F.col("a_").isNotNull() & F.col("b_").isNotNull()
     return j.select(*KEY, status.alias("status"), (both & ok).alias("within_all"), long.alias("f")).select(*KEY, "status", "within_all", "f.*")
 
@@ -84,15 +85,19 @@ def update_liq(bars: DataFrame, grid: DataFrame) -> DataFrame:
     return j.select(*[F.when(F.col("hit_") == 1, F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in bars.columns])
 
 
-def symbol_universe(coins: DataFrame, instruments: DataFrame, vendor: DataFrame, stables: list[str], n: int = 500) -> DataFrame:
-    """(symbol, base, rank): ranked coins with a trading USDT perpetual, under their own name or 1000 of it (up to six
-    letters), that the vendor has; stables and names beyond ASCII are left out."""
-    c = coins.where(~F.upper("base").isin(stables) & F.col("base").rlike("^[A-Za-z0-9]+$") & (F.col("rank") <= n)).select(F.upper("base").alias("base"), "rank")
+def symbol_universe(coins: DataFrame, instruments: DataFrame, vendor: DataFrame | None, stables: list[str]) -> DataFrame:
+    """(symbol, base, rank) in the order of rank, those without one last: coins (base, rank) with a trading USDT
+    perpetual under their own name or, up to six letters, 1000 of it, that the vendor has (if asked);
+    ``stables`` (in lower case) and names beyond ASCII are left out."""
+    low = F.lower("base")
+    c = coins.where(~low.isin(stables) & F.col("base").rlike(r"^[\x00-\x7F]*$")).select(F.upper("base").alias("base"), "rank")
     names = F.array_compact(F.array(F.concat("base", F.lit("USDT")), F.when(F.length("base") <= 6, F.concat(F.lit("1000"), "base", F.lit("USDT")))))
-    c = c.select("base", "rank", F.posexplode(names).alias("i", "symbol"))
-    live = instruments.where("status = 'TRADING' and contract_type = 'PERPETUAL' and quote = 'USDT'").select("symbol").distinct()
-    best = c.join(live, "symbol").groupBy("base", "rank").agg(F.min_by("symbol", "i").alias("symbol"))
-    return best.join(vendor.select("symbol").distinct(), "symbol", "left_semi").orderBy("rank", "symbol").select("symbol", "base", "rank")
+    c = c.select("base", "rank", F.posexplode(names).alias("i", "name"))
+    live = instruments.where("status = 'TRADING' and contract_type = 'PERPETUAL' and quote = 'USDT'").select(F.col("symbol").alias("name")).distinct()
+    best = c.join(live, "name").groupBy("base", "rank").agg(F.min_by("name", "i").alias("name"))
+    if vendor is not None:
+        best = best.join(vendor.select(F.col("symbol").alias("name")).distinct(), "name", "left_semi")
+    return best.select(F.replace("name", F.lit("USDT"), F.lit("/USDT:PERP")).alias("symbol"), "base", "rank").orderBy(F.coalesce("rank", F.lit(999)), "symbol")
 
 
 def asof_macro(bars: DataFrame, obs: DataFrame) -> DataFrame:

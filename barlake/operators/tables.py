@@ -23,7 +23,7 @@ def fold_versions(versions: DataFrame, seq: str = "seq") -> DataFrame:
     """One bar for each key of its ``versions`` in the order of ``seq``, as upserting them one by one gives.
 
     Trades and footprint come from the last version with at least as many trades as any before it,
-    spread from the last above 0, depth from the last with a ratio above 0, interest, funding and
+    spread and its deviation each from the last above 0, depth from the last with a ratio above 0, interest, funding and
     liquidations from the last known, counts and coverage are the largest; where none qualifies the
     first version's value stays. One window per key, so stored and new versions need one shuffle."""
     late, foot = _columns(versions)
@@ -37,7 +37,7 @@ def fold_versions(versions: DataFrame, seq: str = "seq") -> DataFrame:
         return F.max_by(F.when(F.col("first_") | good, F.struct(*names)), F.when(F.col("first_") | good, F.col(seq)))
 
     aggs = [
-        group(["vwap", "buy_volume", "sell_volume"], fuller & (F.col("trade_count") > 0)).alias("t_"), group(["avg_spread", "spread_std_dev"], F.col("avg_spread") > 0).alias("s_"),
+        group(["vwap", "buy_volume", "sell_volume"], fuller & (F.col("trade_count") > 0)).alias("t_"), group(["avg_spread"], F.col("avg_spread") > 0).alias("s_"), group(["spread_std_dev"], F.col("spread_std_dev") > 0).alias("v_"),
         group(["depth_imbalance", "depth_ratio"], F.col("depth_ratio") > 0).alias("d_"), F.max("trade_count").alias("trade_count"),
     ]
     if foot:
@@ -46,7 +46,7 @@ def fold_versions(versions: DataFrame, seq: str = "seq") -> DataFrame:
     if "liq_covered" in versions.columns:
         aggs.append(F.max("liq_covered").alias("liq_covered"))
     g = v.groupBy(*KEY).agg(*aggs)
-    out = g.select(*KEY, "t_.*", "s_.*", "d_.*", "trade_count", *(["f_.*"] if foot else []), *late, *(["liq_covered"] if "liq_covered" in versions.columns else []))
+    out = g.select(*KEY, "t_.*", "s_.*", "v_.*", "d_.*", "trade_count", *(["f_.*"] if foot else []), *late, *(["liq_covered"] if "liq_covered" in versions.columns else []))
     return out.select(*[c for c in versions.columns if c != seq])
 
 

@@ -41,15 +41,15 @@ def book(spark: SparkSession, d: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("user_id % 10 = 0").select(F.col("event_type").alias("symbol"), F.col("ms").alias("time"), (F.col("value") / 1e6).alias("rate"))
+    return events(spark, d).groupBy(F.col("event_type").alias("symbol"), F.col("ms").alias("time")).agg((F.max("value") / 1e6).alias("rate"))
 
 
 def oi(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("user_id % 10 = 1").select(F.lit("test").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ms").alias("ts"), F.col("event_id").alias("seq"), "value")
+    return events(spark, d).select(F.lit("test").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ms").alias("ts"), F.col("event_id").alias("seq"), "value")
 
 
 def liquidations(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("user_id % 10 = 2").select(F.lit("test").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ms").alias("trade_time"), F.col("value").alias("last_filled_quantity"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"))
+    return events(spark, d).select(F.lit("test").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ms").alias("trade_time"), F.col("value").alias("last_filled_quantity"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"))
 
 
 def price_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +107,9 @@ ends_v as (select symbol, epoch, max(seq) + 1 as stop from depth_v group by all)
 live_v as (select d.symbol, d.epoch, side, level, seq, coalesce(next_seq, stop) as stop from depth_v d join ends_v e on d.symbol = e.symbol and d.epoch = e.epoch where quantity <> 0),
 best_v as (select d.symbol, d.seq, coalesce(max(case when l.side = 'bid' then l.level end), 0) / 1e4 as best_bid, coalesce(min(case when l.side = 'ask' then l.level end), 0) / 1e4 as best_ask
   from depth_v d left join live_v l on d.symbol = l.symbol and d.epoch = l.epoch and l.seq <= d.seq and d.seq < l.stop group by all)"""
-_FUND = "funding_v as (select event_type as symbol, ms as time, value / 1e6 as rate from events_v where user_id % 10 = 0)"
-_OI = "oi_v as (select 'test' as exchange, event_type as symbol, ms as ts, event_id as seq, value, (ms // 60000 + 1) * 60000 as timestamp from events_v where user_id % 10 = 1)"
-_LIQ = "liq_v as (select 'test' as exchange, event_type as symbol, ms as trade_time, value as last_filled_quantity, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, (ms // 60000 + 1) * 60000 as timestamp from events_v where user_id % 10 = 2)"
+_FUND = "funding_v as (select event_type as symbol, ms as time, max(value) / 1e6 as rate from events_v group by all)"
+_OI = "oi_v as (select 'test' as exchange, event_type as symbol, ms as ts, event_id as seq, value, (ms // 60000 + 1) * 60000 as timestamp from events_v)"
+_LIQ = "liq_v as (select 'test' as exchange, event_type as symbol, ms as trade_time, value as last_filled_quantity, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, (ms // 60000 + 1) * 60000 as timestamp from events_v)"
 _O = "orders_v as (select *, epoch_ms(o_orderdate::timestamp) as ms from orders)"
 _CAPS = "caps_v as (select o_orderpriority as coin, ms as ts, sum(o_totalprice::decimal(20,2))::double as cap from orders_v group by all)"
 _TR = """transfers_v as (select ms + (o_orderkey % 24) * 3600000 + (o_orderkey % 60) * 60000 as block_timestamp, 'a' || (o_custkey % 50) as from_address, 'a' || (o_orderkey % 50) as to_address, round(o_totalprice * 100)::bigint as value, o_orderpriority as token_address,

@@ -181,7 +181,7 @@ def _flow_of(v: str) -> str:
 _CMP = f"""with a as ({_flow_of(_NEW)}), b as ({_flow_of(_OLD)}), j as (select coalesce(a.exchange, b.exchange) as exchange, coalesce(a.symbol, b.symbol) as symbol, coalesce(a.timestamp, b.timestamp) as timestamp, a.symbol is not null as ha, b.symbol is not null as hb,
   f as field, case f when 'vwap' then round(a.vwap, 6) when 'trade_count' then a.trade_count when 'buy_volume' then round(a.buy_volume, 6) else round(a.sell_volume, 6) end as a, case f when 'vwap' then round(b.vwap, 6) when 'trade_count' then b.trade_count when 'buy_volume' then round(b.buy_volume, 6) else round(b.sell_volume, 6) end as b
   from a full join b on a.exchange = b.exchange and a.symbol = b.symbol and a.timestamp = b.timestamp, unnest(['vwap', 'trade_count', 'buy_volume', 'sell_volume']) u(f)),
-w as (select *, abs(a - b) as diff, coalesce(abs(a - b) <= case field when 'vwap' then 0.01 when 'trade_count' then 0 else 0.001 end, a is null and b is null) as within from j)"""
+w as (select *, abs(a - b) as diff, coalesce(abs(a - b) <= case field when 'vwap' then 0.01 when 'trade_count' then 5 else 0.05 end, a is null and b is null) as within from j)"""
 _COMPARED = f"""{_CMP} select {K}, field, a, b, round(diff, 6) as diff, within, case when not hb then 'missing_db' when not ha then 'extra_db' when bool_and(a is not distinct from b) over p then 'exact' when not bool_and(within) over p then 'near' else 'diff' end as status,
   ha and hb and bool_and(within) over p as within_all from w window p as (partition by {K})"""
 
@@ -201,24 +201,44 @@ query("M1_J13_insert_price_bars", "d", f"with n as ({_OHLC_OF.format(_NEW)}), o
 )
 
 
-def _book_version(df: DataFrame, spread, depth) -> DataFrame:
-    return df.withColumn("avg_spread", spread).withColumn("spread_std_dev", spread / 2).withColumn("depth_imbalance", depth).withColumn("depth_ratio", depth)
+def _book_version(df: DataFrame, a: int, b: int) -> DataFrame:
+    """A version of bars with book, late and footprint columns that differ by minute (m) as ``a`` and ``b`` say."""
+    m = F.expr("timestamp div 60000")
+    num = lambda k: (m % k).cast("double")
+    some = lambda k, v: F.when(m % k > 0, v)
+    late = {c: some(a + i, num(17 + a)) for i, c in enumerate(_LATE)}
+    foot = {c: some(a + 2, F.col("vwap") + i) for i, c in enumerate(trades.FOOTPRINT)}
+    return df.withColumns({"avg_spread": num(a), "spread_std_dev": num(b), "depth_imbalance": num(b + 7), "depth_ratio": num(b), "liq_covered": (m % a == 0).cast("int"), **late, **foot})
+
+
+_LATE = ["open_interest", "open_interest_change", "funding_rate", "funding_rate_change", "liq_long_vol", "liq_short_vol"]
 
 
 def _stored_and_new(s, d):
     """Stored bars from most trades; new ones from those of odd ids, so that counts differ both ways."""
-    m = F.col("timestamp") / 60_000
-    stored = _book_version(trades.trade_flow(A.old_trades(s, d)), (m % 3).cast("double"), (m % 2).cast("double"))
-    new = _book_version(trades.trade_flow(A.dense_trades(s, d).where("trade_id % 2 = 1 or trade_id % 10 = 0")), (m % 2).cast("double"), (m % 3).cast("double"))
+    m = F.expr("timestamp div 60000")
+    stored = _book_version(trades.trade_flow(A.old_trades(s, d)), 3, 2)
+    new = _book_version(trades.trade_flow(A.dense_trades(s, d).where("trade_id % 2 = 1 or trade_id % 10 = 0")), 2, 3)
     return stored, new.where(m % 7 > 0)
 
 
-_UPS = f"""with o as (select *, (timestamp // 60000 % 3)::double as sp, (timestamp // 60000 % 2)::double as dr from ({_flow_of(_OLD)})),
-n as (select *, (timestamp // 60000 % 2)::double as sp, (timestamp // 60000 % 3)::double as dr from ({_flow_of(_NEW + ' where trade_id % 2 = 1 or trade_id % 10 = 0')}) where timestamp // 60000 % 7 > 0)
-select coalesce(o.exchange, n.exchange) as exchange, coalesce(o.symbol, n.symbol) as symbol, coalesce(o.timestamp, n.timestamp) as timestamp, greatest(coalesce(o.trade_count, 0), coalesce(n.trade_count, 0))::bigint as trade_count,
-  round(case when o.symbol is null or (n.trade_count >= o.trade_count and n.trade_count > 0) then n.buy_volume else o.buy_volume end, 6) as buy_volume, round(case when o.symbol is null or (n.trade_count >= o.trade_count and n.trade_count > 0) then n.vwap else o.vwap end, 6) as vwap,
-  case when o.symbol is null or n.sp > 0 then n.sp else o.sp end as avg_spread, case when o.symbol is null or n.dr > 0 then n.dr else o.dr end as depth_ratio from o full join n on o.exchange = n.exchange and o.symbol = n.symbol and o.timestamp = n.timestamp"""
-query("M2_upsert_orderbook_bars", "d", _UPS)(lambda s, d: rounded(tables.upsert_orderbook_bars(*_stored_and_new(s, d)).select("exchange", "symbol", "timestamp", "trade_count", "buy_volume", "vwap", "avg_spread", "depth_ratio")))
+def _version_sql(v: str, a: int, b: int) -> str:
+    late = [f"case when m % {a + i} > 0 then (m % {17 + a})::double end as {c}" for i, c in enumerate(_LATE)]
+    foot = [f"case when m % {a + 2} > 0 then vwap + {i} end as {c}" for i, c in enumerate(trades.FOOTPRINT)]
+    return f"select *, (m % {a})::double as avg_spread, (m % {b})::double as spread_std_dev, (m % {b + 7})::double as depth_imbalance, (m % {b})::double as depth_ratio, case when m % {a} = 0 then 1 else 0 end as liq_covered, {', '.join(late + foot)} from (select *, timestamp // 60000 as m from ({_flow_of(v)}))"
+
+
+def _merged(name: str, good: str) -> str:
+    digits = f"round(case when o.symbol is null or ({good}) then n.{name} else o.{name} end, 6)"
+    return f"{digits} as {name}"
+
+
+_FULLER = "n.trade_count >= o.trade_count"
+_UPS = f"""with o as ({_version_sql(_OLD, 3, 2)}), n as (select * from ({_version_sql(_NEW + ' where trade_id % 2 = 1 or trade_id % 10 = 0', 2, 3)}) where m % 7 > 0)
+select coalesce(o.exchange, n.exchange) as exchange, coalesce(o.symbol, n.symbol) as symbol, coalesce(o.timestamp, n.timestamp) as timestamp, greatest(coalesce(o.trade_count, 0), coalesce(n.trade_count, 0))::bigint as trade_count, greatest(coalesce(o.liq_covered, 0), coalesce(n.liq_covered, 0)) as liq_covered,
+  {", ".join([_merged(c, f"{_FULLER} and n.trade_count > 0") for c in ("vwap", "buy_volume", "sell_volume")] + [_merged(c, f"n.{c} > 0") for c in ("avg_spread", "spread_std_dev", "depth_ratio")] + [_merged("depth_imbalance", "n.depth_ratio > 0")] + [f"coalesce(n.{c}, o.{c}) as {c}" for c in _LATE] + [_merged(c, f"n.trade_open is not null and {_FULLER}") for c in trades.FOOTPRINT])}
+from o full join n on o.exchange = n.exchange and o.symbol = n.symbol and o.timestamp = n.timestamp"""
+query("M2_upsert_orderbook_bars", "d", _UPS)(lambda s, d: rounded(tables.upsert_orderbook_bars(*_stored_and_new(s, d))))
 
 
 def _both_versions(s, d):
@@ -233,23 +253,28 @@ query("A17_dedup_bars", "d", f"{_BOTH} select {K}, trade_count::bigint as trade_
 query("A18_dedup_sorted", "d", f"{_BOTH} select {K}, trade_count::bigint as trade_count, seq from v qualify row_number() over (partition by {K} order by seq) = 1")(lambda s, d: bars.dedup_sorted(_both_versions(s, d)).select("exchange", "symbol", "timestamp", "trade_count", "seq"))
 
 # positional resampling
-_RES = f"""with f as (select *, (row_number() over (partition by exchange, symbol order by timestamp) - 1) // 5 as c from flow_v)
-select exchange, symbol, max(timestamp) as timestamp, sum(trade_count)::bigint as trade_count, round(sum(buy_volume), 6) as buy_volume, round(case when sum(buy_volume + sell_volume) > 0 then sum(vwap * (buy_volume + sell_volume)) / sum(buy_volume + sell_volume) else arg_max(vwap, timestamp) end, 6) as vwap from f group by exchange, symbol, c"""
+_RICH = {
+    "avg_spread": "(m % 3)::double", "spread_std_dev": "(m % 7)::double", "depth_imbalance": "(m % 4)::double", "depth_ratio": "(m % 5)::double", "funding_rate": "case when m % 3 > 0 then (m % 11)::double end", "liq_covered": "case when m % 9 = 0 then 1 else 0 end",
+    "open_interest": "case when m % 4 > 0 then (m % 13)::double end",
+}
+_RES = f"""with a as (select f.*, liq_long_vol, liq_short_vol, f.timestamp // 60000 as m from flow_v f left join ({_LIQ}) l on f.exchange = l.exchange and f.symbol = l.symbol and f.timestamp = l.timestamp), f as (select *, {", ".join(f"{v} as {k}" for k, v in _RICH.items())}, (row_number() over (partition by exchange, symbol order by timestamp) - 1) // 5 as c from a)
+select exchange, symbol, max(timestamp) as timestamp, sum(trade_count)::bigint as trade_count, round(sum(buy_volume), 6) as buy_volume, round(sum(sell_volume), 6) as sell_volume, round(case when sum(buy_volume + sell_volume) > 0 then sum(vwap * (buy_volume + sell_volume)) / sum(buy_volume + sell_volume) else arg_max(vwap, timestamp) end, 6) as vwap,
+  round(avg(avg_spread), 6) as avg_spread, arg_max(spread_std_dev, timestamp) as spread_std_dev, round(avg(depth_imbalance), 6) as depth_imbalance, round(avg(depth_ratio), 6) as depth_ratio, arg_max_null(open_interest, timestamp) as open_interest, coalesce(arg_max_null(open_interest, timestamp) - arg_min_null(open_interest, timestamp), 0) as open_interest_change,
+  arg_max_null(funding_rate, timestamp) as funding_rate, coalesce(arg_max_null(funding_rate, timestamp) - arg_min_null(funding_rate, timestamp), 0) as funding_rate_change, round(sum(coalesce(liq_long_vol, 0)), 6) as liq_long_vol, round(sum(coalesce(liq_short_vol, 0)), 6) as liq_short_vol, max(liq_covered) as liq_covered from f group by exchange, symbol, c"""
 
 
 def _full_bars(s, d):
-    b = _assembled(s, d)
-    z = F.lit(0.0)
-    return b.select("*", *[z.alias(c) for c in ("avg_spread", "spread_std_dev", "depth_imbalance", "depth_ratio")], F.lit(None).cast("double").alias("funding_rate"), F.lit(0).alias("liq_covered"))
+    b = A.flow_bars(s, d).join(bars.liquidation_volume(A.liquidations(s, d)), ["exchange", "symbol", "timestamp"], "left").withColumn("m", F.expr("timestamp div 60000"))
+    return b.withColumns({k: F.expr(v.replace("(m % ", "cast(m % ").replace(")::double", " as double)")) for k, v in _RICH.items()}).drop("m")
 
 
-query("A19_resample_orderbook", "fb", _RES)(lambda s, d: rounded(bars.resample_orderbook(_full_bars(s, d).where("trade_count > 0"), 5).select("exchange", "symbol", "timestamp", "trade_count", "buy_volume", "vwap")))
+query("A19_resample_orderbook", "liq", _RES)(lambda s, d: rounded(bars.resample_orderbook(_full_bars(s, d), 5)))
 
 # gaps
 _GAPS = f"""with b as (select distinct exchange, symbol, timestamp from price_bars_v where timestamp >= {LO} and timestamp < {HI}), e as (select exchange, symbol, min(timestamp) as lo, max(timestamp) as hi from b group by all)
 select exchange, symbol, timestamp + 60000 as gap_start, nx as gap_end from (select *, lead(timestamp) over (partition by exchange, symbol order by timestamp) as nx from b) where nx > timestamp + 60000
 union all select exchange, symbol, {LO}, lo from e where lo > {LO} + 60000 union all select exchange, symbol, hi + 60000, {HI} from e where hi + 60000 < {HI}"""
-query("W6_find_gaps", "pb", _GAPS)(lambda s, d: gaps.find_gaps(A.price_bars(s, d), LO, HI, 60_000).select("exchange", "symbol", F.col("gap_start").cast("long").alias("gap_start"), F.col("gap_end").cast("long").alias("gap_end")))
+query("W6_find_gaps", "pb", _GAPS + f" union all select exchange, symbol, {LO}, {HI} from (select distinct exchange, upper(symbol) as symbol from price_bars_v)")(lambda s, d: gaps.find_gaps(A.price_bars(s, d), LO, HI, 60_000, of=_symbols(s, d).unionByName(_symbols(s, d).withColumn("symbol", F.upper("symbol")))).select("exchange", "symbol", F.col("gap_start").cast("long").alias("gap_start"), F.col("gap_end").cast("long").alias("gap_end")))
 
 
 def _odd_days(s, d):
@@ -262,8 +287,10 @@ m as (select *, day - row_number() over (partition by exchange, symbol order by
 select exchange, symbol, min(day) as first_day, max(day) as last_day, case when max(day) < {_D1 // DAY} then max(day) + 1 else max(day) end as until_day from m group by exchange, symbol, i"""
 query("W7_P10_missing_day_ranges", "pb", _DAYS)(lambda s, d: gaps.missing_day_ranges(_odd_days(s, d), _D0, _D1).select("exchange", "symbol", *[F.col(c).cast("long").alias(c) for c in ("first_day", "last_day", "until_day")]))
 query("A42_days_with_data", "pb", f"select distinct exchange, symbol, (timestamp - 60000) // {DAY} as day from price_bars_v")(lambda s, d: gaps.days_with_data(A.price_bars(s, d)))
-query("A41_data_complete", "pb", f"""with b as (select *, row_number() over (partition by exchange, symbol order by timestamp) as r from price_bars_v where timestamp >= {LO} and timestamp < {HI}), g as (select exchange, symbol, count(*)::bigint as n, min(timestamp) as lo, max(timestamp) as hi, coalesce(max(case when r = 2 then timestamp end) - min(timestamp), 60000) as step from b group by all)
-select exchange, symbol, n, hi + step >= {HI} and lo <= {LO} + 300000 and n * 100 >= ({HI} - {LO}) / step * 95 as complete from g""")(lambda s, d: gaps.data_complete(A.price_bars(s, d), LO, HI))
+_FULL = f"""with b as (select *, row_number() over (partition by exchange, symbol order by timestamp) as r from ({{src}}) where timestamp >= {{lo}} and timestamp < {{hi}}), g as (select exchange, symbol, count(*)::bigint as n, min(timestamp) as lo, max(timestamp) as hi, coalesce(nullif(max(case when r = 2 then timestamp end) - min(timestamp), 0), {{ms}}) as step from b group by all)
+select exchange, symbol, n, hi >= {{hi}} - step and lo - step <= {{lo}} + 300000 and n >= floor((({{hi}} - {{lo}}) // 60000 // ({{ms}} // 60000)) * 0.95) as complete from g"""
+query("A41_data_complete", "pb", _FULL.format(src="select * from price_bars_v", lo=LO, hi=HI, ms=60_000))(lambda s, d: gaps.data_complete(A.price_bars(s, d), LO, HI))
+query("A41_data_complete_1h", "pb", _FULL.format(src=_resample_sql(H), lo=LO + 30 * 60_000, hi=HI + 30 * 60_000, ms=H))(lambda s, d: gaps.data_complete(bars.resample_ohlcv(A.price_bars(s, d), H), LO + 30 * 60_000, HI + 30 * 60_000, H))
 
 # reports
 query("A20_symbol_ranges", "pb", "select symbol, min(timestamp) as first_ts, max(timestamp) as last_ts, count(*)::bigint as n from price_bars_v group by all")(lambda s, d: audit.symbol_ranges(A.price_bars(s, d)))
@@ -278,19 +305,60 @@ def _foot_bars(s, d):
     return bars.assemble(trades.trade_flow(t), trades.footprint(t))
 
 
-query("A23_T7_U1_audit", "", "select unnest(['ohlc_order', 'vwap_in_range', 'buy_vwap_in_range', 'sell_vwap_in_range', 'poc_in_range', 'poc_share_bounds', 'std_not_negative', 'bands_within_volume', 'footprint_without_trades', 'trades_without_footprint', 'negative_volume', 'side_vwap_without_volume', 'not_on_minute']) as check, 0::bigint as violations, 'PASS' as status")(
-    lambda s, d: audit.audit(_foot_bars(s, d), 0, 1 << 60)
-)
-query("A24_footprint_coverage", "d", f"select count(*)::bigint as bars, count(distinct symbol)::bigint as symbols, count(*)::bigint as traded, count(*)::bigint as with_footprint, 0::bigint as tradeless from (select distinct {K} from dense_v)")(lambda s, d: audit.footprint_coverage(_foot_bars(s, d)))
-query("A25_null_patterns", "oi liq", f"with a as ({_ASM}) select (case when trade_count > 0 then '1' else '0' end) || (case when open_interest is not null then '1' else '0' end) || (case when liq_long_vol is not null then '1' else '0' end) as pattern, count(*)::bigint as n from a group by all")(
-    lambda s, d: audit.null_patterns(_assembled(s, d).withColumn("traded", F.nullif("trade_count", F.lit(0))), ["traded", "open_interest", "liq_long_vol"])
-)
-query("A26_hourly_coverage", "pb", f"select (timestamp - 60000) // {H} * {H} as hour, count(distinct symbol)::bigint as symbols, count(*)::bigint as bars from price_bars_v group by all")(lambda s, d: audit.hourly_coverage(A.price_bars(s, d)))
-query("J14_hourly_floor", "pb", f"with h as (select (timestamp - 60000) // {H} * {H} as hour, count(distinct symbol) as symbols, count(*) as bars from price_bars_v group by all) select count(*)::bigint as hours, min(symbols)::bigint as min_symbols, min(bars)::bigint as min_bars, count(*) filter (where symbols < 0.9 * (select max(symbols) from h))::bigint as below from h")(
-    lambda s, d: audit.hourly_floor(A.price_bars(s, d))
-)
-query("A27_column_health", "oi liq", f"with a as ({_ASM}) select round(avg(case when open_interest is not null then 1 else 0 end), 4) as open_interest_rate, round(avg(case when liq_long_vol is not null then 1 else 0 end), 4) as liq_long_vol_rate from a")(
-    lambda s, d: audit.column_health(_assembled(s, d), ["open_interest", "liq_long_vol"])
+def _broken(s, d):
+    """Footprint bars of which some are wrong, each thirteenth kind in its own minutes."""
+    m = F.expr("timestamp div 60000 % 29")
+    bad = {
+        1: ("trade_open", "cast(null as double)"), 2: ("trade_count", "0"), 3: ("buy_volume", "0"), 4: ("buy_poc_price", "case when buy_vwap is null then trade_low end"), 5: ("sell_poc_price", "case when sell_vwap is null then trade_low end"),
+        6: ("lo_band_sell_vol", "cast(null as double)"), 7: ("trade_close", "trade_high + 1"), 8: ("poc_price", "trade_high + 1"), 9: ("poc_volume_share", "1.5"), 10: ("sell_vwap", "trade_low - 1 + 0 * sell_vwap"),
+        11: ("buy_poc_price", "trade_high + 1 + 0 * buy_poc_price"), 12: ("hi_band_buy_vol", "buy_volume + 1"), 13: ("vwap", "vwap * 1.001"), 14: ("sell_volume", "0"),
+    }
+    b = _foot_bars(s, d)
+    for k, (c, new) in bad.items():
+        hit = m.isin(3, 14) if k in (3, 14) else m == k
+        b = b.withColumn(f"new_{k}", F.when(hit, F.expr(new)).otherwise(F.lit(None)))
+    out = {}
+    for c in dict.fromkeys(c for c, _ in bad.values()):
+        v = F.col(c)
+        for k, (name, _) in bad.items():
+            if name == c:
+                v = F.when(m.isin(3, 14) if k in (3, 14) else m == k, F.col(f"new_{k}")).otherwise(v)
+        out[c] = v
+    return b.withColumns(out).drop(*[f"new_{k}" for k in bad])
+
+
+_EXACT = _FOOT[: _FOOT.rindex("select " + K)] + f"""select {K}, trade_open, trade_high, trade_low, trade_close, b as buy_volume, s as sell_volume, (bpq + spq) / (b + s) as vwap, bpq / nullif(b, 0) as buy_vwap, spq / nullif(s, 0) as sell_vwap, poc as poc_price, pv / (b + s) as poc_volume_share,
+  case when b > 0 then bp end as buy_poc_price, case when s > 0 then sp end as sell_poc_price, 1.0 as trade_price_std, hb as hi_band_buy_vol, hs as hi_band_sell_vol, lb as lo_band_buy_vol, ls as lo_band_sell_vol from g join o using ({K})"""
+_BROKEN = f"""with n as (select {K}, count(*) as trade_count, timestamp // 60000 % 29 as m from dense_v group by all), x as (select * from n left join ({_EXACT}) using ({K})),
+w as (select exchange, symbol, timestamp, case when m = 2 then 0 else trade_count end as trade_count, case when m <> 1 then trade_open end as trade_open, trade_high, trade_low, case when m = 7 then trade_high + 1 else trade_close end as trade_close,
+  case when m in (3, 14) then 0 else coalesce(buy_volume, 0) end as buy_volume, case when m in (3, 14) then 0 else coalesce(sell_volume, 0) end as sell_volume, case when m = 13 then vwap * 1.001 else vwap end as vwap, buy_vwap, case when m = 10 and sell_vwap is not null then trade_low - 1 else sell_vwap end as sell_vwap,
+  case when m = 8 then trade_high + 1 else poc_price end as poc_price, case when m = 9 then 1.5 else poc_volume_share end as poc_volume_share,
+  case when m = 4 then (case when buy_vwap is null then trade_low end) when m = 11 and buy_poc_price is not null then trade_high + 1 else buy_poc_price end as buy_poc_price, case when m = 5 then (case when sell_vwap is null then trade_low end) else sell_poc_price end as sell_poc_price,
+  trade_price_std, case when m = 12 then coalesce(buy_volume, 0) + 1 else hi_band_buy_vol end as hi_band_buy_vol, hi_band_sell_vol, lo_band_buy_vol, case when m <> 6 then lo_band_sell_vol end as lo_band_sell_vol from x),
+e as (select *, greatest(1e-9 * greatest(abs(trade_high), abs(trade_low)), 1e-6 * greatest(trade_high - trade_low, 0)) as eps, 1e-12 * greatest(buy_volume + sell_volume, 1e-6) as sl from w)"""
+_CHECKS = {
+    "01_footprint_missing_on_traded_bar": "trade_count > 0 and trade_open is null", "02_footprint_on_tradeless_bar": "trade_count = 0 and trade_open is not null", "03_traded_bar_without_volume": "trade_count > 0 and buy_volume + sell_volume = 0",
+    "04_buy_vwap_or_poc_missing": "(buy_vwap is null) <> (buy_poc_price is null)", "05_sell_vwap_or_poc_missing": "(sell_vwap is null) <> (sell_poc_price is null)",
+    "06_band_missing": "trade_open is not null and (hi_band_buy_vol is null or hi_band_sell_vol is null or lo_band_buy_vol is null or lo_band_sell_vol is null)",
+    "07_ohlc_order": "trade_open is not null and not (trade_open between trade_low - eps and trade_high + eps and trade_close between trade_low and trade_high)", "08_poc_outside_range": "trade_open is not null and not poc_price between trade_low - eps and trade_high + eps",
+    "09_poc_share_outside_bounds": "poc_volume_share <= 0 or poc_volume_share > 1 + 1e-9", "10_side_vwap_outside_range": "trade_open is not null and (not buy_vwap between trade_low - eps and trade_high + eps or not sell_vwap between trade_low - eps and trade_high + eps)",
+    "11_side_poc_outside_range": "trade_open is not null and (not buy_poc_price between trade_low - eps and trade_high + eps or not sell_poc_price between trade_low - eps and trade_high + eps)",
+    "12_band_above_its_side": "trade_open is not null and (hi_band_buy_vol > buy_volume + sl or hi_band_sell_vol > sell_volume + sl or lo_band_buy_vol > buy_volume + sl or lo_band_sell_vol > sell_volume + sl)",
+    "13_vwap_not_the_sides_mean": "buy_volume + sell_volume > 0 and coalesce(vwap, 0) <> 0 and abs(vwap - (coalesce(buy_vwap * buy_volume, 0) + coalesce(sell_vwap * sell_volume, 0)) / (buy_volume + sell_volume)) / abs(vwap) > 1e-9",
+}
+query("A23_T7_U1_audit", "d", f'{_BROKEN}, c as (select unnest([{", ".join(repr(k) for k in _CHECKS)}]) as "check", unnest([{", ".join(f"count(*) filter (where {v})" for v in _CHECKS.values())}]) as violations from e) select "check", violations::bigint as violations, case when violations = 0 then \'PASS\' else \'FAIL\' end as status from c')(
+    lambda s, d: audit.audit(_broken(s, d), 0, 1 << 60)
+)
+query("A24_footprint_coverage", "d", f"{_BROKEN} select count(*)::bigint as bars, count(distinct symbol)::bigint as symbols, min(timestamp) as first_close, max(timestamp) as last_close, count(*) filter (where trade_count > 0)::bigint as traded_bars, count(*) filter (where trade_count > 0 and trade_open is not null)::bigint as with_footprint, count(*) filter (where trade_count = 0)::bigint as trade_less from e")(
+    lambda s, d: audit.footprint_coverage(_broken(s, d))
+)
+query("A25_null_patterns", "d", f"{_BROKEN} select " + " || ".join(f"case when {c} is null then '0' else '1' end" for c in audit.PATTERN) + " as pattern, count(*)::bigint as n from e group by all")(lambda s, d: audit.null_patterns(_broken(s, d)))
+query("A26_hourly_coverage", "pb", f"select timestamp // {H} * {H} as hour, count(distinct symbol)::bigint as symbols, count(*)::bigint as bars from price_bars_v group by all")(lambda s, d: audit.hourly_coverage(A.price_bars(s, d)))
+query("J14_hourly_floor", "pb", f"with h as (select timestamp // {H} * {H} as hour, count(distinct symbol) as symbols, count(*) as bars from price_bars_v where timestamp // 60000 % 60 < 20 or symbol <> 'click' group by all) select count(*)::bigint as hours, min(symbols)::bigint as min_symbols, min(bars)::bigint as min_bars, count(*) filter (where symbols < (select max(symbols) from h))::bigint as below, max(symbols)::bigint as universe_floor from h")(
+    lambda s, d: audit.hourly_floor(A.price_bars(s, d).where("timestamp div 60000 % 60 < 20 or symbol <> 'click'"))
+)
+query("A27_column_health", "oi liq", f"with a as ({_ASM}) select round(avg(case when timestamp // 60000 % 3 = 0 then 1 else 0 end), 4) as funding_nonnull, round(avg(case when open_interest is not null and timestamp // 60000 % 2 = 0 then 1 else 0 end), 4) as oi_nonnull, round(avg(case when timestamp // {H} % 4 = 0 then 1 else 0 end), 4) as liq_covered_rate from a")(
+    lambda s, d: audit.column_health(_assembled(s, d).selectExpr("case when timestamp div 60000 % 3 = 0 then 0.1 end as funding_rate", "case when timestamp div 60000 % 2 = 0 then open_interest end as open_interest", f"case when timestamp div {H} % 4 = 0 then 1 else 0 end as liq_covered"))
 )
 query("A35_distinct_symbols", "pb", "select distinct symbol from price_bars_v where exchange = 'test'")(lambda s, d: audit.distinct_symbols(A.price_bars(s, d), "test"))
 query("A36_bar_range", "pb", "select min(timestamp) as first_ts, max(timestamp) as last_ts from price_bars_v where symbol = 'click'")(lambda s, d: audit.bar_range(A.price_bars(s, d), "test", "click"))
@@ -322,13 +390,34 @@ query("F9_bucket_close", "pb", "select exchange, symbol, timestamp, ((timestamp
 query("F12_F15_F17_numbers", "pb", "select exchange, symbol, timestamp, round(case when low = 0 or high <= low then 0 else (high - low) / low * 10000 end, 6) as bps, round(greatest(1e-9 * greatest(abs(high), abs(low)), 1e-6 * (high - low)), 12) as eps, round(case when volume <= 0 then volume else floor(volume / 0.5 + 1e-9) * 0.5 end, 6) as stepped from price_bars_v")(
     lambda s, d: A.price_bars(s, d).select("exchange", "symbol", "timestamp", F.round(X.spread_bps(F.col("low"), F.col("high")), 6).alias("bps"), F.round(X.range_epsilon(F.col("high"), F.col("low")), 12).alias("eps"), F.round(X.floor_to_step(F.col("volume"), F.lit(0.5)), 6).alias("stepped"))
 )
-query("F1_F2_F3_F4_F5_F6_symbols", "t", """select distinct symbol, upper(symbol) || '/USDT:PERP' as canonical, upper(symbol) || 'USDT' as at_exchange, upper(symbol) || '/USDT:PERP' as normal, upper(symbol) || 'B/USD:PERP' as feed, 'binance_futures' as exchange_name, 'binance' as db_name from trades_v""")(
-    lambda s, d: A.trades(s, d).select("symbol").distinct().select(
-        "symbol", S.exchange_to_canonical(F.lit("binance"), F.concat("symbol", F.lit("USDT"))).alias("canonical"), S.canonical_to_exchange(F.concat(F.upper("symbol"), F.lit("/USDT:PERP")), F.lit("binance")).alias("at_exchange"),
-        S.normalize_canonical(F.concat(F.lit(" "), "symbol", F.lit(" usdt"))).alias("normal"), S.feed_binance(F.concat("symbol", F.lit("BUSD"))).alias("feed"), S.map_exchange_name(F.lit("binance")).alias("exchange_name"), S.map_exchange_to_db(F.lit("binance_futures")).alias("db_name"),
+_EXCHANGES = ["binance_futures", "binance", "bybit", "bybit_perpetual", "hyperliquid", "dydx", "other_futures"]
+
+
+def _all_names(s, d):
+    """Each symbol in every form at every exchange."""
+    names = F.array(*[F.concat(F.lit(p), f, F.lit(t)) for p, t in (("", "USDT"), ("", "USDC"), ("", "USD"), ("", "BUSD"), ("", "/USDT"), ("", ""), ("", "/USDT:SPOT"), ("", "/USDT:PERP"), ("", ":PERP"), ("", "/USDC:PERP"), (" ", " usdt ")) for f in (F.col("symbol"), F.upper("symbol"))])
+    return A.trades(s, d).select("symbol").distinct().select(F.explode(names).alias("name")).select("name", F.explode(F.array(*map(F.lit, _EXCHANGES))).alias("exchange"))
+
+
+def _ends(col: str, ends: tuple[str, ...], last: str, kind: str = "PERP") -> str:
+    return "case " + " ".join(f"when ends_with({col}, '{e}') then left({col}, length({col}) - {len(e)}) || '/{e}:{kind}'" for e in ends) + f" else {last} end"
+
+
+query("F1_F2_F3_F4_F5_F6_symbols", "t", f"""with y as (select distinct symbol from trades_v), u as (select unnest([symbol, upper(symbol)]) as f from y), n as (select p || f || t as name from u, (values {", ".join(f"('{p}', '{t}')" for p, t in (("", "USDT"), ("", "USDC"), ("", "USD"), ("", "BUSD"), ("", "/USDT"), ("", ""), ("", "/USDT:SPOT"), ("", "/USDT:PERP"), ("", ":PERP"), ("", "/USDC:PERP"), (" ", " usdt ")))}) as v(p, t)),
+x as (select name, upper(name) as s, unnest([{", ".join(repr(e) for e in _EXCHANGES)}]) as exchange from n),
+p as (select *, contains(s, '/') as sl, contains(s, ':') as co, split_part(s, '/', 1) as a, split_part(split_part(s, '/', 2), ':', 1) as q, split_part(s, ':', 2) as k, upper(replace(trim(name), ' ', '')) as w from x),
+b as (select *, case when sl then a when co then split_part(s, ':', 1) else '' end as base, case when sl then q else '' end as quote from p)
+select name, exchange, case when exchange in ('binance_futures', 'bybit_perpetual', 'dydx') then base || quote when exchange = 'hyperliquid' then base when (exchange = 'binance' and k <> 'SPOT') or (exchange not in ('binance') and k = 'PERP') then base || quote else base || '/' || quote end as at_exchange,
+  case when exchange in ('binance_futures', 'bybit', 'bybit_perpetual') then {_ends("name", ("USDT", "USDC"), "name || ':PERP'")} when exchange = 'hyperliquid' then name || '/USDC:PERP' when exchange = 'dydx' then name || '/USDT:PERP' when exchange = 'binance' then (case when contains(name, '/') then name || ':SPOT' else {_ends("name", ("USDT",), "name || ':PERP'", "SPOT")} end) else name || ':PERP' end as canonical,
+  case exchange when 'binance' then 'binance_futures' when 'bybit' then 'bybit_perpetual' else exchange end as exchange_name, case when ends_with(exchange, '_futures') then left(exchange, length(exchange) - 8) else exchange end as db_name,
+  case when contains(w, '/') then w else {_ends("w", ("USDT", "USDC"), "w")} end as normal, {_ends("s", ("USDT", "USD", "BUSD"), "s || ':PERP'")} as feed_binance, {_ends("name", ("USDT", "USDC", "USD"), "name || ':PERP'")} as feed_bybit, s || '/USDC:PERP' as feed_hyperliquid from b""")(
+    lambda s, d: _all_names(s, d).select(
+        "name", "exchange", S.canonical_to_exchange(F.col("name"), F.col("exchange")).alias("at_exchange"), S.exchange_to_canonical(F.col("exchange"), F.col("name")).alias("canonical"), S.map_exchange_name(F.col("exchange")).alias("exchange_name"),
+        S.map_exchange_to_db(F.col("exchange")).alias("db_name"), S.normalize_canonical(F.col("name")).alias("normal"), S.feed_binance(F.col("name")).alias("feed_binance"), S.feed_bybit(F.col("name")).alias("feed_bybit"), S.feed_hyperliquid(F.col("name")).alias("feed_hyperliquid"),
     )
 )
 
+
 # mutations
 query("M3_delete_range", "pb", f"select {K} from price_bars_v where not (timestamp >= {LO} and timestamp < {HI})")(lambda s, d: tables.delete_range(A.price_bars(s, d), LO, HI).select("exchange", "symbol", "timestamp"))
 query("M3_deleted_count", "pb", f"select count(*)::bigint as deleted from price_bars_v where timestamp < {HI}")(lambda s, d: tables.deleted_count(A.price_bars(s, d), None, HI))
@@ -411,25 +500,37 @@ query("U2_append_newer", "caps", f"select timestamp, round(dominance, 6) as domi
 query("P12_exclude_stablecoins", "caps", "select coin, ts, cap from caps_v where coin not in ('5-LOW')")(lambda s, d: flows.exclude_stablecoins(A.caps(s, d), ["5-LOW", "1-URGENT"], "1-URGENT"))
 query("T4_top_coins", "caps", "select coin, ts, cap from caps_v order by cap desc, coin limit 10")(lambda s, d: flows.top_coins(A.caps(s, d), 10))
 query("A34_S16_macro_coverage", "obs", "select series_id, count(*)::bigint as n, min(timestamp) as first_ts, max(timestamp) as last_ts, arg_max(value, timestamp) as last_value from obs_v group by all")(lambda s, d: flows.macro_coverage(A.obs(s, d)))
-query("W9_macro_gaps", "obs", f"select series_id, count(*) filter (where g > {8 * DAY})::bigint as over_8d, count(*) filter (where g > {35 * DAY})::bigint as over_35d, max(g) as max_gap, max(timestamp) as last from (select *, lead(timestamp) over (partition by series_id order by timestamp) - timestamp as g from obs_v) group by all")(
+query("W9_macro_gaps", "obs", f"select series_id, count(*) filter (where g > {8 * DAY})::bigint as over_8d, count(*) filter (where g > {35 * DAY})::bigint as over_35d, coalesce(max(g) / {DAY}, 0) as max_gap_d, max(timestamp) as last from (select *, lead(timestamp) over (partition by series_id order by timestamp) - timestamp as g from obs_v) group by all")(
     lambda s, d: gaps.macro_gaps(A.obs(s, d))
 )
-query("W8_flow_gaps", "tr", f"with f as ({_flow_sql('to_address', 'value > 0')}), g as (select exchange, hour, lead(hour) over (partition by exchange order by hour) - hour as g from f) select 'btc' as asset, exchange, count(*) filter (where g > {H})::bigint as n_gaps, max(g) as max_gap, max(hour) as last from g group by all")(
+query("W8_flow_gaps", "tr", f"with f as ({_flow_sql('to_address', 'value > 0')}), g as (select exchange, hour, lead(hour) over (partition by exchange order by hour) - hour as g from f) select 'btc' as asset, exchange, count(*) filter (where g > {H})::bigint as n_gaps, coalesce(max(g) / {H}, 0) as max_gap_h, max(hour) as last from g group by all")(
     lambda s, d: gaps.flow_gaps(flows.account_flow(A.transfers(s, d), "to_address", A.labels(s), 10**6).select(F.lit("btc").alias("asset"), "exchange", F.col("hour").alias("timestamp")))
 )
-query("J11_asof_macro", "pb obs", "select p.exchange, p.symbol, p.timestamp, o.value from price_bars_v p asof left join (select timestamp + 826000000000 as timestamp, value from obs_v where series_id = '1-URGENT') o on p.timestamp >= o.timestamp where p.symbol = 'click'")(
-    lambda s, d: joins.asof_macro(A.price_bars(s, d).where("symbol = 'click'").select("exchange", "symbol", "timestamp"), A.obs(s, d).where("series_id = '1-URGENT'").select(F.lit("click").alias("symbol"), (F.col("timestamp") + 826_000_000_000).alias("timestamp"), "value"))
+query("J11_asof_macro", "pb obs", "select p.exchange, p.symbol, i.series_id, p.timestamp, o.value from (price_bars_v p cross join (select distinct series_id from obs_v) i) asof left join (select series_id, timestamp + 826000000000 as timestamp, value from obs_v) o on i.series_id = o.series_id and p.timestamp >= o.timestamp")(
+    lambda s, d: joins.asof_macro(_series_bars(s, d), A.obs(s, d).select(F.col("series_id").alias("symbol"), (F.col("timestamp") + 826_000_000_000).alias("timestamp"), "value")).select("exchange", F.col("of").alias("symbol"), F.col("symbol").alias("series_id"), "timestamp", "value")
 )
-query("J10_symbol_universe", "tr", """with n as (select to_address as base, count(*) as n from transfers_v group by all), c as (select base, row_number() over (order by n desc, base) as rank from n), i as (select upper(base) || 'USDT' as symbol from c where rank % 2 = 0 union select '1000' || upper(base) || 'USDT' from c where rank % 2 = 1)
-select symbol, upper(base) as base, rank::int as rank from c join i on i.symbol in (upper(base) || 'USDT', '1000' || upper(base) || 'USDT') where upper(base) not in ('A1')""")(lambda s, d: _universe(s, d))
+
+
+def _series_bars(s, d):
+    """Each bar beside each of the few series."""
+    series = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    return A.price_bars(s, d).select("exchange", F.col("symbol").alias("of"), F.explode(series).alias("symbol"), "timestamp")
+
+
+query("J10_symbol_universe", "tr", """with n as (select to_address as base, count(*) as n from transfers_v group by all), c as (select case when r % 5 = 0 then base || '_X-' when r % 7 = 0 then base || 'é' when r % 11 = 0 then base || 'longer' else base end as base, case when r % 6 > 0 then r end as rank, r from (select *, row_number() over (order by n desc, base) as r from n)),
+i as (select upper(base) || 'USDT' as name, r from c where r % 2 = 0 union select '1000' || upper(base) || 'USDT', r from c where r % 3 < 2)
+select replace(arg_min(name, length(name)), 'USDT', '/USDT:PERP') as symbol, upper(base) as base, rank::int as rank from c join i on i.name = upper(base) || 'USDT' or (length(base) <= 6 and i.name = '1000' || upper(base) || 'USDT')
+where upper(base) not in ('A1') and not contains(base, 'é') group by base, rank having arg_min(i.r, length(name)) % 13 > 0""")(lambda s, d: _universe(s, d))
 
 
 def _universe(s, d):
     c = A.transfers(s, d).groupBy(F.col("to_address").alias("base")).agg(F.count("*").alias("n"))
-    c = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "base"))).select("base", "rank")
-    name = F.when(F.col("rank") % 2 == 0, F.concat(F.upper("base"), F.lit("USDT"))).otherwise(F.concat(F.lit("1000"), F.upper("base"), F.lit("USDT")))
-    inst = c.select(name.alias("symbol"), F.lit("TRADING").alias("status"), F.lit("PERPETUAL").alias("contract_type"), F.lit("USDT").alias("quote"))
-    return joins.symbol_universe(c, inst, inst.select("symbol"), ["A1"])
+    r = F.col("r")
+    c = c.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "base")))
+    c = c.select(F.when(r % 5 == 0, F.concat("base", F.lit("_X-"))).when(r % 7 == 0, F.concat("base", F.lit("é"))).when(r % 11 == 0, F.concat("base", F.lit("longer"))).otherwise(F.col("base")).alias("base"), F.when(r % 6 > 0, r).alias("rank"), "r")
+    name = F.concat(F.upper("base"), F.lit("USDT"))
+    inst = c.select(F.explode(F.array_compact(F.array(F.when(r % 2 == 0, name), F.when(r % 3 < 2, F.concat(F.lit("1000"), name))))).alias("symbol"), "r", F.lit("TRADING").alias("status"), F.lit("PERPETUAL").alias("contract_type"), F.lit("USDT").alias("quote"))
+    return joins.symbol_universe(c, inst, inst.where("r % 13 > 0").select("symbol"), ["a1"])
 
 
 # messages
@@ -483,9 +584,15 @@ query("S14_labels", "tr", "select 'ethereum' as chain, to_address as address, 'b
 )
 
 # histories
-query("Q1_Q2_get_history", "pb", f"select * from ({_resample_sql(900_000)}) where symbol = 'click' and timestamp > {LO + 60_000} and timestamp <= {HI}")(
-    lambda s, d: rounded(history.get_history(A.price_bars(s, d), "test", "click", "15m", LO + 60_000, HI - 60_000 + 60_000)).where((F.col("timestamp") > LO + 60_000) & (F.col("timestamp") <= HI))
-)
+_HIST = f"""select exchange, 'CLICK' as symbol, (timestamp - 60000) // 900000 * 900000 + 900000 as timestamp, arg_min(open, t) as open, max(high) as high, min(low) as low, arg_max(close, t) as close, round(sum(volume), 6) as volume from (select *, timestamp as t from price_bars_v where symbol = 'click' and timestamp >= {LO + 60_000} and timestamp < {HI + 60_000}) group by exchange, 3"""
+
+
+def _upper_bars(s, d):
+    return A.price_bars(s, d).withColumn("symbol", F.upper("symbol"))
+
+
+query("Q1_Q2_get_history", "pb", _HIST)(lambda s, d: rounded(history.get_history(_upper_bars(s, d), "test", " click", "15m", LO, HI)))
+query("Q1_get_history_filled", "pb", _HIST)(lambda s, d: rounded(history.get_history(_upper_bars(s, d).where("timestamp div 60000 % 5 > 0"), "test", "click", "15m", LO, HI, raw=_upper_bars(s, d))))
 query("Q3_fill_missing_days", "pb", f"select {K}, {_OHLCV} from price_bars_v where (timestamp - 60000) // {DAY} % 3 > 0 or (timestamp - 60000) // {DAY} between {_D0 // DAY} and {_D1 // DAY}")(lambda s, d: rounded(history.fill_missing_days(_odd_days(s, d), A.price_bars(s, d), _D0, _D1)))
 query("Q4_S12_get_orderbook_bars", "fb", f"select * from ({_FLOW}) where symbol = 'view' and timestamp >= {LO} and timestamp < {HI}")(lambda s, d: rounded(history.get_orderbook_bars(A.flow_bars(s, d), "test", "view", LO, HI)))
 query("S23_bars_to_response", "pb", "select exchange, symbol, count(*)::bigint as n from price_bars_v group by all")(lambda s, d: messages.bars_to_response(A.price_bars(s, d)).select("exchange", "symbol", F.size(F.from_json("value", "bars array<struct<timestamp:bigint>>")["bars"]).cast("long").alias("n")))

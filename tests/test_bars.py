@@ -150,4 +150,6 @@ def test_timeframes_and_symbols(spark):
     get = lambda c: one.select(c.alias("v")).first().v
     assert get(S.feed_binance(F.lit("BTCBUSD"))) == "BTCB/USD:PERP"
     assert get(S.canonical_to_exchange(F.lit("btc/usdt:perp"), F.lit("binance"))) == "BTCUSDT"
+    assert get(S.canonical_to_exchange(F.lit("BTC/USDT:SPOT"), F.lit("binance"))) == "BTC/USDT"
+    assert get(S.exchange_to_canonical(F.lit("binance"), F.lit("BTCUSDT"))) == "BTC/USDT:SPOT" and get(S.exchange_to_canonical(F.lit("dydx"), F.lit("ETH"))) == "ETH/USDT:PERP"
     assert get(S.normalize_canonical(F.lit(" eth usdc "))) == "ETH/USDC:PERP"
