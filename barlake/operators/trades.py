@@ -35,13 +35,13 @@ def ticks_to_price_bars(trades: DataFrame) -> DataFrame:
     return _minutes(trades).groupBy(*KEY).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"))
 
 
-def level_histogram(trades: DataFrame) -> DataFrame:
+def level_histogram(trades: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Per price key of the valid trades: buy, sell, pq, p2q per side, first and last trade. The first of two
     aggregates: tasks add up levels before the shuffle, so a hot symbol arrives as its levels."""
     t = _minutes(trades.where(X.valid_trade(F.col("price"), F.col("quantity")))).withColumn("key", X.price_key(F.col("price")))
     q, p, sell = F.col("quantity"), F.col("price"), F.col("is_buyer_maker")
     order = F.struct("trade_time", "trade_id", "price")
-    return t.groupBy(*KEY, "key").agg(
+    return t.groupBy(*keys, "key").agg(
         F.sum(F.when(~sell, q).otherwise(0.0)).alias("buy"), F.sum(F.when(sell, q).otherwise(0.0)).alias("sell"), F.sum(F.when(~sell, p * q).otherwise(0.0)).alias("buy_pq"), F.sum(F.when(sell, p * q).otherwise(0.0)).alias("sell_pq"),
         F.sum(p * p * q).alias("p2q"), F.min(order).alias("first"), F.max(order).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"),
     )
@@ -49,7 +49,11 @@ def level_histogram(trades: DataFrame) -> DataFrame:
 
 def footprint(trades: DataFrame, k: int = 3) -> DataFrame:
     """The FOOTPRINT columns. Sides without volume are null, bands are true zeros; ties of volume go to the lower price."""
-    h = level_histogram(trades)
+    return footprint_of(level_histogram(trades), k)
+
+
+def footprint_of(h: DataFrame, k: int = 3) -> DataFrame:
+    """footprint() of the levels of level_histogram()."""
     by = Window.partitionBy(*KEY)
     h = h.withColumn("low_rank", F.row_number().over(by.orderBy("key"))).withColumn("high_rank", F.row_number().over(by.orderBy(F.desc("key"))))
     key = lambda vol: F.max(F.struct(vol.alias("v"), (-F.col("key")).alias("k")))

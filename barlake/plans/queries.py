@@ -9,7 +9,9 @@ from barlake.functions import scalars as X
 from barlake.functions import symbols as S
 from barlake.operators import audit, bars, book, flows, gaps, history, joins, tables, trades
 from barlake.plans import adapters as A
+from barlake.scratch import new_path
 from barlake.sources import files, messages
+from barlake.streaming import live
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -596,3 +598,182 @@ query("Q1_get_history_filled", "pb", _HIST)(lambda s, d: rounded(history.get_his
 query("Q3_fill_missing_days", "pb", f"select {K}, {_OHLCV} from price_bars_v where (timestamp - 60000) // {DAY} % 3 > 0 or (timestamp - 60000) // {DAY} between {_D0 // DAY} and {_D1 // DAY}")(lambda s, d: rounded(history.fill_missing_days(_odd_days(s, d), A.price_bars(s, d), _D0, _D1)))
 query("Q4_S12_get_orderbook_bars", "fb", f"select * from ({_FLOW}) where symbol = 'view' and timestamp >= {LO} and timestamp < {HI}")(lambda s, d: rounded(history.get_orderbook_bars(A.flow_bars(s, d), "test", "view", LO, HI)))
 query("S23_bars_to_response", "pb", "select exchange, symbol, count(*)::bigint as n from price_bars_v group by all")(lambda s, d: messages.bars_to_response(A.price_bars(s, d)).select("exchange", "symbol", F.size(F.from_json("value", "bars array<struct<timestamp:bigint>>")["bars"]).cast("long").alias("n")))
+
+
+# files written from the tables and read back
+def _written(s, df: DataFrame, name: str, form: str = "parquet", *by: str) -> str:
+    path = new_path(s, name)
+    df.write.partitionBy(*by).format(form).save(path)
+    return path
+
+
+query("S1_read_trades", "t", "select trade_time, price, quantity, is_buyer_maker from trades_v")(lambda s, d: files.read_trades(s, _written(s, A.trades(s, d).withColumn("price", F.col("price").cast("string")), "trades")))
+query("S3_read_open_interest", "oi", "select ts as timestamp, value as sum_open_interest, 0.0::double as sum_open_interest_value from oi_v")(lambda s, d: files.read_open_interest(s, _written(s, A.oi(s, d).select(F.col("ts").alias("timestamp"), F.col("value").alias("sum_open_interest")), "oi")))
+query("S4_read_liquidations", "liq", "select trade_time, last_filled_quantity, side from liq_v")(lambda s, d: files.read_liquidations(s, _written(s, A.liquidations(s, d), "liq")))
+query("S2_read_book", "book", "select event_time, event_type, price, quantity, side, final_update_id, prev_final_update_id, sum(case when final_update_id is distinct from lf then 1 else 0 end) over (partition by symbol order by seq) as grp from (select *, lag(final_update_id) over (partition by symbol order by seq) as lf from book_v)")(
+    lambda s, d: files.read_book(s, _written(s, A.book(s, d).repartition("symbol").sortWithinPartitions("symbol", "seq"), "book", "parquet", "symbol")).select("event_time", "event_type", "price", "quantity", "side", "final_update_id", "prev_final_update_id", "grp")
+)
+query("S5_hour_layout", "t", "select trade_id, 'test' as exchange, strftime(make_timestamp(trade_time * 1000), '%Y-%m-%d') as date, extract(hour from make_timestamp(trade_time * 1000))::int as hour, symbol, 'trades' as type from trades_v")(
+    lambda s, d: files.hour_layout(A.trades(s, d).select("trade_id", F.concat_ws("/", F.lit("file:/data"), "exchange", F.date_format(F.timestamp_millis("trade_time"), "yyyy-MM-dd/HH"), F.concat("symbol", F.lit("_trades.parquet/part-0"))).alias("p")), F.col("p")).drop("p")
+)
+query("S9_S10_bars_json", "pb", f"select {K}, {_OHLCV} from price_bars_v where timestamp >= {LO} and timestamp < {HI} and (timestamp - 60000) // {H} * {H} between {LO} and {HI}")(lambda s, d: rounded(files.read_bars_json(s, _json_bars(s, d), LO, HI)))
+
+
+def _json_bars(s, d) -> str:
+    path = new_path(s, "bars")
+    files.write_bars_json(A.price_bars(s, d), path)
+    return path
+
+
+query("S15_chain_tables", "tr", "select block_timestamp, transaction_hash::varchar as transaction_hash, token_address, from_address, to_address, value::varchar as value from transfers_v where strftime(make_timestamp(block_timestamp * 1000), '%Y-%m-%d') between '1995-01-01' and '1996-12-31'")(
+    lambda s, d: files.read_chain_table(s, _written(s, A.transfers(s, d).withColumn("date", F.date_format(F.timestamp_millis("block_timestamp"), "yyyy-MM-01")).repartition("date"), "chain", "parquet", "date"), "token_transfers", "1995-01-01", "1996-12-31")
+)
+query("S17_write_dominance", "caps", f"select timestamp, round(dominance, 6) as dominance from ({_DOM})")(lambda s, d: rounded(s.read.parquet(_swapped(s, d))))
+
+
+def _swapped(s, d) -> str:
+    """A series that replaced a shorter one."""
+    path, series = new_path(s, "dominance"), flows.dominance(A.caps(s, d), "1-URGENT")
+    files.write_dominance(series.limit(5), path)
+    files.write_dominance(series, path)
+    return path
+
+
+query("S24_read_listings", "tr", "select lower(from_address) as base, count(*)::int as rank, from_address || 'USDT' as symbol, 'TRADING' as status, 'PERPETUAL' as contract_type, 'USDT' as quote from transfers_v group by from_address")(lambda s, d: _listings(s, d))
+
+
+def _listings(s, d):
+    c = A.transfers(s, d).groupBy("from_address").agg(F.count("*").cast("int").alias("n"))
+    name = F.concat("from_address", F.lit("USDT"))
+    coins = files.read_coins(s, _written(s, c.select(F.upper("from_address").alias("symbol"), F.lit("x").alias("name"), F.col("n").alias("market_cap_rank"), F.lit(1.0).alias("market_cap")), "coins", "json"))
+    inst = files.read_instruments(s, _written(s, c.select(F.array(F.struct(name.alias("symbol"), F.lit("TRADING").alias("status"), F.lit("PERPETUAL").alias("contractType"), F.lit("USDT").alias("quoteAsset"))).alias("symbols")), "instruments", "json"))
+    vendor = files.read_vendor_symbols(s, _written(s, c.select(F.array(name).alias("symbols")), "vendor", "json"))
+    return coins.join(inst, F.col("base") == F.lower(F.replace(F.col("symbol"), F.lit("USDT"), F.lit("")))).join(vendor, "symbol", "left_semi").select("base", "rank", "symbol", "status", "contract_type", "quote")
+
+
+# hydration end to end
+_HYD = f"""with n as ({_flow_of(_NEW)}), f as (select n.*, f.rate as funding_rate from n asof left join funding_v f on n.symbol = f.symbol and n.timestamp >= f.time), c as (select *, funding_rate - last_value(funding_rate ignore nulls) over (partition by exchange, symbol order by timestamp rows between unbounded preceding and 1 preceding) as funding_rate_change from f),
+o as (select *, null::double as funding_rate, null::double as funding_rate_change from ({_flow_of(_OLD)}) where (timestamp - 60000) // {H} % 2 = 0)"""
+_HYD_COLS = f"{K}, trade_count::bigint as trade_count, " + _r("buy_volume", "sell_volume", "vwap") + ", round(funding_rate, 10) as funding_rate, round(funding_rate_change, 10) as funding_rate_change"
+query("Q5_hydrate_resume", "d fund", f"{_HYD} select {_HYD_COLS} from o union all by name select {_HYD_COLS} from c where (exchange, symbol, (timestamp - 60000) // {H}) not in (select (exchange, symbol, (timestamp - 60000) // {H}) from o)")(lambda s, d: _hydrated(s, d, overwrite=False))
+query("Q5_hydrate_overwrite", "d fund", f"{_HYD} select {_HYD_COLS} from c union all by name select {_HYD_COLS} from o anti join c using ({K})")(lambda s, d: _hydrated(s, d, overwrite=True))
+
+
+def _hydrated(s, d, overwrite: bool):
+    """Trades from files to bars, over stored bars of every second hour."""
+    k = ["exchange", "symbol", "timestamp", "trade_count", "buy_volume", "sell_volume", "vwap", "avg_spread", "spread_std_dev", "depth_imbalance", "depth_ratio", "funding_rate", "funding_rate_change"]
+    t = s.read.parquet(_written(s, A.dense_trades(s, d).where(X.in_hour(F.col("trade_time"), F.expr(f"trade_time div {H} * {H}"))), "ticks"))
+    new = history.minute_bars(t)
+    null = F.lit(None).cast("double")
+    zero = {c: F.lit(0.0) for c in k[7:11]}
+    stored = trades.trade_flow(A.old_trades(s, d)).where(f"(timestamp - 60000) div {H} % 2 = 0").withColumns(zero | {"funding_rate": null, "funding_rate_change": null}).select(*k)
+    out = history.hydrate(stored, new.withColumns(zero), A.funding(s, d), overwrite=overwrite).select(*k[:7], *k[11:])
+    return out.withColumns({c: F.round(c, 10 if c.startswith("funding") else 6) for c in k[4:7] + k[11:]})
+
+
+# streams over all there is, to files, and what they folded to
+def _events_stream(s, d):
+    """The table as a stream of trades."""
+    raw = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return raw.withColumn("ms", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))"))
+
+
+def _trades_stream(s, d):
+    return _events_stream(s, d).select(F.lit("test").alias("exchange"), F.col("event_type").alias("symbol"), (A.BASE + F.col("event_id") * 1000).alias("trade_time"), (100 + F.col("user_id") % 50).cast("double").alias("price"), F.col("value").alias("quantity"), (F.col("event_id") % 2 == 0).alias("is_buyer_maker"), F.col("event_id").alias("trade_id"))
+
+
+def _run(s, stream: DataFrame, mode: str = "update") -> DataFrame:
+    path = new_path(s, "log")
+    live.append_log(stream, path, new_path(s, "progress"), {"availableNow": True}, mode).awaitTermination()
+    return s.read.parquet(path)
+
+
+def _run_append(s, stream: DataFrame) -> DataFrame:
+    path = new_path(s, "rows")
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", new_path(s, "progress")).trigger(availableNow=True).start(path).awaitTermination()
+    return s.read.schema(stream.schema).parquet(path)
+
+
+def _live_events(s, d):
+    t = _trades_stream(s, d)
+    v, k = F.col("quantity"), F.col("trade_id") % 4
+    null = lambda kind: F.lit(None).cast(messages.PAYLOADS[kind])
+    kind = F.when(k == 0, "open_interest").when(k == 1, "funding_rate").when(k == 2, "liquidation").otherwise("trade")
+    side = F.when(F.col("trade_id") % 3 == 0, "BUY").otherwise("SELL")
+    pay = {
+        "trade": F.struct(F.col("price"), v.alias("quantity"), F.lit("buy").alias("side"), (F.col("trade_id") % 3 == 0).alias("is_buyer_maker"), F.lit(1).alias("trade_count")), "liquidation": F.struct(side.alias("side"), v.alias("quantity"), F.col("price")),
+        "funding_rate": F.struct((v / 1e6).alias("rate"), F.lit(0).cast("long").alias("next_time")), "open_interest": F.struct(v.alias("value")),
+    }
+    return t.select("exchange", "symbol", kind.alias("type"), F.col("trade_time").alias("timestamp"), *[F.when(kind == c, p.cast(messages.PAYLOADS[c])).otherwise(null(c)).alias(c) for c, p in pay.items()])
+
+
+_LIVE = f"""with g as (select {K}, count(*) filter (where k = 3)::bigint as trade_count, coalesce(sum(quantity) filter (where k = 3 and b > 0), 0) as buy_volume, coalesce(sum(quantity) filter (where k = 3 and b = 0), 0) as sell_volume, coalesce(sum(price * quantity) filter (where k = 3) / nullif(sum(quantity) filter (where k = 3), 0), 0) as vwap,
+  arg_max(quantity, trade_time) filter (where k = 0) as open_interest, arg_max(quantity / 1e6, trade_time) filter (where k = 1) as funding_rate, sum(quantity) filter (where k = 2 and b = 0) as liq_short_vol, sum(quantity) filter (where k = 2 and b > 0) as liq_long_vol from (select *, trade_id % 4 as k, trade_id % 3 as b from dense_v) group by all)"""
+_LIVE_SUM = "sum(case when {} then quantity end)"
+query("R1_R5_R9_live_bars", "d", f"{_LIVE} select {K}, trade_count, {_r('buy_volume', 'sell_volume', 'vwap', 'open_interest')}, round(funding_rate, 10) as funding_rate from g")(lambda s, d: _live_bars(s, d).select("exchange", "symbol", "timestamp", "trade_count", *[F.round(c, 6).alias(c) for c in ("buy_volume", "sell_volume", "vwap", "open_interest")], F.round("funding_rate", 10).alias("funding_rate")))
+
+
+def _live_bars(s, d):
+    zeros = [F.lit(0.0).alias(c) for c in ("avg_spread", "spread_std_dev", "depth_imbalance", "depth_ratio")]
+    return live.fold_log(_run(s, live.live_minute_bars(_live_events(s, d), "1 day").select("*", *zeros)))
+
+
+query("R6_live_carry", "d", f"{_LIVE}, f as (select {K}, last_value(open_interest ignore nulls) over w as open_interest, last_value(funding_rate ignore nulls) over w as funding_rate from g window w as (partition by exchange, symbol order by timestamp)) select {K}, round(open_interest, 6) as open_interest, round(open_interest - lag(open_interest) over w, 6) as open_interest_change, round(funding_rate, 10) as funding_rate, round(funding_rate - lag(funding_rate) over w, 10) as funding_rate_change from f window w as (partition by exchange, symbol order by timestamp)")(
+    lambda s, d: live.live_carry(_live_bars(s, d)).select("exchange", "symbol", "timestamp", *[F.round(c, n).alias(c) for c, n in (("open_interest", 6), ("open_interest_change", 6), ("funding_rate", 10), ("funding_rate_change", 10))])
+)
+query("R2_empty_skipped", "d", f"{_LIVE} select {K} from g where trade_count > 0 or liq_long_vol <> 0 or liq_short_vol <> 0")(lambda s, d: live.empty_skipped(_live_bars(s, d).drop("open_interest", "funding_rate")).select("exchange", "symbol", "timestamp"))
+query("R1_live_footprint", "d", _FOOT)(lambda s, d: rounded(live.fold_levels(_run(s, live.live_levels(_trades_stream(s, d), "1 day"))).withColumn("trade_price_std", F.round("trade_price_std", 3))))
+query("R8_live_price_bars", "d", _OHLC_OF.format(_NEW))(lambda s, d: rounded(live.fold_latest(_run(s, live.live_price_bars(_trades_stream(s, d), "1 day")))))
+query("R13_only_newer_bars", "pb", f"select {K}, {_OHLCV} from price_bars_v")(lambda s, d: rounded(_newer(s, d)))
+
+
+def _newer(s, d):
+    """Polls that overlap: every bar comes twice."""
+    b = A.price_bars(s, d)
+    path = _written(s, b.unionByName(b), "polls")
+    return _run_append(s, live.only_newer_bars(s.readStream.schema(b.schema).parquet(path), "60 days"))
+
+
+query("R10_funding_on_change", "fund", "select symbol, time as ts, round(rate, 6) as rate from (select *, lag(rate) over (partition by symbol order by time) as last from (select symbol, time, round(rate, 4) as rate from funding_v)) where last is distinct from rate")(lambda s, d: rounded(_rates(s, d)))
+
+
+def _rates(s, d):
+    f = A.funding(s, d).select("symbol", F.col("time").alias("ts"), F.round("rate", 4).alias("rate"))
+    return _run_append(s, live.funding_on_change(s.readStream.schema(f.schema).parquet(_written(s, f.coalesce(1), "rates"))))
+
+
+query("R4_R3_live_book", "book", """with l as (select *, quantity - lag(quantity, 1, 0.0) over (partition by symbol, side, price order by seq) as delta from book_v), w as (select symbol, (event_time // 60000 + 1) * 60000 as timestamp, sum(case when side = 'bid' then delta else 0 end) over p as b, sum(case when side = 'ask' then delta else 0 end) over p as a from l window p as (partition by symbol order by seq))
+select symbol::varchar as symbol, timestamp, count(*)::bigint as n_samples, round(coalesce((sum(b) - sum(a)) / nullif(sum(b) + sum(a), 0), 0), 5) as depth_imbalance, round(coalesce(sum(a) / nullif(sum(b) + sum(a), 0), 0), 5) as depth_ratio from w group by all""")(lambda s, d: rounded(_live_book(s, d).select("symbol", "timestamp", "n_samples", "depth_imbalance", "depth_ratio"), 5))
+
+
+def _live_book(s, d):
+    b = A.book(s, d).select(F.col("symbol").cast("string").alias("symbol"), "seq", "event_time", F.lit(None).cast("string").alias("control"), "side", "price", "quantity")
+    return live.book_bars(_run_append(s, live.live_book(s.readStream.schema(b.schema).parquet(_written(s, b.coalesce(1), "updates")))))
+
+
+query("R7_liq_coverage", "pb", f"with st as (select ms as ts, k % 2 = 0 as connected, lead(ms) over (order by ms) as until from (select h * {H} + 1000 as ms, row_number() over (order by h) as k from (select distinct timestamp // {H} as h from price_bars_v where timestamp // {H} % 5 = 0))) select {K}, case when exists (select 1 from st where connected and st.ts <= p.timestamp and (until is null or p.timestamp < until)) then 1 else 0 end as liq_covered from price_bars_v p")(
+    lambda s, d: live.liq_coverage(A.price_bars(s, d).select("exchange", "symbol", "timestamp"), _status(s, d))
+)
+
+
+def _status(s, d):
+    """The feed's changes at some of the hours with bars."""
+    h = A.price_bars(s, d).select(F.expr(f"timestamp div {H}").alias("h")).where("h % 5 = 0").distinct()
+    return h.select((F.col("h") * H + 1000).alias("ts"), (F.row_number().over(Window.orderBy("h")) % 2 == 0).alias("connected"))
+
+
+query("R11_rebuild_previous_hours", "pb", f"select {K}, round(case when timestamp > {LO} and timestamp <= {HI} then close else 0 end, 6) as close from price_bars_v")(lambda s, d: rounded(_rebuilt(s, d)))
+
+
+def _rebuilt(s, d):
+    """Stored bars of no value, rebuilt for some hours."""
+    b = A.price_bars(s, d).select("exchange", "symbol", "timestamp", "close")
+    path = new_path(s, "stored")
+    tables.overwrite_partitions(b.withColumn("close", F.lit(0.0)), path)
+    live.rebuild_previous_hours(b, path, LO, HI)
+    return s.read.parquet(path).select("exchange", "symbol", "timestamp", "close")
+
+
+query("R12_sparse_depth", "pb", f"select {K}, volume > 0 and timestamp // 60000 % 3 = 0 as sparse_depth from price_bars_v")(
+    lambda s, d: live.sparse_depth(A.price_bars(s, d).selectExpr("exchange", "symbol", "timestamp", "case when volume > 0 then 1 else 0 end as trade_count", "case when timestamp div 60000 % 3 > 0 then 1 end as n_samples")).select("exchange", "symbol", "timestamp", "sparse_depth")
+)

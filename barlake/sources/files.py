@@ -81,17 +81,22 @@ def read_kline_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bars_json(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """Bars of hourly files named by date and hour with times in [start, end); of a time the later file's bar."""
-    raw = spark.read.json(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2}_\d{2})[^/]*$", 1).alias("file_hour"))
-    raw = raw.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
-    names = [c for c in raw.columns if c != "file_hour"]
-    best = raw.groupBy("timestamp").agg(F.max_by(F.struct(*names), "file_hour").alias("b"))
+    """Bars with times in [start, end) of hourly files named by date and hour (or in folders of both) whose hours lie from
+    start to end; of an exchange's, symbol's and time's bars that of the latest file."""
+    raw = spark.read.json(path)
+    p = F.col("_metadata.file_path")
+    part = lambda name, i: F.coalesce(F.nullif(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})_(\d{2})[^/]*$", i), F.lit("")), F.regexp_extract(p, rf"{name}=([0-9-]+)/", 1))
+    names = [c for c in raw.columns if c not in ("date", "hour")]
+    raw = raw.select(*names, F.concat_ws(" ", part("date", 1), F.lpad(part("hour", 2), 2, "0")).alias("file_hour"))
+    at = F.unix_millis(F.to_timestamp("file_hour", "yyyy-MM-dd HH"))
+    raw = raw.where((at >= start) & (at <= end) & (F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    best = raw.groupBy(*[c for c in ("exchange", "symbol", "timestamp") if c in names]).agg(F.max_by(F.struct(*names), "file_hour").alias("b"))
     return best.select("b.*")
 
 
 def write_bars_json(df: DataFrame, path: str) -> None:
     t = F.timestamp_millis(F.col("timestamp") - 60_000)
-    df.withColumn("date", F.date_format(t, "yyyy-MM-dd")).withColumn("hour", F.date_format(t, "HH")).write.partitionBy("exchange", "symbol", "date", "hour").mode("overwrite").json(path)
+    df.withColumn("date", F.date_format(t, "yyyy-MM-dd")).withColumn("hour", F.date_format(t, "HH")).repartition("exchange", "symbol", "date", "hour").write.partitionBy("exchange", "symbol", "date", "hour").mode("overwrite").json(path)
 
 
 def read_price_bars(bars: DataFrame, exchange: str, symbol: str, start: int, end: int) -> DataFrame:
@@ -117,14 +122,45 @@ def read_labels(raw: DataFrame) -> DataFrame:
     return best.select("b.chain", "address", "b.exchange", "b.kind", "b.source")
 
 
-def read_chain_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(path).select(*columns)
+#: Columns of the tables of chains.
+CHAIN = {
+    "btc_inputs": ["block_timestamp", "transaction_hash", "addresses", "value"],
+    "btc_outputs": ["block_timestamp", "transaction_hash", "addresses", "value"],
+    "eth_transactions": ["block_timestamp", "transaction_hash", "from_address", "to_address", "value"],
+    "token_transfers": ["block_timestamp", "transaction_hash", "token_address", "from_address", "to_address", "value"],
+}
+
+
+def read_chain_table(spark: SparkSession, path: str, kind: str, first: str, last: str) -> DataFrame:
+    """The columns of ``kind`` on the days from ``first`` to ``last``; the files lie in folders by date."""
+    return spark.read.parquet(path).where(F.col("date").between(first, last)).select(*CHAIN[kind])
 
 
 def write_dominance(df: DataFrame, path: str) -> None:
-    """One series sorted by time; callers write to a new path and swap."""
-    df.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.mode("overwrite").parquet(path)
+    """One series sorted by time in place of the one at ``path``: written beside it, then swapped."""
+    spark = df.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    df.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.mode("overwrite").parquet(new)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jpath(old), True)
+    if fs.exists(jpath(path)):
+        fs.rename(jpath(path), jpath(old))
+    fs.rename(jpath(new), jpath(path))
+    fs.delete(jpath(old), True)
+
+
+def read_coins(spark: SparkSession, path: str) -> DataFrame:
+    """(base, name, rank, cap) of a ranking of coins."""
+    raw = spark.read.schema("symbol string, name string, market_cap_rank int, market_cap double").json(path)
+    return raw.select(F.lower("symbol").alias("base"), "name", F.col("market_cap_rank").alias("rank"), F.coalesce("market_cap", F.lit(0.0)).alias("cap"))
+
+
+def read_instruments(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, status, contract_type, quote) of an exchange's information."""
+    raw = spark.read.schema("symbols array<struct<symbol:string,status:string,contractType:string,quoteAsset:string>>").json(path)
+    return raw.select(F.inline("symbols")).select("symbol", "status", F.col("contractType").alias("contract_type"), F.col("quoteAsset").alias("quote"))
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_vendor_symbols(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("symbols array<string>").json(path).select(F.explode("symbols").alias("symbol"))

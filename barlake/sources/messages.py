@@ -22,19 +22,21 @@ PAYLOADS = {
 EVENT = "type string, symbol string, timestamp bigint, " + ", ".join(f"{k} {v}" for k, v in PAYLOADS.items())
 
 
-def _event(df: DataFrame, kind: str, symbol: Column, ts: Column, payload: Column) -> DataFrame:
-    cols = [payload.cast(t).alias(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in PAYLOADS.items()]
-    return df.select(F.lit(kind).alias("type"), symbol.alias("symbol"), ts.cast("long").alias("timestamp"), *cols)
+def _row(kind: str, symbol: Column, ts: Column, payload: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), symbol.alias("symbol"), ts.cast("long").alias("timestamp"), *[(payload.cast(t) if k == kind else F.lit(None).cast(t)).alias(k) for k, t in PAYLOADS.items()])
 
 
-def _levels(df: DataFrame, bids: str, asks: str, price: Column, qty: Column, kind: str = "array<array<string>>") -> DataFrame:
-    """A row for each level, bids first: side, price, quantity beside the rows' columns."""
-    tagged = F.concat(*[F.transform(F.coalesce(F.col(c), F.array().cast(kind)), _tag(s)) for c, s in ((bids, "bid"), (asks, "ask"))])
-    return df.select("*", F.posexplode(tagged).alias("pos", "l")).select("*", F.col("l.side").alias("side"), number(price).alias("price_"), number(qty).alias("qty_"))
+def _levels(symbol: Column, ts: Column, bids: Column, asks: Column, price, qty, kind: str = "array<array<string>>") -> Column:
+    """A row for each level, bids first."""
 
+    def of(levels: Column, side: str) -> Column:
+        update = lambda x: F.struct(F.lit(side).alias("side"), number(price(x)).alias("price"), number(qty(x)).alias("quantity"))
+        return F.transform(F.coalesce(levels, F.array().cast(kind)), lambda x: _row("orderbook_update", symbol, ts, update(x)))
 
-def _tag(side: str):
-    return lambda x: F.struct(F.lit(side).alias("side"), x.alias("x"))
+    return F.concat(of(bids, "bid"), of(asks, "ask"))
+
+
+_FIRST, _SECOND = (lambda x: F.get(x, F.lit(0))), (lambda x: F.get(x, F.lit(1)))
 
 
 def parse_kline_json(df: DataFrame, ms: int, nested: bool = False) -> DataFrame:
@@ -62,32 +64,27 @@ def parse_observations(df: DataFrame) -> DataFrame:
 
 
 def parse_binance(df: DataFrame) -> DataFrame:
-    """Events of combined-stream messages (value). Streams it doesn't know give none; a message without one fails in rejects()."""
+    """Events of combined-stream messages (value), each read once. Streams it doesn't know give none; a message without
+    one fails in rejects()."""
     m = df.select(F.from_json("value", "stream string, data string").alias("m")).select("m.*")
-    m = m.withColumn("kind", F.get(F.split("stream", "@"), F.lit(1)))
-    raw = m.where(F.col("kind").isNotNull())
-
-    def of(kind: str, schema: str) -> DataFrame:
-        return raw.where(F.col("kind").startswith(kind)).select(F.from_json("data", schema).alias("d")).select("d.*")
-
-    t = of("aggTrade", "s string, p string, q string, f bigint, l bigint, T bigint, m boolean")
-    count = F.greatest(F.col("l") - F.col("f") + 1, F.lit(1)).cast("int")
-    trade = F.struct(number(F.col("p")).alias("price"), number(F.col("q")).alias("quantity"), F.when(F.col("m"), "sell").otherwise("buy").alias("side"), F.col("m").alias("is_buyer_maker"), count.alias("trade_count"))
-    out = _event(t, "trade", S.feed_binance(F.col("s")), F.col("T"), trade)
-    # names that differ in case only are told apart by their place in the message
-    b = raw.where("kind = 'bookTicker'").select(*[F.get_json_object("data", f"$.{c}").alias(a) for a, c in (("s", "s"), ("E", "E"), ("bid", "b"), ("bid_qty", "B"), ("ask", "a"), ("ask_qty", "A"))])
-    side = lambda s, p, q: F.struct(F.lit(s).alias("side"), number(F.col(p)).alias("price"), number(F.col(q)).alias("quantity"))
-    b = b.select("s", "E", F.explode(F.array(side("bid", "bid", "bid_qty"), side("ask", "ask", "ask_qty"))).alias("u")).where("u.quantity > 0")
-    out = out.unionByName(_event(b, "orderbook_update", S.feed_binance(F.col("s")), F.col("E"), F.col("u")))
-    d = raw.where(F.col("kind").startswith("depth")).select(F.get_json_object("data", "$.s").alias("s"), F.get_json_object("data", "$.E").alias("E"), *[F.from_json(F.get_json_object("data", f"$.{c}"), "array<array<string>>").alias(n) for c, n in (("b", "bids"), ("a", "asks"))])
-    d = _levels(d, "bids", "asks", F.get("l.x", F.lit(0)), F.get("l.x", F.lit(1)))
-    level = F.struct("side", F.col("price_").alias("price"), F.col("qty_").alias("quantity"))
-    out = out.unionByName(_event(d, "orderbook_update", S.feed_binance(F.col("s")), F.col("E"), level))
-    f = raw.where(F.col("kind").startswith("markPrice")).select(*[F.get_json_object("data", f"$.{c}").alias(a) for a, c in (("s", "s"), ("E", "E"), ("rate", "r"), ("next", "T"))])
-    out = out.unionByName(_event(f, "funding_rate", S.feed_binance(F.col("s")), F.col("E"), F.struct(number(F.col("rate")).alias("rate"), F.col("next").cast("long").alias("next_time"))))
-    o = raw.where("kind = 'forceOrder'").select(*[F.get_json_object("data", f"$.o.{c}").alias(a) for a, c in (("s", "s"), ("side", "S"), ("qty", "l"), ("price", "ap"), ("T", "T"))])
-    liq = F.struct(F.col("side").alias("side"), number(F.col("qty")).alias("quantity"), number(F.col("price")).alias("price"))
-    return out.unionByName(_event(o, "liquidation", S.feed_binance(F.col("s")), F.col("T"), liq))
+    m = m.select(F.get(F.split("stream", "@"), F.lit(1)).alias("kind"), "data")
+    kind, data = F.col("kind"), F.col("data")
+    at = lambda path: F.get_json_object(data, f"$.{path}")  # noqa: E731  names that differ in case only are told apart so
+    t = F.from_json(data, "s string, p string, q string, f bigint, l bigint, T bigint, m boolean")
+    m = m.withColumn("t", F.when(kind.startswith("aggTrade"), t)).withColumn("s", S.feed_binance(F.coalesce(F.col("t.s"), at("s"))))
+    t, s = F.col("t"), F.col("s")
+    count = F.greatest(t["l"] - t["f"] + 1, F.lit(1)).cast("int")
+    trade = F.struct(number(t["p"]).alias("price"), number(t["q"]).alias("quantity"), F.when(t["m"], "sell").otherwise("buy").alias("side"), t["m"].alias("is_buyer_maker"), count.alias("trade_count"))
+    top = lambda side, p, q: _row("orderbook_update", s, at("E"), F.struct(F.lit(side).alias("side"), number(at(p)).alias("price"), number(at(q)).alias("quantity")))
+    level = lambda c: F.from_json(at(c), "array<array<string>>")
+    rate = F.struct(number(at("r")).alias("rate"), at("T").cast("long").alias("next_time"))
+    liq = F.struct(at("o.S").alias("side"), number(at("o.l")).alias("quantity"), number(at("o.ap")).alias("price"))
+    rows = (
+        F.when(kind.startswith("aggTrade"), F.array(_row("trade", s, t["T"], trade))).when(kind == "bookTicker", F.filter(F.array(top("bid", "b", "B"), top("ask", "a", "A")), lambda x: x["orderbook_update"]["quantity"] > 0))
+        .when(kind.startswith("depth"), _levels(s, at("E"), level("b"), level("a"), _FIRST, _SECOND)).when(kind.startswith("markPrice"), F.array(_row("funding_rate", s, at("E"), rate)))
+        .when(kind == "forceOrder", F.array(_row("liquidation", S.feed_binance(at("o.s")), at("o.T"), liq)))
+    )
+    return m.select(F.inline(rows))
 
 
 def rejects(df: DataFrame) -> DataFrame:
@@ -97,31 +94,38 @@ def rejects(df: DataFrame) -> DataFrame:
 
 
 def parse_bybit(df: DataFrame) -> DataFrame:
-    """Events of publicTrade and orderbook topics; klines and others give none. A sell is the maker's buy."""
+    """Events of publicTrade and orderbook topics, each message read once; klines and others give none. A sell is the
+    maker's buy."""
     m = df.select(F.from_json("value", "topic string, ts bigint, data string").alias("m")).select("m.*")
-    t = m.where(F.col("topic").startswith("publicTrade.")).select(F.explode(F.from_json("data", "array<map<string,string>>")).alias("d"))
-    sell = F.lower(F.col("d")["S"]) == "sell"
-    trade = F.struct(number(F.col("d")["p"]).alias("price"), number(F.col("d")["v"]).alias("quantity"), F.when(sell, "sell").otherwise("buy").alias("side"), sell.alias("is_buyer_maker"), F.lit(1).alias("trade_count"))
-    out = _event(t, "trade", S.feed_bybit(F.col("d")["s"]), F.col("d")["T"], trade)
-    b = m.where(F.col("topic").startswith("orderbook.")).select("ts", F.from_json("data", "s string, b array<array<string>>, a array<array<string>>").alias("d")).select("ts", "d.*")
-    b = _levels(b, "b", "a", F.get("l.x", F.lit(0)), F.get("l.x", F.lit(1)))
-    return out.unionByName(_event(b, "orderbook_update", S.feed_bybit(F.col("s")), F.col("ts"), F.struct("side", F.col("price_").alias("price"), F.col("qty_").alias("quantity"))))
+    topic = F.col("topic")
+    m = m.withColumn("trades", F.when(topic.startswith("publicTrade."), F.from_json("data", "array<map<string,string>>")))
+    m = m.withColumn("book", F.when(topic.startswith("orderbook."), F.from_json("data", "s string, b array<array<string>>, a array<array<string>>")))
+    sell = lambda d: F.lower(d["S"]) == "sell"
+    trade = lambda d: F.struct(number(d["p"]).alias("price"), number(d["v"]).alias("quantity"), F.when(sell(d), "sell").otherwise("buy").alias("side"), sell(d).alias("is_buyer_maker"), F.lit(1).alias("trade_count"))
+    rows = F.when(F.col("trades").isNotNull(), F.transform("trades", lambda d: _row("trade", S.feed_bybit(d["s"]), d["T"], trade(d))))
+    rows = rows.when(F.col("book").isNotNull(), _levels(S.feed_bybit(F.col("book.s")), F.col("ts"), F.col("book.b"), F.col("book.a"), _FIRST, _SECOND))
+    return m.select(F.inline(rows))
 
 
 def parse_hyperliquid(df: DataFrame) -> DataFrame:
-    """Events of trades (each takes the first one's coin), bbo and l2Book (bids, then asks); candles give none."""
-    m = df.select(F.from_json("value", "channel string, data string").alias("m")).select("m.*")
-    t = m.where("channel = 'trades'").select(F.from_json("data", "array<struct<coin:string,side:string,px:string,sz:string,time:bigint>>").alias("a"))
-    t = t.select(F.get("a", F.lit(0))["coin"].alias("coin"), F.explode("a").alias("d"))
-    trade = F.struct(number(F.col("d.px")).alias("price"), number(F.col("d.sz")).alias("quantity"), F.when(F.upper(F.col("d.side")) == "S", "sell").otherwise("buy").alias("side"), (F.upper(F.col("d.side")) == "S").alias("is_buyer_maker"), F.lit(1).alias("trade_count"))
-    out = _event(t, "trade", S.feed_hyperliquid(F.col("coin")), F.col("d.time"), trade)
+    """Events of trades (each takes the first one's coin), bbo and l2Book (bids, then asks), each message read once;
+    candles give none."""
     level = "struct<px:string,sz:string>"
-    q = m.where("channel = 'bbo'").select(F.from_json("data", f"coin string, time bigint, bbo array<{level}>").alias("d")).select("d.coin", "d.time", F.posexplode("d.bbo").alias("i", "x")).where("x is not null")
-    side = F.when(F.col("i") == 0, "bid").otherwise("ask").alias("side")
-    out = out.unionByName(_event(q, "orderbook_update", S.feed_hyperliquid(F.col("coin")), F.col("time"), F.struct(side, number(F.col("x.px")).alias("price"), number(F.col("x.sz")).alias("quantity"))))
-    b = m.where("channel = 'l2Book'").select(F.from_json("data", f"coin string, time bigint, levels array<array<{level}>>").alias("d")).select("d.coin", "d.time", F.get("d.levels", F.lit(0)).alias("bids"), F.get("d.levels", F.lit(1)).alias("asks"))
-    b = _levels(b, "bids", "asks", F.col("l.x.px"), F.col("l.x.sz"), f"array<{level}>")
-    return out.unionByName(_event(b, "orderbook_update", S.feed_hyperliquid(F.col("coin")), F.col("time"), F.struct("side", F.col("price_").alias("price"), F.col("qty_").alias("quantity"))))
+    m = df.select(F.from_json("value", "channel string, data string").alias("m")).select("m.*")
+    of = lambda channel, schema: F.when(F.col("channel") == channel, F.from_json("data", schema))
+    m = m.withColumns({"trades": of("trades", "array<struct<coin:string,side:string,px:string,sz:string,time:bigint>>"), "bbo": of("bbo", f"coin string, time bigint, bbo array<{level}>"), "book": of("l2Book", f"coin string, time bigint, levels array<array<{level}>>")})
+    sell = lambda d: F.upper(d["side"]) == "S"
+    trade = lambda d: F.struct(number(d["px"]).alias("price"), number(d["sz"]).alias("quantity"), F.when(sell(d), "sell").otherwise("buy").alias("side"), sell(d).alias("is_buyer_maker"), F.lit(1).alias("trade_count"))
+    first = S.feed_hyperliquid(F.get("trades", F.lit(0))["coin"])
+    px, sz = (lambda x: x["px"]), (lambda x: x["sz"])
+    tops = F.col("bbo.bbo")
+    only = lambda i: F.filter(F.slice(tops, i, 1), lambda x: x.isNotNull())
+    rows = (
+        F.when(F.col("trades").isNotNull(), F.transform("trades", lambda d: _row("trade", first, d["time"], trade(d))))
+        .when(F.col("bbo").isNotNull(), _levels(S.feed_hyperliquid(F.col("bbo.coin")), F.col("bbo.time"), only(1), only(2), px, sz, f"array<{level}>"))
+        .when(F.col("book").isNotNull(), _levels(S.feed_hyperliquid(F.col("book.coin")), F.col("book.time"), F.get("book.levels", F.lit(0)), F.get("book.levels", F.lit(1)), px, sz, f"array<{level}>"))
+    )
+    return m.select(F.inline(rows))
 
 
 def events_to_json(events: DataFrame) -> DataFrame:

@@ -6,15 +6,18 @@ fold of that log, so two queries never rewrite one table.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barlake.operators import bars as B
 from barlake.operators import tables
+from barlake.operators import trades as T
+from barlake.scratch import new_path
 
 WATERMARK = "1 minute"
 
@@ -52,43 +55,81 @@ def live_price_bars(trades: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return _close(g)
 
 
+def live_levels(trades: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Volumes by price level and minute of a stream of trades, for append_log(); fold_levels() gives their footprint."""
+    t = trades.withColumn("at", F.timestamp_millis("trade_time")).withWatermark("at", watermark).withColumn("w", F.window("at", "1 minute"))
+    return _close(T.level_histogram(t, ["exchange", "symbol", "w"]))
+
+
+def fold_levels(log: DataFrame) -> DataFrame:
+    """The footprint of each minute of live_levels()' log: of each level its last version counts."""
+    names = [c for c in log.columns if c not in (*T.KEY, "key", "seq", "batch")]
+    last = log.groupBy(*T.KEY, "key").agg(F.max_by(F.struct(*names), "seq").alias("v")).select(*T.KEY, "key", "v.*")
+    return T.footprint_of(last)
+
+
+def fold_latest(log: DataFrame) -> DataFrame:
+    """Of each key's versions in a log the last."""
+    names = [c for c in log.columns if c not in (*T.KEY, "seq", "batch")]
+    return log.groupBy(*T.KEY).agg(F.max_by(F.struct(*names), "seq").alias("v")).select(*T.KEY, "v.*")
+
+
 BOOK_OUT = "symbol string, timestamp long, n long, spread_sum double, spread_sq double, spread_n long, bid_sum double, ask_sum double"
 
 
+class Book:
+    """Levels of one symbol: sums of both sides, and the best prices from heaps whose dead entries go when they come up."""
+
+    def __init__(self, sides=(), prices=(), quantities=()) -> None:
+        self.levels: dict[tuple[str, int], float] = {}
+        self.heaps: dict[str, list[int]] = {"bid": [], "ask": []}
+        self.sums = {"bid": 0.0, "ask": 0.0}
+        for side, price, quantity in zip(sides, prices, quantities):
+            self.put(side, price, quantity)
+
+    def put(self, side: str, price: int, quantity: float) -> None:
+        old = self.levels.get((side, price))
+        self.sums[side] += quantity - (old or 0.0)
+        if quantity == 0:
+            self.levels.pop((side, price), None)
+        else:
+            self.levels[side, price] = quantity
+            if old is None:
+                heapq.heappush(self.heaps[side], -price if side == "bid" else price)
+
+    def best(self, side: str) -> int:
+        heap, sign = self.heaps[side], -1 if side == "bid" else 1
+        while heap and (side, sign * heap[0]) not in self.levels:
+            heapq.heappop(heap)
+        return sign * heap[0] if heap else 0
+
+
 def live_book(updates: DataFrame) -> DataFrame:
     """Partial depth and spread sums per (symbol, minute close) of rows (symbol, seq, event_time, control, side, price,
     quantity). The book of a symbol is state kept over minutes; a row with control ``depth_reset``
     empties it. Parts of a minute from several batches add up."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        levels: dict[tuple[str, int], float] = {}
-        if state.exists:
-            sides, prices, qtys = state.get
-            levels = dict(zip(zip(sides, prices), qtys))
+        book = Book(*state.get) if state.exists else Book()
         acc: dict[int, list[float]] = {}
         for f in sorted_rows(frames):
             if f.control == "depth_reset":
-                levels.clear()
+                book = Book()
                 continue
-            price = int(f.price * 10000)
-            if f.quantity == 0:
-                levels.pop((f.side, price), None)
-            else:
-                levels[f.side, price] = f.quantity
-            bids = [p for s, p in levels if s == "bid"]
-            asks = [p for s, p in levels if s == "ask"]
+            book.put(f.side, int(f.price * 10000), f.quantity)
             m = (f.event_time // 60_000 + 1) * 60_000
             a = acc.setdefault(m, [0, 0.0, 0.0, 0, 0.0, 0.0])
             a[0] += 1
-            a[4] += sum(q for (s, _), q in levels.items() if s == "bid")
-            a[5] += sum(q for (s, _), q in levels.items() if s == "ask")
-            if bids and asks and min(asks) > max(bids) > 0:
-                x = (min(asks) - max(bids)) / max(bids) * 10000
+            a[4] += book.sums["bid"]
+            a[5] += book.sums["ask"]
+            bid, ask = book.best("bid"), book.best("ask")
+            if ask > bid > 0:
+                x = (ask - bid) / bid * 10000
                 a[1] += x
                 a[2] += x * x
                 a[3] += 1
-        keys = list(levels)
-        state.update(([k[0] for k in keys], [k[1] for k in keys], [levels[k] for k in keys]))
+        keys = list(book.levels)
+        state.update(([k[0] for k in keys], [k[1] for k in keys], [book.levels[k] for k in keys]))
         yield pd.DataFrame([(key[0], m, a[0], a[1], a[2], a[3], a[4], a[5]) for m, a in acc.items()], columns=["symbol", "timestamp", "n", "spread_sum", "spread_sq", "spread_n", "bid_sum", "ask_sum"])
 
     return updates.groupBy("symbol").applyInPandasWithState(run, BOOK_OUT, "sides array<string>, prices array<bigint>, qtys array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -111,12 +152,13 @@ def book_bars(parts: DataFrame) -> DataFrame:
 
 
 def liq_coverage(bars: DataFrame, status: DataFrame) -> DataFrame:
-    """``bars`` with liq_covered: 1 if the feed was connected at the close; ``status`` (ts, connected) are its changes."""
-    from barlake.operators.joins import asof_funding
-
-    s = status.select(F.lit("*").alias("symbol"), F.col("ts").alias("time"), F.col("connected").cast("double").alias("rate"))
-    j = asof_funding(bars.withColumn("own_", F.col("symbol")).withColumn("symbol", F.lit("*")), s)
-    return j.withColumn("symbol", F.col("own_")).withColumn("liq_covered", F.coalesce(F.col("funding_rate"), F.lit(0.0)).cast("int")).drop("own_", "funding_rate")
+    """``bars`` with liq_covered: 1 if the feed was connected at the close; ``status`` (ts, connected) are its changes, one
+    feed's few rows. Connected spans become their minutes, so bars are joined by time, whatever their symbols."""
+    last = bars.agg(F.max("timestamp").alias("last_"))
+    nxt = F.lead("ts").over(Window.orderBy("ts"))
+    spans = status.withColumn("until", nxt).where("connected").join(F.broadcast(last)).select(F.ceil(F.col("ts") / 60_000).cast("long").alias("a"), F.floor((F.coalesce(F.col("until"), F.col("last_") + 1) - 1) / 60_000).cast("long").alias("b"))
+    minutes = spans.where("a <= b").select(F.explode(F.sequence("a", "b")).alias("m")).select((F.col("m") * 60_000).alias("timestamp"), F.lit(1).alias("liq_covered")).distinct()
+    return bars.join(minutes, "timestamp", "left").select(*bars.columns, F.coalesce("liq_covered", F.lit(0)).alias("liq_covered"))
 
 
 def append_log(bars: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "update"):
@@ -164,8 +206,14 @@ def only_newer_bars(polls: DataFrame, watermark: str = "10 minutes") -> DataFram
 
 
 def rebuild_previous_hours(history: DataFrame, path: str, start: int, end: int) -> None:
-    """Write the bars of [start, end) rebuilt from history over their partitions; other partitions stay."""
-    tables.overwrite_partitions(history.where((F.col("timestamp") > start) & (F.col("timestamp") <= end)), path)
+    """Replace the bars of (start, end] in the table at ``path`` (by exchange and date) by those of ``history``; what else the
+    touched days hold is written aside first and stays, and other days aren't touched."""
+    spark = history.sparkSession
+    mine = (F.col("timestamp") > start) & (F.col("timestamp") <= end)
+    day = lambda ts: F.date_format(F.timestamp_millis(F.lit(ts - 60_000)), "yyyy-MM-dd")
+    aside = new_path(spark, "aside")
+    spark.read.parquet(path).where(F.col("date").cast("string").between(day(start), day(end)) & ~mine).select(*history.columns).write.parquet(aside)
+    tables.overwrite_partitions(spark.read.schema(history.schema).parquet(aside).unionByName(history.where(mine)), path)
 
 
 def sparse_depth(bars: DataFrame) -> DataFrame:
