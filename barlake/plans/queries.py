@@ -616,7 +616,7 @@ query("S2_read_book", "book", "select event_time, event_type, price, quantity, s
 query("S5_hour_layout", "t", "select trade_id, 'test' as exchange, strftime(make_timestamp(trade_time * 1000), '%Y-%m-%d') as date, extract(hour from make_timestamp(trade_time * 1000))::int as hour, symbol, 'trades' as type from trades_v")(
     lambda s, d: files.hour_layout(A.trades(s, d).select("trade_id", F.concat_ws("/", F.lit("file:/data"), "exchange", F.date_format(F.timestamp_millis("trade_time"), "yyyy-MM-dd/HH"), F.concat("symbol", F.lit("_trades.parquet/part-0"))).alias("p")), F.col("p")).drop("p")
 )
-query("S9_S10_bars_json", "pb", f"select {K}, {_OHLCV} from price_bars_v where timestamp >= {LO} and timestamp < {HI} and (timestamp - 60000) // {H} * {H} between {LO} and {HI}")(lambda s, d: rounded(files.read_bars_json(s, _json_bars(s, d), LO, HI)))
+query("S9_S10_bars_json", "pb", f"select {K}, {_OHLCV} from price_bars_v where timestamp >= {LO} and timestamp < {HI} and (timestamp - 60000) // {H} * {H} between {LO} and {HI}")(lambda s, d: rounded(files.read_bars_json(s, _json_bars(s, d), LO, HI, "timestamp long, open double, high double, low double, close double, volume double, exchange string, symbol string, date date, hour string")))
 
 
 def _json_bars(s, d) -> str:

@@ -80,10 +80,13 @@ def read_kline_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_kline_lines(spark.read.text(path))
 
 
-def read_bars_json(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+def read_bars_json(spark: SparkSession, path: str, start: int, end: int, schema: str | None = None) -> DataFrame:
     """Bars with times in [start, end) of hourly files named by date and hour (or in folders of both) whose hours lie from
-    start to end; of an exchange's, symbol's and time's bars that of the latest file."""
-    raw = spark.read.json(path)
+    start to end; of an exchange's, symbol's and time's bars that of the latest file. With a ``schema`` no file is read for one."""
+    raw = (spark.read.schema(schema) if schema else spark.read).json(path)
+    if "date" in raw.columns:  # folders of other days aren't listed as input
+        day = lambda ts: F.to_date(F.timestamp_millis(F.lit(ts)))
+        raw = raw.where(F.col("date").cast("date").between(day(start), day(end)))
     p = F.col("_metadata.file_path")
     part = lambda name, i: F.coalesce(F.nullif(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})_(\d{2})[^/]*$", i), F.lit("")), F.regexp_extract(p, rf"{name}=([0-9-]+)/", 1))
     names = [c for c in raw.columns if c not in ("date", "hour")]
