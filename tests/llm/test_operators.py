@@ -268,6 +268,46 @@ def test_lm_gradient_and_windows():
     assert np.allclose(z[:, :20], first.forward(y)[0][:, :20], atol=1e-5)
 
 
+def test_lm_shares_are_probabilities():
+    rng, size = np.random.default_rng(4), 400
+    ends = np.r_[rng.random(size) < 0.6, True]
+    counts = np.r_[rng.integers(0, 50, size), 20]
+    starts = np.minimum(counts, rng.integers(0, 50, size + 1))
+    cls, share = lm.classes_of(counts, ends)
+    assert cls.max() < lm.CLASSES and cls[size] == 0 and np.allclose(np.bincount(cls, 10**share)[np.unique(cls)], 1)
+    last = np.flatnonzero(~ends)[:5]
+    head = lm.beginnings(np.array([size, *last[:2]]), np.array([True, False, False]))
+    heads, ids = np.repeat(np.r_[head[1:], lm.after(last[:1])], 6), np.concatenate([rng.choice(size, 6, False) for _ in range(3)])
+    pairs = lm.joined(heads, ids)
+    o = np.argsort(pairs)
+    s = lm.Shares(cls, ends, counts, starts, pairs[o], heads[o], rng.integers(1, 9, len(pairs)))
+    of_class = np.log10(rng.dirichlet(np.ones(lm.CLASSES)))
+    every = np.arange(size + 1)
+    seen = of_class[np.unique(cls)]
+    of_class = of_class - np.log10((10**seen).sum())  # classes without ids have no share
+    for word in ([], [last[0]], [last[0], last[1]], [last[3]], [last[0], last[2]]):  # what may follow each beginning sums to 1
+        total = 0.0
+        for x in every:
+            got = s(np.array([*word, x]), np.array([size, *word]), of_class[cls[[*word, x]]])
+            total += 10 ** got[-1]
+        assert abs(total - 1) < 1e-9
+
+
+def test_lm_beats_the_subword_unigram(spark):
+    rows = common.table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text").collect()
+    e, c, mine = bpe.encoder(), Counter(), {}
+    for r in rows:
+        ids = [*np.frombuffer(e.ids(r.text or ""), "<u4").tolist(), -1]
+        if lm.held_out(r.doc_id):
+            mine[r.doc_id] = ids
+        else:
+            c.update(ids)
+    n, v = sum(c.values()), len(c)
+    unigram = {k: sum(math.log10((c[i] + 0.1) / (n + 0.1 * (v + 1))) for i in ids) for k, ids in mine.items()}
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows)).where("held_out").collect()}
+    assert sum(got.values()) > 0.8 * sum(unigram.values())
+
+
 def test_lm_context_is_half_a_window():
     text = np.arange(1, 100).astype("<u2").tobytes()
     ws = lm.Windows([text], np.r_[np.arange(1 << 16) % lm.CLASSES, 0])
