@@ -276,16 +276,17 @@ def test_lm_shares_are_probabilities():
     cls, share = lm.classes_of(counts, ends)
     assert cls.max() < lm.CLASSES and cls[size] == 0 and np.allclose(np.bincount(cls, 10**share)[np.unique(cls)], 1)
     last = np.flatnonzero(~ends)[:5]
-    head = lm.beginnings(np.array([size, *last[:2]]), np.array([True, False, False]))
-    heads, ids = np.repeat(np.r_[head[1:], lm.after(last[:1])], 6), np.concatenate([rng.choice(size, 6, False) for _ in range(3)])
-    pairs = lm.joined(heads, ids)
-    o = np.argsort(pairs)
-    s = lm.Shares(cls, ends, counts, starts, pairs[o], heads[o], rng.integers(1, 9, len(pairs)))
+    done = np.flatnonzero(ends[:size])[:2]
+    pairs = np.unique(np.concatenate([k * (size + 1) + np.r_[rng.choice(size, 60, False), size * ends[k]] for k in (last[0], last[1], done[0], size)]))
+    _, head = lm.beginnings(np.array([size, *last[:2]]), np.array([True, False, False]))
+    ids = rng.choice(size, 6, False)
+    longer = lm.joined(np.repeat(head, 6), ids)
+    s = lm.Shares(cls, ends, counts, starts, pairs, rng.integers(1, 9, len(pairs)), longer, np.repeat(head, 6), rng.integers(1, 9, 6))
     of_class = np.log10(rng.dirichlet(np.ones(lm.CLASSES)))
     every = np.arange(size + 1)
     seen = of_class[np.unique(cls)]
     of_class = of_class - np.log10((10**seen).sum())  # classes without ids have no share
-    for word in ([], [last[0]], [last[0], last[1]], [last[3]], [last[0], last[2]]):  # what may follow each beginning sums to 1
+    for word in ([], [done[0]], [done[1]], [last[0]], [last[0], last[1]], [last[3]], [last[0], last[2]], [*last[:3], *last[:3]]):  # what may follow each beginning sums to 1
         total = 0.0
         for x in every:
             got = s(np.array([*word, x]), np.array([size, *word]), of_class[cls[[*word, x]]])
