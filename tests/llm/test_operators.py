@@ -309,6 +309,14 @@ def test_lm_beats_the_subword_unigram(spark):
     assert sum(got.values()) > 0.8 * sum(unigram.values())
 
 
+def test_lm_vocabulary_and_equal_hashes():
+    with pytest.raises(ValueError):
+        lm.word_ends(bpe.VOCABULARY, 1000)
+    cls, ends, n = np.array([1, 2, 0]), np.array([False, True, True]), np.array([3, 4, 1])
+    s = lm.Shares(cls, ends, n, n // 2, np.array([0, 4]), np.array([2, 1]), np.array([7, 7]), np.array([5, 6]), np.array([1, 1]))
+    assert np.isfinite(s(np.array([0, 0, 1]), np.array([2, 0, 0]), np.log10([0.5, 0.5, 0.25]))).all()
+
+
 def test_lm_context_is_half_a_window():
     text = np.arange(1, 100).astype("<u2").tobytes()
     ws = lm.Windows([text], np.r_[np.arange(1 << 16) % lm.CLASSES, 0])
