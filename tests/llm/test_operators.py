@@ -230,6 +230,20 @@ def test_embeddings(spark, monkeypatch, tile):
     assert itq.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_other_lengths_and_sizes(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    near_b = b + rng.standard_normal(16) * 0.02
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(50)]
+    rows += [(60, a.tolist()), (61, (a * 1e-200).tolist()), (62, (a * 1e300).tolist())]
+    rows += [(70, [3.0, 4.0]), (71, [3.0, 4.0]), (72, [6.0, 8.0]), (73, [-3.0, 4.0]), (74, [3.0, 4.0] + [0.0] * 14)]
+    rows += [(80, b.tolist()), (81, near_b.tolist()), (80, b.tolist())]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, node long, code string")
+    got = keyed(map(tuple, itq.near(df).where("vec_id >= 60").collect()))
+    want = [(60, 2, 60), (61, 2, 60), (62, 2, 60), (70, 2, 70), (71, 2, 70), (72, 2, 70), (73, 0, 73), (74, 0, 74), (80, 2, 80), (80, 2, 80), (81, 2, 80)]
+    assert got == keyed(want)
+
+
 @pytest.mark.parametrize("frequent", [100_000, 20])
 def test_lm(docs, empty, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
