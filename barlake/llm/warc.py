@@ -22,12 +22,17 @@ VERSION, TAIL = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads below it are never revisits.
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
+#: What a response's block has before the payload, and the profile of a revisit; fixed values of the WARC and HTTP formats.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(value): a record for each row of ``pages`` (page_id, url, html). Of equal payloads of at least
     ``least`` bytes, the rows with the smallest page_id are responses and the others revisit it; a
-    group without any id has only responses. A null html is empty, a null url or id is left out."""
+    group without any id has only responses. A response's block is an HTTP response with the payload as its
+    body; a revisit has none and names the response's record. A null html is empty, a null url or id is left
+    out, other columns aren't looked at. Rows that repeat an id and a payload share a record id."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     first = p.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -39,13 +44,16 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     def line(name: str, value):
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    m = F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
-    name = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12)), F.lit(">"))
+    def name(page: str):
+        m = F.md5(F.concat_ws(":", F.coalesce(F.col(page).cast("string"), F.lit("")), "digest"))
+        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12)), F.lit(">"))
+
+    body = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("size").cast("string"), F.lit(TAIL), F.col("payload")))
+    of_first = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name("first")), line("WARC-Refers-To-Page", F.col("first").cast("string")))
     head = [
-        line("WARC-Type", kind), line("WARC-Date", F.lit(DATE)), line("WARC-Record-ID", name), line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "")),
+        line("WARC-Type", kind), line("WARC-Date", F.lit(DATE)), line("WARC-Record-ID", name("page_id")), line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "")),
         line("WARC-Page-ID", F.col("page_id").cast("string")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), line("WARC-Payload-Length", F.col("size").cast("string")),
-        F.when(revisit, line("WARC-Refers-To-Page", F.col("first").cast("string"))).otherwise(F.lit("")), line("Content-Length", F.octet_length(body).cast("string")),
+        F.when(revisit, of_first).otherwise(line("Content-Type", F.lit("application/http;msgtype=response"))), line("Content-Length", F.octet_length(body).cast("string")),
     ]
     return p.select(F.concat(F.lit(VERSION), *head, F.lit("\r\n"), body).alias("value"))
 
@@ -58,10 +66,16 @@ def fields(head: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in head.split("\r\n")) if colon}
 
 
+def payload_of(block: bytes, kind: str | None) -> bytes:
+    """What follows the HTTP head in the block of a response."""
+    return block.partition(b"\r\n\r\n")[2] if (kind or "").startswith("application/http") else block
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, place, span, next, page_id, size, digest, type, refers_to, whole, valid): pieces of the
-    files in ``path``. place: bytes from the start of the split; next: bytes from the record's
-    place to its successor, null if it names no length; whole: the payload is in this piece."""
+    """(file, split, place, span, step, page_id, size, digest, type, refers_to, whole): pieces of the
+    files in ``path``. place: bytes from the start of the split; step: bytes from the record's
+    place to its successor, null if it names no length; whole: the block is in this piece; size and
+    digest: the payload's."""
     raw = spark.read.option("lineSep", TAIL + VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
 
     def run(batches):
@@ -81,9 +95,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 step = None if size is None else len(VERSION) + len(head) + 4 + size + len(TAIL)
                 got = payload.removesuffix(TAIL.encode()) if size is not None and len(payload) == size + 4 else payload
                 whole = size is not None and len(got) >= size
-                sha = hashlib.sha256(got[:size]).hexdigest() if whole and h.get("warc-type") != "revisit" else h.get("warc-payload-digest", "").removeprefix("sha256:")
                 num = lambda k: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None
-                full = size if h.get("warc-type") != "revisit" else num("warc-payload-length")
+                sha, full = h.get("warc-payload-digest", "").removeprefix("sha256:"), num("warc-payload-length")
+                if whole and h.get("warc-type") != "revisit":
+                    got = payload_of(got[:size], h.get("content-type"))
+                    sha, full = hashlib.sha256(got).hexdigest(), len(got)
                 rows.append((file, split, place, span, step, num("warc-page-id"), full, sha, h.get("warc-type"), num("warc-refers-to-page"), whole))
                 place += span
             kinds = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), pa.bool_()]
@@ -133,9 +149,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def joined(spark: SparkSession, path: str, at: DataFrame, broken: DataFrame) -> DataFrame:
-    """The rows of ``broken`` records with their payloads' own digests, from the pieces they cover."""
-    own = broken.select("file", F.col("at").alias("from"), F.col("to").alias("until"), "page_id", "size", "type", "refers_to")
-    part = spool(at.select("file", "file_name", "split", "place", "at").join(own, "file").where("at >= from and at < until"))
+    """The rows of ``broken`` records with their payloads' own digests, from the pieces they cover. Records that
+    the chain reaches don't overlap, so that a piece belongs to the last broken one at or before it, or to none."""
+    own = broken.select("file", "at", F.struct(F.col("at").alias("from"), F.col("to").alias("until"), "page_id", "type", "refers_to").alias("own"))
+    carried = F.last("own", True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    part = at.select("file", "file_name", "split", "place", "at").join(own, ["file", "at"], "left").withColumn("own", carried)
+    part = spool(part.where("at < own.until").select("file", "file_name", "split", "place", "at", "own.*"))
     raw = spark.read.option("lineSep", TAIL + VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
 
     def run(batches):
@@ -152,10 +171,13 @@ def joined(spark: SparkSession, path: str, at: DataFrame, broken: DataFrame) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file_name", "split", "place", "value"])
 
     text = by_arrow(raw, run, "file_name string, split long, place long, value string").join(part, ["file_name", "split", "place"])
-    whole = text.groupBy("file", "from", "page_id", "size", "type", "refers_to").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), TAIL + VERSION).alias("body"))
-    start = F.octet_length(F.substring_index("body", TAIL, 1)) + 5
-    payload = F.substring(F.encode("body", "UTF-8"), start, F.col("size").cast("int"))
-    return whole.select("page_id", "size", F.sha2(payload, 256).alias("digest"), "type", "refers_to")
+    whole = text.groupBy("file", "from", "until", "page_id", "type", "refers_to").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), TAIL + VERSION).alias("body"))
+    http = F.lower(F.substring_index("body", TAIL, 1)).contains("\r\ncontent-type: application/http")
+    start = F.octet_length(F.when(http, F.substring_index("body", TAIL, 2)).otherwise(F.substring_index("body", TAIL, 1))) + len(TAIL)
+    # from the record's place to its successor: version line, heads, payload, end
+    size = F.col("until") - F.col("from") - len(VERSION) - start - len(TAIL)
+    payload = F.substring(F.encode("body", "UTF-8"), start + 1, size.cast("int"))
+    return whole.select("page_id", size.alias("size"), F.sha2(payload, 256).alias("digest"), "type", "refers_to")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,6 +370,12 @@ def test_warc(spark, tmp_path):
         of = first.setdefault(p, i) if len(p) >= 100 else i
         assert (r.record_type, r.refers_to) == (("response", None) if of == i else ("revisit", of))
     assert len(got) == len(rows)
+    heads = [r.value.partition("\r\n\r\n")[0].split("\r\n")[1:] for r in warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    heads = [dict(x.split(": ", 1) for x in h) for h in heads]
+    ids = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert all({"WARC-Date", "WARC-Record-ID", "Content-Length", "WARC-Payload-Digest"} <= set(h) for h in heads)
+    assert all(h["WARC-Profile"] == warc.PROFILE and h["WARC-Refers-To"] in ids for h in heads if h["WARC-Type"] == "revisit")
+    assert all(h["Content-Type"] == "application/http;msgtype=response" for h in heads if h["WARC-Type"] == "response")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
