@@ -21,7 +21,7 @@ CHUNK = 20_000
 def continuity(book: DataFrame) -> DataFrame:
     """``book`` with reset and epoch: a gap of update ids or a new snapshot begins an epoch with an empty book.
 
-    The windows that follow a whole symbol see one row per payload; rows take their payload's epoch."""
+    Both windows follow every row of a whole symbol in its order, which one task sorts."""
     w = Window.partitionBy("symbol").orderBy("seq")
     b = book.withColumn("pf", F.lag("final_update_id", 1, 0).over(w)).withColumn("snap", F.col("event_type") == "snapshot")
     last_snap = F.coalesce(F.last(F.when(F.col("snap"), F.col("final_update_id")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,18 +10,28 @@ from pyspark.sql import functions as F
 from barlake.functions import scalars as X
 from barlake.operators.bars import KEY
 
+#: Milliseconds of a day, the stretch of a symbol that one task sorts.
+DAY = 86_400_000
+
 
 def asof_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:
     """``bars`` with funding_rate: the last point (symbol, time, rate) at or before the close; null before the first.
 
-    One sort per symbol over both: points and bars are stacked and the last rate is carried on, so no
-    range is joined. A hot symbol's rows are a sort in one task; split it by day with carried starts
-    if it outgrows one."""
+    Points and bars are stacked and sorted per symbol and day, so that no range is joined and a hot symbol is
+    spread over its days. Each day begins with the last rate before it, found over one row per symbol and day
+    (``bars`` are read a second time for these, two columns of them). Of points at one time the largest rate counts."""
     b = bars.drop("funding_rate")
+    day = (F.col("t_") - F.pmod("t_", F.lit(DAY))).alias("day_")
     rows = b.select("symbol", F.col("timestamp").alias("t_"), F.lit(1).alias("is_bar_"), F.lit(None).cast("double").alias("rate_"), F.struct(*b.columns).alias("b_"))
-    points = funding.select("symbol", F.col("time").alias("t_"), F.lit(0).alias("is_bar_"), F.col("rate").alias("rate_"), F.lit(None).cast(rows.schema["b_"].dataType).alias("b_"))
-    w = Window.partitionBy("symbol").orderBy("t_", "is_bar_").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.unionByName(points).withColumn("funding_rate", F.last("rate_", True).over(w)).where("is_bar_ = 1").select("b_.*", "funding_rate")
+    none = F.lit(None).cast(rows.schema["b_"].dataType).alias("b_")
+    points = funding.select("symbol", F.col("time").alias("t_"), F.lit(0).alias("is_bar_"), F.col("rate").alias("rate_"))
+    seen = points.unionByName(rows.drop("b_")).select("symbol", day, F.when(F.col("rate_").isNotNull(), F.struct("t_", "rate_")).alias("at_"))
+    days = seen.groupBy("symbol", "day_").agg(F.max("at_").alias("at_"))
+    earlier = Window.partitionBy("symbol").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("symbol", F.col("day_").alias("t_"), F.lit(-1).alias("is_bar_"), F.last("at_", True).over(earlier)["rate_"].alias("rate_")).where("rate_ is not null")
+    every = rows.unionByName(points.unionByName(starts).select("*", none)).withColumn("day_", day)
+    w = Window.partitionBy("symbol", "day_").orderBy("t_", "is_bar_", "rate_").rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("funding_rate", F.last("rate_", True).over(w)).where("is_bar_ = 1").select("b_.*", "funding_rate")
 
 
 def backfill_funding(bars: DataFrame, funding: DataFrame, start: int, end: int) -> DataFrame:

@@ -73,6 +73,19 @@ def test_positional_resample(spark):
     assert r.vwap == pytest.approx((100 * 180 + 101 * 90) / 270) and r.avg_spread == pytest.approx(0.00055) and r.open_interest_change == pytest.approx(100000) and r.funding_rate_change == pytest.approx(0.00005)
 
 
+def test_funding_asof_over_days(spark):
+    """Against a search of all points: rates carried over days without any, ties, nulls, times before 1970."""
+    import random
+
+    rnd, day = random.Random(2), joins.DAY
+    pts = [(s, rnd.randrange(-3 * day, 40 * day), rnd.choice([rnd.random(), None])) for s in ("a", "a", "b", None) for _ in range(12)] + [("a", 5 * day, 0.1), ("a", 5 * day, 0.2)]
+    bars = [("x", s, t) for s in ("a", "b", "c", None) for t in [rnd.randrange(-4 * day, 45 * day) for _ in range(60)] + [5 * day, 6 * day, 6 * day]]
+    got = joins.asof_funding(spark.createDataFrame(bars, "exchange string, symbol string, timestamp long").repartition(4), spark.createDataFrame(pts, "symbol string, time long, rate double"))
+    best = lambda s, t: max(((u, r) for z, u, r in pts if z == s and u <= t and r is not None), default=(None, None))[1]
+    key = lambda r: (r[1] or "", r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(e, s, t, best(s, t)) for e, s, t in bars], key=key)
+
+
 def test_funding_asof(spark):
     h = 3_600_000
     pts = spark.createDataFrame([("s", i * 8 * h, (i + 1) / 1e4) for i in range(4)], "symbol string, time long, rate double")
