@@ -6,7 +6,6 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -79,23 +78,25 @@ def assign(length: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 def pack(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost): one row per piece.
 
-    A null or empty text is the end id alone. Full pieces are sequences of their own; the others
-    are dealt at random to groups of about GROUP_SEQUENCES sequences, so that groups are alike
-    whatever the order, repetition or source of documents, and each is packed in one task."""
+    A null or empty text is the end id alone; ids of any type, null, tied or repeated, come back as they are, each
+    row with pieces of its own. A very long text is cut into full pieces. An empty table gives no rows; columns of
+    other names aren't looked at. Full pieces are sequences of their own; the others are dealt at random to groups of
+    about GROUP_SEQUENCES sequences, so that groups are alike whatever the order, repetition or source of
+    documents, and each is packed in one task."""
     p = spool(pieces(docs, path, capacity, end_id, id_col, text_col))
     total = p.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (capacity * GROUP_SEQUENCES)))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     cost = (LINEAR * F.col("length") + QUADRATIC * F.col("length") * F.col("length")).alias("cost")
-    full = p.where(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = p.where(F.col("length") == capacity).select(*names, (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    def run(key: tuple[np.int64, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", ignore_index=True)
-        seq, pdf["offset"] = assign(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = 2 * ((int(key[0]) << 24) + seq)
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("row")  # ids stay Arrow columns, which know nulls beside whole numbers
+        seq, off = assign(t.column("length").to_numpy(), capacity)
+        return t.select(names[:5]).append_column("sequence_id", pa.array(2 * ((key[0].as_py() << 24) + seq))).append_column("offset", pa.array(off))
 
     part = p.where(F.col("length") < capacity).withColumn("bin", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = part.groupBy("bin").applyInPandas(run, full.schema)
+    packed = part.groupBy("bin").applyInArrow(run, full.schema)
     return packed.unionByName(full).select("*", cost)
 
 

@@ -1,8 +1,8 @@
-"""The queries of the ten operators, the pipeline's, and their SQL where it can express them."""
+"""The queries of the thirteen operators, the pipeline's, and their SQL where it can express them."""
 
 from __future__ import annotations
 
-from barlake.llm import bpe, edits, itq, lm, packing, pii, quality, simhash, suffix, warc
+from barlake.llm import bestfit, bpe, edits, interactions, itq, lm, packing, pii, quality, repair, simhash, suffix, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,9 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_suffix_dedup": suffix.op9,
     "op10_token_counts": edits.op10,
+    "op11_filter_interactions": interactions.op11,
+    "op12_best_two_fit": bestfit.op12,
+    "op13_conversation_repair": repair.op13,
     "pipeline": pipeline,
 }
 
@@ -58,4 +61,45 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from g left join bad using (rid)
 """
 
-ORACLE_SQL = {"op1_quality_rules": _OP1}
+_OP11 = f"""
+with lab as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+d as (select d.doc_id, coalesce(source, '') as part, coalesce(text, '') as text, {_WORDS} as words, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from documents d left join lab on lab.doc_id = d.doc_id),
+low as (select text, min(doc_id) as least from d group by text),
+f as (select part, good, toxic, len(words) < 200 as "A", 100 * len(list_distinct(words)) < 50 * len(words) as "B", 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as "C", regexp_matches(text, '[#$%&*|]') as "D", coalesce(doc_id > least, false) as "E" from d join low using (text)),
+m as (select part, [a.v, b.v, c.v, e.v, g.v] as fails, n, good, toxic from (select part, "A", "B", "C", "D", "E", count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all) x, lateral (select x."A" as v) a, lateral (select x."B" as v) b, lateral (select x."C" as v) c, lateral (select x."D" as v) e, lateral (select x."E" as v) g),
+l as (select unnest([1, 2, 3, 4, 5]) as i),
+o as (select [a.i, b.i, c.i, d.i, e.i] as p from l a, l b, l c, l d, l e where a.i <> b.i and a.i <> c.i and a.i <> d.i and a.i <> e.i and b.i <> c.i and b.i <> d.i and b.i <> e.i and c.i <> d.i and c.i <> e.i and d.i <> e.i),
+s as (select part, array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') as filter_order, step, p[step] as filter, fails[p[step]] as bad, len(list_filter(p[:step - 1], lambda i: fails[i])) > 0 as gone, len(list_filter(fails, lambda x: x)) = 1 as single, n, m.good, m.toxic from m, o, (select unnest([1, 2, 3, 4, 5]) as step)),
+g as (select part, filter_order, step, filter, sum(case when not gone and not bad then n else 0 end) as kept, sum(case when not gone and bad then n else 0 end) as removed, sum(case when gone and bad then n else 0 end) as redundant, sum(case when bad and single then n else 0 end) as unique_fails,
+  sum(case when not gone and bad then good else 0 end) as good_lost, sum(case when not gone and bad then toxic else 0 end) as toxic_lost from s group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley from g
+"""
+
+_BLANKS = "[ \\t\\n\\x0B\\f\\r]"
+
+#: A row's edits lead from place p of a legal conversation to place q (0 start, 1 after the system's row, 2 user's, 3 assistant's), insertions before it included; rows are taken one after the other.
+_OP13 = f"""
+with recursive tab as (select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end) as v from (select unnest(range(256))::bigint as i))),
+raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+harm as (select raw.*, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::bigint) % 20 as h from raw, tab),
+rows as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when h = 3 then 2 else 1 end)) as copy from harm where h > 0),
+o as (select *, row_number() over w as i, role[1] as initial, lag(role[1]) over w as before, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, regexp_replace(text, '{_BLANKS}+', '', 'g') as solid from rows window w as (partition by conv_id order by turn nulls first, role, sha256(text), copy)),
+f as (select *, case when solid = '' then 'blank' when again then 'duplicate' when solid[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault from o),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from f group by conv_id),
+ins as (select * from (values (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) as v(p, q, a)),
+moves as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) as v(p, x, q)),
+kinds as (select distinct initial, fault from f),
+edits as (select initial, fault, p, p as q, 3 as cost, 'D' as a from kinds, (values (0), (1), (2), (3)) as v(p)
+  union all select initial, fault, p, q, case when fault = 'truncated' then 1 else 0 end + case when x = initial then 0 else 2 end, case when x = initial then 'K' else 'R' end from kinds, moves where fault not in ('blank', 'duplicate') and (x = initial or x <> 's')),
+steps as (select e.initial, e.fault, i.p, e.q, 2 * length(i.a) + e.cost as cost, i.a || e.a as a from edits e join ins i on i.q = e.p),
+dp as (select conv_id, 0::bigint as i, 0 as place, 0::bigint as cost, '' as audit from counts
+  union all select conv_id, i, place, cost, audit from (select dp.conv_id, f.i, s.q as place, dp.cost + s.cost as cost, dp.audit || s.a as audit from dp join f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1 join steps s on s.initial = f.initial and s.fault = f.fault and s.p = dp.place) qualify row_number() over (partition by conv_id, place order by cost, audit) = 1),
+done as (select dp.conv_id, dp.cost + 2 * length(ins.a) as cost, dp.audit || ins.a as audit from dp join counts c on c.conv_id is not distinct from dp.conv_id and c.n = dp.i join ins on ins.p = dp.place where ins.q in (0, 3) qualify row_number() over (partition by dp.conv_id order by dp.cost + 2 * length(ins.a), dp.audit || ins.a) = 1),
+marks as (select conv_id, j, audit[j] as e, length(replace(audit[:j], 'I', '')) as i, length(replace(audit[:j], 'D', '')) as out from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as j from done)),
+lines as (select m.conv_id, j, e, out, role, text, max(case when out = 1 and e = 'K' and initial = 's' then 1 else 0 end) over (partition by m.conv_id) as sys from marks m left join f on e <> 'I' and f.conv_id is not distinct from m.conv_id and f.i = m.i where e <> 'D'),
+texts as (select conv_id, string_agg(case when e = 'K' then role when (out - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by j) as repaired from lines group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counts n on n.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id left join texts t on t.conv_id is not distinct from c.conv_id
+"""
+
+ORACLE_SQL = {"op1_quality_rules": _OP1, "op11_filter_interactions": _OP11, "op13_conversation_repair": _OP13}
