@@ -14,7 +14,7 @@ ALWAYS = ["vwap", "trade_count", "buy_volume", "sell_volume", "avg_spread", "spr
 
 def liquidation_volume(liq: DataFrame) -> DataFrame:
     """liq_short_vol (bought back) and liq_long_vol per minute of rows (exchange, symbol, trade_time, last_filled_quantity, side)."""
-    q, buy = F.col("last_filled_quantity"), F.upper("side") == "BUY"
+    q, buy = F.col("last_filled_quantity"), F.col("side") == "BUY"
     return liq.withColumn("timestamp", X.close_ts(F.col("trade_time"))).groupBy(*KEY).agg(F.sum(F.when(buy, q).otherwise(0.0)).alias("liq_short_vol"), F.sum(F.when(buy, 0.0).otherwise(q)).alias("liq_long_vol"))
 
 

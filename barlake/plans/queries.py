@@ -76,19 +76,19 @@ query("A3_A5_A6_A7_A8_A9_footprint", "d", _FOOT)(lambda s, d: rounded(trades.foo
 
 # the book
 _CONT = "select symbol, seq, final_update_id, reset, epoch::bigint as epoch from cont_v"
-query("W10_book_continuity", "book", _CONT)(lambda s, d: book.continuity(A.book(s, d)).select("symbol", "seq", "final_update_id", "reset", F.col("epoch").cast("long").alias("epoch")))
+query("W10_book_continuity", "book", _CONT)(lambda s, d: book.continuity(A.book(s, d), 500).select("symbol", "seq", "final_update_id", "reset", F.col("epoch").cast("long").alias("epoch")))
 _DEPTH = "select symbol, seq, " + _r("bid_depth", "ask_depth") + ", warm from depth_v"
-query("W11_W13_book_depth", "book", _DEPTH)(lambda s, d: rounded(book.depth(A.book(s, d)).select("symbol", "seq", "bid_depth", "ask_depth", "warm")))
-query("W12_best_bid_ask", "book", "select symbol, seq, best_bid, best_ask from best_v")(lambda s, d: book.best_bid_ask(book.depth(A.book(s, d)), 500))
+query("W11_W13_book_depth", "book", _DEPTH)(lambda s, d: rounded(book.depth(A.book(s, d), 500).select("symbol", "seq", "bid_depth", "ask_depth", "warm")))
+query("W12_best_bid_ask", "book", "select symbol, seq, best_bid, best_ask from best_v")(lambda s, d: book.best_bid_ask(A.book(s, d), 500))
 _STATS = """select symbol, timestamp, count(*)::bigint as n_samples, round(coalesce(avg(x), 0), 5) as avg_spread, round(coalesce(stddev_samp(x), 0), 5) as spread_std_dev,
   case when round(avg(bid_depth) + avg(ask_depth), 9) > 0 then round((avg(bid_depth) - avg(ask_depth)) / (avg(bid_depth) + avg(ask_depth)), 5) else 0 end as depth_imbalance,
   case when round(avg(bid_depth) + avg(ask_depth), 9) > 0 then round(avg(ask_depth) / (avg(bid_depth) + avg(ask_depth)), 5) else 0 end as depth_ratio
 from (select d.symbol, (event_time // 60000 + 1) * 60000 as timestamp, bid_depth, ask_depth, case when best_bid > 0 and best_ask > best_bid then (best_ask - best_bid) / best_bid * 10000 end as x
   from depth_v d join best_v b on d.symbol = b.symbol and d.seq = b.seq where warm) group by all"""
-query("A10_A11_W14_book_stats", "book", _STATS)(lambda s, d: rounded(book.book_stats(A.book(s, d)), 5))
+query("A10_A11_W14_book_stats", "book", _STATS)(lambda s, d: rounded(book.book_stats(A.book(s, d), 500), 5))
 _PROF = """select 'event_type' as what, event_type as value, count(*)::bigint as n from book_v group by all union all select 'side', side, count(*) from book_v group by all
 union all select 'id_break', 'rows', count(*) filter (where l <> prev_final_update_id) from (select *, lag(final_update_id) over (partition by symbol order by seq) as l from book_v)"""
-query("A39_profile_book", "book", _PROF)(lambda s, d: book.profile_book(A.book(s, d)))
+query("A39_profile_book", "book", _PROF)(lambda s, d: book.profile_book(A.book(s, d), 500))
 
 # parts and carries
 _LIQ = f"select {K}, round(sum(case when side = 'BUY' then last_filled_quantity else 0 end), 6) as liq_short_vol, round(sum(case when side = 'BUY' then 0 else last_filled_quantity end), 6) as liq_long_vol from liq_v group by all"
@@ -739,16 +739,133 @@ query("R10_funding_on_change", "fund", "select symbol, time as ts, round(rate, 6
 
 def _rates(s, d):
     f = A.funding(s, d).select("symbol", F.col("time").alias("ts"), F.round("rate", 4).alias("rate"))
-    return _run_append(s, live.funding_on_change(s.readStream.schema(f.schema).parquet(_written(s, f.coalesce(1), "rates"))))
+    return _run_append(s, live.funding_on_change(s.readStream.schema(f.schema).parquet(_written(s, f, "rates"))))
 
 
-query("R4_R3_live_book", "book", """with l as (select *, quantity - lag(quantity, 1, 0.0) over (partition by symbol, side, price order by seq) as delta from book_v), w as (select symbol, (event_time // 60000 + 1) * 60000 as timestamp, sum(case when side = 'bid' then delta else 0 end) over p as b, sum(case when side = 'ask' then delta else 0 end) over p as a from l window p as (partition by symbol order by seq))
-select symbol::varchar as symbol, timestamp, count(*)::bigint as n_samples, round(coalesce((sum(b) - sum(a)) / nullif(sum(b) + sum(a), 0), 0), 5) as depth_imbalance, round(coalesce(sum(a) / nullif(sum(b) + sum(a), 0), 0), 5) as depth_ratio from w group by all""")(lambda s, d: rounded(_live_book(s, d).select("symbol", "timestamp", "n_samples", "depth_imbalance", "depth_ratio"), 5))
+def _live_book_sql(rows: str) -> str:
+    """Bars of book updates: depths by running sums of changes, best prices by the lives of levels, both anew after a reset."""
+    return f"""with u as (select *, sum(case when control = 'depth_reset' then 1 else 0 end) over (partition by symbol order by seq) as epoch from ({rows})),
+l as (select *, (price * 10000)::bigint as level, quantity - lag(quantity, 1, 0.0) over w as delta, lead(seq) over w as nxt from u where control is null window w as (partition by symbol, epoch, side, price order by seq)),
+d as (select *, sum(case when side = 'bid' then delta else 0 end) over w as b, sum(case when side = 'ask' then delta else 0 end) over w as a from l window w as (partition by symbol, epoch order by seq)),
+v as (select symbol, epoch, side, level, seq as lo, coalesce(nxt, max(seq) over (partition by symbol, epoch) + 1) as hi, quantity from l),
+x as (select d.symbol, d.seq, coalesce(max(case when v.side = 'bid' then v.level end), 0) / 1e4 as bb, coalesce(min(case when v.side = 'ask' then v.level end), 0) / 1e4 as ba from d left join v on v.quantity <> 0 and v.symbol = d.symbol and v.epoch = d.epoch and v.lo <= d.seq and d.seq < v.hi group by all),
+book_bars as (select d.symbol, (event_time // 60000 + 1) * 60000 as timestamp, count(*)::bigint as n_samples, coalesce(avg(case when bb > 0 and ba > bb then (ba - bb) / bb * 10000 end), 0) as avg_spread, coalesce(stddev_samp(case when bb > 0 and ba > bb then (ba - bb) / bb * 10000 end), 0) as spread_std_dev,
+  case when round(sum(b) + sum(a), 9) > 0 then (sum(b) - sum(a)) / (sum(b) + sum(a)) else 0 end as depth_imbalance, case when round(sum(b) + sum(a), 9) > 0 then sum(a) / (sum(b) + sum(a)) else 0 end as depth_ratio from d join x on d.symbol = x.symbol and d.seq = x.seq group by all)"""
 
 
-def _live_book(s, d):
-    b = A.book(s, d).select(F.col("symbol").cast("string").alias("symbol"), "seq", "event_time", F.lit(None).cast("string").alias("control"), "side", "price", "quantity")
-    return live.book_bars(_run_append(s, live.live_book(s.readStream.schema(b.schema).parquet(_written(s, b.coalesce(1), "updates")))))
+_BOOK_COLS = "round(avg_spread, 5) as avg_spread, round(spread_std_dev, 5) as spread_std_dev, round(depth_imbalance, 5) as depth_imbalance, round(depth_ratio, 5) as depth_ratio"
+query("R4_R3_live_book", "book", _live_book_sql("select symbol::varchar as symbol, seq, event_time, null as control, side, price, quantity from book_v") + f" select symbol, timestamp, n_samples, {_BOOK_COLS} from book_bars")(lambda s, d: rounded(_live_book(s, d, None), 5))
+_RESETS = "select symbol::varchar as symbol, seq, event_time, case when seq % 400 = 150 then 'depth_reset' end as control, side, price, quantity from book_v"
+query("R4_R5_live_book_resets", "book", _live_book_sql(_RESETS) + f" select symbol, timestamp, n_samples, {_BOOK_COLS} from book_bars")(lambda s, d: rounded(_live_book(s, d, F.when(F.col("seq") % 400 == 150, "depth_reset")), 5))
+
+
+def _live_book(s, d, control):
+    """The book as a stream that stops halfway and starts again from its state."""
+    control = F.lit(None).cast("string") if control is None else control
+    b = A.book(s, d).select(F.col("symbol").cast("string").alias("symbol"), "seq", "event_time", control.alias("control"), "side", "price", "quantity")
+    first = F.col("seq") <= 1000
+    return live.book_bars(_run_in_steps(s, [b.where(first), b.where(~first)], live.live_book))
+
+
+def _run_in_steps(s, slices: list[DataFrame], of, log: bool = False) -> DataFrame:
+    """What ``of`` makes of a stream whose ``slices`` come one by one, the query ending and starting again between them."""
+    path, out, progress = new_path(s, "slices"), new_path(s, "rows"), new_path(s, "progress")
+    for x in slices:
+        x.write.mode("append").parquet(path)
+        stream = of(s.readStream.schema(x.schema).parquet(path))
+        if log:
+            live.append_log(stream, out, progress, {"availableNow": True}, "append").awaitTermination()
+        else:
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+    return s.read.parquet(out) if log else s.read.schema(stream.schema).parquet(out)
+
+
+# whole live bars: events of every type, told apart by number and minute, so that some minutes have depth alone
+_MIXED = """mixed_v as (select *, case when trade_time // 60000 % 7 = 0 then 4 else trade_id % 6 end as k, trade_id % 3 as b, case when trade_id % 2 = 0 then 'bid' else 'ask' end as book_side, (case when trade_id % 2 = 0 then 99 - trade_id // 2 % 20 else 101 + trade_id // 2 % 20 end)::double as book_price,
+  case when trade_id % 7 = 0 then 0 else quantity end as book_quantity, case when trade_id % 500 = 10 then 'depth_reset' end as control from dense_v)"""
+
+
+def _kind():
+    return F.when(F.expr("trade_time div 60000 % 7 = 0"), 4).otherwise(F.col("trade_id") % 6)
+
+
+def _mixed_events(trades: DataFrame) -> DataFrame:
+    """Events of ``trades``' rows."""
+    v, b = F.col("quantity"), F.col("trade_id") % 3
+    k = {0: "open_interest", 1: "funding_rate", 2: "liquidation", 3: "trade", 4: "orderbook_update", 5: "orderbook_update"}
+    kind = F.create_map(*[F.lit(x) for kv in k.items() for x in kv])[_kind().cast("int")]
+    pay = {
+        "trade": F.struct(F.col("price"), v.alias("quantity"), F.lit("buy").alias("side"), (b == 0).alias("is_buyer_maker"), F.lit(1).alias("trade_count")), "liquidation": F.struct(F.when(b == 0, "BUY").otherwise("SELL").alias("side"), v.alias("quantity"), F.col("price")),
+        "funding_rate": F.struct((v / 1e6).alias("rate"), F.lit(0).cast("long").alias("next_time")), "open_interest": F.struct(v.alias("value")),
+    }
+    return trades.select("exchange", "symbol", kind.alias("type"), F.col("trade_time").alias("timestamp"), *[F.when(kind == c, p.cast(messages.PAYLOADS[c])).otherwise(F.lit(None).cast(messages.PAYLOADS[c])).alias(c) for c, p in pay.items()])
+
+
+def _book_updates(trades: DataFrame) -> DataFrame:
+    """Book updates of ``trades``' rows."""
+    n = F.col("trade_id")
+    price = F.when(n % 2 == 0, 99 - F.expr("trade_id div 2 % 20")).otherwise(101 + F.expr("trade_id div 2 % 20")).cast("double")
+    t = trades.where(_kind() >= 4)
+    return t.select("symbol", n.alias("seq"), F.col("trade_time").alias("event_time"), F.when(n % 500 == 10, "depth_reset").alias("control"), F.when(n % 2 == 0, "bid").otherwise("ask").alias("side"), price.alias("price"), F.when(n % 7 == 0, 0.0).otherwise(F.col("quantity")).alias("quantity"))
+
+
+def _mixed_logs(s, d):
+    """The logs of flow, levels and book parts of the mixed stream."""
+    t = _trades_stream(s, d)
+    flow = _run(s, live.live_minute_bars(_mixed_events(t.where(_kind() < 4)), "1 day"))
+    levels = _run(s, live.live_levels(t.where(_kind() == 3), "1 day"))
+    return flow, levels, _run_append(s, live.live_book(_book_updates(t)))
+
+
+def _mixed_status(s, d):
+    """The liquidation feed's changes, every twenty minutes of each third."""
+    h = A.dense_trades(s, d).select(F.expr("trade_time div 1200000").alias("h")).where("h % 3 = 0").distinct()
+    return h.select((F.col("h") * 1_200_000 + 1000).alias("ts"), (F.row_number().over(Window.orderBy("h")) % 2 == 1).alias("connected"))
+
+
+_WHOLE = (
+    f"""with {_MIXED}, st as (select ts, k % 2 = 1 as connected, lead(ts) over (order by ts) as until from (select h * 1200000 + 1000 as ts, row_number() over (order by h) as k from (select distinct trade_time // 1200000 as h from dense_v where trade_time // 1200000 % 3 = 0))),
+mt_v as (select * from mixed_v where k = 3), """
+    + _live_book_sql("select symbol, trade_id as seq, trade_time as event_time, control, book_side as side, book_price as price, book_quantity as quantity from mixed_v where k >= 4")[5:]
+    + f""", foot as ({_FOOT.replace('dense_v', 'mt_v')}),
+flow as (select {K}, count(*) filter (where k = 3)::bigint as trade_count, coalesce(sum(quantity) filter (where k = 3 and b > 0), 0) as buy_volume, coalesce(sum(quantity) filter (where k = 3 and b = 0), 0) as sell_volume, coalesce(sum(price * quantity) filter (where k = 3) / nullif(sum(quantity) filter (where k = 3), 0), 0) as vwap,
+  arg_max(quantity, trade_time) filter (where k = 0) as oi, arg_max(quantity / 1e6, trade_time) filter (where k = 1) as fr, coalesce(sum(quantity) filter (where k = 2 and b = 0), 0) as s_vol, coalesce(sum(quantity) filter (where k = 2 and b > 0), 0) as l_vol from mixed_v where k < 4 group by all),
+j as (select coalesce(f.exchange, 'test') as exchange, coalesce(f.symbol, x.symbol) as symbol, coalesce(f.timestamp, x.timestamp) as timestamp, f.* exclude (exchange, symbol, timestamp), x.* exclude (symbol, timestamp) from flow f full join book_bars x on f.symbol = x.symbol and f.timestamp = x.timestamp),
+c as (select *, last_value(oi ignore nulls) over w as open_interest, last_value(fr ignore nulls) over w as funding_rate, exists (select 1 from st where connected and st.ts <= j.timestamp and (until is null or j.timestamp < until)) as cov from j window w as (partition by symbol order by timestamp))
+select c.exchange, c.symbol, c.timestamp, coalesce(trade_count, 0)::bigint as trade_count, round(coalesce(buy_volume, 0), 6) as buy_volume, round(coalesce(sell_volume, 0), 6) as sell_volume, round(coalesce(vwap, 0), 6) as vwap, round(coalesce(avg_spread, 0), 5) as avg_spread, round(coalesce(spread_std_dev, 0), 5) as spread_std_dev,
+  round(coalesce(depth_imbalance, 0), 5) as depth_imbalance, round(coalesce(depth_ratio, 0), 5) as depth_ratio, round(open_interest, 6) as open_interest, round(open_interest - lag(open_interest) over w, 6) as open_interest_change, round(funding_rate, 10) as funding_rate, round(funding_rate - lag(funding_rate) over w, 10) as funding_rate_change,
+  case when cov then round(coalesce(l_vol, 0), 6) end as liq_long_vol, case when cov then round(coalesce(s_vol, 0), 6) end as liq_short_vol, case when cov then 1 else 0 end as liq_covered, {", ".join("foot." + c for c in trades.FOOTPRINT)}
+from c left join foot on foot.symbol = c.symbol and foot.timestamp = c.timestamp window w as (partition by c.symbol order by c.timestamp)"""
+)
+_DIGITS = {"avg_spread": 5, "spread_std_dev": 5, "depth_imbalance": 5, "depth_ratio": 5, "funding_rate": 10, "funding_rate_change": 10, "trade_price_std": 3}
+
+
+def _whole_rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, _DIGITS.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+query("R1_live_orderbook_bars", "d", _WHOLE)(lambda s, d: _whole_rounded(live.whole_bars(*_mixed_logs(s, d), _mixed_status(s, d), "test")))
+_ORDERED = f"""with {_MIXED}, e as (select *, trade_id % 10 = 3 as slow from mixed_v), t as (select max(trade_time) filter (where not slow) as t1, max(trade_time) as t2 from e), x as (select e.*, slow and timestamp <= t1 - 60000 as late, timestamp <= t2 - 60000 as done from e, t),
+g as (select {K}, late, count(*) as n, count(*) filter (where k = 3)::bigint as trade_count, coalesce(sum(quantity) filter (where k = 3 and b > 0), 0) as buy_volume, coalesce(sum(quantity) filter (where k = 3 and b = 0), 0) as sell_volume, coalesce(sum(price * quantity) filter (where k = 3) / nullif(sum(quantity) filter (where k = 3), 0), 0) as vwap,
+  coalesce(sum(quantity) filter (where k = 2 and b = 0), 0) as liq_short_vol, coalesce(sum(quantity) filter (where k = 2 and b > 0), 0) as liq_long_vol, arg_max(quantity, trade_time) filter (where k = 0) as oi, arg_max(quantity / 1e6, trade_time) filter (where k = 1) as fr from x where done group by all),
+c as (select *, last_value(oi ignore nulls) over w as open_interest, last_value(fr ignore nulls) over w as funding_rate from g where not late window w as (partition by symbol order by timestamp)),
+o as (select *, open_interest - lag(open_interest) over w as open_interest_change, funding_rate - lag(funding_rate) over w as funding_rate_change from c window w as (partition by symbol order by timestamp)), l as (select * from g where late)
+select coalesce(o.exchange, l.exchange) as exchange, coalesce(o.symbol, l.symbol) as symbol, coalesce(o.timestamp, l.timestamp) as timestamp, greatest(coalesce(o.trade_count, 0), coalesce(l.trade_count, 0)) as trade_count,
+  {", ".join(f"round(case when o.symbol is null or (l.trade_count >= o.trade_count and l.trade_count > 0) then l.{c} else o.{c} end, 6) as {c}" for c in ("buy_volume", "sell_volume", "vwap"))}, round(coalesce(l.liq_long_vol, o.liq_long_vol), 6) as liq_long_vol, round(coalesce(l.liq_short_vol, o.liq_short_vol), 6) as liq_short_vol,
+  round(coalesce(l.oi, o.open_interest), 6) as open_interest, round(o.open_interest_change, 6) as open_interest_change, round(coalesce(l.fr, o.funding_rate), 10) as funding_rate, round(o.funding_rate_change, 10) as funding_rate_change, coalesce(l.n, 0)::bigint as n_late
+from o full join l on o.symbol = l.symbol and o.timestamp = l.timestamp"""
+query("R2_R3_ordered_minutes", "d", _ORDERED)(lambda s, d: _whole_rounded(_ordered(s, d)))
+
+
+def _ordered(s, d):
+    """A tenth of the rows come when their minutes are long closed; what minutes hold then, and how many rows were late."""
+    t, slow = A.dense_trades(s, d), F.col("trade_id") % 10 == 3
+    events = [_mixed_events(t.where(~slow)), _mixed_events(t.where(slow))]
+    log = _run_in_steps(s, events, lambda stream: live.ordered_minutes(stream, watermark=60 * DAY), log=True)
+    zeros = {c: F.lit(0.0) for c in ("avg_spread", "spread_std_dev", "depth_imbalance", "depth_ratio")}
+    bars_ = live.fold_log(log.withColumn("seq", 2 * F.col("seq") + F.col("late").cast("int")).withColumns(zeros).drop("late", "n_rows", "depth_samples")).drop(*zeros)
+    k = ["exchange", "symbol", "timestamp"]
+    return bars_.join(live.late_rows(log), k, "left").withColumn("n_late", F.coalesce("n_late", F.lit(0)))
 
 
 query("R7_liq_coverage", "pb", f"with st as (select ms as ts, k % 2 = 0 as connected, lead(ms) over (order by ms) as until from (select h * {H} + 1000 as ms, row_number() over (order by h) as k from (select distinct timestamp // {H} as h from price_bars_v where timestamp // {H} % 5 = 0))) select {K}, case when exists (select 1 from st where connected and st.ts <= p.timestamp and (until is null or p.timestamp < until)) then 1 else 0 end as liq_covered from price_bars_v p")(

@@ -6,17 +6,19 @@ fold of that log, so two queries never rewrite one table.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from barlake.operators import bars as B
 from barlake.operators import tables
 from barlake.operators import trades as T
+from barlake.operators.book import best_of_chunk, depths_of_chunk, level_runs
 from barlake.scratch import new_path
 
 WATERMARK = "1 minute"
@@ -41,7 +43,7 @@ def live_minute_bars(events: DataFrame, watermark: str = WATERMARK) -> DataFrame
         F.sum(F.when(has, n).otherwise(0)).cast("long").alias("trade_count"), F.sum(F.when(has & ~sell, q).otherwise(0.0)).alias("buy_volume"), F.sum(F.when(has & sell, q).otherwise(0.0)).alias("sell_volume"),
         F.sum(F.when(has, t["price"] * q)).alias("pq"), F.sum(F.when(has, q)).alias("q"),
         F.max_by(F.col("open_interest")["value"], F.when(F.col("type") == "open_interest", F.col("timestamp"))).alias("open_interest"), F.max_by(F.col("funding_rate")["rate"], F.when(F.col("type") == "funding_rate", F.col("timestamp"))).alias("funding_rate"),
-        F.sum(F.when((F.col("type") == "liquidation") & (F.upper(liq["side"]) == "BUY"), liq["quantity"])).alias("liq_short_vol"), F.sum(F.when((F.col("type") == "liquidation") & (F.upper(liq["side"]) != "BUY"), liq["quantity"])).alias("liq_long_vol"),
+        F.sum(F.when((F.col("type") == "liquidation") & (liq["side"] == "BUY"), liq["quantity"])).alias("liq_short_vol"), F.sum(F.when((F.col("type") == "liquidation") & (liq["side"] != "BUY"), liq["quantity"])).alias("liq_long_vol"),
     )
     vwap = F.when(F.col("q") != 0, F.try_divide("pq", "q")).otherwise(0.0)
     return _close(g.withColumn("vwap", F.coalesce(vwap, F.lit(0.0))).drop("pq", "q"))
@@ -74,81 +76,94 @@ def fold_latest(log: DataFrame) -> DataFrame:
     return log.groupBy(*T.KEY).agg(F.max_by(F.struct(*names), "seq").alias("v")).select(*T.KEY, "v.*")
 
 
-BOOK_OUT = "symbol string, timestamp long, n long, spread_sum double, spread_sq double, spread_n long, bid_sum double, ask_sum double"
+def state_store(spark: SparkSession) -> None:
+    """State by key and timers need the RocksDB store; another one that the caller has set stays."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state."
+    if spark.conf.get(name) == kind + "HDFSBackedStateStoreProvider":  # Spark's own
+        spark.conf.set(name, kind + "RocksDBStateStoreProvider")
+
+
+BOOK_OUT = "symbol string, timestamp long, n long, spread_n long, spread_mean double, spread_m2 double, bid_sum double, ask_sum double"
+
+
+class BookState(StatefulProcessor):
+    """The live levels of a symbol, each a state entry of its own: a batch reads them once and writes those it changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "side string, level bigint", "quantity double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        reset = (f["control"] == "depth_reset").to_numpy()
+        epoch = np.cumsum(reset)[~reset]
+        f = f[~reset]
+        old = {k: q[0] for k, q in self.levels.iterator()} if self.levels.exists() else {}
+        bid = np.array([s == "bid" for s, _ in old] + (f["side"] == "bid").tolist(), np.int64)
+        level = np.concatenate([np.array([v for _, v in old], np.int64), (f["price"].to_numpy(float) * 10000).astype(np.int64)])
+        quantity = np.concatenate([np.array(list(old.values()), float), f["quantity"].to_numpy(float)])
+        epoch = np.concatenate([np.zeros(len(old), np.int64), epoch]).astype(np.int64)
+        if reset.any():
+            self.levels.clear()
+            old = {}
+        order, same = level_runs(epoch, bid, level)
+        now = order[np.append(~same, True)] if len(order) else order
+        for i in now[epoch[now] == reset.sum()]:
+            at, q = ("bid" if bid[i] else "ask", int(level[i])), float(quantity[i])
+            if q == 0:
+                if at in old:
+                    self.levels.removeKey(at)
+            elif old.get(at) != q:
+                self.levels.updateValue(at, (q,))
+        if len(f):
+            yield self.parts(key[0], f["event_time"].to_numpy(), len(quantity) - len(f), epoch, bid, level, quantity)
+
+    def parts(self, symbol: str, at: np.ndarray, held: int, epoch: np.ndarray, bid: np.ndarray, level: np.ndarray, quantity: np.ndarray) -> pd.DataFrame:
+        """Counts, depth sums and the moments of the spread per minute of the rows after the first ``held``."""
+        x, y = best_of_chunk(epoch, bid, level, quantity)
+        b, a = depths_of_chunk(epoch, bid, level, quantity)
+        x, y, b, a = x[held:], y[held:], b[held:], a[held:]
+        good = (x > 0) & (y > x)
+        bps = np.where(good, (y - x) / np.where(good, x, 1.0) * 10000, np.nan)
+        g = pd.DataFrame({"timestamp": (at // 60_000 + 1) * 60_000, "bps": bps, "bid": b, "ask": a}).groupby("timestamp")
+        out = g.agg(n=("bid", "size"), spread_n=("bps", "count"), spread_mean=("bps", "mean"), bid_sum=("bid", "sum"), ask_sum=("ask", "sum"))
+        out["spread_m2"] = g["bps"].agg(lambda v: ((v - v.mean()) ** 2).sum())
+        out = out.fillna({"spread_mean": 0.0}).reset_index()
+        out["symbol"] = symbol
+        return out[[c.split()[0] for c in BOOK_OUT.split(", ")]]
 
 
-class Book:
-    """Levels of one symbol: sums of both sides, and the best prices from heaps whose dead entries go when they come up."""
-
-    def __init__(self, sides=(), prices=(), quantities=()) -> None:
-        self.levels: dict[tuple[str, int], float] = {}
-        self.heaps: dict[str, list[int]] = {"bid": [], "ask": []}
-        self.sums = {"bid": 0.0, "ask": 0.0}
-        for side, price, quantity in zip(sides, prices, quantities):
-            self.put(side, price, quantity)
+def live_book(updates: DataFrame) -> DataFrame:
+    """Partial depth sums and spread moments per (symbol, minute close) of rows (symbol, seq, event_time, control, side, price,
+    quantity). A symbol's levels are state kept over minutes and restarts; a row with control ``depth_reset``
+    empties them. Rows of a batch go by seq, however they are split. Parts of a minute from several batches merge."""
+    state_store(updates.sparkSession)
+    return updates.groupBy("symbol").transformWithStateInPandas(BookState(), BOOK_OUT, "append", "None")
 
-    def put(self, side: str, price: int, quantity: float) -> None:
-        old = self.levels.get((side, price))
-        self.sums[side] += quantity - (old or 0.0)
-        if quantity == 0:
-            self.levels.pop((side, price), None)
-        else:
-            self.levels[side, price] = quantity
-            if old is None:
-                heapq.heappush(self.heaps[side], -price if side == "bid" else price)
 
-    def best(self, side: str) -> int:
-        heap, sign = self.heaps[side], -1 if side == "bid" else 1
-        while heap and (side, sign * heap[0]) not in self.levels:
-            heapq.heappop(heap)
-        return sign * heap[0] if heap else 0
+def merged_moments(parts: str) -> Column:
+    """(n, mean, m2) of an array of such parts, merged pair by pair, so that no large squares cancel."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d, share = b["mean"] - a["mean"], F.try_divide(b["n"], n)
+        both = F.struct(n.alias("n"), (a["mean"] + d * share).alias("mean"), (a["m2"] + b["m2"] + d * d * share * a["n"]).alias("m2"))
+        return F.when(b["n"] == 0, a).otherwise(both)
 
-def live_book(updates: DataFrame) -> DataFrame:
-    """Partial depth and spread sums per (symbol, minute close) of rows (symbol, seq, event_time, control, side, price,
-    quantity). The book of a symbol is state kept over minutes; a row with control ``depth_reset``
-    empties it. Parts of a minute from several batches add up."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book = Book(*state.get) if state.exists else Book()
-        acc: dict[int, list[float]] = {}
-        for f in sorted_rows(frames):
-            if f.control == "depth_reset":
-                book = Book()
-                continue
-            book.put(f.side, int(f.price * 10000), f.quantity)
-            m = (f.event_time // 60_000 + 1) * 60_000
-            a = acc.setdefault(m, [0, 0.0, 0.0, 0, 0.0, 0.0])
-            a[0] += 1
-            a[4] += book.sums["bid"]
-            a[5] += book.sums["ask"]
-            bid, ask = book.best("bid"), book.best("ask")
-            if ask > bid > 0:
-                x = (ask - bid) / bid * 10000
-                a[1] += x
-                a[2] += x * x
-                a[3] += 1
-        keys = list(book.levels)
-        state.update(([k[0] for k in keys], [k[1] for k in keys], [book.levels[k] for k in keys]))
-        yield pd.DataFrame([(key[0], m, a[0], a[1], a[2], a[3], a[4], a[5]) for m, a in acc.items()], columns=["symbol", "timestamp", "n", "spread_sum", "spread_sq", "spread_n", "bid_sum", "ask_sum"])
-
-    return updates.groupBy("symbol").applyInPandasWithState(run, BOOK_OUT, "sides array<string>, prices array<bigint>, qtys array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def sorted_rows(frames: Iterator[pd.DataFrame]):
-    """Rows of one micro-batch of a symbol in the order of seq."""
-    parts = list(frames)
-    return pd.concat(parts).sort_values("seq").itertuples(index=False) if parts else []
+    return F.aggregate(parts, zero, merge)
 
 
 def book_bars(parts: DataFrame) -> DataFrame:
-    """Bars of live_book()'s parts."""
-    g = parts.groupBy("symbol", "timestamp").agg(*[F.sum(c).alias(c) for c in ("n", "spread_sum", "spread_sq", "spread_n", "bid_sum", "ask_sum")])
-    mean = F.try_divide("spread_sum", "spread_n")
-    var = F.try_divide(F.col("spread_sq") - F.col("spread_n") * mean * mean, F.col("spread_n") - 1)
+    """Bars of live_book()'s parts, of which a minute has one per batch."""
+    moments = F.struct(F.col("spread_n").alias("n"), F.col("spread_mean").alias("mean"), F.col("spread_m2").alias("m2"))
+    g = parts.groupBy("symbol", "timestamp").agg(*[F.sum(c).alias(c) for c in ("n", "bid_sum", "ask_sum")], F.collect_list(moments).alias("parts"))
+    g = g.withColumn("m", merged_moments("parts"))
     total = F.col("bid_sum") + F.col("ask_sum")
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return g.select("symbol", "timestamp", F.col("n").alias("n_samples"), z(mean).alias("avg_spread"), z(F.sqrt(F.greatest(F.lit(0.0), var))).alias("spread_std_dev"), z(F.try_divide(F.col("bid_sum") - F.col("ask_sum"), total)).alias("depth_imbalance"), z(F.try_divide(F.col("ask_sum"), total)).alias("depth_ratio"))
+    std = F.when(F.col("m.n") > 1, F.sqrt(F.try_divide(F.col("m.m2"), F.col("m.n") - 1)))
+    real = F.round(total, 9) > 0
+    share = lambda c: z(F.when(real, F.try_divide(c, total)))
+    return g.select("symbol", "timestamp", F.col("n").alias("n_samples"), F.col("m.mean").alias("avg_spread"), z(std).alias("spread_std_dev"), share(F.col("bid_sum") - F.col("ask_sum")).alias("depth_imbalance"), share(F.col("ask_sum")).alias("depth_ratio"))
 
 
 def liq_coverage(bars: DataFrame, status: DataFrame) -> DataFrame:
@@ -199,6 +214,152 @@ def funding_on_change(samples: DataFrame) -> DataFrame:
     return samples.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts long, rate double", "rate double", "append", GroupStateTimeout.NoTimeout)
 
 
+MINUTE = 60_000
+MINUTE_OUT = (
+    "exchange string, symbol string, timestamp long, late boolean, n_rows long, trade_count long, buy_volume double, sell_volume double, vwap double, liq_long_vol double, liq_short_vol double, "
+    "open_interest double, open_interest_change double, funding_rate double, funding_rate_change double, depth_samples long"
+)
+_SUMS = ["n_rows", "trades", "buy", "sell", "pq", "q", "liq_long", "liq_short", "depths"]
+_LAST = ["oi", "oi_at", "rate", "rate_at"]
+
+
+class MinuteState(StatefulProcessor):
+    """The open minutes of one symbol. A minute's timer emits it and what is open before it in order, with interest and rate
+    kept from the minute before; rows of minutes that are closed come out at once as late ones."""
+
+    def __init__(self, slack: int) -> None:
+        self.slack = slack
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.minutes = handle.getMapState("minutes", "minute bigint", ", ".join(f"{c} double" for c in _SUMS + _LAST))
+        self.carried = handle.getValueState("carried", "oi double, rate double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values("timestamp", kind="stable", ignore_index=True)
+        watermark = timerValues.getCurrentWatermarkInMs()  # 0 before any row was seen
+        closed = watermark + self.slack if watermark else 0
+        late = []
+        for minute, x in minute_sums(f).items():
+            if (minute + 1) * MINUTE <= closed:
+                late.append(self.row(key, minute, x, True, x["oi"], None, x["rate"], None))
+                continue
+            at = (int(minute),)
+            old = self.minutes.getValue(at) if self.minutes.containsKey(at) else None
+            if old is None:
+                self.handle.registerTimer((minute + 1) * MINUTE - self.slack)
+            else:
+                x = merged_sums(dict(zip(_SUMS + _LAST, old)), x)
+            self.minutes.updateValue(at, tuple(x[c] for c in _SUMS + _LAST))
+        yield self.frame(late)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() + self.slack
+        ready = sorted((k[0], v) for k, v in self.minutes.iterator() if (k[0] + 1) * MINUTE <= until) if self.minutes.exists() else []
+        oi, rate = self.carried.get() if self.carried.exists() else (None, None)
+        out = []
+        for minute, v in ready:
+            self.minutes.removeKey((minute,))
+            x = dict(zip(_SUMS + _LAST, v))
+            if not (x["trades"] > 0 or x["depths"] > 0 or x["liq_long"] > 0 or x["liq_short"] > 0 or x["oi"] is not None or x["rate"] is not None):
+                continue
+            new_oi, new_rate = oi if x["oi"] is None else x["oi"], rate if x["rate"] is None else x["rate"]
+            out.append(self.row(key, minute, x, False, new_oi, None if oi is None else new_oi - oi, new_rate, None if rate is None else new_rate - rate))
+            oi, rate = new_oi, new_rate
+        if ready:
+            self.carried.update((oi, rate))
+        yield self.frame(out)
+
+    @staticmethod
+    def row(key: tuple, minute: int, x: dict, late: bool, *carried: float | None) -> tuple:
+        vwap = x["pq"] / x["q"] if x["q"] else 0.0
+        return (*key, (minute + 1) * MINUTE, late, int(x["n_rows"]), int(x["trades"]), x["buy"], x["sell"], vwap, x["liq_long"], x["liq_short"], *carried, int(x["depths"]))
+
+    @staticmethod
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        names = [c.split()[0] for c in MINUTE_OUT.split(", ")]
+        carried = {c: "float64" for c in names if c.startswith(("open_interest", "funding_rate"))}
+        return pd.DataFrame(rows, columns=names).astype(carried)
+
+
+def minute_sums(f: pd.DataFrame) -> dict[int, dict]:
+    """Sums of each minute of flat events in their order, and its last interest and rate with their times."""
+    kind = f["type"]
+    trade, liq = kind == "trade", kind == "liquidation"
+    part = pd.DataFrame({"minute": f["timestamp"] // MINUTE, "n_rows": 1.0})
+    part["trades"] = f["n"].where(trade, 0.0)
+    for name, on in (("buy", trade & ~f["sell"]), ("sell", trade & f["sell"]), ("q", trade), ("liq_long", liq & f["sell"]), ("liq_short", liq & ~f["sell"])):
+        part[name] = f["quantity"].where(on, 0.0)
+    part["pq"] = (f["price"] * f["quantity"]).where(trade, 0.0)
+    part["depths"] = (kind == "orderbook_update").astype(float)
+    sums = part.groupby("minute")[_SUMS].sum()
+    out = {int(m): x for m, x in zip(sums.index, sums.to_dict("records"))}
+    for name, on in (("oi", kind == "open_interest"), ("rate", kind == "funding_rate")):
+        last = pd.DataFrame({"minute": part["minute"], "v": f["value"], "at": f["timestamp"]})[on].groupby("minute").last()
+        for m, x in out.items():
+            known = m in last.index
+            x[name], x[f"{name}_at"] = (float(last.at[m, "v"]), float(last.at[m, "at"])) if known else (None, None)
+    return out
+
+
+def merged_sums(a: dict, b: dict) -> dict:
+    out = {c: a[c] + b[c] for c in _SUMS}
+    for name in ("oi", "rate"):
+        at = f"{name}_at"
+        newer = b if a[at] is None or (b[at] is not None and b[at] >= a[at]) else a
+        out[name], out[at] = newer[name], newer[at]
+    return out
+
+
+def ordered_minutes(events: DataFrame, lateness: int = MINUTE, watermark: int = 86_400_000) -> DataFrame:
+    """Bars of each symbol's minutes in their order, by timers of event time: a minute closes ``lateness`` ms after its end, as
+    the newest event of all tells. Minutes without a trade, depth sample, interest, rate or liquidation are skipped.
+    Rows of closed minutes come out as partial bars with ``late`` set and n_rows saying how many they were; only those
+    ``watermark`` ms behind the newest event are dropped by Spark, which counts them itself. What is open when the
+    stream stops stays in its state. A symbol's open minutes are one task's; its events arrive there as flat rows."""
+    state_store(events.sparkSession)
+    t, liq, book = F.col("trade"), F.col("liquidation"), F.col("type")
+    pick = lambda a, b: F.when(book == "trade", a).when(book == "liquidation", b)
+    flat = events.select(
+        "exchange", "symbol", "type", "timestamp", F.timestamp_millis("timestamp").alias("at"), F.greatest(F.coalesce(t["trade_count"], F.lit(1)), F.lit(1)).cast("double").alias("n"), F.coalesce(t["price"], F.lit(0.0)).alias("price"),
+        F.coalesce(pick(t["quantity"], liq["quantity"]), F.lit(0.0)).alias("quantity"), F.coalesce(pick(t["is_buyer_maker"], liq["side"] != "BUY"), F.lit(False)).alias("sell"), F.coalesce(F.col("open_interest")["value"], F.col("funding_rate")["rate"]).alias("value"),
+    )
+    return flat.withWatermark("at", f"{watermark} milliseconds").groupBy("exchange", "symbol").transformWithStateInPandas(MinuteState(watermark - lateness), MINUTE_OUT, "append", "eventTime")
+
+
+def late_rows(log: DataFrame) -> DataFrame:
+    """(exchange, symbol, timestamp, n_late): how many rows came after their minute was closed."""
+    return log.where("late").groupBy(*T.KEY).agg(F.sum("n_rows").alias("n_late"))
+
+
+WHOLE = [*T.KEY, *B.ALWAYS, "open_interest", "open_interest_change", "funding_rate", "funding_rate_change", "liq_long_vol", "liq_short_vol", "liq_covered", *T.FOOTPRINT]
+
+
+def whole_bars(flow: DataFrame, levels: DataFrame, parts: DataFrame, status: DataFrame, exchange: str, since: int | None = None, until: int | None = None, carried: DataFrame | None = None) -> DataFrame:
+    """Whole bars (WHOLE) of the minutes that closed after ``since`` and up to ``until`` from the logs of live_minute_bars(),
+    live_levels() and live_book() and the feed's changes ``status``.
+
+    A minute is whole if any log has it, so one with depth alone is there. Liquidations are null where their feed was
+    down. ``carried`` (exchange, symbol, open_interest, funding_rate) is what earlier minutes leave behind, see
+    carry_of(): minutes that are closed step by step so give the same bars as all at once, and each step reads its own."""
+    mine = tables.in_range(None if since is None else since + 1, None if until is None else until + 1)
+    first = fold_latest(flow.where(mine)).select(*T.KEY, "trade_count", "buy_volume", "sell_volume", "vwap", "open_interest", "funding_rate", *[F.col(c).alias(c) for c in ("liq_long_vol", "liq_short_vol")])
+    second = fold_levels(levels.where(mine))
+    third = book_bars(parts.where(mine)).select(F.lit(exchange).alias("exchange"), "symbol", "timestamp", "avg_spread", "spread_std_dev", "depth_imbalance", "depth_ratio")
+    b = liq_coverage(B.assemble(first, second, third), status)
+    vol = lambda c: F.when(F.col("liq_covered") == 1, F.coalesce(c, F.lit(0.0))).alias(c)
+    b = b.select(*[vol(c) if c.startswith("liq_") and c != "liq_covered" else F.col(c) for c in b.columns])
+    if carried is not None:
+        b = b.unionByName(carried.withColumn("timestamp", F.lit(since).cast("long")), allowMissingColumns=True)
+    b = B.funding_carry(B.oi_carry(b)).select(*WHOLE)
+    return b if since is None else b.where(F.col("timestamp") > since)
+
+
+def carry_of(bars: DataFrame) -> DataFrame:
+    """(exchange, symbol, open_interest, funding_rate) of each symbol's last bar, for the next whole_bars()."""
+    return bars.groupBy("exchange", "symbol").agg(F.max_by(F.struct("open_interest", "funding_rate"), "timestamp").alias("v")).select("exchange", "symbol", "v.*")
+
+
 def only_newer_bars(polls: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Bars of overlapping polls, each once."""
     t = polls.withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", watermark)

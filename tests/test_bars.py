@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,8 +111,6 @@ def test_book_continuity(spark):
 
 
 def test_book_replay_over_chunks(spark):
-    import random
-
     rnd = random.Random(1)
     rows, levels, want, epoch_ids = [], {}, [], 0
     for i in range(400):
@@ -125,9 +125,44 @@ def test_book_replay_over_chunks(spark):
         rows.append((1, i, 1000 * i, "depthUpdate", side, price, qty, i + 1, prev))
         live = lambda s: [p for (x, p), q in levels.items() if x == s and q]
         want.append((max(live("bid"), default=0.0), min(live("ask"), default=0.0)))
-    deep = book.depth(spark.createDataFrame(rows, BOOK))
-    got = [(r.best_bid, r.best_ask) for r in book.best_bid_ask(deep, 37).orderBy("seq").collect()]
-    assert got == want
+    df = spark.createDataFrame(rows, BOOK)
+    for chunk in (1, 37, 10_000):
+        got = [(r.best_bid, r.best_ask) for r in book.best_bid_ask(df, chunk).orderBy("seq").collect()]
+        assert got == want
+
+
+def test_book_scan_in_two_levels(spark):
+    """Resets, epochs, depths and warmth don't depend on where chunks end, and no window runs over a symbol's rows."""
+    rnd = random.Random(4)
+    rows, ids = [], 0
+    for i in range(600):
+        ids += rnd.random() < 0.4
+        kind = "snapshot" if rnd.random() < 0.01 else rnd.choice(["depthUpdate", None])
+        side = rnd.choice(["bid", "ask"])
+        rows.append((i % 2, 7 * i, 400 * i, kind, side, rnd.randint(90, 110) + 0.0, float(rnd.choice([0, 9, 30])), ids, ids - 1 if rnd.random() < 0.97 else ids - 9))
+    df = spark.createDataFrame(rows, BOOK).repartition(6)
+    names = ["symbol", "seq", "reset", "epoch", "bid_depth", "ask_depth", "warm"]
+    want = None
+    for chunk in (10**9, 1000, 70, 7):
+        got = [tuple(r) for r in book.depth(df, chunk).select(*names).orderBy("symbol", "seq").collect()]
+        stats = [tuple(r) for r in book.book_stats(df, chunk).orderBy("symbol", "timestamp").collect()]
+        want = want or (got, stats)
+        assert got == want[0]
+        assert [pytest.approx(x) for x in want[1]] == stats
+    assert any(x[2] for x in want[0]) and any(x[6] for x in want[0]) and not all(x[6] for x in want[0])
+    assert [r.n for r in book.profile_book(df, 70).where("what = 'id_break'").collect()] == [r.n for r in book.profile_book(df, 10**9).where("what = 'id_break'").collect()]
+    assert book.depth(df.where("false")).count() == 0 and book.best_bid_ask(df.where("false")).count() == 0
+
+
+def test_interval_best():
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 7, 64, 100):
+        start = rnd.integers(0, n, 40)
+        stop = np.minimum(start + rnd.integers(1, n + 1, 40), n)
+        value = rnd.integers(1, 50, 40)
+        for largest in (True, False):
+            want = [(max if largest else min)([v for a, b, v in zip(start, stop, value) if a <= t < b], default=0) for t in range(n)]
+            assert book.interval_best(start, stop, value, n, largest).tolist() == want
 
 
 BAR = "exchange string, symbol string, timestamp long, vwap double, trade_count long, buy_volume double, sell_volume double, avg_spread double, spread_std_dev double, depth_imbalance double, depth_ratio double, open_interest double, liq_long_vol double, liq_covered int, trade_open double, trade_high double"

@@ -1,3 +1,8 @@
+import random
+import statistics
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barlake.operators import trades
@@ -20,21 +25,100 @@ def test_live_bars_equal_batch(spark, tmp_path):
     assert got == want
 
 
-def test_live_book_and_funding(spark, tmp_path):
-    src = str(tmp_path / "in")
-    cols = "symbol string, seq long, event_time long, control string, side string, price double, quantity double"
-    rows = [("s", 1, 1000, None, "bid", 99.0, 5.0), ("s", 2, 2000, None, "ask", 101.0, 3.0), ("s", 3, 61000, "depth_reset", None, None, None), ("s", 4, 62000, None, "bid", 98.0, 2.0)]
-    spark.createDataFrame(rows, cols).coalesce(1).write.json(src)
-    q = live.live_book(spark.readStream.schema(cols).json(src)).writeStream.format("memory").queryName("parts").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["timestamp"]: r for r in live.book_bars(spark.table("parts")).collect()}
-    assert got[60000].n_samples == 2 and abs(got[60000].avg_spread - 2 / 99 * 10000) < 1e-9
-    assert got[120000].depth_imbalance == 1.0 and got[120000].avg_spread == 0.0
-    src2 = str(tmp_path / "f")
-    spark.createDataFrame([("s", 1, 0.1), ("s", 2, 0.1), ("s", 3, 0.2)], "symbol string, ts long, rate double").coalesce(1).write.json(src2)
-    q = live.funding_on_change(spark.readStream.schema("symbol string, ts long, rate double").json(src2)).writeStream.format("memory").queryName("f").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.ts for r in spark.table("f").collect()) == [1, 3]
+BOOK = "symbol string, seq long, event_time long, control string, side string, price double, quantity double"
+
+
+def in_batches(spark, tmp_path, batches, schema, of):
+    """Rows that ``of`` makes of batches which come one by one, the query starting anew for each."""
+    src, out, chk = (str(tmp_path / x) for x in ("src", "out", "chk"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").json(src)
+        stream = of(spark.readStream.schema(schema).json(src))
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", chk).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def test_live_book_equals_a_plain_one(spark, tmp_path):
+    rnd = random.Random(5)
+    rows, levels, want = [], {}, {}
+    for i in range(300):
+        if i in (60, 61, 200):
+            rows.append(("s", i, 400 * i, "depth_reset", None, None, None))
+            levels = {}
+            continue
+        side, qty = rnd.choice(["bid", "ask"]), float(rnd.choice([0, 1, 2, 5]))
+        price = float(rnd.randint(90, 99) if side == "bid" else rnd.randint(99, 110))
+        levels[side, price] = qty
+        rows.append(("s", i, 400 * i, None, side, price, qty))
+        live_ = lambda s: [(p, q) for (x, p), q in levels.items() if x == s and q]
+        bid, ask = max((p for p, _ in live_("bid")), default=0), min((p for p, _ in live_("ask")), default=0)
+        m = want.setdefault((400 * i // 60_000 + 1) * 60_000, [[], [], []])
+        m[0] += [(ask - bid) / bid * 10000] if bid > 0 and ask > bid else []
+        m[1].append(sum(q for _, q in live_("bid")))
+        m[2].append(sum(q for _, q in live_("ask")))
+    parts = in_batches(spark, tmp_path, [rows[:40], rows[40:130], rows[130:]], BOOK, live.live_book)
+    got = {r["timestamp"]: r for r in live.book_bars(parts).collect()}
+    assert got.keys() == want.keys()
+    for m, (bps, bids, asks) in want.items():
+        r, b, a = got[m], statistics.mean(bids), statistics.mean(asks)
+        assert r.n_samples == len(bids) and (r.depth_imbalance, r.depth_ratio) == (pytest.approx((b - a) / (b + a)), pytest.approx(a / (b + a)))
+        assert (r.avg_spread, r.spread_std_dev) == (pytest.approx(statistics.mean(bps)), pytest.approx(statistics.stdev(bps)))
+
+
+def test_moments_dont_cancel(spark):
+    """Mean 10^4 and deviation 10^-4, in parts: squares of 10^8 would leave nothing of 10^-8."""
+    x = 1e4 + 1e-4 * np.random.default_rng(1).standard_normal(3000)
+    parts = [("s", 60_000, len(v), len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum()), 1.0, 1.0) for v in np.split(x, [10, 11, 1500])] + [("s", 60_000, 4, 0, 0.0, 0.0, 1.0, 1.0)]
+    r = live.book_bars(spark.createDataFrame(parts, live.BOOK_OUT)).first()
+    assert r.n_samples == 3004 and r.avg_spread == pytest.approx(x.mean(), abs=1e-9) and r.spread_std_dev == pytest.approx(x.std(ddof=1), rel=1e-6)
+
+
+def _event(kind, symbol, ts, **x):
+    names = ("trade", "liquidation", "funding_rate", "open_interest")
+    return ("x", kind, symbol, ts, *[x.get(n) for n in names])
+
+
+def test_minutes_close_in_order_and_late_rows_count(spark, tmp_path):
+    minute, base = 60_000, 1_704_067_200_000
+    event = lambda kind, symbol, ts, **x: _event(kind, symbol, base + ts, **x)
+    trade = lambda ts, s="s": event("trade", s, ts, trade=(10.0, 2.0, "buy", False, 1))
+    one = [trade(5000), trade(6000), event("orderbook_update", "s", 2 * minute + 5), event("open_interest", "s", minute + 5, open_interest=(7.0,)), event("liquidation", "s", 3 * minute + 5, liquidation=("BUY", 0.0, 1.0)), trade(5 * minute), trade(5 * minute, "other")]
+    two = [trade(7000), trade(8000), trade(5 * minute + 1), trade(5 * minute + 2, "other"), event("open_interest", "s", 5 * minute + 9, open_interest=(9.0,)), trade(20 * minute, "other")]
+    out = in_batches(spark, tmp_path, [one, two], EVENT, live.ordered_minutes)
+    rows = out.orderBy("symbol", "timestamp", "late").collect()
+    got = [(r.symbol, (r["timestamp"] - base) // minute, r.late, r.n_rows, r.trade_count, r.open_interest, r.open_interest_change, r.depth_samples) for r in rows]
+    # minute 4 has a liquidation of nothing and is skipped, minute 3 depth alone; two rows come 4 minutes late
+    assert got == [("other", 6, False, 2, 2, None, None, 0), ("s", 1, False, 2, 2, None, None, 0), ("s", 1, True, 2, 2, None, None, 0), ("s", 2, False, 1, 0, 7.0, None, 0), ("s", 3, False, 1, 0, 7.0, 0.0, 1), ("s", 6, False, 3, 2, 9.0, 2.0, 0)]
+    assert [tuple(r) for r in live.late_rows(out).collect()] == [("x", "s", base + minute, 2)]
+
+
+def test_whole_bars_step_by_step(spark):
+    key = "exchange string, symbol string, timestamp long"
+    m = 60_000
+    flow = spark.createDataFrame([("x", "s", m, 2, 1.0, 1.0, 10.0, 5.0, None, 0.0, 0.0, 0), ("x", "s", m, 3, 2.0, 1.0, 10.5, 6.0, 0.1, 1.0, 0.0, 1), ("x", "s", 3 * m, 1, 1.0, 0.0, 11.0, None, None, 4.0, 5.0, 1), ("x", "s", 4 * m, 1, 1.0, 0.0, 11.0, 8.0, 0.3, 4.0, 5.0, 2)], f"{key}, trade_count long, buy_volume double, sell_volume double, vwap double, open_interest double, funding_rate double, liq_long_vol double, liq_short_vol double, seq long")
+    tr = spark.createDataFrame([("x", "s", t, 10.0 + i, 1.0, i % 2 == 0, i) for i, t in enumerate([1000, 2000, 121_000])], "exchange string, symbol string, trade_time long, price double, quantity double, is_buyer_maker boolean, trade_id long")
+    levels = trades.level_histogram(tr).withColumn("seq", F.lit(0))
+    parts = spark.createDataFrame([("s", 2 * m, 3, 2, 4.0, 2.0, 9.0, 3.0), ("s", 2 * m, 1, 1, 7.0, 0.0, 3.0, 1.0)], live.BOOK_OUT)
+    status = spark.createDataFrame([(1000, True), (3 * m + 1, False)], "ts long, connected boolean")
+    whole = live.whole_bars(flow, levels, parts, status, "x")
+    assert whole.columns == live.WHOLE and len(live.WHOLE) == 33
+    want = [tuple(r) for r in whole.orderBy("timestamp").collect()]
+    r = whole.where(F.col("timestamp") == 2 * m).first()  # depth alone
+    assert (r.trade_count, r.trade_open, r.open_interest, r.open_interest_change, r.liq_long_vol, r.liq_covered) == (0, None, 6.0, 0.0, 0.0, 1) and (r.avg_spread, r.spread_std_dev) == (5.0, pytest.approx(2.0))
+    r = whole.where(F.col("timestamp") == 4 * m).first()
+    assert (r.liq_long_vol, r.liq_covered, r.open_interest_change, r.funding_rate_change) == (None, 0, 2.0, pytest.approx(0.2))
+    carried, got = None, []
+    for since, until in ((0, m), (m, 3 * m), (3 * m, 9 * m)):
+        step = live.whole_bars(flow, levels, parts, status, "x", since, until, carried).cache()
+        got += [tuple(r) for r in step.orderBy("timestamp").collect()]
+        carried = live.carry_of(step)
+    assert got == want
+
+
+def test_funding_on_change(spark, tmp_path):
+    schema = "symbol string, ts long, rate double"
+    got = in_batches(spark, tmp_path, [[("s", 2, 0.1), ("s", 1, 0.1)], [("s", 3, 0.2)]], schema, live.funding_on_change)
+    assert sorted(r.ts for r in got.collect()) == [1, 3]
 
 
 def test_live_carry(spark):
