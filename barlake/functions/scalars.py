@@ -98,3 +98,16 @@ def in_request(ts: Column, start: int, end: int) -> Column:
 
 def open_to_close_time(ts: Column, ms: int = MINUTE) -> Column:
     return ts + ms
+
+
+def merged_moments(parts: Column) -> Column:
+    """(n, mean, m2) of an array of such parts, merged pair by pair, so that no large squares cancel."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d, share = b["mean"] - a["mean"], F.try_divide(b["n"], n)
+        both = F.struct(n.alias("n"), (a["mean"] + d * share).alias("mean"), (a["m2"] + b["m2"] + d * d * share * a["n"]).alias("m2"))
+        return F.when(b["n"] == 0, a).otherwise(both)
+
+    return F.aggregate(parts, zero, merge)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions import scalars as X
+from barlake.scratch import spool
 
 #: Numbers of seq that a task scans at once.
 CHUNK = 20_000
@@ -52,9 +53,10 @@ def _with_resets(book: DataFrame, chunk: int) -> DataFrame:
 
 
 def _starts(book: DataFrame, chunk: int) -> DataFrame:
-    """(symbol, chunk_, nth_, open_): of each chunk its number among the symbol's and the epoch that is open before it."""
+    """(symbol, chunk_, nth_, open_): of each chunk its number among the symbol's and the epoch that is open before it; a
+    written table, a row for each chunk."""
     n = _with_resets(book, chunk).groupBy(*PART, "nth_").agg(F.sum(F.col("reset").cast("int")).alias("n_"))
-    return n.select(*PART, "nth_", F.coalesce(F.sum("n_").over(_in_order()), F.lit(0)).alias("open_"))
+    return spool(n.select(*PART, "nth_", F.coalesce(F.sum("n_").over(_in_order()), F.lit(0)).alias("open_")), "chunks")
 
 
 def _in_epochs(book: DataFrame, starts: DataFrame, chunk: int) -> DataFrame:
@@ -93,19 +95,22 @@ def _with_depths(rows: DataFrame) -> DataFrame:
     return b.withColumn("ripe_", F.coalesce(F.max(ripe).over(run), F.lit(False))).drop("delta_")
 
 
-def _replayable(book: DataFrame, chunk: int) -> DataFrame:
-    """depth() with the carried levels, which have no seq, and the numbers of chunks."""
+def _replayed(book: DataFrame, chunk: int) -> DataFrame:
+    """``book`` with level, both depths, ripe_, and the carried levels, which have no seq."""
     starts = _starts(book, chunk)
-    b = _with_depths(_with_carried(_in_epochs(book, starts, chunk), starts))
-    ripe = b.where("ripe_").groupBy("symbol", "epoch").agg(F.min("nth_").alias("first_"))
-    before = starts.join(ripe, (starts["symbol"] == ripe["symbol"]) & (starts["open_"] == ripe["epoch"]) & (ripe["first_"] < starts["nth_"])).select(starts["symbol"], starts["nth_"], F.lit(True).alias("was_warm_"))
-    b = b.join(before, ["symbol", "nth_"], "left")
-    return b.withColumn("warm", F.col("ripe_") | ((F.col("local_") == 0) & F.coalesce("was_warm_", F.lit(False)))).drop("was_warm_", "ripe_")
+    return _with_depths(_with_carried(_in_epochs(book, starts, chunk), starts))
 
 
 def depth(book: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """continuity() with level, bid_depth and ask_depth after each row, and warm: the epoch had a snapshot or both depths reached 100."""
-    return _replayable(book, chunk).where("seq is not null").drop("chunk_", "nth_", "local_")
+    """continuity() with level, bid_depth and ask_depth after each row, and warm: the epoch had a snapshot or both depths reached 100.
+
+    Whether an earlier chunk was warm is told by a second look at the rows, which are written to the shared folder once."""
+    b = spool(_replayed(book, chunk).where("seq is not null"), "depth")
+    ripe = b.where("ripe_").groupBy("symbol", "epoch").agg(F.min("nth_").alias("first_"))
+    open_ = b.where("local_ = 0").select("symbol", "nth_", "epoch").distinct()
+    before = open_.join(ripe, ["symbol", "epoch"]).where("first_ < nth_").select("symbol", "nth_", F.lit(True).alias("was_warm_"))
+    b = b.join(before, ["symbol", "nth_"], "left")
+    return b.withColumn("warm", F.col("ripe_") | ((F.col("local_") == 0) & F.coalesce("was_warm_", F.lit(False)))).drop("was_warm_", "ripe_", "chunk_", "nth_", "local_")
 
 
 def interval_best(start: np.ndarray, stop: np.ndarray, value: np.ndarray, n: int, largest: bool) -> np.ndarray:
@@ -166,7 +171,7 @@ def depths_of_chunk(epoch: np.ndarray, side: np.ndarray, level: np.ndarray, quan
 
 
 def _with_best(rows: DataFrame, *names: str) -> DataFrame:
-    """(symbol, seq, names, best_bid, best_ask) of _replayable()'s rows, each chunk by itself."""
+    """(symbol, seq, names, best_bid, best_ask) of _with_carried()'s rows, each chunk by itself."""
     kinds = dict(rows.dtypes)
     out = ["symbol", "seq", *names]
 
@@ -180,7 +185,7 @@ def _with_best(rows: DataFrame, *names: str) -> DataFrame:
         return t.filter(pa.array(own))
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in out) + ", best_bid double, best_ask double"
-    return rows.select(*out, "nth_", "epoch", "side", "level", "quantity").groupBy("symbol", "nth_").applyInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*out, "nth_", "epoch", "side", "level", "quantity"])).groupBy("symbol", "nth_").applyInArrow(run, schema)
 
 
 def best_bid_ask(book: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -192,14 +197,19 @@ def best_bid_ask(book: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def book_stats(book: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per (symbol, timestamp): n_samples, avg_spread and spread_std_dev in basis points over warm rows with a
     true spread, depth_imbalance and depth_ratio of the average depths of warm rows."""
-    b = _with_best(_replayable(book, chunk), "event_time", "warm", "bid_depth", "ask_depth")
-    b = b.where("warm").withColumn("timestamp", X.close_ts(F.col("event_time")))
+    b = _with_best(_replayed(book, chunk), "event_time", "nth_", "epoch", "local_", "ripe_", "bid_depth", "ask_depth").withColumn("timestamp", X.close_ts(F.col("event_time")))
     good = (F.col("best_bid") > 0) & (F.col("best_ask") > F.col("best_bid"))
     bps = F.when(good, (F.col("best_ask") - F.col("best_bid")) / F.col("best_bid") * 10000)
-    a = b.groupBy("symbol", "timestamp").agg(F.count("*").alias("n_samples"), F.coalesce(F.avg(bps), F.lit(0.0)).alias("avg_spread"), F.coalesce(F.stddev_samp(bps), F.lit(0.0)).alias("spread_std_dev"), F.avg("bid_depth").alias("bd"), F.avg("ask_depth").alias("ad"))
+    # parts of a minute by chunk and epoch, ripe or not; only then is it known which were warm
+    moments = F.struct(F.count(bps).alias("n"), F.coalesce(F.avg(bps), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(bps) * F.count(bps), F.lit(0.0)).alias("m2"))
+    parts = b.groupBy("symbol", "timestamp", "epoch", "nth_", (F.col("local_") == 0).alias("open_"), "ripe_").agg(F.count("*").alias("n"), F.sum("bid_depth").alias("bd"), F.sum("ask_depth").alias("ad"), moments.alias("m"))
+    first = F.min(F.when(F.col("ripe_"), F.col("nth_"))).over(Window.partitionBy("symbol", "epoch"))
+    warm = parts.withColumn("first_", first).where("ripe_ or (open_ and first_ < nth_)")
+    a = warm.groupBy("symbol", "timestamp").agg(F.sum("n").alias("n_samples"), F.sum("bd").alias("bd"), F.sum("ad").alias("ad"), F.collect_list("m").alias("m")).withColumn("m", X.merged_moments(F.col("m")))
     total = F.col("bd") + F.col("ad")
-    zero = lambda c: F.when(F.round(total, 9) > 0, c).otherwise(0.0)
-    return a.select("symbol", "timestamp", "n_samples", "avg_spread", "spread_std_dev", zero(F.try_divide(F.col("bd") - F.col("ad"), total)).alias("depth_imbalance"), zero(F.try_divide(F.col("ad"), total)).alias("depth_ratio"))
+    zero = lambda c: F.when(F.round(total / F.col("n_samples"), 9) > 0, c).otherwise(0.0)
+    std = F.when(F.col("m.n") > 1, F.sqrt(F.try_divide(F.col("m.m2"), F.col("m.n") - 1))).otherwise(0.0)
+    return a.select("symbol", "timestamp", "n_samples", F.col("m.mean").alias("avg_spread"), std.alias("spread_std_dev"), zero(F.try_divide(F.col("bd") - F.col("ad"), total)).alias("depth_imbalance"), zero(F.try_divide(F.col("ad"), total)).alias("depth_ratio"))
 
 
 def profile_book(book: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -35,11 +35,12 @@ def expand_days(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")) if first <= last else df.select("*", F.lit(0).alias("day")).where(F.lit(False))
 
 
-def missing_day_ranges(bars: DataFrame, start: int, end: int) -> DataFrame:
+def missing_day_ranges(bars: DataFrame, start: int, end: int, of: DataFrame | None = None) -> DataFrame:
     """(exchange, symbol, first_day, last_day, until_day): islands of days without data; an island that data
-    follow runs until one day past its end, as callers load it so."""
+    follow runs until one day past its end, as callers load it so. ``of`` (exchange, symbol) names the symbols to look
+    at, which may have no data at all; else those of ``bars`` are."""
     have = days_with_data(bars)
-    days = expand_days(have.select("exchange", "symbol").distinct(), start, end)
+    days = expand_days((have if of is None else of).select("exchange", "symbol").distinct(), start, end)
     w = Window.partitionBy("exchange", "symbol").orderBy("day")
     miss = days.join(have, ["exchange", "symbol", "day"], "left_anti").withColumn("island", F.col("day") - F.row_number().over(w))
     g = miss.groupBy("exchange", "symbol", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")).drop("island")

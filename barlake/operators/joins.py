@@ -35,10 +35,14 @@ def asof_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:
 
 
 def backfill_funding(bars: DataFrame, funding: DataFrame, start: int, end: int) -> DataFrame:
-    """``bars`` whose missing rates in [start, end) are filled as of their close."""
+    """``bars`` whose missing rates in [start, end) are filled as of their close, their changes with them: the difference to
+    the filled bar before, null for the first. Other bars keep both. Without a change column there is none to fill."""
     todo = F.col("funding_rate").isNull() & (F.col("timestamp") >= start) & (F.col("timestamp") < end)
-    filled = asof_funding(bars.where(todo), funding).select(*KEY, F.col("funding_rate").alias("rate_"))
-    return bars.join(filled, KEY, "left").withColumn("funding_rate", F.coalesce("funding_rate", "rate_")).drop("rate_")
+    b = asof_funding(bars.withColumn("todo_", todo).withColumn("old_", F.col("funding_rate")), funding)
+    if "funding_rate_change" in bars.columns:
+        w = Window.partitionBy("exchange", "symbol", "todo_").orderBy("timestamp")
+        b = b.withColumn("funding_rate_change", F.when(F.col("todo_"), F.col("funding_rate") - F.lag("funding_rate").over(w)).otherwise(F.col("funding_rate_change")))
+    return b.withColumn("funding_rate", F.when(F.col("todo_"), F.col("funding_rate")).otherwise(F.col("old_"))).select(*bars.columns)
 
 
 def expand_hours(df: DataFrame, start: int, end: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions import scalars as X
-from barlake.operators.bars import KEY, liquidation_volume
+from barlake.operators.bars import KEY, liquidation_volume, resample_ohlcv
 from barlake.operators.joins import append_missing, minute_grid, update_liq
 from barlake.operators.trades import FOOTPRINT
 
@@ -63,24 +63,33 @@ def in_range(start: int | None, end: int | None) -> Column:
     return c & (F.col("timestamp") < end) if end is not None else c
 
 
-def delete_range(bars: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    return bars.where(~in_range(start, end))
+def of_symbol(exchange: str, symbol: str) -> Column:
+    return (F.col("exchange") == exchange) & (F.col("symbol") == symbol)
 
 
-def deleted_count(bars: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    return bars.agg(F.count_if(in_range(start, end)).alias("deleted"))
+def delete_range(bars: DataFrame, exchange: str, symbol: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """``bars`` without those of one symbol in [start, end); a bound that is missing is open."""
+    return bars.where(~(of_symbol(exchange, symbol) & in_range(start, end)))
 
 
-def set_liq_unknown(bars: DataFrame, start: int, end: int) -> DataFrame:
-    hit = in_range(start, end)
+def deleted_count(bars: DataFrame, exchange: str, symbol: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    return bars.agg(F.count_if(of_symbol(exchange, symbol) & in_range(start, end)).alias("deleted"))
+
+
+def set_liq_unknown(bars: DataFrame, exchange: str, symbol: str, start: int, end: int) -> DataFrame:
+    """``bars`` with the liquidations of one symbol in [start, end) unknown."""
+    return _liq_unknown(bars, of_symbol(exchange, symbol) & in_range(start, end))
+
+
+def _liq_unknown(bars: DataFrame, hit: Column) -> DataFrame:
     null = F.lit(None).cast("double")
     new = {"liq_long_vol": null, "liq_short_vol": null, "liq_covered": F.lit(0)}
     return bars.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in bars.columns])
 
 
 def backfill_liquidations(bars: DataFrame, liq: DataFrame, hours: DataFrame, start: int, end: int) -> DataFrame:
-    """``bars`` whose liquidations in [start, end) are set from ``liq`` in covered ``hours`` and unknown elsewhere."""
-    return update_liq(set_liq_unknown(bars, start, end), minute_grid(hours, liquidation_volume(liq)).where(in_range(start, end)))
+    """``bars`` whose liquidations in [start, end), of every symbol, are set from ``liq`` in covered ``hours`` and unknown elsewhere."""
+    return update_liq(_liq_unknown(bars, in_range(start, end)), minute_grid(hours, liquidation_volume(liq)).where(in_range(start, end)))
 
 
 def mark_progress(marks: DataFrame, done: DataFrame) -> DataFrame:
@@ -130,6 +139,38 @@ def changed_keys(batch: DataFrame) -> DataFrame:
     return batch.select(*KEY).distinct()
 
 
+def change_feed(stored: DataFrame, after: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """(keys, kind, old, new): what makes ``after`` of ``stored``, both with one row per key: rows of kind insert, update and
+    delete, with the values before and after as structs. Rows that stay as they are make none. One shuffle on the keys."""
+    names = [c for c in stored.columns if c not in keys]
+    none = F.lit(None).cast(stored.select(F.struct(*names).alias("x")).schema["x"].dataType)
+    tagged = stored.select(*keys, F.struct(*names).alias("old"), none.alias("new")).unionByName(after.select(*keys, none.alias("old"), F.struct(*names).alias("new")))
+    g = tagged.groupBy(*keys).agg(F.first("old", True).alias("old"), F.first("new", True).alias("new"))
+    kind = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "update")
+    return g.select(*keys, kind.alias("kind"), "old", "new").where("kind is not null")
+
+
+def upsert_feed(stored: DataFrame, new: DataFrame, upsert=upsert_orderbook_bars, keys: list[str] = KEY) -> DataFrame:
+    """The changes that upserting a batch makes. Only stored rows of the batch's keys are looked at."""
+    old = stored.join(new.select(*keys).distinct(), keys, "left_semi")
+    return change_feed(old, upsert(old, new).select(*stored.columns), keys)
+
+
+def apply_feed(stored: DataFrame, feed: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """``stored`` after the changes of ``feed``."""
+    return stored.join(feed.select(*keys), keys, "left_anti").unionByName(feed.where("kind <> 'delete'").select(*keys, "new.*").select(*stored.columns))
+
+
+def refresh_rollup(rollup: DataFrame, after: DataFrame, feed: DataFrame, ms: int) -> DataFrame:
+    """Bars of ``ms`` after the changes of ``feed`` to the minute bars, which are ``after`` now: only buckets that a changed
+    minute lies in are resampled anew, the others stay."""
+    bucket = X.bucket_close(F.col("timestamp"), ms).alias("bucket")
+    touched = feed.select("exchange", "symbol", bucket).distinct()
+    anew = resample_ohlcv(after.withColumn("bucket", bucket).join(touched, ["exchange", "symbol", "bucket"], "left_semi").drop("bucket"), ms)
+    kept = rollup.join(touched.withColumnRenamed("bucket", "timestamp"), KEY, "left_anti")
+    return kept.unionByName(anew.select(*rollup.columns))
+
+
 def hour_keys(start: int) -> Column:
     """Closes that belong to the hour from ``start``: after it and up to the next one."""
     return (F.col("timestamp") > start) & (F.col("timestamp") <= start + 3_600_000)
@@ -156,6 +197,17 @@ def oi_change_backfill(bars: DataFrame, start: int, end: int, scope: str = "miss
     return bars.where(todo).select(*KEY, (F.col("open_interest") - F.lag("open_interest").over(w)).alias("open_interest_change"))
 
 
+def backfill_oi_change(bars: DataFrame, start: int, end: int, symbol: str | None = None) -> DataFrame:
+    """``bars`` with the changes of interest that are missing in [start, end), of ``symbol`` or of all: the difference to the
+    bar before among those, which stays missing for the first."""
+    todo = in_range(start, end) & F.col("open_interest").isNotNull() & F.col("open_interest_change").isNull()
+    if symbol is not None:
+        todo = todo & (F.col("symbol") == symbol)
+    w = Window.partitionBy("exchange", "symbol", "todo_").orderBy("timestamp")
+    b = bars.withColumn("todo_", todo).withColumn("new_", F.when(F.col("todo_"), F.col("open_interest") - F.lag("open_interest").over(w)))
+    return b.withColumn("open_interest_change", F.coalesce("new_", "open_interest_change")).select(*bars.columns)
+
+
 def pending_oi_change(bars: DataFrame, start: int, end: int) -> DataFrame:
     return bars.agg(F.count_if(in_range(start, end) & F.col("open_interest").isNotNull() & F.col("open_interest_change").isNull()).alias("pending"))
 

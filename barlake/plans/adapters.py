@@ -82,8 +82,12 @@ def labels(spark: SparkSession) -> DataFrame:
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
     g = orders(spark, d).groupBy(F.col("o_orderpriority").alias("series_id"), F.col("ms").alias("timestamp")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("s"), F.count("*").alias("c"))
-    g = g.withColumn("day", F.dayofmonth(F.timestamp_millis("timestamp")))
-    return g.where("day % 7 <> 0").select("series_id", "timestamp", F.round(F.col("s").cast("double") / F.col("c"), 4).alias("value"))
+    return g.select("series_id", "timestamp", F.round(F.col("s").cast("double") / F.col("c"), 4).alias("value"))
+
+
+def obs_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """obs() with a week's day missing, for what looks for gaps."""
+    return obs(spark, d).where(F.dayofmonth(F.timestamp_millis("timestamp")) % 7 != 0)
 
 
 _E = "events_v as (select *, epoch_us(ts) // 1000 as ms from events)"
@@ -115,9 +119,13 @@ _CAPS = "caps_v as (select o_orderpriority as coin, ms as ts, sum(o_totalprice::
 _TR = """transfers_v as (select ms + (o_orderkey % 24) * 3600000 + (o_orderkey % 60) * 60000 as block_timestamp, 'a' || (o_custkey % 50) as from_address, 'a' || (o_orderkey % 50) as to_address, round(o_totalprice * 100)::bigint as value, o_orderpriority as token_address,
   o_orderkey as transaction_hash from orders_v),
 labels_v as (select 'a' || range as address, 'binance' as exchange from range(10))"""
-_OBS = "obs_v as (select o_orderpriority as series_id, ms as timestamp, round(sum(o_totalprice::decimal(20,2))::double / count(*), 4) as value from orders_v where day(o_orderdate) % 7 <> 0 group by all)"
+_OBS = "obs_v as (select o_orderpriority as series_id, ms as timestamp, round(sum(o_totalprice::decimal(20,2))::double / count(*), 4) as value from orders_v group by all)"
+_OBS_GAPS = "gaps_v as (select * from obs_v where day(make_timestamp(timestamp * 1000)) % 7 <> 0)"
+
+#: From book_v on.
+BOOK_STEPS = _BOOK2
 
-VIEWS = {"t": [_E, _T], "d": [_E, _T, _D], "pb": [_E, _T, _PB], "fb": [_E, _T, _FB], "book": [_E, _BOOK, _BOOK2], "fund": [_E, _T, _PB, _FB, _FUND], "oi": [_E, _T, _FB, _OI], "liq": [_E, _T, _FB, _LIQ], "caps": [_O, _CAPS], "tr": [_O, _TR], "obs": [_O, _OBS]}
+VIEWS = {"t": [_E, _T], "d": [_E, _T, _D], "pb": [_E, _T, _PB], "fb": [_E, _T, _FB], "book": [_E, _BOOK, _BOOK2], "fund": [_E, _T, _PB, _FB, _FUND], "oi": [_E, _T, _FB, _OI], "liq": [_E, _T, _FB, _LIQ], "caps": [_O, _CAPS], "tr": [_O, _TR], "obs": [_O, _OBS], "gaps": [_O, _OBS, _OBS_GAPS]}
 
 
 def sql(views: str, body: str) -> str:

@@ -9,7 +9,7 @@ from barlake.functions import scalars as X
 from barlake.functions import symbols as S
 from barlake.operators import audit, bars, book, flows, gaps, history, joins, tables, trades
 from barlake.plans import adapters as A
-from barlake.scratch import new_path
+from barlake.scratch import new_path, spool
 from barlake.sources import files, messages
 from barlake.streaming import live
 
@@ -76,19 +76,19 @@ query("A3_A5_A6_A7_A8_A9_footprint", "d", _FOOT)(lambda s, d: rounded(trades.foo
 
 # the book
 _CONT = "select symbol, seq, final_update_id, reset, epoch::bigint as epoch from cont_v"
-query("W10_book_continuity", "book", _CONT)(lambda s, d: book.continuity(A.book(s, d), 500).select("symbol", "seq", "final_update_id", "reset", F.col("epoch").cast("long").alias("epoch")))
+query("W10_book_continuity", "book", _CONT)(lambda s, d: book.continuity(A.book(s, d), 1000).select("symbol", "seq", "final_update_id", "reset", F.col("epoch").cast("long").alias("epoch")))
 _DEPTH = "select symbol, seq, " + _r("bid_depth", "ask_depth") + ", warm from depth_v"
-query("W11_W13_book_depth", "book", _DEPTH)(lambda s, d: rounded(book.depth(A.book(s, d), 500).select("symbol", "seq", "bid_depth", "ask_depth", "warm")))
-query("W12_best_bid_ask", "book", "select symbol, seq, best_bid, best_ask from best_v")(lambda s, d: book.best_bid_ask(A.book(s, d), 500))
+query("W11_W13_book_depth", "book", _DEPTH)(lambda s, d: rounded(book.depth(A.book(s, d), 1000).select("symbol", "seq", "bid_depth", "ask_depth", "warm")))
+query("W12_best_bid_ask", "book", "select symbol, seq, best_bid, best_ask from best_v")(lambda s, d: book.best_bid_ask(A.book(s, d), 1000))
 _STATS = """select symbol, timestamp, count(*)::bigint as n_samples, round(coalesce(avg(x), 0), 5) as avg_spread, round(coalesce(stddev_samp(x), 0), 5) as spread_std_dev,
   case when round(avg(bid_depth) + avg(ask_depth), 9) > 0 then round((avg(bid_depth) - avg(ask_depth)) / (avg(bid_depth) + avg(ask_depth)), 5) else 0 end as depth_imbalance,
   case when round(avg(bid_depth) + avg(ask_depth), 9) > 0 then round(avg(ask_depth) / (avg(bid_depth) + avg(ask_depth)), 5) else 0 end as depth_ratio
 from (select d.symbol, (event_time // 60000 + 1) * 60000 as timestamp, bid_depth, ask_depth, case when best_bid > 0 and best_ask > best_bid then (best_ask - best_bid) / best_bid * 10000 end as x
   from depth_v d join best_v b on d.symbol = b.symbol and d.seq = b.seq where warm) group by all"""
-query("A10_A11_W14_book_stats", "book", _STATS)(lambda s, d: rounded(book.book_stats(A.book(s, d), 500), 5))
+query("A10_A11_W14_book_stats", "book", _STATS)(lambda s, d: rounded(book.book_stats(A.book(s, d), 1000), 5))
 _PROF = """select 'event_type' as what, event_type as value, count(*)::bigint as n from book_v group by all union all select 'side', side, count(*) from book_v group by all
 union all select 'id_break', 'rows', count(*) filter (where l <> prev_final_update_id) from (select *, lag(final_update_id) over (partition by symbol order by seq) as l from book_v)"""
-query("A39_profile_book", "book", _PROF)(lambda s, d: book.profile_book(A.book(s, d), 500))
+query("A39_profile_book", "book", _PROF)(lambda s, d: book.profile_book(A.book(s, d), 1000))
 
 # parts and carries
 _LIQ = f"select {K}, round(sum(case when side = 'BUY' then last_filled_quantity else 0 end), 6) as liq_short_vol, round(sum(case when side = 'BUY' then 0 else last_filled_quantity end), 6) as liq_long_vol from liq_v group by all"
@@ -154,8 +154,9 @@ def _sparse_funding(s, d):
 query("W3_funding_carry", "fund", _ASOF + f", c as (select {K}, last_value(case when timestamp // 60000 % 2 = 0 then funding_rate end ignore nulls) over (partition by exchange, symbol order by timestamp) as funding_rate from b) select {K}, round(funding_rate, 10) as funding_rate, round(funding_rate - lag(funding_rate) over (partition by exchange, symbol order by timestamp), 10) as funding_rate_change from c")(
     lambda s, d: rounded(bars.funding_carry(_sparse_funding(s, d)), 10)
 )
-query("J2_backfill_funding", "fund", _ASOF + f"select {K}, round(case when timestamp // 60000 % 2 = 0 or (timestamp >= {LO} and timestamp < {HI}) then funding_rate end, 10) as funding_rate from b")(
-    lambda s, d: rounded(joins.backfill_funding(_sparse_funding(s, d), A.funding(s, d), LO, HI), 10)
+query("J2_backfill_funding", "fund", _ASOF + f""", x as (select *, timestamp // 60000 % 2 = 0 as known, timestamp // 60000 % 2 > 0 and timestamp >= {LO} and timestamp < {HI} as todo from b)
+select {K}, round(case when known or todo then funding_rate end, 10) as funding_rate, round(case when todo then funding_rate - lag(funding_rate) over (partition by exchange, symbol, todo order by timestamp) when known then 0.5 end, 10) as funding_rate_change from x""")(
+    lambda s, d: rounded(joins.backfill_funding(_sparse_funding(s, d).withColumn("funding_rate_change", F.when(F.col("timestamp") / 60_000 % 2 == 0, 0.5)), A.funding(s, d), LO, HI), 10)
 )
 query("A38_funding_missing_pct", "fund", _ASOF + "select exchange, symbol, round(avg(case when funding_rate is null then 1 else 0 end) * 100, 4) as missing_pct, avg(case when funding_rate is null then 1 else 0 end) > 0.5 as warn from b group by all")(lambda s, d: audit.funding_missing_pct(_funded(s, d)))
 
@@ -356,8 +357,8 @@ query("A24_footprint_coverage", "d", f"{_BROKEN} select count(*)::bigint as bars
 )
 query("A25_null_patterns", "d", f"{_BROKEN} select " + " || ".join(f"case when {c} is null then '0' else '1' end" for c in audit.PATTERN) + " as pattern, count(*)::bigint as n from e group by all")(lambda s, d: audit.null_patterns(_broken(s, d)))
 query("A26_hourly_coverage", "pb", f"select timestamp // {H} * {H} as hour, count(distinct symbol)::bigint as symbols, count(*)::bigint as bars from price_bars_v group by all")(lambda s, d: audit.hourly_coverage(A.price_bars(s, d)))
-query("J14_hourly_floor", "pb", f"with h as (select timestamp // {H} * {H} as hour, count(distinct symbol) as symbols, count(*) as bars from price_bars_v where timestamp // 60000 % 60 < 20 or symbol <> 'click' group by all) select count(*)::bigint as hours, min(symbols)::bigint as min_symbols, min(bars)::bigint as min_bars, count(*) filter (where symbols < (select max(symbols) from h))::bigint as below, max(symbols)::bigint as universe_floor from h")(
-    lambda s, d: audit.hourly_floor(A.price_bars(s, d).where("timestamp div 60000 % 60 < 20 or symbol <> 'click'"))
+query("J14_hourly_floor", "pb", f"with h as (select timestamp // {H} * {H} as hour, count(distinct symbol) as symbols, count(*) as bars from price_bars_v group by all) select count(*)::bigint as hours, min(symbols)::bigint as min_symbols, min(bars)::bigint as min_bars, count(*) filter (where symbols < (select max(symbols) from h))::bigint as below, max(symbols)::bigint as universe_floor from h")(
+    lambda s, d: audit.hourly_floor(A.price_bars(s, d))
 )
 query("A27_column_health", "oi liq", f"with a as ({_ASM}) select round(avg(case when timestamp // 60000 % 3 = 0 then 1 else 0 end), 4) as funding_nonnull, round(avg(case when open_interest is not null and timestamp // 60000 % 2 = 0 then 1 else 0 end), 4) as oi_nonnull, round(avg(case when timestamp // {H} % 4 = 0 then 1 else 0 end), 4) as liq_covered_rate from a")(
     lambda s, d: audit.column_health(_assembled(s, d).selectExpr("case when timestamp div 60000 % 3 = 0 then 0.1 end as funding_rate", "case when timestamp div 60000 % 2 = 0 then open_interest end as open_interest", f"case when timestamp div {H} % 4 = 0 then 1 else 0 end as liq_covered"))
@@ -421,8 +422,8 @@ select name, exchange, case when exchange in ('binance_futures', 'bybit_perpetua
 
 
 # mutations
-query("M3_delete_range", "pb", f"select {K} from price_bars_v where not (timestamp >= {LO} and timestamp < {HI})")(lambda s, d: tables.delete_range(A.price_bars(s, d), LO, HI).select("exchange", "symbol", "timestamp"))
-query("M3_deleted_count", "pb", f"select count(*)::bigint as deleted from price_bars_v where timestamp < {HI}")(lambda s, d: tables.deleted_count(A.price_bars(s, d), None, HI))
+query("M3_delete_range", "pb", f"select {K} from price_bars_v where not (exchange = 'test' and symbol = 'click' and timestamp >= {LO} and timestamp < {HI})")(lambda s, d: tables.delete_range(A.price_bars(s, d), "test", "click", LO, HI).select("exchange", "symbol", "timestamp"))
+query("M3_deleted_count", "pb", f"select count(*)::bigint as deleted from price_bars_v where exchange = 'test' and symbol = 'view' and timestamp < {HI}")(lambda s, d: tables.deleted_count(A.price_bars(s, d), "test", "view", None, HI))
 query("M13_overwrite_hour", "pb", f"select {K}, round(case when timestamp > {LO} and timestamp <= {LO + H} then volume * 2 else volume end, 6) as volume from price_bars_v")(
     lambda s, d: rounded(tables.overwrite_hour(A.price_bars(s, d), A.price_bars(s, d).withColumn("volume", F.col("volume") * 2), LO).select("exchange", "symbol", "timestamp", "volume"))
 )
@@ -433,8 +434,8 @@ def _liq_bars(s, d):
     return A.flow_bars(s, d).select("exchange", "symbol", "timestamp", F.lit(7.0).alias("liq_long_vol"), F.lit(7.0).alias("liq_short_vol"), F.lit(1).alias("liq_covered"))
 
 
-query("M4_set_liq_unknown", "fb", f"select {K}, case when timestamp >= {LO} and timestamp < {HI} then null else 7.0::double end as liq_long_vol, case when timestamp >= {LO} and timestamp < {HI} then 0 else 1 end as liq_covered from flow_v")(
-    lambda s, d: tables.set_liq_unknown(_liq_bars(s, d), LO, HI).select("exchange", "symbol", "timestamp", "liq_long_vol", "liq_covered")
+query("M4_set_liq_unknown", "fb", f"select {K}, case when x then null else 7.0::double end as liq_long_vol, case when x then 0 else 1 end as liq_covered from (select *, exchange = 'test' and symbol = 'click' and timestamp >= {LO} and timestamp < {HI} as x from flow_v)")(
+    lambda s, d: tables.set_liq_unknown(_liq_bars(s, d), "test", "click", LO, HI).select("exchange", "symbol", "timestamp", "liq_long_vol", "liq_covered")
 )
 query("M5_J8_backfill_liquidations", "liq", f"""with l as ({_LIQ}), b as (select f.exchange, f.symbol, f.timestamp, timestamp >= {LO} and timestamp < {HI} as r, (timestamp - 60000) // {H} % 2 = 0 as c from flow_v f)
 select b.exchange, b.symbol, b.timestamp, case when not r then 7.0 when c then coalesce(l.liq_long_vol, 0) end as liq_long_vol, case when not r then 7.0 when c then coalesce(l.liq_short_vol, 0) end as liq_short_vol, case when not r or c then 1 else 0 end as liq_covered
@@ -446,6 +447,9 @@ _OIB = f"with o as (select {K}, arg_max(value, (ts, seq)) as oi from oi_v group
 query("W4_backfill_oi_change", "oi", _OIB + f"select {K}, round(oi - lag(oi) over (partition by exchange, symbol order by timestamp), 6) as open_interest_change from o where timestamp >= {LO} and timestamp < {HI}")(
     lambda s, d: rounded(tables.oi_change_backfill(bars.last_oi(A.oi(s, d)).withColumn("open_interest_change", F.lit(None).cast("double")), LO, HI))
 )
+query("W4_backfill_oi_change_of_bars", "oi", _OIB + f", x as (select *, timestamp // 60000 % 4 > 0 as had, symbol = 'click' and timestamp // 60000 % 4 = 0 and timestamp >= {LO} and timestamp < {HI} as todo from o) select {K}, round(oi, 6) as open_interest, round(case when had then 0.5 when todo then oi - lag(oi) over (partition by exchange, symbol, todo order by timestamp) end, 6) as open_interest_change from x")(
+    lambda s, d: rounded(tables.backfill_oi_change(bars.last_oi(A.oi(s, d)).withColumn("open_interest_change", F.when(F.expr("timestamp div 60000 % 4") > 0, 0.5)), LO, HI, "click"))
+)
 query("A40_pending_oi_change", "oi", _OIB + f"select count(*)::bigint as pending from o where timestamp >= {LO} and timestamp < {HI}")(lambda s, d: tables.pending_oi_change(bars.last_oi(A.oi(s, d)).withColumn("open_interest_change", F.lit(None).cast("double")), LO, HI))
 
 
@@ -476,6 +480,50 @@ query("M8_upsert_labels", "tr", "select 'bitcoin' as chain, to_address as addres
     ).select("chain", "address", "exchange", "updated_at")
 )
 
+_BATCHES = f"""with o as (select * from price_bars_v where timestamp // 60000 % 3 > 0), n as (select * replace (case when timestamp // 60000 % 4 = 0 then volume * 2 else volume end as volume) from price_bars_v where timestamp // 60000 % 2 = 0)"""
+
+
+def _feed_batches(s, d):
+    """Stored bars, and three batches of later ones, some of them with other volumes."""
+    m = F.expr("timestamp div 60000")
+    b = A.price_bars(s, d)
+    new = b.where(m % 2 == 0).withColumn("volume", F.when(m % 4 == 0, F.col("volume") * 2).otherwise(F.col("volume")))
+    return b.where(m % 3 > 0), [new.where(m % 10 == k) for k in (0, 2)] + [new.where(m % 10 > 2)]
+
+
+def _replace(stored: DataFrame, new: DataFrame) -> DataFrame:
+    return tables.replace_rows(stored, new, bars.KEY)
+
+
+query("M12_change_feed", "pb", f"{_BATCHES} select {K}, case when o.volume is null then 'insert' else 'update' end as kind, round(o.volume, 6) as old_volume, round(n.volume, 6) as new_volume from n left join o using ({K}) where o.volume is distinct from n.volume")(
+    lambda s, d: _feed(s, d).select("exchange", "symbol", "timestamp", "kind", F.round("old.volume", 6).alias("old_volume"), F.round("new.volume", 6).alias("new_volume"))
+)
+
+
+def _feed(s, d):
+    stored, batches = _feed_batches(s, d)
+    new = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    return tables.upsert_feed(stored, new, _replace)
+
+
+query("M12_A15_rollup_by_changes", "pb", f"""{_BATCHES}, price_now as (select * from n union all by name select * from o anti join n using ({K})) """ + _resample_sql(H).replace("price_bars_v", "price_now"))(lambda s, d: rounded(_rolled(s, d)))
+
+
+def _rolled(s, d):
+    """Hourly bars kept up to date over three batches of changes."""
+    now, batches = _feed_batches(s, d)
+    hours = bars.resample_ohlcv(now, H)
+    for new in batches:
+        feed = spool(tables.upsert_feed(now, new, _replace), "feed")
+        now = spool(tables.apply_feed(now, feed), "minutes")
+        hours = tables.refresh_rollup(hours, now, feed, H)
+    return hours
+
+
+query("M11_next_loads", "obs", f"select series_id, min(timestamp) + {DAY} as start, {A.BASE} + {H} as \"end\" from obs_v group by all having min(timestamp) + {DAY} < {A.BASE} + {H}")(
+    lambda s, d: tables.next_loads(A.obs(s, d).groupBy("series_id").agg(F.min("timestamp").alias("last_ts")), "series_id", A.BASE, DAY).select("series_id", "start", F.col("end").cast("long").alias("end"))
+)
+
 # flows, dominance, macro
 _HR = f"block_timestamp // {H} * {H} as hour"
 query("A29_J6_btc_flow", "tr", f"select l.exchange, {_HR}, round(sum(value) / 1e8, 8) as value, count(distinct transaction_hash)::bigint as n from (select *, unnest([from_address, to_address]) as address from transfers_v) t join labels_v l using (address) group by all")(
@@ -502,8 +550,8 @@ query("U2_append_newer", "caps", f"select timestamp, round(dominance, 6) as domi
 query("P12_exclude_stablecoins", "caps", "select coin, ts, cap from caps_v where coin not in ('5-LOW')")(lambda s, d: flows.exclude_stablecoins(A.caps(s, d), ["5-LOW", "1-URGENT"], "1-URGENT"))
 query("T4_top_coins", "caps", "select coin, ts, cap from caps_v order by cap desc, coin limit 10")(lambda s, d: flows.top_coins(A.caps(s, d), 10))
 query("A34_S16_macro_coverage", "obs", "select series_id, count(*)::bigint as n, min(timestamp) as first_ts, max(timestamp) as last_ts, arg_max(value, timestamp) as last_value from obs_v group by all")(lambda s, d: flows.macro_coverage(A.obs(s, d)))
-query("W9_macro_gaps", "obs", f"select series_id, count(*) filter (where g > {8 * DAY})::bigint as over_8d, count(*) filter (where g > {35 * DAY})::bigint as over_35d, coalesce(max(g) / {DAY}, 0) as max_gap_d, max(timestamp) as last from (select *, lead(timestamp) over (partition by series_id order by timestamp) - timestamp as g from obs_v) group by all")(
-    lambda s, d: gaps.macro_gaps(A.obs(s, d))
+query("W9_macro_gaps", "gaps", f"select series_id, count(*) filter (where g > {8 * DAY})::bigint as over_8d, count(*) filter (where g > {35 * DAY})::bigint as over_35d, coalesce(max(g) / {DAY}, 0) as max_gap_d, max(timestamp) as last from (select *, lead(timestamp) over (partition by series_id order by timestamp) - timestamp as g from gaps_v) group by all")(
+    lambda s, d: gaps.macro_gaps(A.obs_with_gaps(s, d))
 )
 query("W8_flow_gaps", "tr", f"with f as ({_flow_sql('to_address', 'value > 0')}), g as (select exchange, hour, lead(hour) over (partition by exchange order by hour) - hour as g from f) select 'btc' as asset, exchange, count(*) filter (where g > {H})::bigint as n_gaps, coalesce(max(g) / {H}, 0) as max_gap_h, max(hour) as last from g group by all")(
     lambda s, d: gaps.flow_gaps(flows.account_flow(A.transfers(s, d), "to_address", A.labels(s), 10**6).select(F.lit("btc").alias("asset"), "exchange", F.col("hour").alias("timestamp")))
@@ -515,8 +563,8 @@ query("J11_asof_macro", "pb obs", "select p.exchange, p.symbol, i.series_id, p.t
 
 def _series_bars(s, d):
     """Each bar beside each of the few series."""
-    series = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
-    return A.price_bars(s, d).select("exchange", F.col("symbol").alias("of"), F.explode(series).alias("symbol"), "timestamp")
+    series = A.obs(s, d).agg(F.collect_set("series_id").alias("series"))  # one row
+    return A.price_bars(s, d).crossJoin(F.broadcast(series)).select("exchange", F.col("symbol").alias("of"), F.explode("series").alias("symbol"), "timestamp")
 
 
 query("J10_symbol_universe", "tr", """with n as (select to_address as base, count(*) as n from transfers_v group by all), c as (select case when r % 5 = 0 then base || '_X-' when r % 7 = 0 then base || 'é' when r % 11 = 0 then base || 'longer' else base end as base, case when r % 6 > 0 then r end as rank, r from (select *, row_number() over (order by n desc, base) as r from n)),
@@ -570,10 +618,38 @@ query("S18_parse_binance", "t", _WIRE)(lambda s, d: _trade_rows(messages.parse_b
 query("S19_parse_bybit", "t", _WIRE)(lambda s, d: _trade_rows(messages.parse_bybit(_bybit(s, d))))
 query("S20_parse_hyperliquid", "t", _WIRE.replace("/USDT", "/USDC"))(lambda s, d: _trade_rows(messages.parse_hyperliquid(_hyper(s, d))))
 query("S21_events_json", "t", _WIRE)(lambda s, d: _trade_rows(messages.events_from_json(messages.events_to_json(messages.parse_binance(_binance(s, d))))))
+_BAR_TOPICS = f"with b as ({_OHLC_OF.format(_NEW)}), t as (select max(trade_time) as t from dense_v) select 'market.binance.' || symbol || '.bars.1m' as topic, timestamp - 60000 as timestamp, open, high, low, close, volume from b, t where timestamp <= t - 60000"
+query("S22_published_bars", "d", _BAR_TOPICS)(lambda s, d: rounded(_published(s, d)))
+
+
+def _published(s, d):
+    """Closed minutes of a stream, published by topic; the query ends halfway and starts again."""
+    path, progress, src = new_path(s, "topics"), new_path(s, "progress"), new_path(s, "trades")
+    t = A.dense_trades(s, d)
+    early = F.col("trade_time") < A.BASE + 5_000_000
+    for part in (t.where(early), t.where(~early)):
+        part.write.mode("append").parquet(src)
+        stream = live.live_price_bars(s.readStream.schema(t.schema).parquet(src), "1 minute")
+        messages.publish(messages.bars_to_topics(stream), path, progress, {"availableNow": True}).awaitTermination()
+    b = F.from_json("value", "timestamp bigint, open double, high double, low double, close double, volume double")
+    return s.read.parquet(path).select("topic", b.alias("b")).select("topic", "b.*")
+
+
 query("S22_event_topics", "t", "select 'market.' || upper(symbol) || '/USDT:PERP.trades' as topic, count(*)::bigint as n from trades_v group by all")(lambda s, d: messages.to_topics(messages.parse_binance(_binance(s, d))).groupBy("topic").agg(F.count("*").alias("n")))
 query("S7_parse_kline_json", "pb", f"select timestamp, {_OHLCV} from price_bars_v")(
     lambda s, d: rounded(messages.parse_kline_json(A.price_bars(s, d).select(F.to_json(F.array(F.array((F.col("timestamp") - 60_000).cast("string"), *[_text(c) for c in ("open", "high", "low", "close", "volume")]))).alias("value")), 60_000))
 )
+query("S6_read_kline_csv", "pb", f"select timestamp, {_OHLCV} from price_bars_v")(lambda s, d: rounded(files.read_kline_csv(s, _csv(s, d))))
+
+
+def _csv(s, d) -> str:
+    """Text files of bars, one with a header and lines that are no bars."""
+    path = new_path(s, "klines")
+    A.price_bars(s, d).select(F.concat_ws(",", F.col("timestamp") - 60_000, *[_text(c) for c in ("open", "high", "low", "close", "volume")]).alias("value")).write.text(path)
+    s.createDataFrame([("open_time,open,high,low,close,volume",), ("",), ("1,2",)], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
 query("S6_kline_csv", "pb", f"select timestamp, {_OHLCV} from price_bars_v")(
     lambda s, d: rounded(files.parse_kline_lines(A.price_bars(s, d).select(F.concat_ws(",", F.col("timestamp") - 60_000, *[_text(c) for c in ("open", "high", "low", "close", "volume")]).alias("value")).unionByName(s.createDataFrame([("open_time,open,high,low,close,volume",), ("",), ("1,2",)], "value string"))))
 )
@@ -594,10 +670,45 @@ def _upper_bars(s, d):
 
 
 query("Q1_Q2_get_history", "pb", _HIST)(lambda s, d: rounded(history.get_history(_upper_bars(s, d), "test", " click", "15m", LO, HI)))
-query("Q1_get_history_filled", "pb", _HIST)(lambda s, d: rounded(history.get_history(_upper_bars(s, d).where("timestamp div 60000 % 5 > 0"), "test", "click", "15m", LO, HI, raw=_upper_bars(s, d))))
+query("Q1_get_history_filled", "pb", _HIST)(lambda s, d: rounded(history.get_history(_upper_bars(s, d).where(f"(timestamp - 60000) div {DAY} <> {A.BASE // DAY}"), "test", "click", "15m", LO, HI, raw=_upper_bars(s, d))))
 query("Q3_fill_missing_days", "pb", f"select {K}, {_OHLCV} from price_bars_v where (timestamp - 60000) // {DAY} % 3 > 0 or (timestamp - 60000) // {DAY} between {_D0 // DAY} and {_D1 // DAY}")(lambda s, d: rounded(history.fill_missing_days(_odd_days(s, d), A.price_bars(s, d), _D0, _D1)))
-query("Q4_S12_get_orderbook_bars", "fb", f"select * from ({_FLOW}) where symbol = 'view' and timestamp >= {LO} and timestamp < {HI}")(lambda s, d: rounded(history.get_orderbook_bars(A.flow_bars(s, d), "test", "view", LO, HI)))
-query("S23_bars_to_response", "pb", "select exchange, symbol, count(*)::bigint as n from price_bars_v group by all")(lambda s, d: messages.bars_to_response(A.price_bars(s, d)).select("exchange", "symbol", F.size(F.from_json("value", "bars array<struct<timestamp:bigint>>")["bars"]).cast("long").alias("n")))
+query("Q4_S12_get_orderbook_bars", "fb", f"select * replace ('VIEW' as symbol) from ({_FLOW}) where symbol = 'view' and timestamp >= {LO} and timestamp < {HI}")(lambda s, d: rounded(history.get_orderbook_bars(A.flow_bars(s, d).withColumn("symbol", F.upper("symbol")), "test", " view", LO, HI)))
+query("S23_bars_to_response", "pb", f"select exchange, symbol, (row_number() over (partition by exchange, symbol order by timestamp) - 1)::int as pos, timestamp, {_OHLCV} from price_bars_v")(lambda s, d: rounded(_replies(s, d)))
+
+
+def _replies(s, d):
+    """The replies' bars in the order they have there."""
+    r = messages.bars_to_response(A.price_bars(s, d)).withColumn("bars", F.from_json("value", "bars array<struct<timestamp:bigint,open:double,high:double,low:double,close:double,volume:double>>")["bars"])
+    return r.select("exchange", "symbol", F.posexplode("bars").alias("pos", "b")).select("exchange", "symbol", "pos", "b.*")
+
+
+# minutes of histories: stored bars alone where they are complete, else days without any are filled from raw ones, which differ
+_DENSE_PB = _OHLC_OF.format("select * replace (upper(symbol) as symbol) from dense_v where symbol = 'click'")
+
+
+def _dense_bars(s, d, f=lambda c: c):
+    return trades.ticks_to_price_bars(A.dense_trades(s, d).withColumn("symbol", F.upper("symbol"))).withColumn("volume", f(F.col("volume")))
+
+
+query("Q2_history_1m_complete", "d", f"select {K}, {_OHLCV} from ({_DENSE_PB}) where timestamp >= {A.BASE + 180_000} and timestamp < {A.BASE + 7_200_000} and timestamp // 60000 % 50 > 0")(
+    lambda s, d: rounded(history.history_1m(_dense_bars(s, d).where("timestamp div 60000 % 50 > 0"), "test", "click", A.BASE + 120_000, A.BASE + 7_140_000, raw=_dense_bars(s, d, lambda v: v * 2)))
+)
+_HELD = f"(timestamp - 60000) // {DAY} % 3 = 0 and timestamp // 60000 % 2 = 0"
+_FILLED = f"""with p as (select *, timestamp // {DAY} as d, {_HELD} as held from price_bars_v where symbol = 'click' and timestamp >= {A.BASE + 60_000} and timestamp < {A.BASE + 20 * DAY + 60_000}), have as (select distinct (timestamp - 60000) // {DAY} as d from p where held),
+m as (select d from (select unnest(range({A.BASE // DAY}, {A.BASE // DAY + 21})) as d) anti join have using (d)), fill as (select d from m union select d + 1 from m where d < {A.BASE // DAY + 20})
+select 'test' as exchange, 'CLICK' as symbol, timestamp, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(case when held then volume else volume * 2 end, 6) as volume from p where held or d in (select d from fill)"""
+query("Q2_history_1m_filled", "pb", _FILLED)(lambda s, d: rounded(history.history_1m(_upper_bars(s, d).where(f"(timestamp - 60000) div {DAY} % 3 = 0 and timestamp div 60000 % 2 = 0"), "test", "click", A.BASE, A.BASE + 20 * DAY, raw=_dated_bars(s, d))))
+
+
+def _dated_bars(s, d):
+    """Raw bars of twice the volume in folders by date, of which a query reads those it needs."""
+    b = _upper_bars(s, d).withColumn("volume", F.col("volume") * 2)
+    path = new_path(s, "raw")
+    tables.overwrite_partitions(b, path)
+    return s.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+
+
+query("Q1_history_overwrite", "pb", _HIST.replace("sum(volume)", "2 * sum(volume)"))(lambda s, d: rounded(history.get_history(_upper_bars(s, d), "test", "click", "15m", LO, HI, raw=_upper_bars(s, d).withColumn("volume", F.col("volume") * 2), overwrite=True)))
 
 
 # files written from the tables and read back
@@ -671,6 +782,49 @@ def _hydrated(s, d, overwrite: bool):
     return out.withColumns({c: F.round(c, 10 if c.startswith("funding") else 6) for c in k[4:7] + k[11:]})
 
 
+# hydration of all sources from files, of which some are missing and some have nothing
+_HOUR_ROWS = f"""e as (select 'test' as exchange, symbol, {A.BASE} + trade_id * 3000 as tm, trade_id, price, quantity, is_buyer_maker, trade_id % 6 as k, trade_id % 3 as b, ({A.BASE} + trade_id * 3000) // {H} as h, (({A.BASE} + trade_id * 3000) // 60000 + 1) * 60000 as timestamp,
+  row_number() over (partition by symbol, trade_id % 6 >= 4 order by trade_id) as rn from trades_v), kept as (select * from e where not (symbol = 'click' and h % 4 = 1))"""
+
+
+def _hour_files(s, d) -> str:
+    """Files of trades, interest, liquidations and books in the layout of hours."""
+    root = new_path(s, "market")
+    t = A.trades(s, d).withColumns({"at": A.BASE + F.col("trade_id") * 3000, "k": F.col("trade_id") % 6, "h": F.expr(f"({A.BASE} + trade_id * 3000) div {H}")})
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy("trade_id")).cast("long")
+    key = ["exchange", "symbol"]
+    tr = t.where("k = 3 and not (symbol = 'click' and h % 4 = 1)").select(*key, F.col("at").alias("trade_time"), "price", "quantity", "is_buyer_maker")
+    oi = t.where("k = 0").select(*key, F.col("at").alias("timestamp"), F.when(F.col("trade_id") % 4 == 0, 0.0).otherwise(F.col("quantity")).alias("sum_open_interest"), (F.col("quantity") * 2).alias("sum_open_interest_value"))
+    # the file of an hour with h % 3 = 1 is missing, that of one with h % 3 = 2 holds nothing of its own hour
+    liq = t.where("k = 2 and h % 3 <> 1").select(*key, "h", F.col("at").alias("file_time"), F.when(F.col("h") % 3 == 2, F.col("at") + DAY).otherwise(F.col("at")).alias("trade_time"), F.col("quantity").alias("last_filled_quantity"), F.when(F.col("trade_id") % 3 == 0, "BUY").otherwise("SELL").alias("side"))
+    bk = t.where("k >= 4").withColumn("rn", rn)
+    bk = bk.select(
+        *key, F.col("at").alias("event_time"), F.when(F.col("rn") % 60 == 7, "snapshot").otherwise("depthUpdate").alias("event_type"), F.when(F.col("trade_id") % 2 == 0, 99 - F.expr("trade_id div 6 % 20")).otherwise(101 + F.expr("trade_id div 6 % 20")).cast("double").alias("price"),
+        F.when(F.col("trade_id") % 7 == 0, 0.0).otherwise(F.col("quantity")).alias("quantity"), F.when(F.col("trade_id") % 2 == 0, "bid").otherwise("ask").alias("side"), F.col("rn").alias("final_update_id"), (F.col("rn") - 1).alias("prev_final_update_id"),
+    )
+    for df, kind, at in ((tr, "trades", "trade_time"), (oi, "open_interest", "timestamp"), (liq, "liquidations", "file_time"), (bk, "orderbook", "event_time")):
+        files.write_hours(df, root, kind, at)
+    return root
+
+
+_ALL = (
+    "with " + _HOUR_ROWS + """, book_v as (select symbol, rn as seq, tm as event_time, case when rn % 60 = 7 then 'snapshot' else 'depthUpdate' end as event_type, case when trade_id % 2 = 0 then 'bid' else 'ask' end as side, (case when trade_id % 2 = 0 then 99 - trade_id // 6 % 20 else 101 + trade_id // 6 % 20 end)::double as price,
+  case when trade_id % 7 = 0 then 0 else quantity end as quantity, rn as final_update_id, rn - 1 as prev_final_update_id from kept where k >= 4),
+""" + A.BOOK_STEPS + f""", stats as ({_STATS.replace(', 5)', ', 9)')}), tr_v as (select *, tm as trade_time from kept where k = 3), foot as ({_FOOT.replace('dense_v', 'tr_v')}),
+li as (select distinct symbol, h from kept where k = 2 and h % 3 <> 1), trh as (select distinct symbol, h from kept where k = 3),
+base as (select exchange, symbol, timestamp, h, count(*) filter (where k = 3)::bigint as trade_count, coalesce(sum(quantity) filter (where k = 3 and not is_buyer_maker), 0) as buy_volume, coalesce(sum(quantity) filter (where k = 3 and is_buyer_maker), 0) as sell_volume, coalesce(sum(price * quantity) filter (where k = 3) / nullif(sum(quantity) filter (where k = 3), 0), 0) as vwap,
+  arg_max(case when trade_id % 4 = 0 then quantity * 2 else quantity end, trade_id) filter (where k = 0) as oi, coalesce(sum(quantity) filter (where k = 2 and b = 0 and h % 3 = 0), 0) as s_vol, coalesce(sum(quantity) filter (where k = 2 and b > 0 and h % 3 = 0), 0) as l_vol,
+  bool_or(k in (0, 3) or (k = 2 and h % 3 = 0)) as other from kept semi join trh using (symbol, h) group by all),
+c as (select base.*, x.* exclude (symbol, timestamp), last_value(oi ignore nulls) over w as open_interest, exists (select 1 from li where li.symbol = base.symbol and li.h = base.h) as cov from base left join stats x on base.symbol = x.symbol and base.timestamp = x.timestamp where other or x.n_samples is not null window w as (partition by base.symbol order by base.timestamp)),
+f as (select c.*, v.rate as funding_rate from c asof left join funding_v v on c.symbol = v.symbol and c.timestamp >= v.time)
+select f.exchange, f.symbol, f.timestamp, trade_count, round(buy_volume, 6) as buy_volume, round(sell_volume, 6) as sell_volume, round(vwap, 6) as vwap, round(coalesce(avg_spread, 0), 5) as avg_spread, round(coalesce(spread_std_dev, 0), 5) as spread_std_dev, round(coalesce(depth_imbalance, 0), 5) as depth_imbalance, round(coalesce(depth_ratio, 0), 5) as depth_ratio,
+  round(open_interest, 6) as open_interest, round(open_interest - lag(open_interest) over w, 6) as open_interest_change, round(funding_rate, 10) as funding_rate, round(funding_rate - last_value(funding_rate ignore nulls) over (w rows between unbounded preceding and 1 preceding), 10) as funding_rate_change,
+  case when cov then round(l_vol, 6) end as liq_long_vol, case when cov then round(s_vol, 6) end as liq_short_vol, case when cov then 1 else 0 end as liq_covered, {", ".join("foot." + c for c in trades.FOOTPRINT)}
+from f left join foot on foot.symbol = f.symbol and foot.timestamp = f.timestamp window w as (partition by f.symbol order by f.timestamp)"""
+)
+query("Q5_hydrate_all_sources", "fund", _ALL)(lambda s, d: _whole_rounded(history.hydrate_files(s, _hour_files(s, d), A.funding(s, d), 1000)))
+
+
 # streams over all there is, to files, and what they folded to
 def _events_stream(s, d):
     """The table as a stream of trades."""

@@ -24,7 +24,8 @@ TRADES = {"trade_time": "long", "price": "double", "quantity": "double", "is_buy
 OPEN_INTEREST = {"timestamp": "long", "sum_open_interest": "double", "sum_open_interest_value": "double"}
 LIQUIDATIONS = {"trade_time": "long", "last_filled_quantity": "double", "side": "string"}
 BOOK = {"event_time": "long", "event_type": "string", "price": "double", "quantity": "double", "side": "string", "final_update_id": "long", "prev_final_update_id": "long", "last_update_id": "long"}
-PATH = r"([^/]+)/(\d{4}-\d{2}-\d{2})/(\d{1,2})/([^/]+)_([a-z]+)\.parquet"
+KINDS = ("trades", "orderbook", "open_interest", "liquidations")
+PATH = rf"([^/]+)/(\d{{4}}-\d{{2}}-\d{{2}})/(\d{{1,2}})/([^/]+)_({'|'.join(KINDS)})\.parquet"
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +69,70 @@ def hour_layout(df: DataFrame, path: Column | None = None) -> DataFrame:
     return out.drop("path_")
 
 
+def _hour_start() -> Column:
+    return F.unix_millis(F.to_timestamp_ltz(F.concat_ws(" ", "date", F.format_string("%02d", "hour")), F.lit("yyyy-MM-dd HH"))) - _offset()
+
+
+def _offset() -> Column:
+    """Milliseconds that the session's zone reads a time of day off from UTC, at the epoch of the date."""
+    utc = F.unix_millis(F.to_timestamp_ltz(F.concat("date", F.lit(" 00")), F.lit("yyyy-MM-dd HH")))
+    return utc - F.unix_date(F.to_date("date")).cast("long") * 86_400_000
+
+
+def list_hours(spark: SparkSession, root: str) -> DataFrame:
+    """(exchange, symbol, hour in ms, type) of each file of the hour layout under ``root``, whether it has rows or not; no
+    file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    return hour_layout(found.select("path"), F.col("path")).where("type <> ''").select("exchange", "symbol", _hour_start().alias("hour"), "type").distinct()
+
+
+def read_hours(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Rows of the files of ``kind`` under ``root`` with exchange, symbol, hour in ms, and row: a number by which a symbol's
+    rows are in their order (by hour, then the file's own; book rows in replay order)."""
+    names = {"trades": TRADES, "open_interest": OPEN_INTEREST, "liquidations": LIQUIDATIONS, "orderbook": BOOK}[kind]
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/*/*/*/*_{kind}.parquet")
+    meta = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    rows = _named(meta, names, "file", "row_index")
+    if kind == "orderbook":
+        rows = _in_replay_order(normalize_book_row(rows))
+    else:
+        rows = rows.withColumn("nth", F.col("row_index"))
+    rows = hour_layout(rows, F.col("file")).withColumn("hour", _hour_start())
+    return rows.withColumn("row", F.expr("hour div 3600000") * FILE_ROWS + F.col("nth")).drop("file", "date", "type", "nth", "row_index")
+
+
+#: More rows than a file of an hour has: rows of hours are numbered that far apart.
+FILE_ROWS = 1_000_000_000
+
+
+def _in_replay_order(rows: DataFrame) -> DataFrame:
+    """Book rows with nth: their number in their file's replay order, which is by update, price and side."""
+    w = Window.partitionBy("file").orderBy("row_index")
+    new = F.coalesce((F.col("final_update_id") != F.lag("final_update_id").over(w)).cast("int"), F.lit(1))
+    rows = rows.withColumn("new", new).withColumn("grp", F.sum("new").over(w))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("grp", "price", "side", "row_index")).cast("long")).drop("new", "grp")
+
+
+def write_hours(df: DataFrame, root: str, kind: str, at: str, order: str | None = None) -> None:
+    """Write rows (exchange, symbol, their columns) to the hour layout under ``root`` by the time ``at``, sorted by ``order`` in a
+    file: Spark writes folders by partition, which then get the layout's names."""
+    spark = df.sparkSession
+    t = F.timestamp_millis(at)
+    parts = ["exchange", "date", "hour", "symbol"]
+    tmp = f"{root}/_{kind}"
+    named = df.withColumns({"date": F.date_format(t, "yyyy-MM-dd"), "hour": F.date_format(t, "HH")})
+    named.repartition(*parts).sortWithinPartitions(*parts, order or at).write.partitionBy(*parts).parquet(tmp)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.globStatus(jpath(f"{tmp}/*/*/*/*")):
+        folder = s.getPath()
+        exchange, date, hour, symbol = (p.getName().partition("=")[2] for p in (folder.getParent().getParent().getParent(), folder.getParent().getParent(), folder.getParent(), folder))
+        target = jpath(f"{root}/{exchange}/{date}/{hour}/{symbol}_{kind}.parquet")
+        fs.mkdirs(target.getParent())
+        fs.rename(folder, target)
+    fs.delete(jpath(tmp), True)
+
+
 def parse_kline_lines(lines: DataFrame) -> DataFrame:
     """Bars of CSV lines (value): blank, header, short and unreadable ones are left out; closes are opens + 1 min."""
     p = F.split("value", ",")

@@ -145,10 +145,22 @@ def to_topics(events: DataFrame) -> DataFrame:
     return events.select(F.concat_ws(".", F.lit("market"), "symbol", name).alias("topic"), F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def publish_events(stream: DataFrame, **options: str):
-    """A started query that writes topics to the sink of ``options`` (format and its settings)."""
-    w = to_topics(stream).writeStream.format(options.pop("format", "memory"))
-    return w.options(**options).start()
+def bars_to_topics(bars: DataFrame, exchange: str = "binance") -> DataFrame:
+    """(topic, value) of closed minute bars; messages carry the open time."""
+    row = F.struct((F.col("timestamp") - 60_000).alias("timestamp"), "open", "high", "low", "close", "volume")
+    return bars.select(F.concat_ws(".", F.lit("market"), F.lit(exchange), "symbol", F.lit("bars"), F.lit("1m")).alias("topic"), F.to_json(row).alias("value"))
+
+
+def publish(messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append"):
+    """Start the query that publishes (topic, value) to the table of messages at ``path``, by batch and topic, each once.
+
+    A batch writes under its own number in place of what an attempt before a failure left there, so that a batch which
+    is repeated when the query starts again publishes nothing twice; readers of a topic read only its folders."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.repartition("topic").write.mode("overwrite").partitionBy("topic").parquet(f"{path}/batch={n}")
+
+    return messages.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def bars_to_response(bars: DataFrame) -> DataFrame:

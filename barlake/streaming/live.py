@@ -10,14 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from barlake.functions import scalars as X
 from barlake.operators import bars as B
 from barlake.operators import tables
 from barlake.operators import trades as T
+from barlake.operators.history import WHOLE
 from barlake.operators.book import best_of_chunk, depths_of_chunk, level_runs
 from barlake.scratch import new_path
 
@@ -140,24 +142,11 @@ def live_book(updates: DataFrame) -> DataFrame:
     return updates.groupBy("symbol").transformWithStateInPandas(BookState(), BOOK_OUT, "append", "None")
 
 
-def merged_moments(parts: str) -> Column:
-    """(n, mean, m2) of an array of such parts, merged pair by pair, so that no large squares cancel."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def merge(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
-        d, share = b["mean"] - a["mean"], F.try_divide(b["n"], n)
-        both = F.struct(n.alias("n"), (a["mean"] + d * share).alias("mean"), (a["m2"] + b["m2"] + d * d * share * a["n"]).alias("m2"))
-        return F.when(b["n"] == 0, a).otherwise(both)
-
-    return F.aggregate(parts, zero, merge)
-
-
 def book_bars(parts: DataFrame) -> DataFrame:
     """Bars of live_book()'s parts, of which a minute has one per batch."""
     moments = F.struct(F.col("spread_n").alias("n"), F.col("spread_mean").alias("mean"), F.col("spread_m2").alias("m2"))
     g = parts.groupBy("symbol", "timestamp").agg(*[F.sum(c).alias(c) for c in ("n", "bid_sum", "ask_sum")], F.collect_list(moments).alias("parts"))
-    g = g.withColumn("m", merged_moments("parts"))
+    g = g.withColumn("m", X.merged_moments(F.col("parts")))
     total = F.col("bid_sum") + F.col("ask_sum")
     z = lambda c: F.coalesce(c, F.lit(0.0))
     std = F.when(F.col("m.n") > 1, F.sqrt(F.try_divide(F.col("m.m2"), F.col("m.n") - 1)))
@@ -332,9 +321,6 @@ def late_rows(log: DataFrame) -> DataFrame:
     return log.where("late").groupBy(*T.KEY).agg(F.sum("n_rows").alias("n_late"))
 
 
-WHOLE = [*T.KEY, *B.ALWAYS, "open_interest", "open_interest_change", "funding_rate", "funding_rate_change", "liq_long_vol", "liq_short_vol", "liq_covered", *T.FOOTPRINT]
-
-
 def whole_bars(flow: DataFrame, levels: DataFrame, parts: DataFrame, status: DataFrame, exchange: str, since: int | None = None, until: int | None = None, carried: DataFrame | None = None) -> DataFrame:
     """Whole bars (WHOLE) of the minutes that closed after ``since`` and up to ``until`` from the logs of live_minute_bars(),
     live_levels() and live_book() and the feed's changes ``status``.
