@@ -153,7 +153,8 @@ def joined(spark: SparkSession, path: str, at: DataFrame, broken: DataFrame) ->
     the chain reaches don't overlap, so that a piece belongs to the last broken one at or before it, or to none."""
     own = broken.select("file", "at", F.struct(F.col("at").alias("from"), F.col("to").alias("until"), "page_id", "type", "refers_to").alias("own"))
     carried = F.last("own", True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    part = at.select("file", "file_name", "split", "place", "at").join(own, ["file", "at"], "left").withColumn("own", carried)
+    some = at.join(broken.select("file").distinct(), "file", "left_semi")  # only files with a broken record are sorted
+    part = some.select("file", "file_name", "split", "place", "at").join(own, ["file", "at"], "left").withColumn("own", carried)
     part = spool(part.where("at < own.until").select("file", "file_name", "split", "place", "at", "own.*"))
     raw = spark.read.option("lineSep", TAIL + VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
 

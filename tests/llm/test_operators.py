@@ -323,6 +323,44 @@ def test_lm_beats_the_subword_unigram(spark):
     assert sum(got.values()) > 0.8 * sum(unigram.values())
 
 
+@pytest.mark.parametrize("scale, margin", [("sf0.001", 0.1), ("sf0.01", 0.35)])
+def test_lm_training_is_what_scores(spark, monkeypatch, scale, margin):
+    """On held-out texts the trained attention beats the untrained one, which knows class frequencies alone, by so much a word
+    (log10), the counts inside classes being the same."""
+    docs = common.table(spark, f"/root/testdata/{scale}", "documents", "doc_id", "text")
+
+    def a_word():
+        x = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.sum("base_score")).first()
+        return x[0] / x[1], x[2] / x[1]
+
+    trained, base = a_word()
+    monkeypatch.setattr(lm, "train", lambda ids, cls, counts: lm.Attention(bias=np.log((m := np.bincount(cls, counts, lm.CLASSES) + 1.0) / m.sum())).flat())
+    assert trained > a_word()[0] + margin
+    if scale == "sf0.01":
+        assert trained > base + 0.1
+
+
+def test_lm_scores_follow_from_rows_alone(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    one, many = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.score(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-3 for k in one)
+    odd = docs.withColumns({c: F.lit("z") for c in ("text_hash", "ids", "held", "shard", "word", "c", "k", "rows")})
+    assert {(r.doc_id, r.n_tokens): r.score for r in lm.score(odd).collect()}.keys() == {k[:2] for k in one}
+
+
+def test_lm_beginnings_of_any_length():
+    rng = np.random.default_rng(3)
+    word = rng.integers(0, 1 << 16, 500)
+    last = np.r_[word, word, word[:200], 7, word[200:]]
+    start = np.zeros(len(last), bool)
+    start[[0, 500, 1000]] = True
+    deep, h = lm.beginnings(last, start)
+    at = {int(p): int(x) for p, x in zip(deep, h)}
+    assert set(at) == set(range(len(last))) - {0, 1, 500, 501, 1000, 1001}
+    assert all(at[i] == at[500 + i] for i in range(2, 500)) and all(at[i] == at[1000 + i] for i in range(2, 200)) and all(at[i] != at[1000 + i] for i in range(201, 500))
+    assert len(set(at.values())) == 498 + 301
+
+
 def test_lm_vocabulary_and_equal_hashes():
     with pytest.raises(ValueError):
         lm.word_ends(bpe.VOCABULARY, 1000)
