@@ -94,22 +94,24 @@ def smaller_before(place: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, n
 
 
 def previous_factors(text: np.ndarray, depth: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(longest previous factor, longest factor that occurs elsewhere) of the suffixes of ``text`` at the
-    ascending places ``starts``, compared with each other and counted up to ``depth``. The longest
-    previous factor is the longer of the prefixes shared with the previous and with the next
-    smaller place in suffix order."""
+    """(longest previous factor, longest following factor) of the suffixes of ``text`` at the ascending places
+    ``starts``, compared with each other and counted up to ``depth``. The longest previous factor is the
+    longer of the prefixes shared with the previous and with the next smaller place in suffix order, the
+    longest following one that of the previous and next larger places."""
     levels: dict[int, np.ndarray] = {}
     rank = suffix_ranks(text, depth, levels)[starts]
     order = np.argsort(rank, kind="stable")
     by = starts[order]
     prefix = np.zeros(len(by) + 1, np.int64)  # shared with the neighbour before; none before the first and after the last
     prefix[1:-1] = common_prefixes(text, levels, depth, by[:-1], by[1:])
-    before = smaller_before(by, prefix[:-1])[1]
-    after = smaller_before(by[::-1], prefix[:0:-1])[1][::-1]
-    earlier, anywhere = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
-    earlier[order] = np.maximum(before, after)
-    anywhere[order] = np.maximum(prefix[:-1], prefix[1:])
-    return earlier, anywhere
+    found = []
+    for place in (by, -by):
+        before = smaller_before(place, prefix[:-1])[1]
+        after = smaller_before(place[::-1], prefix[:0:-1])[1][::-1]
+        factor = np.zeros(len(by), np.int64)
+        factor[order] = np.maximum(before, after)
+        found.append(factor)
+    return found[0], found[1]
 
 
 def segments(data: bytes) -> tuple[np.ndarray, ...]:
@@ -261,8 +263,8 @@ def compared(parts: DataFrame) -> DataFrame:
             if not len(use):
                 continue
             flat, at, of, place = strings(use)
-            earlier, anywhere = previous_factors(flat, LENGTH, at)
-            for flag, kind in ((anywhere >= LENGTH, 0), (earlier >= LENGTH, 1)):
+            earlier, later = previous_factors(flat, LENGTH, at)
+            for flag, kind in ((np.maximum(earlier, later) >= LENGTH, 0), (earlier >= LENGTH, 1)):
                 seg, first, last = runs(flag, place, of)
                 yield pa.RecordBatch.from_arrays([pa.array(tag[seg]), pa.array(first.astype(np.int32)), pa.array((last + LENGTH).astype(np.int32)), pa.array(np.full(len(seg), kind, np.int32))], names=["tag", "start", "end", "kind"])
 

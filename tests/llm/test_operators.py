@@ -460,9 +460,9 @@ def test_longest_previous_factors():
                 k += 1
             return k
 
-        earlier, anywhere = suffix.previous_factors(np.frombuffer(text, np.uint8), depth, starts)
+        earlier, later = suffix.previous_factors(np.frombuffer(text, np.uint8), depth, starts)
         assert earlier.tolist() == [max((shared(x, y) for y in starts[:k]), default=0) for k, x in enumerate(starts)]
-        assert anywhere.tolist() == [max(shared(x, y) for y in starts if y != x) for x in starts]
+        assert later.tolist() == [max((shared(x, y) for y in starts[k + 1 :]), default=0) for k, x in enumerate(starts)]
 
 
 def test_suffix_lays_texts_out_once(spark, docs):
