@@ -236,7 +236,8 @@ def decoder(path: str = VOCABULARY) -> Decoder:
 def round_trip(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary, decoded string) of each row; a null text is empty and has no ids.
 
-    No shuffle: each task encodes its rows, whatever their order or repetition."""
+    No shuffle: each task encodes its rows, whatever their order, ties or repetition. Very long texts are encoded
+    whole, an empty table gives no rows, and columns of other names aren't looked at."""
 
     def run(batches):
         e, d = encoder(path), decoder(path)
@@ -248,7 +249,8 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id",
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): round_trip's digests without its texts."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): round_trip's digests without its texts, for the same rows: null
+    and empty texts, very long ones, repeated rows, null ids, an empty table and other columns are as there."""
 
     def run(batches):
         e, d = encoder(path), decoder(path)

@@ -122,7 +122,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     A null text is empty. Rows are apart from each other, so repeated ones give repeated results;
     without seeds there are no patterns and no ``other`` spans. Spans of different kinds may overlap;
-    an ``other`` span overlaps no base one."""
+    an ``other`` span overlaps no base one. Very long texts are searched whole; scores at the threshold
+    count as reached; an empty table gives no rows; columns of other names aren't looked at."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     marks = spool(found(text))
     good = patterns(text, marks)
@@ -152,7 +153,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span in the text replaced by its kind in brackets; of overlapping spans the
-    earliest (then the longest) names the place, and what others add to it goes too. Null texts stay."""
+    earliest (then the longest) names the place, and what others add to it goes too. Null texts stay, and so do
+    all other columns whatever their names; repeated rows are redacted each; an empty table stays empty."""
     d = detect(docs, id_col, text_col)
     def named(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus_end"), F.lit(kind.upper()).alias("kind")))

@@ -108,7 +108,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null texts are empty and fail the base rules; null languages and sources form groups of their
     own; repeated rows are judged and counted each. Features are written once: one pass over the
-    texts; thresholds come from an aggregate of counts, so a hot source costs no more than others."""
+    texts; thresholds come from an aggregate of counts, so a hot source costs no more than others. Very
+    long texts are read whole; values at a threshold pass; an empty table gives no rows; other columns
+    aren't looked at, whatever their names."""
     feats = spool(features(docs))
     sk = spool(sketch(feats))
     limits = spool(thresholds(sk))
@@ -126,6 +128,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, by doc_id (rows that share an id go only if all of them
-    fail; rows without an id are kept)."""
+    fail; rows without an id are kept). Null, empty and very long texts are judged as judge() does; an
+    empty table stays empty, and other columns stay as they are."""
     verdict = judge(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
     return docs.join(spool(verdict.where("not kept").select("doc_id")), "doc_id", "left_anti")

@@ -245,6 +245,26 @@ def checked(edges: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, wo
     return out
 
 
+def in_tiles_by_bits(rows: DataFrame, sizes: DataFrame, tile: int, radius: int) -> DataFrame:
+    """As in_tiles(), for one word: a large key's tiles are cut in the order of bit counts, and a row goes only to pairs with
+    tiles that hold counts within ``radius`` of its own, so that far pairs of tiles aren't even shuffled. Where a
+    key's tiles begin is told by its rows per bit count, 65 numbers."""
+    hot = sizes.where(F.col("n") > tile).select("k")
+    per = rows.join(hot, "k", "left_semi").groupBy("k", F.bit_count("w0").alias("p")).agg(F.count("*").alias("n"))
+    by = per.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda p: F.coalesce(F.try_element_at("m", p.cast("int")), F.lit(0).cast("long")))
+    below = F.transform(F.sequence(F.lit(0), F.lit(65)), lambda i: F.aggregate(F.slice("each", 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
+    starts = by.select("k", each.alias("each")).select("k", below.alias("below"))
+    r = rows.join(starts, "k", "left").withColumn("p", F.bit_count("w0").cast("int"))
+    at = lambda i: F.get("below", i)
+    place = at(F.col("p")) + F.pmod(F.xxhash64("node", F.lit(7)), at(F.col("p") + 1) - at(F.col("p")))
+    low, high = at(F.greatest(F.col("p") - radius, F.lit(0))), at(F.least(F.col("p") + radius, F.lit(64)) + 1) - 1
+    whole = lambda x: F.coalesce(F.floor(x / tile), F.lit(0)).cast("int")  # noqa: E731  # keys that aren't hot are one tile
+    r = r.withColumn("tile", whole(place)).withColumn("other", F.explode(F.sequence(whole(low), whole(high))))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    return r.withColumn("g", F.xxhash64("k", low, high)).withColumn("cross", low != high).drop("other", "below", "p", "k")
+
+
 def in_tiles(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     """Rows with key ``k`` dealt to groups ``g``: a key of up to ``tile`` rows is one group, a
     larger one has a group for each pair of its tiles, so no task holds a whole hot key.
@@ -301,7 +321,7 @@ def groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, i
     elif words == 1:
         rows = by_blocks(reps, reps.count())
         sizes = spool(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
-        dealt = in_tiles(rows, sizes, TILE)
+        dealt = in_tiles_by_bits(rows, sizes, TILE, radius)
     else:
         tile = min(max(reps.count() // 24, 2 * TILE), 1 << 16)
         # the band of the size and the next one: a pair of neighbouring bands meets in the lower one's group

@@ -404,6 +404,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_later_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated string but its first copy cut from the texts, at whole characters;
-    a text of which nothing is left stays as an empty one, and a null one stays null."""
+    a text of which nothing is left stays as an empty one, and a null one stays null. First is by doc_id (nulls
+    first), then the hash of the text, then place; rows with equal ids and texts share their text. Very long texts are cut
+    like others, an empty table stays empty, and columns of other names stay as they are."""
     out = _cut(docs, True, "text")
     return out.select(*[(F.col("new") if c == "text" else F.col(f"d{i}")).alias(c) for i, c in enumerate(docs.columns)])

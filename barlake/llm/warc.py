@@ -32,7 +32,8 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     ``least`` bytes, the rows with the smallest page_id are responses and the others revisit it; a
     group without any id has only responses. A response's block is an HTTP response with the payload as its
     body; a revisit has none and names the response's record. A null html is empty, a null url or id is left
-    out, other columns aren't looked at. Rows that repeat an id and a payload share a record id."""
+    out, other columns aren't looked at. Rows that repeat an id and a payload share a record id. A very long html
+    is one record like others; an empty table gives no records."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     first = p.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -130,7 +131,8 @@ def reachable(pointers: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in ``path``; a
-    payload that holds the version line is put together again before it is digested."""
+    payload that holds the version line is put together again before it is digested. Page ids that are no whole
+    numbers come back null; files without records give no rows."""
     cand = spool(candidates(spark, path))
     splits = cand.groupBy("file", "split").agg(F.sum("span").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))

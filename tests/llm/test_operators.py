@@ -552,6 +552,18 @@ def test_clashing_columns(spark, docs):
     assert suffix.drop_later_copies(odd).columns == odd.columns and packing.pack(odd).count() >= len(ROWS)
 
 
+def test_clashing_columns_of_readers(spark, docs, tmp_path):
+    odd = docs.withColumns({c: F.lit("z") for c in ("ids", "decoded", "n_tokens", "digest", "payload", "size", "first", "edits", "row", "tag")})
+    assert keyed(bpe.digests(odd).collect()) == keyed(bpe.digests(docs).collect())
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    for name, df in (("a", pages), ("b", pages.withColumns({c: F.lit("z") for c in ("digest", "payload", "size", "first", "value", "n")}))):
+        warc.write(df, str(tmp_path / name))
+    a, b = (keyed(warc.read(spark, str(tmp_path / n)).collect()) for n in "ab")
+    assert a == b and len(a) == len(ROWS)  # repeated and null page ids are records of their own
+    none = docs.select("doc_id", "text", F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("edits"))
+    assert keyed(edits.edited_counts(none.withColumn("n_chars_after", F.lit("z"))).collect()) == keyed(edits.edited_counts(none).collect())
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
