@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     one; on a cluster that fails, as executors would not see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barlake-"))
         found = spark.sparkContext.getCheckpointDir()
