@@ -85,39 +85,76 @@ def state_store(spark: SparkSession) -> None:
         spark.conf.set(name, kind + "RocksDBStateStoreProvider")
 
 
+#: Book rows that are scanned at once; the others wait as plain numbers.
+STEP = 100_000
 BOOK_OUT = "symbol string, timestamp long, n long, spread_n long, spread_mean double, spread_m2 double, bid_sum double, ask_sum double"
 
 
+def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of ``parts`` end to end, each part's column let go as it is copied."""
+    out = []
+    for i in range(len(parts[0])):
+        out.append(np.concatenate([p[i] for p in parts]))
+        for p in parts:
+            p[i] = None
+    return out
+
+
+def packed(rows: Iterator[pd.DataFrame]) -> list[np.ndarray]:
+    """(seq, event_time, reset, bid, level, quantity) of book rows, 34 bytes a row, each frame packed as it comes."""
+    blocks, parts = [], []
+    for f in rows:
+        reset = (f["control"] == "depth_reset").to_numpy(bool)
+        level = (np.where(reset, 0.0, f["price"].to_numpy(float)) * 10000).astype(np.int64)
+        parts.append([f["seq"].to_numpy(np.int64, copy=True), f["event_time"].to_numpy(np.int64, copy=True), reset, (f["side"] == "bid").to_numpy(bool), level, f["quantity"].to_numpy(float, copy=True)])
+        if sum(len(p[0]) for p in parts) >= 5 * STEP:  # large blocks go back to the system when they are let go
+            blocks.append(joined(parts))
+            parts = []
+    return joined(blocks + parts)
+
+
 class BookState(StatefulProcessor):
-    """The live levels of a symbol, each a state entry of its own: a batch reads them once and writes those it changed."""
+    """The live levels of a symbol, each a state entry of its own: a batch reads them once and writes those it changed. Its rows
+    are held as numbers until they are in order, and scanned STEP at a time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, level bigint", "quantity double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        reset = (f["control"] == "depth_reset").to_numpy()
-        epoch = np.cumsum(reset)[~reset]
-        f = f[~reset]
-        old = {k: q[0] for k, q in self.levels.iterator()} if self.levels.exists() else {}
-        bid = np.array([s == "bid" for s, _ in old] + (f["side"] == "bid").tolist(), np.int64)
-        level = np.concatenate([np.array([v for _, v in old], np.int64), (f["price"].to_numpy(float) * 10000).astype(np.int64)])
-        quantity = np.concatenate([np.array(list(old.values()), float), f["quantity"].to_numpy(float)])
-        epoch = np.concatenate([np.zeros(len(old), np.int64), epoch]).astype(np.int64)
-        if reset.any():
+        old = {(int(k[0] == "bid"), k[1]): q[0] for k, q in self.levels.iterator()} if self.levels.exists() else {}
+        live, cleared = dict(old), False
+        seq, *columns = packed(rows)
+        order = np.argsort(seq, kind="stable")
+        del seq
+        for lo in range(0, len(order), STEP):
+            at, reset, bid, level, quantity = (c[order[lo : lo + STEP]] for c in columns)
+            cleared |= bool(reset.any())
+            part, live = self.step(key[0], live, at, reset, bid, level, quantity)
+            if part is not None:
+                yield part
+        if cleared:
             self.levels.clear()
             old = {}
+        for k in old.keys() - live.keys():
+            self.levels.removeKey(("bid" if k[0] else "ask", k[1]))
+        for k, q in live.items():
+            if old.get(k) != q:
+                self.levels.updateValue(("bid" if k[0] else "ask", k[1]), (q,))
+
+    def step(self, symbol: str, live: dict, at: np.ndarray, reset: np.ndarray, bid: np.ndarray, level: np.ndarray, quantity: np.ndarray) -> tuple[pd.DataFrame | None, dict]:
+        """The parts of some rows, before which the levels ``live`` hold, and the levels after them."""
+        epoch = np.cumsum(reset)[~reset]
+        at = at[~reset]
+        held = len(live)
+        bid = np.concatenate([np.array([b for b, _ in live], np.int64), bid[~reset]]).astype(np.int64)
+        level = np.concatenate([np.array([v for _, v in live], np.int64), level[~reset]])
+        quantity = np.concatenate([np.array(list(live.values()), float), quantity[~reset]])
+        epoch = np.concatenate([np.zeros(held, np.int64), epoch]).astype(np.int64)
         order, same = level_runs(epoch, bid, level)
         now = order[np.append(~same, True)] if len(order) else order
-        for i in now[epoch[now] == reset.sum()]:
-            at, q = ("bid" if bid[i] else "ask", int(level[i])), float(quantity[i])
-            if q == 0:
-                if at in old:
-                    self.levels.removeKey(at)
-            elif old.get(at) != q:
-                self.levels.updateValue(at, (q,))
-        if len(f):
-            yield self.parts(key[0], f["event_time"].to_numpy(), len(quantity) - len(f), epoch, bid, level, quantity)
+        now = now[(epoch[now] == reset.sum()) & ~(quantity[now] == 0)]
+        after = dict(zip(zip(bid[now].tolist(), level[now].tolist()), quantity[now].tolist()))
+        return self.parts(symbol, at, held, epoch, bid, level, quantity) if len(at) else None, after
 
     def parts(self, symbol: str, at: np.ndarray, held: int, epoch: np.ndarray, bid: np.ndarray, level: np.ndarray, quantity: np.ndarray) -> pd.DataFrame:
         """Counts, depth sums and the moments of the spread per minute of the rows after the first ``held``."""
