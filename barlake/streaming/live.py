@@ -250,66 +250,83 @@ _LAST = ["oi", "oi_at", "rate", "rate_at"]
 
 
 class MinuteState(StatefulProcessor):
-    """The open minutes of one symbol. A minute's timer emits it and what is open before it in order, with interest and rate
-    kept from the minute before; rows of minutes that are closed come out at once as late ones."""
+    """The open minutes of one symbol, a list that a batch reads and writes once. One timer stands at the first of them; it
+    emits all that the watermark closes in order, with interest and rate kept from the minute before. Rows of minutes
+    that are closed come out at once as late ones."""
 
     def __init__(self, slack: int) -> None:
         self.slack = slack
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute bigint", ", ".join(f"{c} double" for c in _SUMS + _LAST))
+        self.minutes = handle.getListState("open", "minute bigint, " + ", ".join(f"{c} double" for c in _SUMS + _LAST))
         self.carried = handle.getValueState("carried", "oi double, rate double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("timestamp", kind="stable", ignore_index=True)
+        parts, n = [], 0
+        for f in rows:
+            parts.append(minute_sums(f))
+            n += len(parts[-1])
+            if n > 2 * len(parts[0]) + STEP:  # no more than a few times the batch's minutes are held
+                parts = [merged_sums(parts)]
+                n = len(parts[0])
+        new = merged_sums(parts)
         watermark = timerValues.getCurrentWatermarkInMs()  # 0 before any row was seen
-        closed = watermark + self.slack if watermark else 0
-        late = []
-        for minute, x in minute_sums(f).items():
-            if (minute + 1) * MINUTE <= closed:
-                late.append(self.row(key, minute, x, True, x["oi"], None, x["rate"], None))
-                continue
-            at = (int(minute),)
-            old = self.minutes.getValue(at) if self.minutes.containsKey(at) else None
-            if old is None:
-                self.handle.registerTimer((minute + 1) * MINUTE - self.slack)
-            else:
-                x = merged_sums(dict(zip(_SUMS + _LAST, old)), x)
-            self.minutes.updateValue(at, tuple(x[c] for c in _SUMS + _LAST))
-        yield self.frame(late)
+        is_late = (new.index + 1) * MINUTE <= (watermark + self.slack if watermark else 0)
+        late, new = new[is_late], new[~is_late]
+        if len(new):
+            old = self.held()
+            if not len(old) or new.index[0] < old.index[0]:
+                self.wake_for(new)
+            self.hold(merged_sums([old, new]))
+        yield self.frame(key, late, True, late["oi"], None, late["rate"], None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() + self.slack
-        ready = sorted((k[0], v) for k, v in self.minutes.iterator() if (k[0] + 1) * MINUTE <= until) if self.minutes.exists() else []
-        oi, rate = self.carried.get() if self.carried.exists() else (None, None)
-        out = []
-        for minute, v in ready:
-            self.minutes.removeKey((minute,))
-            x = dict(zip(_SUMS + _LAST, v))
-            if not (x["trades"] > 0 or x["depths"] > 0 or x["liq_long"] > 0 or x["liq_short"] > 0 or x["oi"] is not None or x["rate"] is not None):
-                continue
-            new_oi, new_rate = oi if x["oi"] is None else x["oi"], rate if x["rate"] is None else x["rate"]
-            out.append(self.row(key, minute, x, False, new_oi, None if oi is None else new_oi - oi, new_rate, None if rate is None else new_rate - rate))
-            oi, rate = new_oi, new_rate
-        if ready:
-            self.carried.update((oi, rate))
-        yield self.frame(out)
-
-    @staticmethod
-    def row(key: tuple, minute: int, x: dict, late: bool, *carried: float | None) -> tuple:
-        vwap = x["pq"] / x["q"] if x["q"] else 0.0
-        return (*key, (minute + 1) * MINUTE, late, int(x["n_rows"]), int(x["trades"]), x["buy"], x["sell"], vwap, x["liq_long"], x["liq_short"], *carried, int(x["depths"]))
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) + self.slack
+        held = self.held()
+        closed = (held.index + 1) * MINUTE <= until
+        ready, held = held[closed], held[~closed]
+        if not len(ready):
+            return
+        self.hold(held)
+        if len(held):
+            self.wake_for(held)
+        some = (ready[["trades", "depths", "liq_long", "liq_short"]] > 0).any(axis=1) | ready["oi"].notna() | ready["rate"].notna()
+        x = ready[some]
+        before = self.carried.get() if self.carried.exists() else (None, None)
+        columns = []
+        for name, last in zip(("oi", "rate"), before):
+            v = pd.concat([pd.Series([last], dtype=float), x[name]]).ffill()
+            columns += [v.iloc[1:], v.diff().iloc[1:]]
+            last = v.iloc[-1]
+            before = (*before[1:], None if pd.isna(last) else float(last))
+        self.carried.update(before)
+        yield self.frame(key, x, False, *columns)
+
+    def held(self) -> pd.DataFrame:
+        rows = [tuple(r) for r in self.minutes.get()] if self.minutes.exists() else []
+        return pd.DataFrame(rows, columns=["minute", *_SUMS, *_LAST]).astype({"minute": "int64", **{c: "float64" for c in _SUMS + _LAST}}).set_index("minute")
+
+    def hold(self, t: pd.DataFrame) -> None:
+        self.minutes.clear()
+        rows = list(zip(t.index.tolist(), *[t[c].tolist() for c in _SUMS + _LAST]))
+        for lo in range(0, len(rows), 10_000):
+            self.minutes.appendList(rows[lo : lo + 10_000])
+
+    def wake_for(self, t: pd.DataFrame) -> None:
+        self.handle.registerTimer((int(t.index[0]) + 1) * MINUTE - self.slack)
 
     @staticmethod
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in MINUTE_OUT.split(", ")]
-        carried = {c: "float64" for c in names if c.startswith(("open_interest", "funding_rate"))}
-        return pd.DataFrame(rows, columns=names).astype(carried)
+    def frame(key: tuple, t: pd.DataFrame, late: bool, *carried: pd.Series | None) -> pd.DataFrame:
+        oi, oi_change, rate, rate_change = (np.full(len(t), np.nan) if c is None else c.to_numpy(float) for c in carried)
+        q = t["q"].to_numpy()
+        vwap = np.where(q != 0, t["pq"].to_numpy() / np.where(q != 0, q, 1.0), 0.0)
+        values = (key[0], key[1], (t.index.to_numpy() + 1) * MINUTE, late, t["n_rows"].astype("int64"), t["trades"].astype("int64"), t["buy"], t["sell"], vwap, t["liq_long"], t["liq_short"], oi, oi_change, rate, rate_change, t["depths"].astype("int64"))
+        return pd.DataFrame({c.split()[0]: v for c, v in zip(MINUTE_OUT.split(", "), values)}, index=t.index).reset_index(drop=True)
 
 
-def minute_sums(f: pd.DataFrame) -> dict[int, dict]:
-    """Sums of each minute of flat events in their order, and its last interest and rate with their times."""
+def minute_sums(f: pd.DataFrame) -> pd.DataFrame:
+    """Sums of each minute of flat events, and its last interest and rate with their times; of equal times the last row's."""
     kind = f["type"]
     trade, liq = kind == "trade", kind == "liquidation"
     part = pd.DataFrame({"minute": f["timestamp"] // MINUTE, "n_rows": 1.0})
@@ -318,22 +335,19 @@ def minute_sums(f: pd.DataFrame) -> dict[int, dict]:
         part[name] = f["quantity"].where(on, 0.0)
     part["pq"] = (f["price"] * f["quantity"]).where(trade, 0.0)
     part["depths"] = (kind == "orderbook_update").astype(float)
-    sums = part.groupby("minute")[_SUMS].sum()
-    out = {int(m): x for m, x in zip(sums.index, sums.to_dict("records"))}
     for name, on in (("oi", kind == "open_interest"), ("rate", kind == "funding_rate")):
-        last = pd.DataFrame({"minute": part["minute"], "v": f["value"], "at": f["timestamp"]})[on].groupby("minute").last()
-        for m, x in out.items():
-            known = m in last.index
-            x[name], x[f"{name}_at"] = (float(last.at[m, "v"]), float(last.at[m, "at"])) if known else (None, None)
-    return out
+        part[name] = f["value"].astype(float).where(on)
+        part[f"{name}_at"] = f["timestamp"].astype(float).where(part[name].notna())
+    return merged_sums([part.set_index("minute")])
 
 
-def merged_sums(a: dict, b: dict) -> dict:
-    out = {c: a[c] + b[c] for c in _SUMS}
+def merged_sums(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Parts of minutes, which come in their order, as one row a minute, by minute."""
+    t = pd.concat(parts)
+    out = t.groupby(level=0)[_SUMS].sum()
     for name in ("oi", "rate"):
-        at = f"{name}_at"
-        newer = b if a[at] is None or (b[at] is not None and b[at] >= a[at]) else a
-        out[name], out[at] = newer[name], newer[at]
+        known = t[[name, f"{name}_at"]].dropna().sort_values(f"{name}_at", kind="stable")
+        out[[name, f"{name}_at"]] = known.groupby(level=0).last().reindex(out.index)
     return out
 
 

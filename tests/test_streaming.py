@@ -2,6 +2,7 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,88 @@ def test_minutes_close_in_order_and_late_rows_count(spark, tmp_path):
     assert [tuple(r) for r in live.late_rows(out).collect()] == [("x", "s", base + minute, 2)]
 
 
+class Handle:
+    """A state handle that counts what is read and written."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getListState(self, name, schema):
+        return State(self, [])
+
+    def getValueState(self, name, schema):
+        return State(self, None)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class State:
+    def __init__(self, handle, value):
+        self.handle, self.value = handle, value
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        self.handle.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = []
+
+    def appendList(self, rows):
+        self.handle.calls += 1
+        self.value = self.value + rows
+
+
+class Timers:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_minutes_of_a_long_batch_close_by_one_timer():
+    n, minute = 5000, 60_000
+    f = pd.DataFrame({"type": "open_interest", "timestamp": np.arange(n) * minute + minute, "n": 1.0, "price": 0.0, "quantity": 0.0, "sell": False, "value": np.arange(n, dtype=float) ** 2})
+    s, h = live.MinuteState(0), Handle()
+    s.init(h)
+    assert sum(len(x) for x in s.handleInputRows(("x", "s"), iter([f[2500:], f[:2500]]), Timers(0))) == 0
+    assert h.timers == [2 * minute]
+    out = pd.concat(s.handleExpiredTimer(("x", "s"), Timers((n - 10) * minute), Timers(2 * minute)))
+    assert len(out) == n - 11 and out["open_interest_change"].iloc[1:].tolist() == [2.0 * i - 1 for i in range(1, n - 11)]
+    assert h.timers == [2 * minute, (n - 9) * minute] and h.calls < 10
+    out = pd.concat(s.handleExpiredTimer(("x", "s"), Timers(2 * n * minute), Timers((n - 9) * minute)))
+    assert len(out) == 11 and out["open_interest_change"].iloc[0] == 2.0 * (n - 11) - 1
+
+
+def test_book_rows_are_packed_and_scanned_by_steps(spark):
+    n = 4000
+    side = ["bid" if i % 2 else "ask" for i in range(n)]
+    f = pd.DataFrame({"seq": np.arange(n), "event_time": np.arange(n) * 500, "control": [None if i % 900 != 5 else "depth_reset" for i in range(n)], "side": side, "price": [95.0 + (7 * i) % 4 if i % 2 else 101.0 + (5 * i) % 6 for i in range(n)], "quantity": [float(i % 5) for i in range(n)]})
+    assert sum(c.itemsize for c in live.packed(iter([f]))) <= 40
+
+    def bars(step):
+        left, out = {}, []
+        _, *columns = live.packed(iter([f[:1500], f[1500:]]))
+        for at in range(0, n, step):
+            part, left = live.BookState().step("s", left, *[c[at : at + step] for c in columns])
+            out.append(part)
+        return live.book_bars(spark.createDataFrame(pd.concat(out), live.BOOK_OUT)).orderBy("timestamp").collect()
+
+    once, steps = bars(n), bars(170)
+    assert len(once) == len(steps) > 30
+    for a, b in zip(once, steps):
+        assert tuple(a) == pytest.approx(tuple(b))
+
+
 def test_whole_bars_step_by_step(spark):
     key = "exchange string, symbol string, timestamp long"
     m = 60_000
