@@ -113,7 +113,7 @@ def hydrate_files(spark: SparkSession, root: str, funding: DataFrame, chunk: int
     its columns empty: without one of liquidations volumes are null and liq_covered is 0, while a file without
     rows gives zeros. Rows outside their file's hour don't count. The book and the last interest are carried over the
     borders of hours, and rates are those as of each close."""
-    listed = files.list_hours(spark, root)
+    listed = spool(files.list_hours(spark, root), "hours")  # written once, as are rows that several parts read: each scan of many files takes long
     hour = ["exchange", "symbol", "hour"]
     loaded = listed.where("type = 'trades'").select(*hour).distinct()
     covered = listed.where("type = 'liquidations'").select(*hour).distinct().join(loaded, hour, "left_semi")
@@ -122,10 +122,11 @@ def hydrate_files(spark: SparkSession, root: str, funding: DataFrame, chunk: int
         r = files.read_hours(spark, root, kind)
         return r.where(X.in_hour(F.col(at), F.col("hour"))).join(F.broadcast(loaded) if kind == "trades" else loaded, hour, "left_semi")
 
-    tr = rows("trades", "trade_time").withColumn("trade_id", F.col("row"))
+    tr = spool(rows("trades", "trade_time").withColumn("trade_id", F.col("row")), "trades")
     oi = rows("open_interest", "timestamp").select("exchange", "symbol", F.col("timestamp").alias("ts"), F.col("row").alias("seq"), X.oi_value(F.col("sum_open_interest"), F.col("sum_open_interest_value")).alias("value"))
-    bk = spool(rows("orderbook", "event_time").withColumn("seq", F.col("row")), "book")  # read once for each of its scans
-    bars_ = minute_bars(tr, bk, oi, rows("liquidations", "trade_time"), covered=covered, chunk=chunk)
+    bk = spool(rows("orderbook", "event_time").withColumn("seq", F.col("row")), "book")
+    liq = spool(rows("liquidations", "trade_time"), "liquidations")
+    bars_ = spool(minute_bars(tr, bk, oi, liq, covered=covered, chunk=chunk), "bars")
     return B.funding_change(joins.asof_funding(bars_, funding)).select(*WHOLE)
 
 

@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +99,25 @@ def list_hours(spark: SparkSession, root: str) -> DataFrame:
     return hour_layout(found.select("path"), F.col("path")).where("type <> ''").select("exchange", "symbol", _hour_start().alias("hour"), "type").distinct()
 
 
+def hours_of_paths(paths: pd.Series) -> pd.DataFrame:
+    """(exchange, hour in ms, symbol) by the paths of the hour layout, each different path parsed once; nulls for other paths."""
+    at, names = pd.factorize(paths)
+    parts = [m.groups() if (m := re.search(PATH, p)) else None for p in names]
+    hours = [None if p is None else int(dt.datetime.fromisoformat(p[1]).replace(hour=int(p[2]), tzinfo=dt.timezone.utc).timestamp()) * 1000 for p in parts]
+    each = pd.DataFrame({"exchange": [p and p[0] for p in parts], "hour": pd.array(hours, "Int64"), "symbol": [p and p[3] for p in parts]})
+    return each.take(at).reset_index(drop=True)
+
+
+@functools.cache
+def _hour_of_file_udf():
+    # not deterministic for the optimizer: it would repeat the parsing in each filter and join key of a row
+    return F.pandas_udf(hours_of_paths, "exchange string, hour long, symbol string").asNondeterministic()
+
+
+def _hour_of_file(path: Column) -> Column:
+    return _hour_of_file_udf()(path)
+
+
 def read_hours(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Rows of the files of ``kind`` under ``root`` with exchange, symbol, hour in ms, and row: a number by which a symbol's
     rows are in their order (by hour, then the file's own; book rows in replay order)."""
@@ -97,8 +129,8 @@ def read_hours(spark: SparkSession, root: str, kind: str) -> DataFrame:
         rows = _in_replay_order(normalize_book_row(rows))
     else:
         rows = rows.withColumn("nth", F.col("row_index"))
-    rows = hour_layout(rows, F.col("file")).withColumn("hour", _hour_start())
-    return rows.withColumn("row", F.expr("hour div 3600000") * FILE_ROWS + F.col("nth")).drop("file", "date", "type", "nth", "row_index")
+    rows = rows.withColumn("of_", _hour_of_file(F.col("file"))).select("*", "of_.*").where("hour is not null")
+    return rows.withColumn("row", F.expr("hour div 3600000") * FILE_ROWS + F.col("nth")).drop("file", "of_", "nth", "row_index")
 
 
 #: More rows than a file of an hour has: rows of hours are numbered that far apart.
@@ -115,13 +147,69 @@ def _in_replay_order(rows: DataFrame) -> DataFrame:
 
 def write_hours(df: DataFrame, root: str, kind: str, at: str, order: str | None = None) -> None:
     """Write rows (exchange, symbol, their columns) to the hour layout under ``root`` by the time ``at``, sorted by ``order`` in a
-    file: Spark writes folders by partition, which then get the layout's names."""
+    file. In a shared local folder tasks write the files themselves, as Spark's writer takes several processes and
+    renames for each; elsewhere Spark writes them."""
     spark = df.sparkSession
     t = F.timestamp_millis(at)
     parts = ["exchange", "date", "hour", "symbol"]
-    tmp = f"{root}/_{kind}"
     named = df.withColumns({"date": F.date_format(t, "yyyy-MM-dd"), "hour": F.date_format(t, "HH")})
-    named.repartition(*parts).sortWithinPartitions(*parts, order or at).write.partitionBy(*parts).parquet(tmp)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        return write_hour_folders(named.repartition(*parts).sortWithinPartitions(*parts, order or at), root, kind)
+    folder, columns = path.toUri().getPath(), [c for c in named.columns if c not in parts]
+    name = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c + "_")
+    # a given number of partitions: by their few bytes Spark would put all files into one
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mine = named.repartition(n, *parts).sortWithinPartitions(*parts, order or at).select(*map(name, parts), *columns)
+    mine.mapInArrow(lambda batches: _to_files(batches, folder, kind), "rows long").write.format("noop").mode("overwrite").save()
+
+
+def _to_files(batches: Iterator[pa.RecordBatch], root: str, kind: str) -> Iterator[pa.RecordBatch]:
+    """Write rows sorted by exchange, date, hour and symbol (the first columns) to a file for each, which gets its name when it
+    is whole; gives its number of rows."""
+    now, held, tmp, target, rows = None, None, "", "", 0
+
+    def close() -> pa.RecordBatch:
+        held.close()
+        os.replace(tmp, target)
+        return pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
+
+    try:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, data = b.columns[:4], pa.Table.from_batches([b]).select(b.schema.names[4:])
+            new = reduce(pc.or_, (pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)) for k in keys))
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = [k[lo].as_py() for k in keys]
+                if key != now:
+                    if held:
+                        yield close()
+                    exchange, date, hour, symbol = map(_escaped, key)
+                    target = f"{root}/{exchange}/{date}/{hour}/{symbol}_{kind}.parquet"
+                    tmp = f"{os.path.dirname(target)}/.{symbol}_{kind}-{uuid.uuid4().hex}"
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    now, held, rows = key, pq.ParquetWriter(tmp, data.schema), 0
+                held.write_table(data.slice(lo, hi - lo))
+                rows += hi - lo
+        if held:
+            yield close()
+    finally:
+        if os.path.exists(tmp):  # of a task that failed
+            os.remove(tmp)
+
+
+def _escaped(name: str) -> str:
+    """``name`` as Spark writes it in a folder's name."""
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in name)
+
+
+def write_hour_folders(named: DataFrame, root: str, kind: str) -> None:
+    """Spark writes folders by partition (exchange, date, hour, symbol), which then get the hour layout's names."""
+    spark = named.sparkSession
+    tmp = f"{root}/_{kind}"
+    named.write.partitionBy("exchange", "date", "hour", "symbol").parquet(tmp)
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     fs = jpath(root).getFileSystem(spark._jsc.hadoopConfiguration())
     for s in fs.globStatus(jpath(f"{tmp}/*/*/*/*")):

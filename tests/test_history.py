@@ -127,3 +127,28 @@ def test_hydration_of_files(spark, tmp_path):
     assert (got["X", 181].liq_long_vol, got["X", 181].liq_covered, got["X", 181].open_interest_change) == (None, 0, 10.0)
     assert (got["Y", 1].liq_covered, got["Y", 1].open_interest, got["Y", 1].avg_spread) == (0, None, 0.0)
     assert len(history.WHOLE) == 33
+
+
+def test_hour_files_are_single_files_of_their_rows(spark, tmp_path):
+    """A file for each hour and symbol, under the names that Spark's folders have, however few bytes there are; as many rows as by Spark's writer."""
+    rows = [("x", s, BASE + h * H + i * M, 1.0, float(i), i % 2 == 0) for h in range(30) for s in ("A", "B:C") for i in range(7)]
+    df = spark.createDataFrame(rows, "exchange string, symbol string, trade_time long, price double, quantity double, is_buyer_maker boolean")
+    root, other = str(tmp_path / "direct"), str(tmp_path / "spark")
+    files.write_hours(df, "file:" + root, "trades", "trade_time")
+    found = [os.path.join(d, n) for d, _, names in os.walk(root) for n in names]
+    assert len(found) == 60 and all(f.endswith("_trades.parquet") for f in found) and f"{root}/x/2024-01-02/05/B%3AC_trades.parquet" in found
+    t = F.timestamp_millis("trade_time")
+    files.write_hour_folders(df.withColumns({"date": F.date_format(t, "yyyy-MM-dd"), "hour": F.date_format(t, "HH")}).repartition(1), other, "trades")
+    every = lambda d: sorted(map(tuple, files.read_hours(spark, d, "trades").drop("row").collect()))
+    assert len(every(root)) == len(rows) and every(root) == every(other)
+    assert files.list_hours(spark, root).count() == files.list_hours(spark, other).count() == 60
+    one = files.read_hours(spark, root, "trades").where(F.col("symbol") == "A").orderBy("row").collect()
+    assert [r.trade_time for r in one] == sorted(r[2] for r in rows if r[1] == "A")
+
+
+def test_paths_are_parsed_once_for_their_files():
+    p = ["file:///r/x/2024-01-02/05/B%253AC_trades.parquet", "file:///r/x/2024-01-02/5/A_orderbook.parquet/part-0.parquet", "file:///r/other.parquet"]
+    got = files.hours_of_paths(files.pd.Series([*p, p[0]]))
+    hour = BASE + DAY + 5 * H
+    assert got.hour.tolist()[:2] == [hour, hour] and got.hour.isna().tolist() == [False, False, True, False]
+    assert got.symbol.tolist() == ["B%253AC", "A", None, "B%253AC"] and got.exchange.tolist() == ["x", "x", None, "x"]
