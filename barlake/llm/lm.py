@@ -11,6 +11,7 @@ batches with a causal mask; each token counts once, in the first window that hol
 
 from __future__ import annotations
 
+import copy
 import json
 import math
 import zlib
@@ -18,6 +19,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,11 @@ TRAIN_ROUNDS, RATE = 4, 0.02
 PER_STEP = 64
 #: Frequent words whose counts every task holds; the others' counts are joined.
 FREQUENT = 100_000
-#: Frequent pairs of a subword, or a word's beginning, and the next subword that every task holds, of either kind; others are left to the classes.
+#: Frequent pairs of a subword, or a word's beginning, and the next subword that every task holds, of either kind, and what
+#: they count against; the others are joined with the blocks of texts that hold them.
 PAIRS = 500_000
+#: Subwords of a block of texts, at least but for a task's last.
+BLOCK_TOKENS = 1_000_000
 #: Neighbouring subwords that a task sums up at once.
 GATHERED = 2_000_000
 #: Training tokens of a shard: what one task learns from in a round, wherever the rows lie.
@@ -191,16 +196,24 @@ class Windows:
 
 
 def subwords(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, held, row_hash, ids): the subword ids of each text as 16-bit integers, the end not included."""
+    """(doc_id, held, text_hash, ids, block): the subword ids of each text as 16-bit integers, the end not included. Texts
+    that a task reads one after another form a block, of BLOCK_TOKENS subwords or so."""
 
     def run(batches):
         e = bpe.encoder(path, "library")
+        block, room = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             ids = [np.frombuffer(e.ids(t or ""), "<u4").astype("<u2").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held_out(i) for i in doc_ids]), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "held", "text_hash", "ids"])
+            blocks = []
+            for i in ids:
+                if room > BLOCK_TOKENS:
+                    block, room = block + 1, 0
+                blocks.append(block)
+                room += len(i) // 2 + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held_out(i) for i in doc_ids]), b.column(2), pa.array(ids, pa.binary()), pa.array(blocks, pa.int64())], names=["doc_id", "held", "text_hash", "ids", "block"])
 
-    return by_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held boolean, text_hash long, ids binary")
+    return by_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held boolean, text_hash long, ids binary, block long")
 
 
 def word_ends(path: str, size: int) -> np.ndarray:
@@ -263,16 +276,10 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.diff(np.r_[edge, len(keys)])
 
 
-def most_frequent(rows: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
-    """``columns`` of the PAIRS rows at most that have the largest counts, in the order of the first column."""
-    t = rows.where(F.col("c") >= frequent_from(rows, PAIRS)).select(*columns).orderBy(columns[0]).toArrow()
-    return tuple(np.asarray(t.column(c), np.int64) for c in columns)
-
-
-def neighbours(ids: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(counts, counts at starts of words, pairs, their counts) in training texts. Counts are by id, the end of
+def neighbours(ids: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(counts, counts at starts of words, pairs (id, c) as a table) in training texts. Counts are by id, the end of
     a text after the last: the vocabulary bounds them. A pair is a subword and the next one (the end before a
-    text's first), given as one number; of all pairs, the PAIRS most frequent at most."""
+    text's first), given as one number."""
     size = len(ends) - 1
 
     def run(batches):
@@ -305,15 +312,12 @@ def neighbours(ids: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     out = np.zeros(2 * size + 2, np.int64)
     for r in rows.where("id < 0").collect():
         out[-1 - r["id"]] = r["c"]
-    pairs, sums = most_frequent(rows.where("id >= 0"), "id", "c")
-    free(rows)
-    return out[: size + 1], out[size + 1 :], pairs, sums
+    return out[: size + 1], out[size + 1 :], rows.where("id >= 0")
 
 
-def word_beginnings(counts: DataFrame, path: str, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(pairs, their beginnings, their counts): a pair is a word's beginning of two subwords or more and the next
-    one, by 64-bit hashes; of all pairs, the PAIRS most frequent at most. No subword reaches over white space,
-    so that ``counts`` of words tell them."""
+def word_beginnings(counts: DataFrame, path: str, ends: np.ndarray) -> DataFrame:
+    """(id, c, head): pairs of a word's beginning of two subwords or more and the next one, by 64-bit hashes, their
+    counts and beginnings. No subword reaches over white space, so that ``counts`` of words tell them."""
     size = len(ends) - 1
 
     def run(batches):
@@ -329,10 +333,43 @@ def word_beginnings(counts: DataFrame, path: str, ends: np.ndarray) -> tuple[np.
             yield pa.RecordBatch.from_arrays([pa.array(joined(head, flat[deep])), pa.array(c[deep]), pa.array(head)], names=["id", "c", "head"])
 
     rows = by_arrow(counts.where(F.col("word") != F.lit(END.encode())).select("word", "c"), run, "id long, c long, head long")
-    rows = spool(rows.groupBy("head", "id").agg(F.sum("c").alias("c")))
-    held = most_frequent(rows, "id", "head", "c")
-    free(rows)
-    return held
+    return rows.groupBy("id").agg(F.sum("c").alias("c"), F.min("head").alias("head"))
+
+
+def share_rows(pairs: DataFrame, longer: DataFrame, cls: np.ndarray, ends: np.ndarray) -> DataFrame:
+    """(kind, key, c, value) of all pairs (kinds 0 and 2) and of what they count against (1 and 3), a written table: the
+    share of a pair, and what the pairs of a group leave to what is known without them."""
+    size, row = len(cls), word_rows(ends)
+
+    def run(batches):
+        for b in batches:
+            last, ids = np.divmod(np.asarray(b.column(0)), size)
+            group = np.where(ends[last], start_group(row, cls, last, ids), INSIDE - last)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(group)], names=["key", "c", "group"])
+
+    near = by_arrow(pairs.select("id", "c"), run, "key long, c long, group long").withColumn("kind", F.lit(0))
+    far = longer.select(F.col("id").alias("key"), "c", F.col("head").alias("group"), F.lit(2).alias("kind"))
+    every = spool(near.unionByName(far))
+    groups = spool(every.groupBy("kind", "group").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")))
+    mine = every.join(groups, ["kind", "group"]).select("kind", "key", "c", (F.col("c") / (F.col("n") + F.col("kinds"))).alias("value"))
+    rest = groups.select((F.col("kind") + 1).alias("kind"), F.col("group").alias("key"), F.col("n").alias("c"), (F.col("kinds") / (F.col("n") + F.col("kinds"))).alias("value"))
+    out = spool(mine.unionByName(rest))
+    free(every, groups)
+    return out
+
+
+#: Keys of what pairs inside words count against: this less the subword; those at starts are negative numbers above.
+INSIDE = -(1 << 40)
+
+
+def word_rows(ends: np.ndarray) -> np.ndarray:
+    """The number of each id that ends a word among them."""
+    return np.where(ends, np.cumsum(ends) - 1, 0)
+
+
+def start_group(row: np.ndarray, cls: np.ndarray, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The key of what a pair at the start of a word counts against: all that follow ``last`` and are of the class of ``ids``."""
+    return -1 - (row[last] * CLASSES + cls[ids])
 
 
 def in_class(cls: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -371,26 +408,34 @@ class Shares:
 
     def __init__(self, cls: np.ndarray, ends: np.ndarray, counts: np.ndarray, starts: np.ndarray, pairs: np.ndarray, sums: np.ndarray, longer: np.ndarray, heads: np.ndarray, longer_sums: np.ndarray) -> None:
         longer, one = np.unique(longer, return_index=True)  # of equal hashes, one
-        heads, longer_sums = heads[one], longer_sums[one]
-        self.cls, self.ends, self.pairs, self.longer = cls, ends, pd.Index(pairs), pd.Index(longer)
+        last, ids = pairs // len(cls), pairs % len(cls)
+        groups, of = np.unique(np.where(ends[last], start_group(word_rows(ends), cls, last, ids), INSIDE - last), return_inverse=True)
+        share, rest = self.weights(of, sums, len(groups))
+        heads, of = np.unique(heads[one], return_inverse=True)
+        longer_share, longer_rest = self.weights(of, longer_sums[one], len(heads))
+        self.hold(cls, ends, counts, starts, [(pairs, share), (groups, rest), (longer, longer_share), (heads, longer_rest)])
+
+    def hold(self, cls: np.ndarray, ends: np.ndarray, counts: np.ndarray, starts: np.ndarray, values: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take ``values``: keys and their values by kind, as share_rows() gives them."""
+        self.cls, self.ends, self.row = cls, ends, word_rows(ends)
         self.alone = np.stack([in_class(cls, counts - starts), in_class(cls, starts)])  # inside words, at their starts
-        size = len(cls)
-        last, ids = pairs // size, pairs % size
-        # what a pair counts against: all that follow, or those of the subword's class
-        self.row = np.where(ends, np.cumsum(ends) - 1, 0)
-        start, inner = ends[last], ~ends[last]
-        groups, of = np.unique(self.row[last[start]] * CLASSES + cls[ids[start]], return_inverse=True)
-        start_share, rest = self.weights(of, sums[start], len(groups))
-        self.groups, self.at_start = pd.Index(groups), np.r_[rest, 1.0]  # the last for groups without a pair
-        self.inside = self.weights(last[inner], sums[inner], size)[1]
-        share = np.zeros(len(pairs) + 1)  # the last for pairs that are not known
-        share[:-1][start] = start_share
-        share[:-1][inner] = self.weights(last[inner], sums[inner], size)[0]
-        self.share = share
-        heads, of = np.unique(heads, return_inverse=True)
-        self.heads = pd.Index(heads)
-        share, rest = self.weights(of, longer_sums, len(heads))
-        self.longer_share, self.longer_rest = np.r_[share, 0.0], np.r_[rest, 1.0]
+        # the last value is that of keys without a pair
+        self.values = [(pd.Index(k), np.r_[v, float(kind % 2)]) for kind, (k, v) in enumerate(values)]
+        self.more = None
+
+    @classmethod
+    def of_frequent(cls, classes: np.ndarray, ends: np.ndarray, counts: np.ndarray, starts: np.ndarray, rows: DataFrame) -> tuple[Shares, bool]:
+        """(the shares that hold PAIRS rows at most of each kind of share_rows(), those of the largest counts, whether these are all)."""
+        out, values, whole = cls.__new__(cls), [], True
+        for kind in range(4):
+            mine = rows.where(F.col("kind") == kind)
+            low = frequent_from(mine, PAIRS)
+            whole &= low == 1
+            t = mine.where(F.col("c") >= low).select("key", "value").orderBy("key").toArrow()
+            k, one = np.unique(np.asarray(t.column("key"), np.int64), return_index=True)
+            values.append((k, np.asarray(t.column("value"), float)[one]))
+        out.hold(classes, ends, counts, starts, values)
+        return out, whole
 
     @staticmethod
     def weights(of: np.ndarray, sums: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,18 +444,45 @@ class Shares:
         n = np.bincount(of, sums, room) + kinds
         return sums / n[of] if len(of) else np.zeros(0), np.where(kinds > 0, kinds / np.maximum(n, 1), 1.0)
 
+    def keys(self, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(places after two or more subwords of their word, keys of each kind)."""
+        start = self.ends[last]
+        deep, head = beginnings(last, start)
+        group = np.where(start, start_group(self.row, self.cls, last, ids), INSIDE - last)
+        return deep, [last * len(self.cls) + ids, group, joined(head, ids[deep]), head]
+
+    def lacking(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The different keys that are not held."""
+        return np.unique(np.concatenate([k[index.get_indexer(k) < 0] for k, (index, _) in zip(self.keys(ids, last)[1], self.values)]))
+
+    def with_more(self, keys: np.ndarray, values: np.ndarray) -> Shares:
+        """These shares and the values of ``keys``, which are not held."""
+        out = copy.copy(self)
+        keys, one = np.unique(keys, return_index=True)
+        out.more = pd.Index(keys), values[one]
+        return out
+
+    def value(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        index, values = self.values[kind]
+        at = index.get_indexer(keys)
+        out = values[at]
+        if self.more is not None:
+            lack = np.flatnonzero(at < 0)
+            at = self.more[0].get_indexer(keys[lack])
+            out[lack[at >= 0]] = self.more[1][at[at >= 0]]
+        return out
+
     def __call__(self, ids: np.ndarray, last: np.ndarray, of_class: np.ndarray) -> np.ndarray:
         start = self.ends[last]
-        share = self.share[self.pairs.get_indexer(last * len(self.cls) + ids)]
-        rest = np.where(start, self.at_start[self.groups.get_indexer(self.row[last] * CLASSES + self.cls[ids])], self.inside[last])
+        deep, keys = self.keys(ids, last)
+        share, rest = self.value(0, keys[0]), self.value(1, keys[1])
         of_class = 10.0**of_class
         alone = 10.0 ** self.alone[start.astype(np.int64), ids]
         # inside a word the class counts too; at a start it is the model's alone
         p = np.where(start, of_class * (share + rest * alone), share + rest * of_class * alone)
-        deep, head = beginnings(last, start)
         if len(deep):
-            p[deep] *= self.longer_rest[self.heads.get_indexer(head)]
-            p[deep] += self.longer_share[self.longer.get_indexer(joined(head, ids[deep]))]
+            p[deep] *= self.value(3, keys[3])
+            p[deep] += self.value(2, keys[2])
         return np.log10(p)
 
 
@@ -458,13 +530,14 @@ def train(ids: DataFrame, cls: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return model.flat()
 
 
-def model_scores(ids: DataFrame, cls: np.ndarray, shares: Shares, flat: np.ndarray) -> DataFrame:
-    """(doc_id, held, text_hash, score): log10 probability of each text and its end."""
+def model_scores(ids: DataFrame, cls: np.ndarray, shares: Shares, flat: np.ndarray, rows: DataFrame | None = None) -> DataFrame:
+    """(doc_id, held, text_hash, score): log10 probability of each text and its end. With ``rows`` (share_rows()) what
+    ``shares`` don't hold is joined: each block of texts asks for its different keys, and meets their values."""
     spark = ids.sparkSession
     held = spark.sparkContext.broadcast((cls, shares, flat))  # bounded by the vocabulary and PAIRS
 
-    def run(batches):
-        cls, shares, flat = held.value
+    def scored(batches, shares: Shares):
+        cls, _, flat = held.value
         m = Attention(flat)
         table = m.table()
         for b in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
@@ -478,7 +551,25 @@ def model_scores(ids: DataFrame, cls: np.ndarray, shares: Shares, flat: np.ndarr
             score = np.add.reduceat(each, ws.first) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(3)], pa.array(score)], names=["doc_id", "held", "text_hash", "score"])
 
-    return by_arrow(ids, run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, held boolean, text_hash long, score double")
+    schema = f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, held boolean, text_hash long, score double"
+    if rows is None:
+        return by_arrow(ids, lambda batches: scored(batches, held.value[1]), schema)
+
+    def ask(batches):
+        cls, shares, _ = held.value
+        for b in batches:
+            blocks = np.asarray(b.column(1))
+            for block in np.unique(blocks):
+                ws = Windows(b.column(0).filter(pa.array(blocks == block)).to_pylist(), cls)
+                keys = shares.lacking(ws.ids, before(ws.ids, ws.first, len(cls) - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys)], names=["block", "key"])
+
+    def meet(texts: pa.Table, values: pa.Table) -> pa.Table:
+        more = held.value[1].with_more(np.asarray(values.column("key"), np.int64), np.asarray(values.column("value"), float))
+        return pa.Table.from_batches(scored(texts.to_batches(), more))
+
+    values = by_arrow(ids.select("ids", "block"), ask, "block long, key long").join(rows.select("key", "value"), "key").select("block", "key", "value")
+    return ids.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(meet, schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -587,10 +678,12 @@ def score(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     size = 1 << 16
     ends = word_ends(path, size)
     in_words = spool(word_counts(t))
-    counts, starts, *pairs = neighbours(ids, ends)
+    counts, starts, pairs = neighbours(ids, ends)
     cls, _ = classes_of(counts, ends)
     flat = train(ids, cls, counts)
-    mine = model_scores(ids, cls, Shares(cls, ends, counts, starts, *pairs, *word_beginnings(in_words, path, ends)), flat)
+    rows = share_rows(pairs, word_beginnings(in_words, path, ends), cls, ends)
+    shares, whole = Shares.of_frequent(cls, ends, counts, starts, rows)
+    mine = model_scores(ids, cls, shares, flat, None if whole else rows)
     base = spool(base_scores(t, in_words))
     b = base.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "n_tokens", "n_known", "train_tokens", "base_score")
     j = mine.join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")))

@@ -348,6 +348,19 @@ def test_lm_scores_follow_from_rows_alone(spark, docs, monkeypatch):
     assert {(r.doc_id, r.n_tokens): r.score for r in lm.score(odd).collect()}.keys() == {k[:2] for k in one}
 
 
+def test_lm_counts_of_rare_pairs_are_joined(spark, docs, monkeypatch):
+    """However few pairs a task holds, scores are those of all pairs."""
+    flat = lm.Attention(bias=np.zeros(lm.CLASSES)).flat()
+    monkeypatch.setattr(lm, "train", lambda ids, cls, counts: flat)
+    found = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score) for r in lm.score(docs.repartition(3)).collect())
+    every = found()
+    monkeypatch.setattr(lm, "PAIRS", 20)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500, raising=False)
+    few = found()
+    assert len(every) == len(ROWS) and [r[:3] for r in every] == [r[:3] for r in few]
+    assert np.allclose([r[3] for r in every], [r[3] for r in few], rtol=1e-5, atol=1e-4)
+
+
 def test_lm_beginnings_of_any_length():
     rng = np.random.default_rng(3)
     word = rng.integers(0, 1 << 16, 500)
