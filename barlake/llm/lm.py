@@ -28,10 +28,13 @@ from barlake.llm.common import by_arrow, free, spool
 
 #: Model: classes, width, window and from one window to the next; the end of a text is class 0, as is the start before it.
 CLASSES, WIDTH, WINDOW, STEP = 256, 16, 32, 16
+#: Classes are scored by groups of as many, neighbours in number.
+GROUPS = 16
+MEMBERS = CLASSES // GROUPS
 #: Places of context before those that a window scores.
 LEAD = WINDOW - STEP
 #: Windows scored at once: their arrays stay in a core's cache.
-AT_ONCE = 64
+AT_ONCE = 128
 #: Texts whose subwords are scored at once, for the same reason.
 TEXTS_AT_ONCE = 32
 #: Rounds of averaging, each over its share of the training texts (together all windows of all of them), and the step size.
@@ -61,109 +64,195 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def shares_of(z: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
-    """exp(z) in each row over the row's sum, where ``seen`` is 1; ``z`` is overwritten."""
+def ones(n: int) -> np.ndarray:
+    return ONES[:n] if n <= len(ONES) else np.ones(n, np.float32)
+
+
+ONES = np.ones(1 << 12, np.float32)
+
+
+def exp_of(z: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(z) where ``seen`` is 1, else 0, up to a factor for each row; one over the rows' sums); ``z`` is overwritten."""
     if max(z.max(initial=0), -z.min(initial=0)) > 60:  # beyond the range of exp
         z -= (z if seen is None else np.where(seen, z, -np.inf)).max(-1, keepdims=True)
         np.minimum(z, 0, out=z)
     np.exp(z, out=z)
     if seen is not None:
         z *= seen
-    z *= 1 / (z @ np.ones(z.shape[-1], np.float32))[..., None]
-    return z
+    return z, 1 / (z @ ONES[: z.shape[-1]])
 
 
 class Attention:
-    """One layer, one head: class and place embeddings, causal attention added to them, class scores."""
+    """One layer, one head: class and place embeddings, causal attention added to them, class scores in two levels: those of
+    GROUPS groups of classes, then those of the group's members, so that a place costs a row of each instead of all classes."""
 
-    SHAPES = {"e": (CLASSES, WIDTH), "pos": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, CLASSES), "b": (CLASSES,)}
+    SHAPES = {"e": (CLASSES, WIDTH), "pos": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "kv": (WIDTH, 2 * WIDTH), "o": (WIDTH, GROUPS), "b": (GROUPS,), "deep": (GROUPS, WIDTH, MEMBERS), "deep_b": (GROUPS, MEMBERS)}
+    SIZE = sum(math.prod(shape) for shape in SHAPES.values())
     #: Places that a place sees.
     SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+    SCALE = np.float32(1 / math.sqrt(WIDTH))
 
     def __init__(self, flat: np.ndarray | None = None, bias: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(5)
-        at = 0
-        for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
-            setattr(self, name, (rng.standard_normal(shape) * 0.3 if flat is None else flat[at : at + n].reshape(shape)).astype(np.float32))
-            at += n
+        self.all = (rng.standard_normal(self.SIZE) * 0.3 if flat is None else flat).astype(np.float32)
+        for name, part in self.parts(self.all).items():
+            setattr(self, name, part)
         if flat is None and bias is not None:  # starts as the shares of the classes themselves
-            self.b, self.o = bias.astype(np.float32), np.zeros_like(self.o)
+            self.o[:], self.deep[:] = 0, 0
+            self.deep_b[:] = bias.reshape(GROUPS, MEMBERS)
+            self.b[:] = np.logaddexp.reduce(bias.reshape(GROUPS, MEMBERS), 1)
+
+    @classmethod
+    def parts(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of ``flat`` by name."""
+        out, at = {}, 0
+        for name, shape in cls.SHAPES.items():
+            out[name] = flat[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        return out
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.SHAPES])
+        return self.all.copy()
 
     def forward(self, c: np.ndarray):
         """Log-probabilities (natural) of the next class at each place of windows ``c`` (n, WINDOW)."""
         x = self.e[c] + self.pos
-        q, k, v = x @ self.q, x @ self.k, x @ self.v
-        s = shares_of(q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(WIDTH)), self.SEEN)
-        h = x + s @ v
-        z = h @ self.o + self.b
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return z, (x, q, k, v, s, h)
+        k, v = np.split(x @ self.kv, 2, 2)
+        s, of_one = exp_of(x @ (self.q * self.SCALE) @ k.transpose(0, 2, 1), self.SEEN)
+        h = x + s @ v * of_one[..., None]
+        z, deep = h @ self.o + self.b, np.einsum("nij,gjk->nigk", h, self.deep) + self.deep_b
+        for y in (z, deep):
+            y -= y.max(-1, keepdims=True)
+            y -= np.log(np.exp(y).sum(-1, keepdims=True))
+        return (z[..., None] + deep).reshape(*c.shape, CLASSES), h
+
+    def seen(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(inputs of all places and of the last STEP, keys and values, queries times SCALE, what each of these places attends to and
+        by what its row is to be multiplied to sum to 1, what it gets)."""
+        n = len(c)
+        x = self.e.take(c.ravel(), 0).reshape(n, WINDOW, WIDTH)
+        x += self.pos
+        last = x[:, LEAD:].reshape(-1, WIDTH)
+        kv = (x.reshape(-1, WIDTH) @ self.kv).reshape(n, WINDOW, 2 * WIDTH)
+        q = (last @ (self.q * self.SCALE)).reshape(n, STEP, WIDTH)
+        s, of_one = exp_of(q @ kv[..., :WIDTH].transpose(0, 2, 1), self.SEEN[LEAD:])
+        got = s @ kv[..., WIDTH:]
+        got *= of_one[..., None]
+        return x, last, kv, q, s, of_one, got.reshape(-1, WIDTH)
+
+    def members(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(order of the rows by the group of ``target``, the groups in it, ``h`` in it, the group's scores of its members, [(group, its rows)])."""
+        group = (target // MEMBERS).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        runs = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        h, z = h.take(order, 0), np.empty((len(h), MEMBERS), np.float32)
+        for g, rows in runs:
+            np.matmul(h[rows], self.deep[g], out=z[rows])
+        z += self.deep_b.take(group, 0)
+        return order, group, h, z, runs
 
     def table(self) -> tuple[np.ndarray, ...]:
-        """Keys, values, queries and inputs of each class at each place, WINDOW rows a class."""
-        x = self.e[:, None] + self.pos
-        return tuple(y.reshape(-1, WIDTH) for y in (x @ self.k / np.float32(math.sqrt(WIDTH)), x @ self.v, x @ self.q, x))
+        """Keys and values, queries times SCALE, and inputs of each class at each place, WINDOW rows a class."""
+        x = (self.e[:, None] + self.pos).reshape(-1, WIDTH)
+        return x @ self.kv, x @ (self.q * self.SCALE), x
 
     def log_probability(self, c: np.ndarray, target: np.ndarray, table: tuple[np.ndarray, ...]) -> np.ndarray:
         """Natural log-probability of the target at each of the last STEP places, in fewer passes than forward();
         ``table`` is table()'s result."""
         at = c * WINDOW + np.arange(WINDOW)
         late = at[:, LEAD:]
-        k, v, q, x = (y.take(i, 0) for y, i in zip(table, (at, at, late, late)))
-        h = shares_of(q @ np.ascontiguousarray(k.transpose(0, 2, 1)), self.SEEN[LEAD:]) @ v
+        kv, q, x = (y.take(i, 0) for y, i in zip(table, (at, late, late)))
+        s, of_one = exp_of(q @ kv[..., :WIDTH].transpose(0, 2, 1), self.SEEN[LEAD:])
+        h = s @ kv[..., WIDTH:]
+        h *= of_one[..., None]
         h += x
-        z = h.reshape(-1, WIDTH) @ self.o
-        z += self.b
-        got = z[np.arange(len(z)), target[:, LEAD:].ravel()]
-        np.exp(z, out=z)
-        got = (got - np.log(z @ np.ones(CLASSES, np.float32))).reshape(-1, STEP)
-        if not np.isfinite(got).all():  # scores beyond the range of exp
-            got = np.take_along_axis(self.forward(c)[0], target[..., None], 2)[:, LEAD:, 0]
-        return got
+        h = h.reshape(-1, WIDTH)
+        t = target[:, LEAD:].ravel()
+        order, group, h, z, _ = self.members(h, t)
+        top = h @ self.o
+        top += self.b
+        at = np.arange(len(t))
+        got = top[at, group] + z[at, t[order] % MEMBERS]
+        for y in (top, z):
+            np.exp(y, out=y)
+            got -= np.log(y @ ONES[: y.shape[1]])
+        out = np.empty_like(got)
+        out[order] = got
+        out = out.reshape(-1, STEP)
+        if not np.isfinite(out).all():  # scores beyond the range of exp
+            out = np.take_along_axis(self.forward(c)[0], target[..., None], 2)[:, LEAD:, 0]
+        return out
 
     def step(self, c: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float, moments: dict | None = None) -> None:
         """One step of gradient descent on the mean loss of the weighted ones of the last STEP places; with ``moments``, which it
         keeps, each weight's step goes by the running mean and square of its gradients."""
-        n, scale = len(c), np.float32(1 / math.sqrt(WIDTH))
-        wide = lambda y, of=WINDOW: y.reshape(n, of, WIDTH)
-        x = self.e.take(c, 0) + self.pos
-        flat = x.reshape(-1, WIDTH)
-        turned = lambda y: np.ascontiguousarray(y.transpose(0, 2, 1))
-        last, t, w = x[:, LEAD:].reshape(-1, WIDTH), target[:, LEAD:].ravel(), weight[:, LEAD:].ravel()
-        q, k, v = wide(last @ (self.q * scale), STEP), wide(flat @ self.k), wide(flat @ self.v)
-        s = shares_of(q @ turned(k), self.SEEN[LEAD:])
-        h = (s @ v).reshape(-1, WIDTH)
-        h += last
-        g = h @ self.o
-        g += self.b
-        g = shares_of(g)
-        g[np.arange(len(g)), t] -= 1
-        g *= (w / max(w.sum(), 1))[:, None]
-        grad = {"o": h.T @ g, "b": np.ones(len(g), np.float32) @ g}
-        dh = g @ self.o.T
-        deep = wide(dh, STEP)
-        ds, dv = deep @ turned(v), (s.transpose(0, 2, 1) @ deep).reshape(-1, WIDTH)
-        ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
+        n = len(c)
+        wide = lambda y: y.reshape(n, STEP, WIDTH)
+        x, last, kv, q, s, of_one, got = self.seen(c)
+        h = got + last
+        t, w = target[:, LEAD:].ravel(), weight[:, LEAD:].ravel()
+        w = w / max(w.sum(), 1)
+        order, group, hs, z, runs = self.members(h, t)
+        top = h @ self.o
+        top += self.b
+        at = np.arange(len(t))
+        for y, weights, right in ((top, w, t // MEMBERS), (z, w[order], t[order] % MEMBERS)):
+            y, part = exp_of(y)
+            y *= (weights * part)[:, None]
+            y[at, right] -= weights
+        all_grad = np.zeros(self.SIZE, np.float32)
+        grad = self.parts(all_grad)
+        np.matmul(h.T, top, out=grad["o"])
+        np.matmul(ones(len(top)), top, out=grad["b"])
+        dhs, back = np.empty_like(hs), np.empty_like(order)
+        for g, rows in runs:
+            y = z[rows]
+            np.matmul(hs[rows].T, y, out=grad["deep"][g])
+            np.matmul(ones(len(y)), y, out=grad["deep_b"][g])
+            np.matmul(y, self.deep[g].T, out=dhs[rows])
+        dh = top @ self.o.T
+        back[order] = at
+        dh += dhs.take(back, 0)
+        deep = wide(dh) * of_one[..., None]
+        ds = deep @ kv[..., WIDTH:].transpose(0, 2, 1)
+        ds -= np.einsum("nij,nij->ni", deep, wide(got))[..., None]
         ds *= s
-        dq, dk = (ds @ k).reshape(-1, WIDTH) * scale, (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)  # q holds the scale
-        grad |= {"q": last.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv}
-        dx = wide(dk @ self.k.T + dv @ self.v.T)
-        dx[:, LEAD:] += wide(dh + dq @ self.q.T, STEP)
-        grad["pos"], at = dx.sum(0), c.ravel()
-        grad["e"] = np.stack([np.bincount(at, y, CLASSES) for y in dx.reshape(-1, WIDTH).T], 1)
-        for name, d in grad.items():
-            d = np.clip(d, -1, 1).astype(np.float32)
-            if moments is not None:
-                n, mean, square = moments.get(name, (0, np.zeros_like(d), np.zeros_like(d)))
-                n, mean, square = n + 1, 0.9 * mean + 0.1 * d, 0.99 * square + 0.01 * d * d
-                moments[name] = n, mean, square
-                d = mean / (1 - 0.9**n) / (np.sqrt(square / (1 - 0.99**n)) + 1e-8)
-            setattr(self, name, getattr(self, name) - np.float32(rate) * d.astype(np.float32))
+        dkv = np.empty_like(kv)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])  # q holds the scale
+        np.matmul(s.transpose(0, 2, 1), deep, out=dkv[..., WIDTH:])
+        dq = (ds @ kv[..., :WIDTH]).reshape(-1, WIDTH)
+        dq *= self.SCALE
+        np.matmul(last.T, dq, out=grad["q"])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        np.matmul(x.reshape(-1, WIDTH).T, dkv, out=grad["kv"])
+        dx = (dkv @ self.kv.T).reshape(n, WINDOW, WIDTH)
+        dh += dq @ self.q.T
+        dx[:, LEAD:] += wide(dh)
+        np.matmul(ones(n), dx.reshape(n, -1), out=grad["pos"].reshape(-1))
+        each = c.astype(np.uint8).ravel()
+        order = np.argsort(each, kind="stable")
+        each = each[order]
+        first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
+        grad["e"][each[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, 0), first, 0)
+        d = np.clip(all_grad, -1, 1, out=all_grad)
+        if moments is not None:
+            moments["n"] = k = moments.get("n", 0) + 1
+            mean, square = moments.setdefault("mean", np.zeros_like(d)), moments.setdefault("square", np.zeros_like(d))
+            mean *= 0.9
+            mean += 0.1 * d
+            square *= 0.99
+            d *= d
+            d *= 0.01
+            square += d
+            np.sqrt(square, out=d)
+            d *= np.float32(1 / math.sqrt(1 - 0.99**k))
+            d += 1e-8
+            np.divide(mean, d, out=d)
+            d *= np.float32(1 / (1 - 0.9**k))
+        d *= np.float32(rate)
+        self.all -= d
 
 
 class Windows:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -282,6 +283,31 @@ def test_lm_gradient_and_windows():
     assert np.allclose(z[:, :20], first.forward(y)[0][:, :20], atol=1e-5)
 
 
+def test_lm_scores_a_group_of_classes_a_place():
+    """Scoring never holds a row of all classes a place, its scores are those of all classes, which sum to 1, and a step
+    follows the loss's slope for each kind of weight."""
+    rng, m = np.random.default_rng(3), lm.Attention()
+    c = rng.integers(0, lm.CLASSES, (512, lm.WINDOW))
+    t, table = rng.integers(0, lm.CLASSES, c.shape), m.table()
+    tracemalloc.start()
+    got = m.log_probability(c, t, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < got.size * lm.CLASSES * 4
+    every = m.forward(c[:20])[0]
+    assert np.allclose(np.exp(every.astype(float)).sum(2), 1, atol=1e-5)
+    assert np.allclose(np.take_along_axis(every, t[:20, :, None], 2)[:, lm.LEAD :, 0], got[:20], atol=1e-4)
+    c, t, w = c[:20], t[:20], (rng.random((20, lm.WINDOW)) < 0.8) * (np.arange(lm.WINDOW) >= lm.LEAD)
+    loss = lambda flat: -float((np.take_along_axis(lm.Attention(flat).forward(c)[0].astype(float), t[..., None], 2)[..., 0] * w).sum() / w.sum())
+    start, after = m.flat(), lm.Attention(m.flat())
+    after.step(c, t, w.astype(np.float32), 1.0)
+    slope = start - after.flat()
+    for name, part in lm.Attention.parts(np.arange(len(start))).items():
+        d = np.zeros(len(start), np.float32)
+        d[part.ravel()] = 1e-3 * rng.standard_normal(part.size)
+        assert abs((loss(start + d) - loss(start - d)) / 2 - float(slope @ d)) < 1e-6 + 0.01 * abs(float(slope @ d)), name
+
+
 def test_lm_shares_are_probabilities():
     rng, size = np.random.default_rng(4), 400
     ends = np.r_[rng.random(size) < 0.6, True]
