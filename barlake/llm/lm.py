@@ -507,7 +507,7 @@ class Shares:
     def hold(self, cls: np.ndarray, ends: np.ndarray, counts: np.ndarray, starts: np.ndarray, values: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Take ``values``: keys and their values by kind, as share_rows() gives them."""
         self.cls, self.ends, self.row = cls, ends, word_rows(ends)
-        self.alone = np.stack([in_class(cls, counts - starts), in_class(cls, starts)])  # inside words, at their starts
+        self.alone = 10.0 ** np.stack([in_class(cls, counts - starts), in_class(cls, starts)])  # inside words, at their starts
         # the last value is that of keys without a pair
         self.values = [(pd.Index(k), np.r_[v, float(kind % 2)]) for kind, (k, v) in enumerate(values)]
         self.more = None
@@ -565,8 +565,8 @@ class Shares:
         start = self.ends[last]
         deep, keys = self.keys(ids, last)
         share, rest = self.value(0, keys[0]), self.value(1, keys[1])
-        of_class = 10.0**of_class
-        alone = 10.0 ** self.alone[start.astype(np.int64), ids]
+        of_class = np.exp(of_class * math.log(10))
+        alone = self.alone[start.astype(np.int64), ids]
         # inside a word the class counts too; at a start it is the model's alone
         p = np.where(start, of_class * (share + rest * alone), share + rest * of_class * alone)
         if len(deep):
@@ -582,7 +582,7 @@ def learn(batches, start: np.ndarray, cls: np.ndarray):
 
     def step() -> None:
         nonlocal seen
-        c, t, w = (np.concatenate(y) for y in zip(*held))
+        c, t, w = held[0] if len(held) == 1 else (np.concatenate(y) for y in zip(*held))
         m.step(c, t, w.astype(np.float32), RATE, moments)
         seen += int(w.sum())
         held.clear()
